@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The analyses this library re-expresses are batch reports over stored tables:
+there is no watermark, time window over a live stream, stateful operator or
+late-data rule to carry over, and sessions arrive already keyed by session id.
+Every report is a plain DataFrame function, so it also runs unchanged inside a
+``foreachBatch`` of a Structured Streaming query if a caller needs that.
+"""
