@@ -1,0 +1,168 @@
+"""Exact expected rows on the edge fixture, in the reference's own windows."""
+
+from __future__ import annotations
+
+import datetime as dt
+from decimal import Decimal
+
+import pytest
+
+from trailscope import (
+    ReportWindow,
+    Segment,
+    ab_bounce,
+    bounce_rate,
+    conversion_report,
+    funnel_report,
+    funnel_table,
+    landing_conversion,
+    landing_pages,
+    master_table,
+    peak_time,
+    scorecard,
+    top_traffic,
+    weekly_traffic,
+)
+
+CASE1_WEEKS = ReportWindow.of("2012-03-19 00:00:00", "2012-04-29 23:59:59")
+CASE1 = ReportWindow.of("2012-03-19 00:00:00", "2012-04-30 23:59:59")
+CASE3 = ReportWindow.of("2012-06-19 00:00:00", "2012-07-31 23:59:59")
+CASE4 = ReportWindow.of("2012-03-19 00:00:00", "2012-07-31 23:59:59")
+MART = ReportWindow.of("2012-03-19 00:00:00", "2012-12-31 23:59:59")
+FUNNEL_MART = ReportWindow.of("2012-03-01 00:00:00", "2012-12-31 23:59:59")
+GN = Segment("gsearch", "nonbrand")
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_weekly_traffic_monday_weeks_and_subsecond_edge(edge):
+    out = rows(weekly_traffic(edge.sessions, CASE1_WEEKS))
+    assert out == [(dt.date(2012, 3, 19), 2), (dt.date(2012, 3, 26), 1)]
+
+
+def test_weekly_traffic_by_dims_sorted_by_dims_then_week(edge):
+    out = rows(weekly_traffic(edge.sessions, CASE1_WEEKS, ("utm_source", "utm_campaign")))
+    assert out == [
+        (dt.date(2012, 3, 26), "bsearch", "brand", 1),
+        (dt.date(2012, 3, 19), "gsearch", "nonbrand", 2),
+    ]
+
+
+def test_top_traffic(edge):
+    out = rows(top_traffic(edge.sessions, CASE1))
+    assert out[0] == ("gsearch", "nonbrand", 4)
+    assert sorted(out[1:]) == [("bsearch", "brand", 1), ("direct", "noncampaign", 1)]
+    assert rows(top_traffic(edge.sessions, CASE1, ("device_type",), GN)) == [("mobile", 2), ("desktop", 2)] or rows(
+        top_traffic(edge.sessions, CASE1, ("device_type",), GN)
+    ) == [("desktop", 2), ("mobile", 2)]
+
+
+def test_conversion_fanout_and_desc_nulls_first(edge):
+    out = rows(conversion_report(edge, CASE1))
+    assert out == [
+        ("bsearch", "brand", 1, 0, 0.0, None),
+        ("direct", "noncampaign", 1, 0, 0.0, None),
+        ("gsearch", "nonbrand", 5, 2, 0.4, Decimal("169.97")),
+    ]
+
+
+def test_landing_pages_first_time_sessions(edge):
+    assert rows(landing_pages(edge, CASE1, GN)) == [("/home", 4)]
+
+
+def test_bounce_rate_window_cut(edge):
+    assert rows(bounce_rate(edge, CASE1, ("/home",), GN)) == [(4, 2, 0.5)]
+
+
+def test_ab_bounce(edge):
+    assert rows(ab_bounce(edge, CASE3, ("/home", "/lander-1"), GN)) == [("/home", 1, 0, 0.0), ("/lander-1", 2, 1, 0.5)]
+
+
+def test_ab_bounce_variant_seen_but_never_landed(edge):
+    out = rows(ab_bounce(edge, CASE3, ("/products", "/lander-1"), GN))
+    assert out == [("/lander-1", 2, 1, 0.5), ("/products", 0, 0, None)]
+
+
+def test_ab_conversion(edge):
+    out = rows(landing_conversion(edge, CASE3, ("/home", "/lander-1"), GN))
+    assert out == [("/lander-1", 2, 1, 0.5, Decimal("49.99")), ("/home", 1, 0, 0.0, None)]
+
+
+def test_funnel_report(edge):
+    r = funnel_report(edge, CASE4).collect()[0].asDict()
+    counts = [r[c] for c in ("total_sessions", "product_sessions", "proddetail_sessions", "cart_sessions",
+                             "shipping_sessions", "billing_sessions", "thanks_sessions")]
+    assert counts == [7, 4, 1, 1, 1, 1, 1]
+    assert r["lp_exit_rate"] == pytest.approx(1 - 4 / 7)
+    assert r["prod_exit_rate"] == pytest.approx(0.75)
+    assert r["billing_exit_rate"] == pytest.approx(0.0)
+
+
+def test_peak_time_midnight_is_24_and_names_sorted(edge):
+    out = rows(peak_time(edge.sessions, CASE4))
+    assert out == [
+        ("friday", 10, 1),
+        ("monday", 12, 1),
+        ("monday", 23, 1),
+        ("monday", 24, 1),
+        ("sunday", 8, 1),
+        ("sunday", 23, 2),
+        ("thursday", 10, 1),
+        ("wednesday", 10, 1),
+    ]
+
+
+def test_scorecard(edge):
+    r = scorecard(edge, CASE4).collect()[0].asDict()
+    assert (r["total_user"], r["repeat_user"], r["total_session"], r["active_session"], r["bounce_session"]) == (8, 1, 10, 8, 2)
+    assert r["avg_session_duration"] == 2.67
+    assert r["avg_page_session"] == 3.71
+    assert r["conversion_rate"] == pytest.approx(30.0)
+    assert r["total_sales"] == Decimal("219.96")
+    assert r["total_revenue"] == Decimal("136.0000")
+
+
+def test_scorecard_strict_outliers(edge):
+    r = scorecard(edge, CASE4, strict_outliers=True).collect()[0].asDict()
+    assert r["avg_session_duration"] == 3.50
+
+
+def test_master_table(edge):
+    out = sorted(
+        (r.user_id, r.website_session_id, r.is_bounce, r.landing_page, r.is_convert, r.session_duration, r.session_total_page)
+        for r in master_table(edge, MART).collect()
+    )
+    assert out == [
+        (1, 1, "bounce_session", "/home", "not_convert", None, None),
+        (1, 4, "active_session", "/products", "not_convert", 2.0, 3),
+        (2, 2, "active_session", "/home", "convert", 6.0, 7),
+        (2, 2, "active_session", "/home", "convert", 6.0, 7),
+        (3, 3, "active_session", "/home", "not_convert", 1.01, 3),
+        (4, 5, "active_session", None, "not_convert", None, None),
+        (5, 6, "active_session", "/home", "not_convert", 0.17, 2),
+        (6, 7, "bounce_session", "/lander-1", "not_convert", None, None),
+        (7, 8, "active_session", "/lander-1", "convert", 1.0, 2),
+        (8, 9, "active_session", "/home", "not_convert", 2.5, 2),
+        (9, 10, "bounce_session", "/home", "not_convert", None, None),
+    ]
+
+
+def test_funnel_table(edge):
+    out = sorted(tuple(r) for r in funnel_table(edge, FUNNEL_MART).select(
+        "website_session_id", "funnel_step", "user_page_step", "is_valid_step").collect())
+    expected = (
+        [(1, 1, 1, 1)]
+        + [(2, k, k, 1) for k in range(1, 8)]
+        + [(3, 1, 1, 1), (3, 2, 2, 1)]
+        + [(4, 1, 2, None), (4, 2, 3, None)]
+        + [(6, 1, 1, 1), (6, 2, 2, 1)]
+        + [(7, 1, 1, 1)]
+        + [(8, 1, 1, 1), (8, 2, 2, 1)]
+        + [(9, 1, 1, 1), (9, 1, 2, None)]
+        + [(10, 1, 1, 1)]
+    )
+    key = lambda t: tuple((x is None, x or 0) for x in t)
+    assert sorted(out, key=key) == sorted(expected, key=key)
+    assert len(out) == 20

@@ -36,7 +36,7 @@ def rank_pages(pv: DataFrame, chunk_width: int = DEFAULT_CHUNK_WIDTH, rank_col:
     return (
         keyed.join(offsets, [SID, "__chunk"])
         .withColumn(rank_col, (F.col("__off") + F.rank().over(inner)).cast("int"))
-        .drop("__chunk", "__off")
+        .select(*pv.columns, rank_col)
     )
 
 
