@@ -56,6 +56,29 @@ def session_rollup(pv: DataFrame, flag_pages: Sequence[str] = ()) -> DataFrame:
     return pv.groupBy(SID).agg(*aggs)
 
 
+def segment_facts(
+    pageviews: DataFrame,
+    window: ReportWindow,
+    sessions: DataFrame | None = None,
+    segment: Segment = ALL_TRAFFIC,
+    flag_pages: Sequence[str] = (),
+) -> DataFrame:
+    """:func:`session_rollup` of the in-window page views, kept for the segment's sessions.
+
+    The rollup runs first and the segment semi-join second: page views are
+    folded per session map-side, so the join sees one row per session and a
+    session with a huge number of page views never lands in one join task.
+    A session's facts depend only on its own page views, so the order of the
+    two steps does not change the result.
+    """
+    facts = session_rollup(pageviews.filter(window.contains("created_at")), flag_pages)
+    if not segment.is_all:
+        if sessions is None:
+            raise ValueError("a segment needs the sessions table")
+        facts = facts.join(segment_sessions(sessions, segment), SID, "left_semi")
+    return facts
+
+
 def with_activity(rollup: DataFrame, strict_outliers: bool = False) -> DataFrame:
     """Add ``is_bounce`` and, for active sessions, ``active_micros`` and ``active_pages``.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trailscope.functions.params import ALL_TRAFFIC, ReportWindow, Segment, WebTables
 from trailscope.functions.ratios import money, safe_ratio
-from trailscope.operators.rollup import SID, fanout_weight, order_rollup, session_rollup, window_pageviews
+from trailscope.operators.rollup import SID, fanout_weight, order_rollup, segment_facts
 
 
 def conversion_report(
@@ -62,7 +62,7 @@ def landing_conversion(
     first). Landing pages come from the page views inside ``window``; orders are
     not limited to the window.
     """
-    facts = session_rollup(window_pageviews(tables.pageviews, window, tables.sessions, segment))
+    facts = segment_facts(tables.pageviews, window, tables.sessions, segment)
     landed = facts.filter(F.col("landing_page").isin(list(pages))).select(SID, F.col("landing_page").alias("pageview_url"))
     per_session = order_rollup(tables.orders).select(SID, "sales", F.lit(1).alias("__ordered"))
     joined = landed.join(per_session, SID, "left")

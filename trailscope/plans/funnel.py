@@ -12,7 +12,7 @@ from trailscope.functions.ratios import safe_ratio
 from trailscope.functions.steps import DEFAULT_FUNNEL_COLUMNS, DEFAULT_STEPS, max_step
 from trailscope.operators.chains import funnel_chains, funnel_depth
 from trailscope.operators.ranking import DEFAULT_CHUNK_WIDTH, first_pages, rank_pages
-from trailscope.operators.rollup import window_pageviews
+from trailscope.operators.rollup import SID, segment_sessions
 
 
 def _columns(n_steps: int, columns: Sequence[tuple[str, str | None]] | None) -> list[tuple[str, str | None]]:
@@ -39,8 +39,10 @@ def funnel_report(
     ``depth >= k``: no recursion, no distinct counts.
     """
     k_max = max_step(steps)
-    pv = window_pageviews(tables.pageviews, window, tables.sessions, segment)
+    pv = tables.pageviews.filter(window.contains("created_at"))
     depth = funnel_depth(first_pages(pv, k_max), steps)
+    if not segment.is_all:
+        depth = depth.join(segment_sessions(tables.sessions, segment), SID, "left_semi")
     cols = _columns(k_max, columns)
     counts = depth.agg(*[F.count_if(F.col("depth") >= k).cast("bigint").alias(f"__s{k}") for k in range(1, k_max + 1)])
     out = []

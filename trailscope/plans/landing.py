@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trailscope.functions.params import ALL_TRAFFIC, ReportWindow, Segment, WebTables
 from trailscope.functions.ratios import safe_ratio
-from trailscope.operators.rollup import SID, session_rollup, window_pageviews
+from trailscope.operators.rollup import SID, segment_facts, session_rollup
 
 
 def landing_pages(
@@ -23,14 +23,13 @@ def landing_pages(
 
     The landing page is the first page view inside the window; the session must
     itself start inside the window and, by default, be a first-time visit.
-    Because the page rollup is per session, the session conditions are applied
-    in the same semi-join that picks the segment: one join instead of two.
+    The page rollup runs first (folded per session map-side) and one semi-join
+    then keeps the sessions that pass the segment, window and first-visit tests.
     """
     keep = tables.sessions.filter(window.contains("created_at") & segment.predicate())
     if first_time_only:
         keep = keep.filter(F.col("is_repeat_session") == 0)
-    pv = tables.pageviews.filter(window.contains("created_at")).join(keep.select(SID), SID, "left_semi")
-    facts = session_rollup(pv)
+    facts = session_rollup(tables.pageviews.filter(window.contains("created_at"))).join(keep.select(SID), SID, "left_semi")
     out = facts.groupBy(F.col("landing_page").alias("pageview_url")).agg(
         F.count(SID).cast("bigint").alias("total_landing_traffic")
     )
@@ -47,7 +46,7 @@ def bounce_rate(
 ) -> DataFrame:
     """One row: ``total_sessions`` landing on ``pages``, ``total_bounces`` (one page
     view in the window) and ``bounce_rate``."""
-    facts = session_rollup(window_pageviews(tables.pageviews, window, tables.sessions, segment))
+    facts = segment_facts(tables.pageviews, window, tables.sessions, segment)
     landed = F.col("landing_page").isin(list(pages))
     out = facts.agg(
         F.count_if(landed).cast("bigint").alias("total_sessions"),
@@ -70,7 +69,7 @@ def ab_bounce(
     carries a seen-flag per variant, and one global aggregate folds it.
     """
     variants = list(dict.fromkeys(pages))
-    facts = session_rollup(window_pageviews(tables.pageviews, window, tables.sessions, segment), flag_pages=variants)
+    facts = segment_facts(tables.pageviews, window, tables.sessions, segment, flag_pages=variants)
     aggs = []
     for i, p in enumerate(variants):
         landed = F.col("landing_page") == p

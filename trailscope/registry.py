@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from trailscope.functions.params import ReportWindow, Segment
 from trailscope.functions.steps import step_of
-from trailscope.functions.timeparts import minutes_between
 from trailscope.operators import quality
 from trailscope.operators.ranking import rank_pages
 from trailscope.operators.rollup import SID, session_rollup, window_pageviews, with_activity
@@ -28,7 +27,7 @@ from trailscope.plans.traffic import peak_time, top_traffic, weekly_traffic
 from trailscope.session import shared_path
 from trailscope.sources.csv_io import read_csv, write_csv
 from trailscope.sources.schemas import SESSIONS
-from trailscope.sources.tables import load_raw_tables, load_tables
+from trailscope.sources.tables import load_raw_tables, stored_tables
 
 # Report parameters on the driver data's calendar.
 W = ReportWindow.of("2024-01-01 00:00:00", "2024-01-28 23:59:59")  # four whole Monday weeks
@@ -43,15 +42,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _weekly(window: ReportWindow, dims=(), segment=Segment()) -> Query:
-    return lambda spark, d: weekly_traffic(load_tables(spark, d).sessions, window, dims, segment, ordered=False)
+    return lambda spark, d: weekly_traffic(stored_tables(spark, d).sessions, window, dims, segment, ordered=False)
 
 
 def _conversion(window: ReportWindow, dims, segment=Segment()) -> Query:
-    return lambda spark, d: conversion_report(load_tables(spark, d), window, dims, segment, ordered=False)
+    return lambda spark, d: conversion_report(stored_tables(spark, d), window, dims, segment, ordered=False)
 
 
 def _bounce(window: ReportWindow) -> Query:
-    return lambda spark, d: bounce_rate(load_tables(spark, d), window, ("/home",), SEGMENT)
+    return lambda spark, d: bounce_rate(stored_tables(spark, d), window, ("/home",), SEGMENT)
 
 
 def _null_profile(table: str) -> Query:
@@ -59,20 +58,20 @@ def _null_profile(table: str) -> Query:
 
 
 def _duplicates(table: str) -> Query:
-    return lambda spark, d: quality.duplicate_rows(getattr(load_tables(spark, d), table))
+    return lambda spark, d: quality.duplicate_rows(getattr(stored_tables(spark, d), table))
 
 
 def _active_facts(spark: SparkSession, d: str) -> DataFrame:
-    return with_activity(session_rollup(window_pageviews(load_tables(spark, d).pageviews, W)))
+    return with_activity(session_rollup(window_pageviews(stored_tables(spark, d).pageviews, W)))
 
 
 def q_page_rank(spark: SparkSession, d: str) -> DataFrame:
-    pv = load_tables(spark, d).pageviews.filter(W.contains("created_at"))
+    pv = stored_tables(spark, d).pageviews.filter(W.contains("created_at"))
     return rank_pages(pv.select(SID, "website_pageview_id", "pageview_url"))
 
 
 def q_session_landing_page(spark: SparkSession, d: str) -> DataFrame:
-    facts = session_rollup(window_pageviews(load_tables(spark, d).pageviews, W))
+    facts = session_rollup(window_pageviews(stored_tables(spark, d).pageviews, W))
     return facts.select(SID, "landing_page")
 
 
@@ -91,29 +90,31 @@ def q_pages_per_session(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_user_first_visit(spark: SparkSession, d: str) -> DataFrame:
-    s = load_tables(spark, d).sessions.filter(W.contains("created_at") & (F.col("is_repeat_session") == 0))
+    s = stored_tables(spark, d).sessions.filter(W.contains("created_at") & (F.col("is_repeat_session") == 0))
     return s.groupBy("user_id").agg(F.min("created_at").alias("start_date"))
 
 
 def q_semi_join_segment(spark: SparkSession, d: str) -> DataFrame:
-    t = load_tables(spark, d)
+    t = stored_tables(spark, d)
     return window_pageviews(t.pageviews, W, t.sessions, SEGMENT)
 
 
 def q_anti_join_active(spark: SparkSession, d: str) -> DataFrame:
-    pv = window_pageviews(load_tables(spark, d).pageviews, W)
+    pv = window_pageviews(stored_tables(spark, d).pageviews, W)
     bounced = session_rollup(pv).filter(F.col("n_pages") == 1).select(SID)
     return pv.join(bounced, SID, "left_anti")
 
 
 def q_anti_join_left_null(spark: SparkSession, d: str) -> DataFrame:
-    t = load_tables(spark, d)
+    t = stored_tables(spark, d)
     s = t.sessions.filter(W.contains("created_at")).select(SID, "user_id", "created_at")
-    return s.join(window_pageviews(t.pageviews, W_AB).select(SID), SID, "left_anti")
+    # Distinct session ids first (map-side), so a session with many page views is one row.
+    seen = window_pageviews(t.pageviews, W_AB).select(SID).distinct()
+    return s.join(seen, SID, "left_anti")
 
 
 def q_successor_join(spark: SparkSession, d: str) -> DataFrame:
-    pv = load_tables(spark, d).pageviews.filter(W.contains("created_at"))
+    pv = stored_tables(spark, d).pageviews.filter(W.contains("created_at"))
     ranked = rank_pages(pv.select(SID, "website_pageview_id", "pageview_url"))
     stepped = ranked.select(SID, "pageview_url", "rank_page", step_of("pageview_url").alias("step")).filter(
         F.col("step").isNotNull()
@@ -135,7 +136,7 @@ def q_successor_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_distinct_users(spark: SparkSession, d: str) -> DataFrame:
-    s = load_tables(spark, d).sessions.filter(W.contains("created_at"))
+    s = stored_tables(spark, d).sessions.filter(W.contains("created_at"))
     per_user = s.groupBy("user_id").agg(F.max(F.col("is_repeat_session") == 1).alias("repeat"))
     return per_user.agg(
         F.count("user_id").cast("bigint").alias("total_user"),
@@ -144,20 +145,20 @@ def q_distinct_users(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_conditional_distinct(spark: SparkSession, d: str) -> DataFrame:
-    pv = window_pageviews(load_tables(spark, d).pageviews, W)
+    pv = window_pageviews(stored_tables(spark, d).pageviews, W)
     pairs = pv.select(step_of("pageview_url").alias("funnel_step"), SID).filter(F.col("funnel_step").isNotNull())
     return pairs.groupBy("funnel_step").agg(F.count_distinct(SID).cast("bigint").alias("sessions"))
 
 
 def q_union_all(spark: SparkSession, d: str) -> DataFrame:
-    s = load_tables(spark, d).sessions
+    s = stored_tables(spark, d).sessions
     first = weekly_traffic(s, W, ordered=False).withColumn("period", F.lit("launch"))
     later = weekly_traffic(s, W_UPDATE_WEEKS, ordered=False).withColumn("period", F.lit("update"))
     return first.unionByName(later)
 
 
 def q_desc_nulls_first_sort(spark: SparkSession, d: str) -> DataFrame:
-    rep = conversion_report(load_tables(spark, d), W, SOURCE_DIMS, ordered=False)
+    rep = conversion_report(stored_tables(spark, d), W, SOURCE_DIMS, ordered=False)
     # The report has one row per source/campaign pair: a bounded, small input.
     order = Window.orderBy(
         F.col("total_sales").desc_nulls_first(), F.col("utm_source").asc_nulls_last(), F.col("utm_campaign").asc_nulls_last()
@@ -172,13 +173,13 @@ def q_null_rows_head(spark: SparkSession, d: str) -> DataFrame:
 
 def q_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     path = shared_path(spark, "csv_roundtrip/website_sessions")
-    write_csv(load_tables(spark, d).sessions, path)
+    write_csv(stored_tables(spark, d).sessions, path)
     return read_csv(spark, path, SESSIONS)
 
 
 def q_mart_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     path = shared_path(spark, "marts/master_table")
-    write_mart(master_table(load_tables(spark, d), W), path)
+    write_mart(master_table(stored_tables(spark, d), W), path)
     return read_mart(spark, path)
 
 
@@ -188,30 +189,30 @@ def queries() -> dict[str, Query]:
         "weekly_traffic": _weekly(W),
         "weekly_traffic_by_source": _weekly(W, SOURCE_DIMS),
         "weekly_traffic_by_device": _weekly(W, ("device_type",), SEGMENT),
-        "top_sources": lambda s, d: top_traffic(load_tables(s, d).sessions, W, SOURCE_DIMS, ordered=False),
-        "device_split": lambda s, d: top_traffic(load_tables(s, d).sessions, W, ("device_type",), SEGMENT, ordered=False),
+        "top_sources": lambda s, d: top_traffic(stored_tables(s, d).sessions, W, SOURCE_DIMS, ordered=False),
+        "device_split": lambda s, d: top_traffic(stored_tables(s, d).sessions, W, ("device_type",), SEGMENT, ordered=False),
         "conversion_by_source": _conversion(W, SOURCE_DIMS),
         "conversion_by_device": _conversion(W, ("device_type",), SEGMENT),
         "conversion_segment_update": _conversion(W_UPDATE, SOURCE_DIMS, SEGMENT),
-        "landing_pages": lambda s, d: landing_pages(load_tables(s, d), W, SEGMENT, ordered=False),
+        "landing_pages": lambda s, d: landing_pages(stored_tables(s, d), W, SEGMENT, ordered=False),
         "bounce_rate": _bounce(W),
         "bounce_rate_update": _bounce(W_UPDATE),
         "weekly_traffic_update": _weekly(W_UPDATE_WEEKS),
-        "ab_bounce": lambda s, d: ab_bounce(load_tables(s, d), W_AB, AB_PAGES, SEGMENT, ordered=False),
-        "ab_conversion": lambda s, d: landing_conversion(load_tables(s, d), W_AB, AB_PAGES, SEGMENT, ordered=False),
-        "funnel_report": lambda s, d: funnel_report(load_tables(s, d), W),
-        "peak_time": lambda s, d: peak_time(load_tables(s, d).sessions, W, ordered=False),
-        "scorecard": lambda s, d: scorecard(load_tables(s, d), W),
-        "master_table": lambda s, d: master_table(load_tables(s, d), W),
-        "funnel_table": lambda s, d: funnel_table(load_tables(s, d), W),
+        "ab_bounce": lambda s, d: ab_bounce(stored_tables(s, d), W_AB, AB_PAGES, SEGMENT, ordered=False),
+        "ab_conversion": lambda s, d: landing_conversion(stored_tables(s, d), W_AB, AB_PAGES, SEGMENT, ordered=False),
+        "funnel_report": lambda s, d: funnel_report(stored_tables(s, d), W),
+        "peak_time": lambda s, d: peak_time(stored_tables(s, d).sessions, W, ordered=False),
+        "scorecard": lambda s, d: scorecard(stored_tables(s, d), W),
+        "master_table": lambda s, d: master_table(stored_tables(s, d), W),
+        "funnel_table": lambda s, d: funnel_table(stored_tables(s, d), W),
         # Data quality
         "null_profile_sessions": _null_profile("sessions"),
         "null_profile_pageviews": _null_profile("pageviews"),
         "null_profile_orders": _null_profile("orders"),
         "null_rows": lambda s, d: quality.null_rows(load_raw_tables(s, d).sessions, "utm_source"),
         "null_rows_head": q_null_rows_head,
-        "fill_nulls": lambda s, d: load_tables(s, d).sessions,
-        "null_recheck": lambda s, d: quality.null_profile(load_tables(s, d).sessions),
+        "fill_nulls": lambda s, d: stored_tables(s, d).sessions,
+        "null_recheck": lambda s, d: quality.null_profile(stored_tables(s, d).sessions),
         "duplicate_rows_sessions": _duplicates("sessions"),
         "duplicate_rows_pageviews": _duplicates("pageviews"),
         "duplicate_rows_orders": _duplicates("orders"),

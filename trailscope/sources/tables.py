@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from trailscope.functions.params import WebTables
 from trailscope.operators.quality import fill_nulls
+from trailscope.session import shared_path
 from trailscope.sources.csv_io import read_csv
 from trailscope.sources.events import derive_web_tables
 from trailscope.sources.schemas import ORDERS, PAGEVIEWS, SESSIONS, cast_by_name
@@ -42,3 +46,77 @@ def read_csv_tables(spark: SparkSession, sessions: str, pageviews: str, orders:
         read_csv(spark, pageviews, PAGEVIEWS),
         read_csv(spark, orders, ORDERS),
     )
+
+
+# Materialized tables, one set per (application, data folder, data version).
+_STORED: dict[tuple, dict[str, str]] = {}
+_FRAMES: dict[tuple, WebTables] = {}
+
+
+def _version(sf_dir: str) -> tuple:
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    try:
+        st = os.stat(path)
+        return (os.path.realpath(path), st.st_size, st.st_mtime_ns)
+    except OSError:  # a remote path: key on the text only
+        return (path,)
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, buckets: int, key: str = "website_session_id") -> None:
+    """Store ``df`` as a table bucketed by ``key`` (one file per bucket).
+
+    Only for tables where ``key`` is unique (sessions): a bucket then never
+    holds more than its share of rows. The repartition uses the same hash as
+    bucketing, so every write task writes exactly one bucket file, and later
+    joins on ``key`` against a shuffle with the same partition count leave
+    this side in place.
+    """
+    (
+        df.repartition(buckets, key)
+        .write.mode("overwrite")
+        .format("parquet")
+        .bucketBy(buckets, key)
+        .option("path", path)
+        .saveAsTable(table)
+    )
+
+
+def write_plain(df: DataFrame, path: str) -> None:
+    """Store ``df`` as Parquet files as it is partitioned (no shuffle, no key skew)."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def stored_tables(spark: SparkSession, sf_dir: str, buckets: int | None = None) -> WebTables:
+    """The cleaned tables, derived once per session and stored in the shared folder.
+
+    The first call derives, cleans and writes them under
+    :func:`trailscope.session.shared_root`; later calls only scan. Sessions
+    (unique per session id) are bucketed by session id; page views and orders,
+    where one session may hold a large share of the rows, are stored as they
+    are partitioned and always pre-aggregated per session before a join.
+    Stored tables also cut the lineage: a lost executor costs a re-read, not a
+    re-derivation.
+    """
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = (spark.sparkContext.applicationId, id(spark), _version(sf_dir), n)
+    frames = _FRAMES.get(key)
+    if frames is not None:
+        return frames
+    entry = _STORED.get(key)
+    if entry is None or not spark.catalog.tableExists(entry["sessions"]):
+        tag = hashlib.sha1(repr(key).encode()).hexdigest()[:10]
+        root = shared_path(spark, f"tables_{tag}")
+        cleaned = load_tables(spark, sf_dir)
+        entry = {"sessions": f"trailscope_{tag}_sessions"}
+        write_bucketed(cleaned.sessions, entry["sessions"], f"{root}/sessions", n)
+        for name, df in (("pageviews", cleaned.pageviews), ("orders", cleaned.orders)):
+            entry[name] = f"{root}/{name}"
+            write_plain(df, entry[name])
+        _STORED[key] = entry
+    frames = WebTables(
+        spark.table(entry["sessions"]),
+        spark.read.parquet(entry["pageviews"]),
+        spark.read.parquet(entry["orders"]),
+    )
+    _FRAMES[key] = frames
+    return frames
