@@ -37,21 +37,46 @@ def window_pageviews(
     return pv
 
 
-def session_rollup(pv: DataFrame, flag_pages: Sequence[str] = ()) -> DataFrame:
-    """One row per session: ``n_pages``, ``landing_page``, ``first_ts``, ``last_ts``.
-
-    ``landing_page`` is the page with the smallest page-view id (rank 1),
-    ``n_pages`` counts non-null page-view ids (bounce = exactly one). For each
-    url in ``flag_pages`` a 0/1 column ``seen_<i>`` tells whether the session
-    viewed it. All are algebraic aggregates, so Spark combines them map-side:
-    a session with a third of all page views is folded before the shuffle.
+def page_index(url: str, pages: Sequence[str]):
+    """Position of ``url`` in ``pages`` (0-based), -1 for any other page."""
+    expr = None
+    for i, p in enumerate(pages):
+        cond = F.col(url) == p
+        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
+    return expr.otherwise(F.lit(-1)) if expr is not None else F.lit(-1)
+
+
+def session_rollup(
+    pv: DataFrame,
+    flag_pages: Sequence[str] = (),
+    landing_url: bool = False,
+    landing_pages: Sequence[str] = (),
+) -> DataFrame:
+    """One row per session: ``n_pages``, ``first_ts``, ``last_ts`` and landing-page facts.
+
+    ``n_pages`` counts non-null page-view ids (bounce = exactly one). The
+    landing page is the page with the smallest page-view id (rank 1):
+
+    * ``landing_pages``: ``landing_index`` = its position in that list, -1 if
+      it is another page. A fixed-width buffer, so Spark keeps a hash
+      aggregate with map-side partial results.
+    * ``landing_url=True``: ``landing_page`` = the url itself. A string in the
+      aggregation buffer makes Spark sort each map task's rows by session, so
+      it is asked for only where the url is part of the output.
+
+    For each url in ``flag_pages`` a 0/1 column ``seen_<i>`` tells whether the
+    session viewed it. All aggregates combine map-side: a session with a third
+    of all page views is folded before the shuffle.
     """
     aggs = [
         F.count("website_pageview_id").alias("n_pages"),
-        F.min_by("pageview_url", "website_pageview_id").alias("landing_page"),
         F.min("created_at").alias("first_ts"),
         F.max("created_at").alias("last_ts"),
     ]
+    if landing_url:
+        aggs.append(F.min_by("pageview_url", "website_pageview_id").alias("landing_page"))
+    if landing_pages:
+        aggs.append(F.min_by(page_index("pageview_url", landing_pages), "website_pageview_id").alias("landing_index"))
     aggs += [F.max((F.col("pageview_url") == p).cast("int")).alias(f"seen_{i}") for i, p in enumerate(flag_pages)]
     return pv.groupBy(SID).agg(*aggs)
 
@@ -62,6 +87,8 @@ def segment_facts(
     sessions: DataFrame | None = None,
     segment: Segment = ALL_TRAFFIC,
     flag_pages: Sequence[str] = (),
+    landing_url: bool = False,
+    landing_pages: Sequence[str] = (),
 ) -> DataFrame:
     """:func:`session_rollup` of the in-window page views, kept for the segment's sessions.
 
@@ -71,7 +98,7 @@ def segment_facts(
     A session's facts depend only on its own page views, so the order of the
     two steps does not change the result.
     """
-    facts = session_rollup(pageviews.filter(window.contains("created_at")), flag_pages)
+    facts = session_rollup(pageviews.filter(window.contains("created_at")), flag_pages, landing_url, landing_pages)
     if not segment.is_all:
         if sessions is None:
             raise ValueError("a segment needs the sessions table")

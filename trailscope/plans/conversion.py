@@ -62,8 +62,12 @@ def landing_conversion(
     first). Landing pages come from the page views inside ``window``; orders are
     not limited to the window.
     """
-    facts = segment_facts(tables.pageviews, window, tables.sessions, segment)
-    landed = facts.filter(F.col("landing_page").isin(list(pages))).select(SID, F.col("landing_page").alias("pageview_url"))
+    variants = list(dict.fromkeys(pages))
+    facts = segment_facts(tables.pageviews, window, tables.sessions, segment, landing_pages=variants)
+    names = F.array(*[F.lit(p) for p in variants])
+    landed = facts.filter(F.col("landing_index") >= 0).select(
+        SID, F.element_at(names, F.col("landing_index") + 1).alias("pageview_url")
+    )
     per_session = order_rollup(tables.orders).select(SID, "sales", F.lit(1).alias("__ordered"))
     joined = landed.join(per_session, SID, "left")
     out = joined.groupBy("pageview_url").agg(

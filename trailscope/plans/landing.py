@@ -29,7 +29,8 @@ def landing_pages(
     keep = tables.sessions.filter(window.contains("created_at") & segment.predicate())
     if first_time_only:
         keep = keep.filter(F.col("is_repeat_session") == 0)
-    facts = session_rollup(tables.pageviews.filter(window.contains("created_at"))).join(keep.select(SID), SID, "left_semi")
+    pv = tables.pageviews.filter(window.contains("created_at"))
+    facts = session_rollup(pv, landing_url=True).join(keep.select(SID), SID, "left_semi")
     out = facts.groupBy(F.col("landing_page").alias("pageview_url")).agg(
         F.count(SID).cast("bigint").alias("total_landing_traffic")
     )
@@ -46,8 +47,8 @@ def bounce_rate(
 ) -> DataFrame:
     """One row: ``total_sessions`` landing on ``pages``, ``total_bounces`` (one page
     view in the window) and ``bounce_rate``."""
-    facts = segment_facts(tables.pageviews, window, tables.sessions, segment)
-    landed = F.col("landing_page").isin(list(pages))
+    facts = segment_facts(tables.pageviews, window, tables.sessions, segment, landing_pages=list(pages))
+    landed = F.col("landing_index") >= 0
     out = facts.agg(
         F.count_if(landed).cast("bigint").alias("total_sessions"),
         F.count_if(landed & (F.col("n_pages") == 1)).cast("bigint").alias("total_bounces"),
@@ -69,10 +70,10 @@ def ab_bounce(
     carries a seen-flag per variant, and one global aggregate folds it.
     """
     variants = list(dict.fromkeys(pages))
-    facts = segment_facts(tables.pageviews, window, tables.sessions, segment, flag_pages=variants)
+    facts = segment_facts(tables.pageviews, window, tables.sessions, segment, flag_pages=variants, landing_pages=variants)
     aggs = []
     for i, p in enumerate(variants):
-        landed = F.col("landing_page") == p
+        landed = F.col("landing_index") == i
         aggs += [
             F.max(f"seen_{i}").alias(f"s{i}"),
             F.count_if(landed).alias(f"t{i}"),

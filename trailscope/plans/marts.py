@@ -46,12 +46,12 @@ def master_table(tables: WebTables, window: ReportWindow) -> DataFrame:
     one), then expanded by the order count with :func:`replicate_rows`, which
     spreads a session with a huge number of orders over many tasks.
     """
-    facts = with_activity(session_rollup(window_pageviews(tables.pageviews, window)))
+    facts = with_activity(session_rollup(window_pageviews(tables.pageviews, window), landing_url=True))
     orders = order_rollup(tables.orders).select(SID, "n_orders")
     sessions = tables.sessions.filter(window.contains("created_at"))
     rows = sessions.join(facts, SID, "left").join(orders, SID, "left")
     # Hundredths of a minute, rounded half up with integer arithmetic (exact).
-    hundredths = F.floor((F.col("active_micros") + F.lit(300_000)) / F.lit(600_000))
+    hundredths = F.expr("(active_micros + 300000) div 600000")
     shaped = rows.select(
         "user_id",
         SID,

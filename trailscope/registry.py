@@ -71,7 +71,7 @@ def q_page_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_session_landing_page(spark: SparkSession, d: str) -> DataFrame:
-    facts = session_rollup(window_pageviews(stored_tables(spark, d).pageviews, W))
+    facts = session_rollup(window_pageviews(stored_tables(spark, d).pageviews, W), landing_url=True)
     return facts.select(SID, "landing_page")
 
 
