@@ -62,23 +62,27 @@ def _version(sf_dir: str) -> tuple:
         return (path,)
 
 
-def write_bucketed(df: DataFrame, table: str, path: str, buckets: int, key: str = "website_session_id") -> None:
+def write_bucketed(
+    df: DataFrame,
+    table: str,
+    path: str,
+    buckets: int,
+    key: str = "website_session_id",
+    sort_by: tuple[str, ...] = (),
+) -> None:
     """Store ``df`` as a table bucketed by ``key`` (one file per bucket).
 
     Only for tables where ``key`` is unique (sessions): a bucket then never
     holds more than its share of rows. The repartition uses the same hash as
     bucketing, so every write task writes exactly one bucket file, and later
     joins on ``key`` against a shuffle with the same partition count leave
-    this side in place.
+    this side in place. ``sort_by`` orders rows inside each bucket file (by
+    time, so window predicates skip row groups).
     """
-    (
-        df.repartition(buckets, key)
-        .write.mode("overwrite")
-        .format("parquet")
-        .bucketBy(buckets, key)
-        .option("path", path)
-        .saveAsTable(table)
-    )
+    writer = df.repartition(buckets, key).write.mode("overwrite").format("parquet").bucketBy(buckets, key)
+    if sort_by:
+        writer = writer.sortBy(*sort_by)
+    writer.option("path", path).saveAsTable(table)
 
 
 def write_plain(df: DataFrame, path: str) -> None:
@@ -86,14 +90,26 @@ def write_plain(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def write_time_ranged(df: DataFrame, path: str, parts: int, ts: str = "created_at", tie: str | None = None) -> None:
+    """Store ``df`` in files that each cover one time range, sorted by time inside.
+
+    Report windows are time ranges, so the pushed-down window predicate skips
+    whole files and row groups by their min/max statistics. ``tie`` (a unique
+    column) splits equal timestamps, so one hot instant cannot fill one file.
+    """
+    keys = [ts] + ([tie] if tie else [])
+    df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+
+
 def stored_tables(spark: SparkSession, sf_dir: str, buckets: int | None = None) -> WebTables:
     """The cleaned tables, derived once per session and stored in the shared folder.
 
     The first call derives, cleans and writes them under
     :func:`trailscope.session.shared_root`; later calls only scan. Sessions
-    (unique per session id) are bucketed by session id; page views and orders,
-    where one session may hold a large share of the rows, are stored as they
-    are partitioned and always pre-aggregated per session before a join.
+    (unique per session id) are bucketed by session id and time-sorted in each
+    bucket; page views, where one session may hold a large share of the rows,
+    are stored in time ranges (so report windows skip files) and are always
+    pre-aggregated per session before a join; orders are stored as they are.
     Stored tables also cut the lineage: a lost executor costs a re-read, not a
     re-derivation.
     """
@@ -108,10 +124,11 @@ def stored_tables(spark: SparkSession, sf_dir: str, buckets: int | None = None)
         root = shared_path(spark, f"tables_{tag}")
         cleaned = load_tables(spark, sf_dir)
         entry = {"sessions": f"trailscope_{tag}_sessions"}
-        write_bucketed(cleaned.sessions, entry["sessions"], f"{root}/sessions", n)
-        for name, df in (("pageviews", cleaned.pageviews), ("orders", cleaned.orders)):
-            entry[name] = f"{root}/{name}"
-            write_plain(df, entry[name])
+        write_bucketed(cleaned.sessions, entry["sessions"], f"{root}/sessions", n, sort_by=("created_at",))
+        entry["pageviews"] = f"{root}/pageviews"
+        write_time_ranged(cleaned.pageviews, entry["pageviews"], n, tie="website_pageview_id")
+        entry["orders"] = f"{root}/orders"
+        write_plain(cleaned.orders, entry["orders"])
         _STORED[key] = entry
     frames = WebTables(
         spark.table(entry["sessions"]),
