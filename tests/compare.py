@@ -37,7 +37,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 9)
+        return v if os.environ.get("COMPARE_EXACT") else round(v, 9)
     if isinstance(v, decimal.Decimal):
         return round(float(v), 6)
     if hasattr(v, "item") and not isinstance(v, (str, bytes)):
@@ -60,6 +60,27 @@ def rows_of(columns, records):
     return sorted(out, key=lambda t: tuple((x is None, str(type(x)), x if x is not None else 0) for x in t))
 
 
+def spark_type_sql(t) -> str:
+    """The DuckDB name of a Spark type, for the schema check."""
+    from pyspark.sql import types as T
+
+    simple = {
+        T.LongType: "BIGINT",
+        T.IntegerType: "INTEGER",
+        T.DoubleType: "DOUBLE",
+        T.StringType: "VARCHAR",
+        T.DateType: "DATE",
+        T.TimestampNTZType: "TIMESTAMP",
+        T.BooleanType: "BOOLEAN",
+    }
+    for k, v in simple.items():
+        if isinstance(t, k):
+            return v
+    if isinstance(t, T.DecimalType):
+        return f"DECIMAL({t.precision},{t.scale})"
+    return t.simpleString().upper()
+
+
 def compare(spark, name: str, sf_dir: str, con) -> tuple[bool, str]:
     from __spark_entry__ import oracle_sql, queries
 
@@ -76,6 +97,11 @@ def compare(spark, name: str, sf_dir: str, con) -> tuple[bool, str]:
     d_rows = res.fetchall()
     if sorted(s_cols) != sorted(d_cols):
         return False, f"{name}: columns differ spark={s_cols} duck={d_cols}"
+    s_types = {f.name: spark_type_sql(f.dataType) for f in sdf.schema.fields}
+    d_types = {d[0]: str(d[1]) for d in res.description}
+    bad_types = {c: (s_types[c], d_types[c]) for c in s_types if s_types[c] != d_types[c].upper()}
+    if bad_types:
+        return False, f"{name}: types differ {bad_types}"
     a = rows_of(s_cols, s_rows)
     b = rows_of(d_cols, d_rows)
     if len(a) != len(b):
