@@ -203,6 +203,7 @@ def queries() -> dict[str, Query]:
         "funnel_report": lambda s, d: funnel_report(stored_tables(s, d), W),
         "peak_time": lambda s, d: peak_time(stored_tables(s, d).sessions, W, ordered=False),
         "scorecard": lambda s, d: scorecard(stored_tables(s, d), W),
+        "scorecard_strict_outliers": lambda s, d: scorecard(stored_tables(s, d), W, strict_outliers=True),
         "master_table": lambda s, d: master_table(stored_tables(s, d), W),
         "funnel_table": lambda s, d: funnel_table(stored_tables(s, d), W),
         # Data quality
