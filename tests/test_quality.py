@@ -28,7 +28,7 @@ def test_duplicates_hot_group_spread(spark):
     from trailscope.operators.expand import replicate_rows
 
     groups = quality.duplicate_groups(df)
-    out = replicate_rows(groups, groups["__dup_n"] - 1, chunk_rows=4).drop("__dup_n").collect()
+    out = replicate_rows(groups, "__dup_n - 1", chunk_rows=4).drop("__dup_n").collect()
     assert sorted(tuple(r) for r in out) == [(1, "a")] + [(7, "hot")] * 24
 
 

@@ -1,4 +1,9 @@
-"""Report parameters: date window, traffic segment, tables bundle."""
+"""Report parameters: date window, traffic segment, tables bundle.
+
+Predicates are built as Spark SQL expression text and wrapped once in
+``F.expr``: one call into the JVM per predicate instead of one per column
+reference and operator, and the same plan.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +21,11 @@ def _ts(value: str | dt.datetime) -> dt.datetime:
     return dt.datetime.fromisoformat(value)
 
 
+def sql_str(value: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 @dataclass(frozen=True)
 class ReportWindow:
     """Inclusive timestamp window ``lo <= created_at <= hi``.
@@ -33,21 +43,25 @@ class ReportWindow:
     def of(cls, lo: str | dt.datetime, hi: str | dt.datetime, half_open: bool = False) -> "ReportWindow":
         return cls(_ts(lo), _ts(hi), half_open)
 
-    def contains(self, col: Column | str) -> Column:
-        c = F.col(col) if isinstance(col, str) else col
-        lo = F.lit(self.lo).cast("timestamp_ntz")
-        hi = F.lit(self.hi).cast("timestamp_ntz")
+    def _bounds(self, literal: str) -> tuple[str, str]:
+        return (f"{literal} '{self.lo.isoformat(sep=' ')}'", f"{literal} '{self.hi.isoformat(sep=' ')}'")
+
+    def condition(self, col: str = "created_at") -> str:
+        """Spark SQL text of the predicate on ``col``."""
+        lo, hi = self._bounds("TIMESTAMP_NTZ")
         if self.half_open:
-            return (c >= lo) & (c < hi)
-        return c.between(lo, hi)
+            return f"({col} >= {lo} AND {col} < {hi})"
+        return f"({col} BETWEEN {lo} AND {hi})"
+
+    def contains(self, col: str = "created_at") -> Column:
+        return F.expr(self.condition(col))
 
     def sql(self, col: str) -> str:
         """The same predicate as DuckDB / ANSI SQL text (used by oracles)."""
-        lo = self.lo.isoformat(sep=" ")
-        hi = self.hi.isoformat(sep=" ")
+        lo, hi = self._bounds("TIMESTAMP")
         if self.half_open:
-            return f"({col} >= TIMESTAMP '{lo}' AND {col} < TIMESTAMP '{hi}')"
-        return f"({col} BETWEEN TIMESTAMP '{lo}' AND TIMESTAMP '{hi}')"
+            return f"({col} >= {lo} AND {col} < {hi})"
+        return f"({col} BETWEEN {lo} AND {hi})"
 
 
 @dataclass(frozen=True)
@@ -57,13 +71,16 @@ class Segment:
     source: str | None = None
     campaign: str | None = None
 
-    def predicate(self, prefix: str = "") -> Column:
-        cond = F.lit(True)
+    def condition(self, prefix: str = "") -> str:
+        parts = []
         if self.source is not None:
-            cond = cond & (F.col(prefix + "utm_source") == self.source)
+            parts.append(f"{prefix}utm_source = {sql_str(self.source)}")
         if self.campaign is not None:
-            cond = cond & (F.col(prefix + "utm_campaign") == self.campaign)
-        return cond
+            parts.append(f"{prefix}utm_campaign = {sql_str(self.campaign)}")
+        return " AND ".join(parts) if parts else "TRUE"
+
+    def predicate(self, prefix: str = "") -> Column:
+        return F.expr(self.condition(prefix))
 
     @property
     def is_all(self) -> bool:

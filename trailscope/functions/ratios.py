@@ -1,28 +1,31 @@
-"""Ratios of aggregates with NULL on a zero denominator."""
+"""Ratios of aggregates with NULL on a zero denominator, and money casts (SQL text)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-
-def _c(col: Column | str) -> Column:
-    return F.col(col) if isinstance(col, str) else col
-
-
-def safe_ratio(num: Column | str, den: Column | str, scale: int | None = 6) -> Column:
+def safe_ratio_sql(num: str, den: str, scale: int | None = None) -> str:
     """``num / den`` as DOUBLE; NULL when ``den`` is 0 or NULL.
 
     The reference divides with ``::float`` (8-byte), which would raise on zero;
     here a zero denominator yields NULL instead of failing the whole report.
     """
-    r = F.try_divide(_c(num).cast("double"), _c(den).cast("double"))
-    return F.round(r, scale) if scale is not None else r
+    r = f"try_divide(CAST({num} AS DOUBLE), CAST({den} AS DOUBLE))"
+    return f"round({r}, {scale})" if scale is not None else r
 
 
-def money(col: Column | str) -> Column:
-    return _c(col).cast("decimal(18,2)")
+def money_sql(expr: str, scale: int = 2) -> str:
+    return f"CAST({expr} AS DECIMAL(18,{scale}))"
 
 
-def money4(col: Column | str) -> Column:
-    return _c(col).cast("decimal(18,4)")
+def round_ratio_half_up_sql(num: str, den: str, places: int = 2) -> str:
+    """``ROUND(num / den, places)`` of two non-negative integers, exactly (half up), as DOUBLE.
+
+    Integer arithmetic instead of a rounded double quotient, so every engine
+    gets the same digits. NULL when ``den`` is 0 or NULL.
+    """
+    n = f"CAST({num} AS DECIMAL(38,0))"
+    d = f"CAST({den} AS DECIMAL(38,0))"
+    scale = 10**places
+    return (
+        f"CASE WHEN {d} > 0 THEN CAST(floor(({n} * {2 * scale} + {d}) / ({d} * 2)) AS DOUBLE) / {float(scale)} END"
+    )

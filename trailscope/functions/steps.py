@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trailscope.functions.params import sql_str
+
 # The site's purchase funnel, url -> step (1 = landing page).
 DEFAULT_STEPS: dict[str, int] = {
     "/home": 1,
@@ -34,33 +36,25 @@ DEFAULT_FUNNEL_COLUMNS = [
 ]
 
 
-def step_of(url: Column | str, steps: Mapping[str, int] = DEFAULT_STEPS) -> Column:
-    """Step number of a url, NULL for pages outside the funnel.
+def step_sql(col: str, steps: Mapping[str, int] = DEFAULT_STEPS) -> str:
+    """Step number of a url as a SQL ``CASE`` (NULL for pages outside the funnel).
 
-    A ``CASE`` chain stays inside whole-stage codegen; the map is a handful of
-    literals, so nothing is joined or broadcast.
+    The same text runs in Spark and in DuckDB (oracles). The map is a handful
+    of literals inside the expression: nothing is joined or broadcast, and it
+    stays inside whole-stage codegen.
     """
-    u = F.col(url) if isinstance(url, str) else url
     by_step: dict[int, list[str]] = {}
     for page, step in steps.items():
         by_step.setdefault(int(step), []).append(page)
-    expr = None
-    for step in sorted(by_step):
-        cond = u.isin(by_step[step])
-        expr = F.when(cond, F.lit(step)) if expr is None else expr.when(cond, F.lit(step))
-    return expr if expr is not None else F.lit(None).cast("int")
+    arms = " ".join(
+        f"WHEN {col} IN ({', '.join(sql_str(p) for p in pages)}) THEN {step}" for step, pages in sorted(by_step.items())
+    )
+    return f"CASE {arms} ELSE NULL END" if arms else "CAST(NULL AS INT)"
 
 
-def max_step(steps: Mapping[str, int] = DEFAULT_STEPS) -> int:
-    return max(int(s) for s in steps.values())
+def step_of(url: str, steps: Mapping[str, int] = DEFAULT_STEPS) -> Column:
+    return F.expr(step_sql(url, steps))
 
 
-def step_sql(col: str, steps: Mapping[str, int] = DEFAULT_STEPS) -> str:
-    """The same map as a SQL ``CASE`` expression (used by oracles)."""
-    by_step: dict[int, list[str]] = {}
-    for page, step in steps.items():
-        by_step.setdefault(int(step), []).append(page)
-    arms = " ".join(
-        f"WHEN {col} IN ({', '.join(repr(p) for p in pages)}) THEN {step}" for step, pages in sorted(by_step.items())
-    )
-    return f"CASE {arms} ELSE NULL END"
+def max_step(steps: Mapping[str, int] = DEFAULT_STEPS) -> int:
+    return max(int(s) for s in steps.values())

@@ -1,8 +1,10 @@
 """Zone-free time parts for ``TIMESTAMP_NTZ`` columns.
 
 ``date_trunc`` and ``date_format`` route NTZ values through the session time
-zone, so these helpers use only ``cast(... as date)``, ``weekday``,
+zone, so these helpers use only ``CAST(... AS DATE)``, ``weekday``,
 ``dayofweek``, ``hour`` and NTZ subtraction, which never consult a zone.
+Each helper has a ``*_sql`` form (expression text, for composing) and a
+Column form.
 """
 
 from __future__ import annotations
@@ -14,34 +16,47 @@ from pyspark.sql import functions as F
 DAY_NAMES = ["sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday"]
 
 
-def _c(col: Column | str) -> Column:
-    return F.col(col) if isinstance(col, str) else col
-
-
-def week_start(ts: Column | str) -> Column:
+def week_start_sql(ts: str) -> str:
     """Monday of the week containing ``ts`` as a DATE (``DATE_TRUNC('week')::date``)."""
-    d = _c(ts).cast("date")
-    return F.date_sub(d, F.weekday(d))
+    return f"date_sub(CAST({ts} AS DATE), weekday(CAST({ts} AS DATE)))"
 
 
-def day_name(ts: Column | str) -> Column:
+def day_name_sql(ts: str) -> str:
     """Lower-case weekday name without padding (``TRIM(TO_CHAR(ts, 'day'))``)."""
-    names = F.array(*[F.lit(n) for n in DAY_NAMES])
-    return F.element_at(names, F.dayofweek(_c(ts).cast("date")))
+    names = ", ".join(f"'{n}'" for n in DAY_NAMES)
+    return f"element_at(array({names}), dayofweek(CAST({ts} AS DATE)))"
 
 
-def hour_1_24(ts: Column | str) -> Column:
+def hour_1_24_sql(ts: str) -> str:
     """Hour of day with midnight reported as 24 instead of 0."""
-    h = F.hour(_c(ts))
-    return F.when(h == 0, F.lit(24)).otherwise(h)
+    return f"CASE WHEN hour({ts}) = 0 THEN 24 ELSE hour({ts}) END"
 
 
-def micros_between(lo: Column | str, hi: Column | str) -> Column:
+def micros_between_sql(lo: str, hi: str) -> str:
     """Exact microseconds from ``lo`` to ``hi`` (both NTZ) as BIGINT."""
-    secs = (_c(hi) - _c(lo)).cast("interval second").cast("decimal(20,6)")
-    return (secs * F.lit(1000000)).cast("bigint")
+    return f"CAST(CAST(CAST({hi} - {lo} AS INTERVAL SECOND) AS DECIMAL(20,6)) * 1000000 AS BIGINT)"
 
 
-def minutes_between(lo: Column | str, hi: Column | str) -> Column:
+def minutes_between_sql(lo: str, hi: str) -> str:
     """``EXTRACT(EPOCH FROM hi - lo) / 60`` as DOUBLE, fractions kept."""
-    return micros_between(lo, hi).cast("double") / F.lit(60000000.0)
+    return f"CAST({micros_between_sql(lo, hi)} AS DOUBLE) / 60000000.0"
+
+
+def week_start(ts: str) -> Column:
+    return F.expr(week_start_sql(ts))
+
+
+def day_name(ts: str) -> Column:
+    return F.expr(day_name_sql(ts))
+
+
+def hour_1_24(ts: str) -> Column:
+    return F.expr(hour_1_24_sql(ts))
+
+
+def micros_between(lo: str, hi: str) -> Column:
+    return F.expr(micros_between_sql(lo, hi))
+
+
+def minutes_between(lo: str, hi: str) -> Column:
+    return F.expr(minutes_between_sql(lo, hi))

@@ -17,12 +17,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailscope.functions.steps import DEFAULT_STEPS, step_of
+from trailscope.functions.steps import DEFAULT_STEPS, step_sql
 
 SID = "website_session_id"
+E = F.expr
 
 
 def funnel_chains(ranked: DataFrame, steps: Mapping[str, int] = DEFAULT_STEPS, rank_col: str = "rank_page") -> DataFrame:
@@ -30,20 +31,22 @@ def funnel_chains(ranked: DataFrame, steps: Mapping[str, int] = DEFAULT_STEPS, r
 
     ``ranked`` holds page views with their in-session rank (``rank_col``).
     """
-    st = step_of("pageview_url", steps)
-    rows = ranked.select(SID, "pageview_url", st.alias("funnel_step"), F.col(rank_col).cast("int").alias("user_page_step"))
-    rows = rows.filter(F.col("funnel_step").isNotNull())
-    rows = rows.withColumn("__d", F.col("user_page_step") - F.col("funnel_step"))
-    w = Window.partitionBy(SID, "__d").orderBy("funnel_step")
+    rows = ranked.select(
+        SID,
+        "pageview_url",
+        E(f"{step_sql('pageview_url', steps)} AS funnel_step"),
+        E(f"CAST({rank_col} AS INT) AS user_page_step"),
+    ).filter("funnel_step IS NOT NULL")
     return (
-        rows.withColumn("__n", F.row_number().over(w))
-        .filter(F.col("__n") == F.col("funnel_step"))
+        rows.withColumn("__d", E("user_page_step - funnel_step"))
+        .withColumn("__n", E(f"row_number() OVER (PARTITION BY {SID}, __d ORDER BY funnel_step)"))
+        .filter("__n = funnel_step")
         .select(
             SID,
             "pageview_url",
-            F.col("funnel_step").cast("int"),
+            E("CAST(funnel_step AS INT) AS funnel_step"),
             "user_page_step",
-            F.when(F.col("__d") == 0, F.lit(1)).cast("int").alias("is_valid_step"),
+            E("CAST(CASE WHEN __d = 0 THEN 1 END AS INT) AS is_valid_step"),
         )
     )
 
@@ -54,9 +57,6 @@ def funnel_depth(first: DataFrame, steps: Mapping[str, int] = DEFAULT_STEPS, ran
     ``first`` holds the first ``max_step`` ranked page views of each session;
     the valid chain covers positions 1..depth with steps 1..depth.
     """
-    st = step_of("pageview_url", steps)
-    pos = F.col(rank_col)
-    bad = F.when(st.isNull() | (st != pos), pos)
-    return first.groupBy(SID).agg(
-        (F.coalesce(F.min(bad), F.max(pos) + 1) - 1).cast("int").alias("depth")
-    )
+    st = step_sql("pageview_url", steps)
+    bad = f"CASE WHEN ({st}) IS NULL OR ({st}) <> {rank_col} THEN {rank_col} END"
+    return first.groupBy(SID).agg(E(f"CAST(coalesce(min({bad}), max({rank_col}) + 1) - 1 AS INT) AS depth"))

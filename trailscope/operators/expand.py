@@ -2,39 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_CHUNK_ROWS = 100_000
+E = F.expr
 
 
 def _num_tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def replicate_rows(df: DataFrame, count: Column | str, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
-    """Emit every row ``count`` times (rows with ``count <= 0`` vanish).
+def replicate_rows(df: DataFrame, count: str, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """Emit every row ``count`` times (``count`` is SQL text; rows with ``count <= 0`` vanish).
 
     Rows needing at most ``chunk_rows`` copies are expanded where they are, with
     no shuffle. A hot row (one session with a third of all orders, one group of
     identical rows) is first cut into chunk descriptors, which are hash-spread
     over the shuffle partitions by an explicit-count repartition (AQE does not
-    coalesce it back into one task), and only then expanded.
+    coalesce it back into one task), and only then expanded. When no row is
+    hot, Spark prunes that branch as an empty relation.
     """
-    n = F.col(count) if isinstance(count, str) else count
     cols = df.columns
-    tagged = df.withColumn("__n", n.cast("long"))
+    tagged = df.withColumn("__n", E(f"CAST({count} AS BIGINT)"))
     small = (
-        tagged.filter((F.col("__n") >= 1) & (F.col("__n") <= chunk_rows))
-        .withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
+        tagged.filter(f"__n >= 1 AND __n <= {chunk_rows}")
+        .withColumn("__i", E("explode(sequence(CAST(1 AS BIGINT), __n))"))
         .select(*cols)
     )
-    chunks = tagged.filter(F.col("__n") > chunk_rows).withColumn(
-        "__c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / chunk_rows).cast("long")))
+    chunks = tagged.filter(f"__n > {chunk_rows}").withColumn(
+        "__c", E(f"explode(sequence(CAST(0 AS BIGINT), CAST(floor((__n - 1) / {chunk_rows}) AS BIGINT)))")
     )
-    spread = chunks.repartition(_num_tasks(df), F.xxhash64(*cols), F.col("__c"))
+    row_hash = "xxhash64(" + ", ".join(f"`{c}`" for c in cols) + ")"
+    spread = chunks.repartition(_num_tasks(df), E(row_hash), F.col("__c"))
     big = spread.withColumn(
-        "__i",
-        F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(chunk_rows).cast("long"), F.col("__n") - F.col("__c") * chunk_rows))),
+        "__i", E(f"explode(sequence(CAST(1 AS BIGINT), least(CAST({chunk_rows} AS BIGINT), __n - __c * {chunk_rows})))")
     ).select(*cols)
     return small.unionByName(big)

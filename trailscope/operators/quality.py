@@ -7,8 +7,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailscope.functions.params import sql_str
 from trailscope.operators.expand import replicate_rows
 
+E = F.expr
+
+
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 # The notebook's replacements for missing session attributes.
 DEFAULT_FILLS = {
     "utm_source": "direct",
@@ -23,22 +31,19 @@ def null_profile(df: DataFrame) -> DataFrame:
 
     One scan with one partial aggregate, then a one-row unpivot.
     """
-    aggs = [F.count_if(F.col(c).isNull()).alias(f"c{i}") for i, c in enumerate(df.columns)]
-    wide = df.agg(*aggs)
-    rows = F.array(
-        *[
-            F.struct(F.lit(i).alias("column_index"), F.lit(c).alias("column_name"), F.col(f"c{i}").alias("null_count"))
-            for i, c in enumerate(df.columns)
-        ]
+    wide = df.agg(*[E(f"count_if({_q(c)} IS NULL) AS c{i}") for i, c in enumerate(df.columns)])
+    rows = ", ".join(
+        f"named_struct('column_index', {i}, 'column_name', {sql_str(c)}, 'null_count', c{i})"
+        for i, c in enumerate(df.columns)
     )
-    return wide.select(F.inline(rows)).select(
-        F.col("column_index").cast("int"), "column_name", F.col("null_count").cast("bigint")
+    return wide.select(E(f"inline(array({rows}))")).select(
+        E("CAST(column_index AS INT) AS column_index"), "column_name", E("CAST(null_count AS BIGINT) AS null_count")
     )
 
 
 def null_rows(df: DataFrame, column: str) -> DataFrame:
     """Rows whose ``column`` is NULL."""
-    return df.filter(F.col(column).isNull())
+    return df.filter(f"{_q(column)} IS NULL")
 
 
 def head(df: DataFrame, n: int = 5, order_by: list[str] | None = None) -> DataFrame:
@@ -56,10 +61,7 @@ def fill_nulls(df: DataFrame, values: dict[str, object] | None = None) -> DataFr
 def rows_with_nulls(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Rows with a NULL in any of ``columns`` (all columns by default)."""
     cols = columns or df.columns
-    cond = F.lit(False)
-    for c in cols:
-        cond = cond | F.col(c).isNull()
-    return df.filter(cond)
+    return df.filter(" OR ".join(f"{_q(c)} IS NULL" for c in cols) or "FALSE")
 
 
 def duplicate_groups(df: DataFrame) -> DataFrame:
@@ -69,22 +71,22 @@ def duplicate_groups(df: DataFrame) -> DataFrame:
     partial counts: a group of copies holding a third of the table is folded to
     one row per map task before the shuffle.
     """
-    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__dup_n")).filter(F.col("__dup_n") > 1)
+    return df.groupBy(*df.columns).agg(E("count(1) AS __dup_n")).filter("__dup_n > 1")
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """The rows ``df.duplicated()`` flags: all copies after the first of each group."""
     groups = duplicate_groups(df)
-    return replicate_rows(groups, F.col("__dup_n") - 1).drop("__dup_n")
+    return replicate_rows(groups, "__dup_n - 1").drop("__dup_n")
 
 
 def duplicate_summary(df: DataFrame) -> DataFrame:
     """One row: ``total_rows``, ``distinct_rows``, ``duplicate_rows`` (= total - distinct)."""
-    per = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n"))
+    per = df.groupBy(*df.columns).agg(E("count(1) AS n"))
     return per.agg(
-        F.sum("n").cast("bigint").alias("total_rows"),
-        F.count(F.lit(1)).cast("bigint").alias("distinct_rows"),
-        F.sum(F.col("n") - 1).cast("bigint").alias("duplicate_rows"),
+        E("CAST(sum(n) AS BIGINT) AS total_rows"),
+        E("CAST(count(1) AS BIGINT) AS distinct_rows"),
+        E("CAST(sum(n - 1) AS BIGINT) AS duplicate_rows"),
     )
 
 

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SID = "website_session_id"
 PID = "website_pageview_id"
 DEFAULT_CHUNK_WIDTH = 1 << 20
+E = F.expr
 
 
 def first_pages(pv: DataFrame, k: int, rank_col: str = "rank_page") -> DataFrame:
     """Rows with rank <= k. Planned as a partial ``WindowGroupLimit`` before the
     shuffle, so at most ``k`` rows per session leave each map task."""
-    w = Window.partitionBy(SID).orderBy(PID)
-    return pv.withColumn(rank_col, F.rank().over(w)).filter(F.col(rank_col) <= k)
+    return pv.withColumn(rank_col, E(f"rank() OVER (PARTITION BY {SID} ORDER BY {PID})")).filter(f"{rank_col} <= {k}")
 
 
 def rank_pages(pv: DataFrame, chunk_width: int = DEFAULT_CHUNK_WIDTH, rank_col: str = "rank_page") -> DataFrame:
@@ -27,20 +27,22 @@ def rank_pages(pv: DataFrame, chunk_width: int = DEFAULT_CHUNK_WIDTH, rank_col:
     rank in chunk`` equals ``RANK()`` over the whole session, ties included.
     A session holding a third of all page views is spread over its chunks.
     """
-    chunk = F.floor(F.col(PID) / F.lit(chunk_width)).cast("long")
-    keyed = pv.withColumn("__chunk", chunk)
-    counts = keyed.groupBy(SID, "__chunk").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(SID).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(SID, "__chunk", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    inner = Window.partitionBy(SID, "__chunk").orderBy(PID)
-    return (
-        keyed.join(offsets, [SID, "__chunk"])
-        .withColumn(rank_col, (F.col("__off") + F.rank().over(inner)).cast("int"))
-        .select(*pv.columns, rank_col)
+    keyed = pv.withColumn("__chunk", E(f"CAST(floor({PID} / {chunk_width}) AS BIGINT)"))
+    counts = keyed.groupBy(SID, "__chunk").agg(E("count(1) AS __n"))
+    offsets = counts.select(
+        SID,
+        "__chunk",
+        E(
+            f"coalesce(sum(__n) OVER (PARTITION BY {SID} ORDER BY __chunk "
+            "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS __off"
+        ),
     )
+    ranked = keyed.join(offsets, [SID, "__chunk"]).withColumn(
+        rank_col, E(f"CAST(__off + rank() OVER (PARTITION BY {SID}, __chunk ORDER BY {PID}) AS INT)")
+    )
+    return ranked.select(*pv.columns, rank_col)
 
 
 def rank_pages_plain(pv: DataFrame, rank_col: str = "rank_page") -> DataFrame:
     """The textbook window form (one sort per session); kept as a test oracle."""
-    w = Window.partitionBy(SID).orderBy(PID)
-    return pv.withColumn(rank_col, F.rank().over(w))
+    return pv.withColumn(rank_col, E(f"rank() OVER (PARTITION BY {SID} ORDER BY {PID})"))

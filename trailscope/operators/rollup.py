@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailscope.functions.params import ALL_TRAFFIC, ReportWindow, Segment
-from trailscope.functions.timeparts import micros_between
+from trailscope.functions.params import ALL_TRAFFIC, ReportWindow, Segment, sql_str
+from trailscope.functions.timeparts import micros_between_sql
 
 SID = "website_session_id"
+E = F.expr
 
 
 def segment_sessions(sessions: DataFrame, segment: Segment) -> DataFrame:
@@ -26,8 +27,9 @@ def window_pageviews(
 ) -> DataFrame:
     """Page views inside ``window``; with a segment, only those of its sessions.
 
-    The segment test is a left-semi join (``EXISTS``): it never multiplies
-    page views, and the window predicate is pushed into the Parquet scan.
+    The segment test is a left-semi join (``EXISTS``) on raw page views; the
+    reports use :func:`segment_facts` instead, which joins after folding per
+    session. The window predicate is pushed into the Parquet scan.
     """
     pv = pageviews.filter(window.contains("created_at"))
     if not segment.is_all:
@@ -37,13 +39,10 @@ def window_pageviews(
     return pv
 
 
-def page_index(url: str, pages: Sequence[str]):
+def page_index_sql(url: str, pages: Sequence[str]) -> str:
     """Position of ``url`` in ``pages`` (0-based), -1 for any other page."""
-    expr = None
-    for i, p in enumerate(pages):
-        cond = F.col(url) == p
-        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
-    return expr.otherwise(F.lit(-1)) if expr is not None else F.lit(-1)
+    arms = " ".join(f"WHEN {url} = {sql_str(p)} THEN {i}" for i, p in enumerate(pages))
+    return f"CASE {arms} ELSE -1 END" if arms else "-1"
 
 
 def session_rollup(
@@ -69,16 +68,16 @@ def session_rollup(
     of all page views is folded before the shuffle.
     """
     aggs = [
-        F.count("website_pageview_id").alias("n_pages"),
-        F.min("created_at").alias("first_ts"),
-        F.max("created_at").alias("last_ts"),
+        "count(website_pageview_id) AS n_pages",
+        "min(created_at) AS first_ts",
+        "max(created_at) AS last_ts",
     ]
     if landing_url:
-        aggs.append(F.min_by("pageview_url", "website_pageview_id").alias("landing_page"))
+        aggs.append("min_by(pageview_url, website_pageview_id) AS landing_page")
     if landing_pages:
-        aggs.append(F.min_by(page_index("pageview_url", landing_pages), "website_pageview_id").alias("landing_index"))
-    aggs += [F.max((F.col("pageview_url") == p).cast("int")).alias(f"seen_{i}") for i, p in enumerate(flag_pages)]
-    return pv.groupBy(SID).agg(*aggs)
+        aggs.append(f"min_by({page_index_sql('pageview_url', landing_pages)}, website_pageview_id) AS landing_index")
+    aggs += [f"max(CAST(pageview_url = {sql_str(p)} AS INT)) AS seen_{i}" for i, p in enumerate(flag_pages)]
+    return pv.groupBy(SID).agg(*[E(a) for a in aggs])
 
 
 def segment_facts(
@@ -113,16 +112,15 @@ def with_activity(rollup: DataFrame, strict_outliers: bool = False) -> DataFrame
     dwell time on the last page is unknown). The reference's outlier filter is
     ``< 1 day OR > 1 minute``, always true; ``strict_outliers`` applies AND.
     """
-    bounce = F.col("n_pages") == 1
-    micros = micros_between("first_ts", "last_ts")
-    keep = ~bounce
+    micros = micros_between_sql("first_ts", "last_ts")
+    keep = "n_pages <> 1"
     if strict_outliers:
-        keep = keep & (micros < F.lit(1440 * 60_000_000)) & (micros > F.lit(60_000_000))
+        keep += f" AND {micros} < {1440 * 60_000_000} AND {micros} > 60000000"
     return rollup.select(
         "*",
-        bounce.alias("is_bounce"),
-        F.when(keep, micros).alias("active_micros"),
-        F.when(~bounce, F.col("n_pages")).alias("active_pages"),
+        E("n_pages = 1 AS is_bounce"),
+        E(f"CASE WHEN {keep} THEN {micros} END AS active_micros"),
+        E("CASE WHEN n_pages <> 1 THEN n_pages END AS active_pages"),
     )
 
 
@@ -131,15 +129,14 @@ def order_rollup(orders: DataFrame) -> DataFrame:
 
     Pre-aggregating orders before any join keeps every later join one-to-one on
     the session key; the fan-out of the reference's session-to-orders join is
-    reproduced by weights (:func:`fanout_weight`), not by multiplying rows.
+    reproduced by weights (:data:`FANOUT_WEIGHT`), not by multiplying rows.
     """
     return orders.groupBy(SID).agg(
-        F.count(SID).alias("n_orders"),
-        F.sum(F.col("items_purchased") * F.col("price_usd")).alias("sales"),
-        F.sum(F.col("items_purchased") * F.col("cogs_usd")).alias("cost"),
+        E(f"count({SID}) AS n_orders"),
+        E("sum(items_purchased * price_usd) AS sales"),
+        E("sum(items_purchased * cogs_usd) AS cost"),
     )
 
 
-def fanout_weight(n_orders: str = "n_orders"):
-    """Rows a session contributes to ``sessions LEFT JOIN orders``: max(orders, 1)."""
-    return F.greatest(F.coalesce(F.col(n_orders), F.lit(0)), F.lit(1))
+# Rows a session contributes to ``sessions LEFT JOIN orders``: max(orders, 1).
+FANOUT_WEIGHT = "greatest(coalesce(n_orders, 0), 1)"

@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailscope.functions.params import ALL_TRAFFIC, ReportWindow, Segment, WebTables
-from trailscope.functions.ratios import money, safe_ratio
-from trailscope.operators.rollup import SID, fanout_weight, order_rollup, segment_facts
+from trailscope.functions.params import ALL_TRAFFIC, ReportWindow, Segment, WebTables, sql_str
+from trailscope.functions.ratios import money_sql, safe_ratio_sql
+from trailscope.operators.rollup import FANOUT_WEIGHT, SID, order_rollup, segment_facts
+
+E = F.expr
 
 
 def conversion_report(
@@ -28,19 +30,18 @@ def conversion_report(
     Sorted by sales, largest first, NULL sales first (as the reference's engine
     sorts descending).
     """
-    s = tables.sessions.filter(window.contains("created_at") & segment.predicate()).select(SID, *dims)
+    s = tables.sessions.filter(f"{window.condition('created_at')} AND {segment.condition()}").select(SID, *dims)
     joined = s.join(order_rollup(tables.orders), SID, "left")
-    w = F.when(F.col(SID).isNotNull(), fanout_weight())
     out = joined.groupBy(*dims).agg(
-        F.coalesce(F.sum(w), F.lit(0)).cast("bigint").alias("total_sessions"),
-        F.coalesce(F.sum("n_orders"), F.lit(0)).cast("bigint").alias("total_orders"),
-        money(F.sum("sales")).alias("total_sales"),
+        E(f"CAST(coalesce(sum(CASE WHEN {SID} IS NOT NULL THEN {FANOUT_WEIGHT} END), 0) AS BIGINT) AS total_sessions"),
+        E("CAST(coalesce(sum(n_orders), 0) AS BIGINT) AS total_orders"),
+        E(f"{money_sql('sum(sales)')} AS total_sales"),
     )
     out = out.select(
         *dims,
         "total_sessions",
         "total_orders",
-        safe_ratio("total_orders", "total_sessions", None).alias("conversion_rate"),
+        E(f"{safe_ratio_sql('total_orders', 'total_sessions')} AS conversion_rate"),
         "total_sales",
     )
     if ordered:
@@ -64,22 +65,22 @@ def landing_conversion(
     """
     variants = list(dict.fromkeys(pages))
     facts = segment_facts(tables.pageviews, window, tables.sessions, segment, landing_pages=variants)
-    names = F.array(*[F.lit(p) for p in variants])
-    landed = facts.filter(F.col("landing_index") >= 0).select(
-        SID, F.element_at(names, F.col("landing_index") + 1).alias("pageview_url")
+    names = ", ".join(sql_str(p) for p in variants)
+    landed = facts.filter("landing_index >= 0").select(
+        SID, E(f"element_at(array({names}), landing_index + 1) AS pageview_url")
     )
-    per_session = order_rollup(tables.orders).select(SID, "sales", F.lit(1).alias("__ordered"))
+    per_session = order_rollup(tables.orders).select(SID, "sales", E("1 AS __ordered"))
     joined = landed.join(per_session, SID, "left")
     out = joined.groupBy("pageview_url").agg(
-        F.count(SID).cast("bigint").alias("total_sessions"),
-        F.count("__ordered").cast("bigint").alias("total_orders"),
-        money(F.sum("sales")).alias("total_sales"),
+        E(f"CAST(count({SID}) AS BIGINT) AS total_sessions"),
+        E("CAST(count(__ordered) AS BIGINT) AS total_orders"),
+        E(f"{money_sql('sum(sales)')} AS total_sales"),
     )
     out = out.select(
         "pageview_url",
         "total_sessions",
         "total_orders",
-        safe_ratio("total_orders", "total_sessions", None).alias("conversion_rate"),
+        E(f"{safe_ratio_sql('total_orders', 'total_sessions')} AS conversion_rate"),
         "total_sales",
     )
     if ordered:

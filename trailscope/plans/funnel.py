@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailscope.functions.params import ALL_TRAFFIC, ReportWindow, Segment, WebTables
-from trailscope.functions.ratios import safe_ratio
+from trailscope.functions.ratios import safe_ratio_sql
 from trailscope.functions.steps import DEFAULT_FUNNEL_COLUMNS, DEFAULT_STEPS, max_step
 from trailscope.operators.chains import funnel_chains, funnel_depth
 from trailscope.operators.ranking import DEFAULT_CHUNK_WIDTH, first_pages, rank_pages
 from trailscope.operators.rollup import SID, segment_sessions
 
+E = F.expr
+
 
 def _columns(n_steps: int, columns: Sequence[tuple[str, str | None]] | None) -> list[tuple[str, str | None]]:
     if columns is not None:
@@ -44,12 +46,12 @@ def funnel_report(
     if not segment.is_all:
         depth = depth.join(segment_sessions(tables.sessions, segment), SID, "left_semi")
     cols = _columns(k_max, columns)
-    counts = depth.agg(*[F.count_if(F.col("depth") >= k).cast("bigint").alias(f"__s{k}") for k in range(1, k_max + 1)])
+    counts = depth.agg(*[E(f"CAST(count_if(depth >= {k}) AS BIGINT) AS __s{k}") for k in range(1, k_max + 1)])
     out = []
     for k, (sess_name, exit_name) in enumerate(cols, start=1):
-        out.append(F.col(f"__s{k}").alias(sess_name))
+        out.append(E(f"__s{k} AS {sess_name}"))
         if exit_name is not None and k < k_max:
-            out.append((F.lit(1.0) - safe_ratio(f"__s{k + 1}", f"__s{k}", None)).alias(exit_name))
+            out.append(E(f"1.0D - {safe_ratio_sql(f'__s{k + 1}', f'__s{k}')} AS {exit_name}"))
     return counts.select(*out)
 
 
@@ -62,7 +64,5 @@ def funnel_table(
     """Every funnel chain that starts at a step-1 page, valid or not:
     ``website_session_id, pageview_url, funnel_step, user_page_step, is_valid_step``
     (``is_valid_step`` = 1 for the chain from page 1, else NULL)."""
-    pv = tables.pageviews.filter(window.contains("created_at")).select(
-        "website_session_id", "website_pageview_id", "pageview_url"
-    )
+    pv = tables.pageviews.filter(window.contains("created_at")).select(SID, "website_pageview_id", "pageview_url")
     return funnel_chains(rank_pages(pv, chunk_width), steps)

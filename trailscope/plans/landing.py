@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailscope.functions.params import ALL_TRAFFIC, ReportWindow, Segment, WebTables
-from trailscope.functions.ratios import safe_ratio
+from trailscope.functions.params import ALL_TRAFFIC, ReportWindow, Segment, WebTables, sql_str
+from trailscope.functions.ratios import safe_ratio_sql
 from trailscope.operators.rollup import SID, segment_facts, session_rollup
 
+E = F.expr
+
 
 def landing_pages(
     tables: WebTables,
@@ -26,14 +28,13 @@ def landing_pages(
     The page rollup runs first (folded per session map-side) and one semi-join
     then keeps the sessions that pass the segment, window and first-visit tests.
     """
-    keep = tables.sessions.filter(window.contains("created_at") & segment.predicate())
+    cond = f"{window.condition('created_at')} AND {segment.condition()}"
     if first_time_only:
-        keep = keep.filter(F.col("is_repeat_session") == 0)
+        cond += " AND is_repeat_session = 0"
+    keep = tables.sessions.filter(cond).select(SID)
     pv = tables.pageviews.filter(window.contains("created_at"))
-    facts = session_rollup(pv, landing_url=True).join(keep.select(SID), SID, "left_semi")
-    out = facts.groupBy(F.col("landing_page").alias("pageview_url")).agg(
-        F.count(SID).cast("bigint").alias("total_landing_traffic")
-    )
+    facts = session_rollup(pv, landing_url=True).join(keep, SID, "left_semi")
+    out = facts.groupBy(E("landing_page AS pageview_url")).agg(E(f"CAST(count({SID}) AS BIGINT) AS total_landing_traffic"))
     if ordered:
         out = out.orderBy(F.col("total_landing_traffic").desc_nulls_first(), F.col("pageview_url").asc_nulls_last())
     return out
@@ -48,12 +49,11 @@ def bounce_rate(
     """One row: ``total_sessions`` landing on ``pages``, ``total_bounces`` (one page
     view in the window) and ``bounce_rate``."""
     facts = segment_facts(tables.pageviews, window, tables.sessions, segment, landing_pages=list(pages))
-    landed = F.col("landing_index") >= 0
     out = facts.agg(
-        F.count_if(landed).cast("bigint").alias("total_sessions"),
-        F.count_if(landed & (F.col("n_pages") == 1)).cast("bigint").alias("total_bounces"),
+        E("CAST(count_if(landing_index >= 0) AS BIGINT) AS total_sessions"),
+        E("CAST(count_if(landing_index >= 0 AND n_pages = 1) AS BIGINT) AS total_bounces"),
     )
-    return out.select("*", safe_ratio("total_bounces", "total_sessions", None).alias("bounce_rate"))
+    return out.select("*", E(f"{safe_ratio_sql('total_bounces', 'total_sessions')} AS bounce_rate"))
 
 
 def ab_bounce(
@@ -72,33 +72,26 @@ def ab_bounce(
     variants = list(dict.fromkeys(pages))
     facts = segment_facts(tables.pageviews, window, tables.sessions, segment, flag_pages=variants, landing_pages=variants)
     aggs = []
-    for i, p in enumerate(variants):
-        landed = F.col("landing_index") == i
+    for i in range(len(variants)):
         aggs += [
-            F.max(f"seen_{i}").alias(f"s{i}"),
-            F.count_if(landed).alias(f"t{i}"),
-            F.count_if(landed & (F.col("n_pages") == 1)).alias(f"b{i}"),
-        ]
-    wide = facts.agg(*aggs)
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(p).alias("pageview_url"),
-                F.col(f"s{i}").alias("seen"),
-                F.col(f"t{i}").cast("bigint").alias("total_sessions"),
-                F.col(f"b{i}").cast("bigint").alias("total_bounces"),
-            )
-            for i, p in enumerate(variants)
+            f"max(seen_{i}) AS s{i}",
+            f"count_if(landing_index = {i}) AS t{i}",
+            f"count_if(landing_index = {i} AND n_pages = 1) AS b{i}",
         ]
+    wide = facts.agg(*[E(a) for a in aggs])
+    rows = ", ".join(
+        f"named_struct('pageview_url', {sql_str(p)}, 'seen', s{i}, 'total_sessions', CAST(t{i} AS BIGINT), "
+        f"'total_bounces', CAST(b{i} AS BIGINT))"
+        for i, p in enumerate(variants)
     )
     out = (
-        wide.select(F.inline(rows))
-        .filter(F.col("seen") == 1)
+        wide.select(E(f"inline(array({rows}))"))
+        .filter("seen = 1")
         .select(
             "pageview_url",
             "total_sessions",
             "total_bounces",
-            safe_ratio("total_bounces", "total_sessions", None).alias("bounce_rate"),
+            E(f"{safe_ratio_sql('total_bounces', 'total_sessions')} AS bounce_rate"),
         )
     )
     if ordered:

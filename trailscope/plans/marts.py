@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from trailscope.functions.params import ReportWindow, WebTables
 from trailscope.functions.steps import DEFAULT_STEPS
 from trailscope.operators.expand import replicate_rows
-from trailscope.operators.rollup import SID, fanout_weight, order_rollup, session_rollup, window_pageviews, with_activity
+from trailscope.operators.rollup import FANOUT_WEIGHT, SID, order_rollup, session_rollup, window_pageviews, with_activity
 from trailscope.plans.funnel import funnel_table
 
+E = F.expr
+
 MASTER_COLUMNS = [
     "user_id",
     "website_session_id",
@@ -50,8 +52,6 @@ def master_table(tables: WebTables, window: ReportWindow) -> DataFrame:
     orders = order_rollup(tables.orders).select(SID, "n_orders")
     sessions = tables.sessions.filter(window.contains("created_at"))
     rows = sessions.join(facts, SID, "left").join(orders, SID, "left")
-    # Hundredths of a minute, rounded half up with integer arithmetic (exact).
-    hundredths = F.expr("(active_micros + 300000) div 600000")
     shaped = rows.select(
         "user_id",
         SID,
@@ -60,12 +60,13 @@ def master_table(tables: WebTables, window: ReportWindow) -> DataFrame:
         "utm_source",
         "utm_campaign",
         "device_type",
-        F.when(F.coalesce(F.col("is_bounce"), F.lit(False)), "bounce_session").otherwise("active_session").alias("is_bounce"),
+        E("CASE WHEN coalesce(is_bounce, FALSE) THEN 'bounce_session' ELSE 'active_session' END AS is_bounce"),
         "landing_page",
-        F.when(F.col("n_orders") > 0, "convert").otherwise("not_convert").alias("is_convert"),
-        (hundredths.cast("double") / F.lit(100.0)).alias("session_duration"),
-        F.col("active_pages").cast("bigint").alias("session_total_page"),
-        fanout_weight().alias("__copies"),
+        E("CASE WHEN n_orders > 0 THEN 'convert' ELSE 'not_convert' END AS is_convert"),
+        # Hundredths of a minute, rounded half up with integer arithmetic (exact).
+        E("CAST((active_micros + 300000) div 600000 AS DOUBLE) / 100.0D AS session_duration"),
+        E("CAST(active_pages AS BIGINT) AS session_total_page"),
+        E(f"{FANOUT_WEIGHT} AS __copies"),
     )
     return replicate_rows(shaped, "__copies").select(*MASTER_COLUMNS)
 

@@ -2,25 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailscope.functions.params import ReportWindow, WebTables
-from trailscope.functions.ratios import money, money4, safe_ratio
-from trailscope.operators.rollup import SID, fanout_weight, order_rollup, session_rollup, window_pageviews, with_activity
+from trailscope.functions.ratios import money_sql, round_ratio_half_up_sql, safe_ratio_sql
+from trailscope.operators.rollup import FANOUT_WEIGHT, SID, order_rollup, session_rollup, window_pageviews, with_activity
 
-
-def round_ratio_half_up(num: Column | str, den: Column | str, places: int = 2) -> Column:
-    """``ROUND(num / den, places)`` of two non-negative integers, exactly (half up), as DOUBLE.
-
-    Integer arithmetic instead of a rounded double quotient, so every engine
-    gets the same digits.
-    """
-    n = (F.col(num) if isinstance(num, str) else num).cast("decimal(38,0)")
-    d = (F.col(den) if isinstance(den, str) else den).cast("decimal(38,0)")
-    scale = 10**places
-    q = F.floor((n * F.lit(2 * scale) + d) / (d * F.lit(2)))
-    return F.when(d > 0, q.cast("double") / F.lit(float(scale)))
+E = F.expr
 
 
 def scorecard(tables: WebTables, window: ReportWindow, strict_outliers: bool = False) -> DataFrame:
@@ -38,34 +27,44 @@ def scorecard(tables: WebTables, window: ReportWindow, strict_outliers: bool = F
     facts = with_activity(session_rollup(window_pageviews(tables.pageviews, window)), strict_outliers)
     sessions = tables.sessions.filter(window.contains("created_at")).select(SID, "user_id", "is_repeat_session")
     per_session = sessions.join(facts, SID, "left").join(order_rollup(tables.orders), SID, "left")
-    w = F.when(F.col(SID).isNotNull(), fanout_weight())
-    bounce = F.coalesce(F.col("is_bounce"), F.lit(False))
+    w = f"CASE WHEN {SID} IS NOT NULL THEN {FANOUT_WEIGHT} END"
+    bounce = "coalesce(is_bounce, FALSE)"
     per_user = per_session.groupBy("user_id").agg(
-        F.max(F.col("is_repeat_session") == 1).alias("repeat"),
-        F.sum(w).alias("sessions"),
-        F.sum(F.when(~bounce, w)).alias("active"),
-        F.sum(F.when(bounce, w)).alias("bounced"),
-        F.sum(w * F.col("active_micros").cast("decimal(20,0)")).alias("micros"),
-        F.sum(F.when(F.col("active_micros").isNotNull(), w)).alias("n_micros"),
-        F.sum(w * F.col("active_pages")).alias("pages"),
-        F.sum(F.when(F.col("active_pages").isNotNull(), w)).alias("n_pages"),
-        F.sum("n_orders").alias("orders"),
-        F.sum("sales").alias("sales"),
-        F.sum("cost").alias("cost"),
+        *[
+            E(a)
+            for a in (
+                "max(is_repeat_session = 1) AS repeat",
+                f"sum({w}) AS sessions",
+                f"sum(CASE WHEN NOT {bounce} THEN {w} END) AS active",
+                f"sum(CASE WHEN {bounce} THEN {w} END) AS bounced",
+                f"sum({w} * CAST(active_micros AS DECIMAL(20,0))) AS micros",
+                f"sum(CASE WHEN active_micros IS NOT NULL THEN {w} END) AS n_micros",
+                f"sum({w} * active_pages) AS pages",
+                f"sum(CASE WHEN active_pages IS NOT NULL THEN {w} END) AS n_pages",
+                "sum(n_orders) AS orders",
+                "sum(sales) AS sales",
+                "sum(cost) AS cost",
+            )
+        ]
     )
     total = per_user.agg(
-        F.count("user_id").cast("bigint").alias("total_user"),
-        F.count_if(F.col("user_id").isNotNull() & F.col("repeat")).cast("bigint").alias("repeat_user"),
-        F.coalesce(F.sum("sessions"), F.lit(0)).cast("bigint").alias("total_session"),
-        F.coalesce(F.sum("active"), F.lit(0)).cast("bigint").alias("active_session"),
-        F.coalesce(F.sum("bounced"), F.lit(0)).cast("bigint").alias("bounce_session"),
-        F.sum("micros").alias("__micros"),
-        F.sum("n_micros").alias("__n_micros"),
-        F.sum("pages").alias("__pages"),
-        F.sum("n_pages").alias("__n_pages"),
-        F.coalesce(F.sum("orders"), F.lit(0)).alias("__orders"),
-        F.sum("sales").alias("__sales"),
-        F.sum("cost").alias("__cost"),
+        *[
+            E(a)
+            for a in (
+                "CAST(count(user_id) AS BIGINT) AS total_user",
+                "CAST(count_if(user_id IS NOT NULL AND repeat) AS BIGINT) AS repeat_user",
+                "CAST(coalesce(sum(sessions), 0) AS BIGINT) AS total_session",
+                "CAST(coalesce(sum(active), 0) AS BIGINT) AS active_session",
+                "CAST(coalesce(sum(bounced), 0) AS BIGINT) AS bounce_session",
+                "sum(micros) AS __micros",
+                "sum(n_micros) AS __n_micros",
+                "sum(pages) AS __pages",
+                "sum(n_pages) AS __n_pages",
+                "coalesce(sum(orders), 0) AS __orders",
+                "sum(sales) AS __sales",
+                "sum(cost) AS __cost",
+            )
+        ]
     )
     return total.select(
         "total_user",
@@ -73,9 +72,9 @@ def scorecard(tables: WebTables, window: ReportWindow, strict_outliers: bool = F
         "total_session",
         "active_session",
         "bounce_session",
-        round_ratio_half_up("__micros", F.col("__n_micros") * F.lit(60_000_000)).alias("avg_session_duration"),
-        round_ratio_half_up("__pages", "__n_pages").alias("avg_page_session"),
-        (safe_ratio("__orders", "total_session", None) * F.lit(100.0)).alias("conversion_rate"),
-        money(F.col("__sales")).alias("total_sales"),
-        money4(F.col("__sales") - F.col("__cost")).alias("total_revenue"),
+        E(f"{round_ratio_half_up_sql('__micros', '__n_micros * 60000000')} AS avg_session_duration"),
+        E(f"{round_ratio_half_up_sql('__pages', '__n_pages')} AS avg_page_session"),
+        E(f"{safe_ratio_sql('__orders', 'total_session')} * 100.0D AS conversion_rate"),
+        E(f"{money_sql('__sales')} AS total_sales"),
+        E(f"{money_sql('__sales - __cost', 4)} AS total_revenue"),
     )

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailscope.functions.params import ALL_TRAFFIC, ReportWindow, Segment
-from trailscope.functions.timeparts import day_name, hour_1_24, week_start
+from trailscope.functions.timeparts import day_name_sql, hour_1_24_sql, week_start_sql
 
 SID = "website_session_id"
+E = F.expr
 
 
 def _in_scope(sessions: DataFrame, window: ReportWindow, segment: Segment) -> DataFrame:
-    return sessions.filter(window.contains("created_at") & segment.predicate())
+    return sessions.filter(f"{window.condition('created_at')} AND {segment.condition()}")
 
 
 def weekly_traffic(
@@ -28,11 +29,11 @@ def weekly_traffic(
 
     Sorted by the dimensions, then the week.
     """
-    out = _in_scope(sessions, window, segment).groupBy(week_start("created_at").alias("weekly_date"), *dims).agg(
-        F.count(SID).alias("total_traffic")
+    out = _in_scope(sessions, window, segment).groupBy(E(f"{week_start_sql('created_at')} AS weekly_date"), *dims).agg(
+        E(f"count({SID}) AS total_traffic")
     )
     if ordered:
-        out = out.orderBy(*[F.col(d).asc_nulls_last() for d in dims], F.col("weekly_date").asc_nulls_last())
+        out = out.orderBy(*[F.col(d).asc_nulls_last() for d in (*dims, "weekly_date")])
     return out
 
 
@@ -44,7 +45,7 @@ def top_traffic(
     ordered: bool = True,
 ) -> DataFrame:
     """Sessions (``COUNT(*)``) per dimension values, largest first: ``*dims, total_traffic``."""
-    out = _in_scope(sessions, window, segment).groupBy(*dims).agg(F.count(F.lit(1)).alias("total_traffic"))
+    out = _in_scope(sessions, window, segment).groupBy(*dims).agg(E("count(1) AS total_traffic"))
     if ordered:
         out = out.orderBy(F.col("total_traffic").desc_nulls_first(), *[F.col(d).asc_nulls_last() for d in dims])
     return out
@@ -57,8 +58,8 @@ def peak_time(sessions: DataFrame, window: ReportWindow, ordered: bool = True) -
     """
     out = (
         sessions.filter(window.contains("created_at"))
-        .groupBy(day_name("created_at").alias("day"), hour_1_24("created_at").alias("hour"))
-        .agg(F.count(SID).alias("total_traffic"))
+        .groupBy(E(f"{day_name_sql('created_at')} AS day"), E(f"{hour_1_24_sql('created_at')} AS hour"))
+        .agg(E(f"count({SID}) AS total_traffic"))
     )
     if ordered:
         out = out.orderBy("day", "hour")
