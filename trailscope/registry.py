@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailscope.functions.params import ReportWindow, Segment
-from trailscope.functions.steps import step_of
+from trailscope.functions.steps import step_sql
 from trailscope.operators import quality
 from trailscope.operators.ranking import rank_pages
 from trailscope.operators.rollup import SID, session_rollup, window_pageviews, with_activity
@@ -39,6 +39,7 @@ AB_PAGES = ("/home", "/lander-1")
 SOURCE_DIMS = ("utm_source", "utm_campaign")
 
 Query = Callable[[SparkSession, str], DataFrame]
+E = F.expr
 
 
 def _weekly(window: ReportWindow, dims=(), segment=Segment()) -> Query:
@@ -80,18 +81,18 @@ def q_bounce_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_session_duration(spark: SparkSession, d: str) -> DataFrame:
-    facts = _active_facts(spark, d).filter(F.col("active_micros").isNotNull())
-    return facts.select(SID, (F.col("active_micros").cast("double") / F.lit(60000000.0)).alias("duration"))
+    facts = _active_facts(spark, d).filter("active_micros IS NOT NULL")
+    return facts.select(SID, E("CAST(active_micros AS DOUBLE) / 60000000.0D AS duration"))
 
 
 def q_pages_per_session(spark: SparkSession, d: str) -> DataFrame:
-    facts = _active_facts(spark, d).filter(F.col("active_pages").isNotNull())
-    return facts.select(SID, F.col("active_pages").cast("bigint").alias("total_page"))
+    facts = _active_facts(spark, d).filter("active_pages IS NOT NULL")
+    return facts.select(SID, E("CAST(active_pages AS BIGINT) AS total_page"))
 
 
 def q_user_first_visit(spark: SparkSession, d: str) -> DataFrame:
-    s = stored_tables(spark, d).sessions.filter(W.contains("created_at") & (F.col("is_repeat_session") == 0))
-    return s.groupBy("user_id").agg(F.min("created_at").alias("start_date"))
+    s = stored_tables(spark, d).sessions.filter(f"{W.condition('created_at')} AND is_repeat_session = 0")
+    return s.groupBy("user_id").agg(E("min(created_at) AS start_date"))
 
 
 def q_semi_join_segment(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +102,7 @@ def q_semi_join_segment(spark: SparkSession, d: str) -> DataFrame:
 
 def q_anti_join_active(spark: SparkSession, d: str) -> DataFrame:
     pv = window_pageviews(stored_tables(spark, d).pageviews, W)
-    bounced = session_rollup(pv).filter(F.col("n_pages") == 1).select(SID)
+    bounced = session_rollup(pv).filter("n_pages = 1").select(SID)
     return pv.join(bounced, SID, "left_anti")
 
 
@@ -116,54 +117,48 @@ def q_anti_join_left_null(spark: SparkSession, d: str) -> DataFrame:
 def q_successor_join(spark: SparkSession, d: str) -> DataFrame:
     pv = stored_tables(spark, d).pageviews.filter(W.contains("created_at"))
     ranked = rank_pages(pv.select(SID, "website_pageview_id", "pageview_url"))
-    stepped = ranked.select(SID, "pageview_url", "rank_page", step_of("pageview_url").alias("step")).filter(
-        F.col("step").isNotNull()
+    stepped = ranked.select(SID, "pageview_url", "rank_page", E(f"{step_sql('pageview_url')} AS step")).filter(
+        "step IS NOT NULL"
     )
     a = stepped.alias("a")
     b = stepped.alias("b")
-    cond = (
-        (F.col(f"a.{SID}") == F.col(f"b.{SID}"))
-        & (F.col("b.rank_page") == F.col("a.rank_page") + 1)
-        & (F.col("b.step") == F.col("a.step") + 1)
-    )
+    cond = E(f"a.{SID} = b.{SID} AND b.rank_page = a.rank_page + 1 AND b.step = a.step + 1")
     return a.join(b, cond).select(
-        F.col(f"a.{SID}").alias(SID),
-        F.col("a.pageview_url").alias("from_url"),
-        F.col("b.pageview_url").alias("to_url"),
-        F.col("a.step").cast("int").alias("from_step"),
-        F.col("a.rank_page").alias("from_rank"),
+        E(f"a.{SID} AS {SID}"),
+        E("a.pageview_url AS from_url"),
+        E("b.pageview_url AS to_url"),
+        E("CAST(a.step AS INT) AS from_step"),
+        E("a.rank_page AS from_rank"),
     )
 
 
 def q_distinct_users(spark: SparkSession, d: str) -> DataFrame:
     s = stored_tables(spark, d).sessions.filter(W.contains("created_at"))
-    per_user = s.groupBy("user_id").agg(F.max(F.col("is_repeat_session") == 1).alias("repeat"))
+    per_user = s.groupBy("user_id").agg(E("max(is_repeat_session = 1) AS repeat"))
     return per_user.agg(
-        F.count("user_id").cast("bigint").alias("total_user"),
-        F.count_if(F.col("user_id").isNotNull() & F.col("repeat")).cast("bigint").alias("repeat_user"),
+        E("CAST(count(user_id) AS BIGINT) AS total_user"),
+        E("CAST(count_if(user_id IS NOT NULL AND repeat) AS BIGINT) AS repeat_user"),
     )
 
 
 def q_conditional_distinct(spark: SparkSession, d: str) -> DataFrame:
     pv = window_pageviews(stored_tables(spark, d).pageviews, W)
-    pairs = pv.select(step_of("pageview_url").alias("funnel_step"), SID).filter(F.col("funnel_step").isNotNull())
-    return pairs.groupBy("funnel_step").agg(F.count_distinct(SID).cast("bigint").alias("sessions"))
+    pairs = pv.select(E(f"{step_sql('pageview_url')} AS funnel_step"), SID).filter("funnel_step IS NOT NULL")
+    return pairs.groupBy("funnel_step").agg(E(f"CAST(count(DISTINCT {SID}) AS BIGINT) AS sessions"))
 
 
 def q_union_all(spark: SparkSession, d: str) -> DataFrame:
     s = stored_tables(spark, d).sessions
-    first = weekly_traffic(s, W, ordered=False).withColumn("period", F.lit("launch"))
-    later = weekly_traffic(s, W_UPDATE_WEEKS, ordered=False).withColumn("period", F.lit("update"))
+    first = weekly_traffic(s, W, ordered=False).withColumn("period", E("'launch'"))
+    later = weekly_traffic(s, W_UPDATE_WEEKS, ordered=False).withColumn("period", E("'update'"))
     return first.unionByName(later)
 
 
 def q_desc_nulls_first_sort(spark: SparkSession, d: str) -> DataFrame:
     rep = conversion_report(stored_tables(spark, d), W, SOURCE_DIMS, ordered=False)
     # The report has one row per source/campaign pair: a bounded, small input.
-    order = Window.orderBy(
-        F.col("total_sales").desc_nulls_first(), F.col("utm_source").asc_nulls_last(), F.col("utm_campaign").asc_nulls_last()
-    )
-    return rep.withColumn("sort_rank", F.row_number().over(order).cast("int"))
+    order = "total_sales DESC NULLS FIRST, utm_source ASC NULLS LAST, utm_campaign ASC NULLS LAST"
+    return rep.withColumn("sort_rank", E(f"CAST(row_number() OVER (ORDER BY {order}) AS INT)"))
 
 
 def q_null_rows_head(spark: SparkSession, d: str) -> DataFrame:

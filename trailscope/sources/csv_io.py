@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trailscope.functions.params import sql_str
 from trailscope.sources.schemas import cast_by_name
 
 # The text cells pandas ``read_csv`` reads as missing by default.
@@ -34,12 +35,14 @@ PANDAS_NA_TOKENS = [
 
 def normalize_na(df: DataFrame, tokens: list[str] = PANDAS_NA_TOKENS) -> DataFrame:
     """Turn NA tokens in string columns into NULL (Spark keeps ``NA`` as text)."""
+    listed = ", ".join(sql_str(t) for t in tokens)
     cols = []
     for f in df.schema.fields:
-        c = F.col(f.name)
-        if isinstance(f.dataType, T.StringType):
-            c = F.when(c.isin(tokens), F.lit(None).cast("string")).otherwise(c).alias(f.name)
-        cols.append(c)
+        q = "`" + f.name.replace("`", "``") + "`"
+        if isinstance(f.dataType, T.StringType) and tokens:
+            cols.append(F.expr(f"CASE WHEN {q} IN ({listed}) THEN CAST(NULL AS STRING) ELSE {q} END AS {q}"))
+        else:
+            cols.append(q)
     return df.select(*cols)
 
 
@@ -72,6 +75,6 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
         .option("header", True)
         .option("escape", '"')
         .option("nullValue", "")
-        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
+        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
         .csv(path)
     )

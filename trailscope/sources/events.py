@@ -17,14 +17,14 @@ user's first event id, so no join key is skewed.
 
 from __future__ import annotations
 
-from decimal import Decimal
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailscope.functions.params import WebTables
+from trailscope.functions.params import WebTables, sql_str
+
+E = F.expr
 
-# Page by position for events with k >= 25 (3 = product page by event_id % 3).
+# Page by position for events with k >= 25 (position 3 = product page by event_id % 3).
 PATH_BY_POSITION = {
     2: "/products",
     4: "/cart",
@@ -35,6 +35,8 @@ PATH_BY_POSITION = {
 PRODUCT_PAGES = ["/the-original-mr-fuzzy", "/the-forever-love-bear", "/the-birthday-sugar-panda"]
 # Page by event type for events with k < 25.
 PATH_BY_EVENT = {"view": "/home", "click": "/products", "signup": "/cart", "purchase": "/billing"}
+# Traffic source by k % 5 (4 = no source).
+SOURCE_BY_K5 = {0: "gsearch", 1: "gsearch", 2: "bsearch", 3: "socialbook"}
 
 
 def _base(events: DataFrame) -> DataFrame:
@@ -44,79 +46,67 @@ def _base(events: DataFrame) -> DataFrame:
         "user_id",
         "event_type",
         "value",
-        F.regexp_extract("props", r"([0-9]+)", 1).try_cast("int").alias("k"),
-        (F.col("user_id") * 100 + F.dayofmonth("ts")).alias("sid"),
+        E("try_cast(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k"),
+        E("user_id * 100 + dayofmonth(ts) AS sid"),
     )
 
 
 def _head_positions(ev: DataFrame) -> DataFrame:
     """First seven events of every session with their position ``r``."""
-    w = Window.partitionBy("sid").orderBy("event_id")
     return (
         ev.select("sid", "event_id", "ts", "user_id", "k")
-        .withColumn("r", F.row_number().over(w))
-        .filter(F.col("r") <= 7)
+        .withColumn("r", E("row_number() OVER (PARTITION BY sid ORDER BY event_id)"))
+        .filter("r <= 7")
     )
 
 
-def _url(r: Column, k: Column, event_id: Column, event_type: Column) -> Column:
-    by_pos = F.when(r == 1, F.when(event_id % 2 == 0, "/home").otherwise("/lander-1"))
-    for pos, page in PATH_BY_POSITION.items():
-        by_pos = by_pos.when(r == pos, page)
-    by_pos = by_pos.when(
-        r == 3,
-        F.when(event_id % 3 == 0, PRODUCT_PAGES[0]).when(event_id % 3 == 1, PRODUCT_PAGES[1]).otherwise(PRODUCT_PAGES[2]),
-    ).otherwise("/other")
-    by_type = None
-    for etype, page in PATH_BY_EVENT.items():
-        by_type = F.when(event_type == etype, page) if by_type is None else by_type.when(event_type == etype, page)
-    by_type = by_type.otherwise("/error")
-    return F.when(k >= 25, by_pos).otherwise(by_type)
+def _url_sql() -> str:
+    products = " ".join(f"WHEN {i} THEN {sql_str(p)}" for i, p in enumerate(PRODUCT_PAGES[:-1]))
+    by_pos = " ".join(f"WHEN r = {pos} THEN {sql_str(page)}" for pos, page in PATH_BY_POSITION.items())
+    by_type = " ".join(f"WHEN {sql_str(t)} THEN {sql_str(p)}" for t, p in PATH_BY_EVENT.items())
+    return (
+        "CASE WHEN k >= 25 THEN CASE "
+        "WHEN r = 1 THEN CASE WHEN event_id % 2 = 0 THEN '/home' ELSE '/lander-1' END "
+        f"WHEN r = 3 THEN CASE event_id % 3 {products} ELSE {sql_str(PRODUCT_PAGES[-1])} END "
+        f"{by_pos} ELSE '/other' END "
+        f"ELSE CASE event_type {by_type} ELSE '/error' END END"
+    )
 
 
 def derive_pageviews(ev: DataFrame, head: DataFrame) -> DataFrame:
     pos = head.select("event_id", "r")
     return ev.join(pos, "event_id", "left").select(
-        F.col("event_id").alias("website_pageview_id"),
-        F.col("ts").alias("created_at"),
-        F.col("sid").alias("website_session_id"),
-        _url(F.col("r"), F.col("k"), F.col("event_id"), F.col("event_type")).alias("pageview_url"),
+        E("event_id AS website_pageview_id"),
+        E("ts AS created_at"),
+        E("sid AS website_session_id"),
+        E(f"{_url_sql()} AS pageview_url"),
     )
 
 
 def derive_sessions(ev: DataFrame, head: DataFrame) -> DataFrame:
-    first_event = ev.groupBy("user_id").agg(F.min("event_id").alias("first_event_id"))
-    starts = head.filter(F.col("r") == 1)
-    joined = starts.join(first_event, starts["event_id"] == first_event["first_event_id"], "left")
-    k = F.col("k")
-    source = (
-        F.when(k % 5 <= 1, "gsearch").when(k % 5 == 2, "bsearch").when(k % 5 == 3, "socialbook")
-    )
-    campaign = F.when(k % 5 == 4, F.lit(None).cast("string")).when(k % 2 == 0, "nonbrand").otherwise("brand")
+    first_event = ev.groupBy("user_id").agg(E("min(event_id) AS event_id")).select("event_id", E("1 AS is_first"))
+    # The user's first event opens the user's first session: join on that (unique) event id.
+    joined = head.filter("r = 1").join(first_event, "event_id", "left")
+    source = "CASE k % 5 " + " ".join(f"WHEN {m} THEN {sql_str(s)}" for m, s in SOURCE_BY_K5.items()) + " END"
     return joined.select(
-        F.col("sid").alias("website_session_id"),
-        F.col("ts").alias("created_at"),
-        starts["user_id"].alias("user_id"),
-        F.when(F.col("first_event_id").isNull(), 1).otherwise(0).cast("int").alias("is_repeat_session"),
-        source.alias("utm_source"),
-        campaign.alias("utm_campaign"),
-        F.when(k % 3 == 0, F.lit(None).cast("string"))
-        .otherwise(F.concat(F.lit("g_ad_"), (k % 2).cast("string")))
-        .alias("utm_content"),
-        F.when(k % 10 < 6, "desktop").otherwise("mobile").alias("device_type"),
-        F.when(source.isNull(), F.lit(None).cast("string"))
-        .otherwise(F.concat(F.lit("https://www."), source, F.lit(".com")))
-        .alias("http_referer"),
+        E("sid AS website_session_id"),
+        E("ts AS created_at"),
+        "user_id",
+        E("CAST(CASE WHEN is_first IS NULL THEN 1 ELSE 0 END AS INT) AS is_repeat_session"),
+        E(f"{source} AS utm_source"),
+        E("CASE WHEN k % 5 = 4 THEN CAST(NULL AS STRING) WHEN k % 2 = 0 THEN 'nonbrand' ELSE 'brand' END AS utm_campaign"),
+        E("CASE WHEN k % 3 = 0 THEN CAST(NULL AS STRING) ELSE concat('g_ad_', CAST(k % 2 AS STRING)) END AS utm_content"),
+        E("CASE WHEN k % 10 < 6 THEN 'desktop' ELSE 'mobile' END AS device_type"),
+        E(f"concat('https://www.', {source}, '.com') AS http_referer"),
     )
 
 
 def derive_orders(ev: DataFrame) -> DataFrame:
-    price = F.col("value").cast("decimal(10,2)")
-    return ev.filter((F.col("event_type") == "purchase") & (F.col("k") < 70)).select(
-        F.col("sid").alias("website_session_id"),
-        (F.lit(1) + F.col("k") % 2).cast("int").alias("items_purchased"),
-        price.alias("price_usd"),
-        (price * F.lit(Decimal("0.4"))).cast("decimal(12,4)").alias("cogs_usd"),
+    return ev.filter("event_type = 'purchase' AND k < 70").select(
+        E("sid AS website_session_id"),
+        E("CAST(1 + k % 2 AS INT) AS items_purchased"),
+        E("CAST(value AS DECIMAL(10,2)) AS price_usd"),
+        E("CAST(CAST(value AS DECIMAL(10,2)) * 0.4BD AS DECIMAL(12,4)) AS cogs_usd"),
     )
 
 

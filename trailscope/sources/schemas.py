@@ -51,7 +51,11 @@ def cast_by_name(df: DataFrame, schema: T.StructType, keep_extra: bool = True) -
     missing = [name for name in wanted if name not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
-    cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
+
+    def q(name: str) -> str:
+        return "`" + name.replace("`", "``") + "`"
+
+    cols = [F.expr(f"CAST({q(f.name)} AS {f.dataType.simpleString()}) AS {q(f.name)}") for f in schema.fields]
     if keep_extra:
-        cols += [F.col(c) for c in df.columns if c not in wanted]
+        cols += [F.expr(q(c)) for c in df.columns if c not in wanted]
     return df.select(*cols)
