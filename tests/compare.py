@@ -119,6 +119,8 @@ def main() -> int:
     names = sys.argv[2:]
     spark = local_session()
     spark.sparkContext.setLogLevel("ERROR")
+    if os.environ.get("COMPARE_TZ"):  # results must not depend on the session time zone
+        spark.conf.set("spark.sql.session.timeZone", os.environ["COMPARE_TZ"])
     if not spark.conf.get("spark.checkpoint.dir", None):
         import tempfile
 

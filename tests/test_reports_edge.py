@@ -166,3 +166,19 @@ def test_funnel_table(edge):
     key = lambda t: tuple((x is None, x or 0) for x in t)
     assert sorted(out, key=key) == sorted(expected, key=key)
     assert len(out) == 20
+
+
+def test_time_parts_ignore_session_zone(spark):
+    # 2012-10-21 00:30 did not exist in Sao Paulo (DST began at midnight); NTZ values must not move.
+    from trailscope.sources.schemas import SESSIONS
+
+    data = [(1, dt.datetime(2012, 10, 21, 0, 30), 1, 0, "a", "b", None, "mobile", None)]
+    sessions = spark.createDataFrame(data, SESSIONS)
+    window = ReportWindow.of("2012-10-01 00:00:00", "2012-10-31 23:59:59")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+        assert rows(peak_time(sessions, window)) == [("sunday", 24, 1)]
+        assert rows(weekly_traffic(sessions, window)) == [(dt.date(2012, 10, 15), 1)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
