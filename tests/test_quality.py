@@ -79,3 +79,20 @@ def test_csv_roundtrip_keeps_types_and_nulls(spark):
     back = read_csv(spark, path, SESSIONS)
     assert back.schema == SESSIONS
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, raw.collect()))
+
+
+def test_notebook_flow_report_and_export(spark):
+    from trailscope.plans.cleaning import export_cleaned, quality_report
+    from trailscope.sources.tables import read_csv_tables
+
+    raw = raw_edge_tables(spark)
+    report = quality_report(raw)
+    assert {r.column_name: r.null_count for r in report.nulls["sessions"].collect()}["utm_source"] == 1
+    assert all(r.null_count == 0 for r in report.nulls["pageviews"].collect())
+    assert [r.website_session_id for r in report.missing_source.collect()] == [4]
+    assert all(r.null_count == 0 for r in report.nulls_after_fill.collect())
+    assert all(df.count() == 0 for df in report.duplicates.values())
+    paths = export_cleaned(report.cleaned, shared_path(spark, "exports"))
+    back = read_csv_tables(spark, paths["sessions"], paths["pageviews"], paths["orders"])
+    for got, want in zip(back, report.cleaned):
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

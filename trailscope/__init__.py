@@ -6,6 +6,7 @@ score-card reports plus two dashboard tables, all as lazy DataFrame plans.
 """
 
 from trailscope.functions.params import ALL_TRAFFIC, ReportWindow, Segment, WebTables
+from trailscope.plans.cleaning import clean_tables, export_cleaned, quality_report
 from trailscope.plans.conversion import conversion_report, landing_conversion
 from trailscope.plans.funnel import funnel_report, funnel_table
 from trailscope.plans.landing import ab_bounce, bounce_rate, landing_pages
@@ -22,7 +23,9 @@ __all__ = [
     "ab_bounce",
     "bounce_rate",
     "build_marts",
+    "clean_tables",
     "conversion_report",
+    "export_cleaned",
     "funnel_report",
     "funnel_table",
     "landing_conversion",
@@ -31,6 +34,7 @@ __all__ = [
     "load_tables",
     "master_table",
     "peak_time",
+    "quality_report",
     "read_mart",
     "scorecard",
     "top_traffic",
