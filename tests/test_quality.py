@@ -94,5 +94,6 @@ def test_notebook_flow_report_and_export(spark):
     assert all(df.count() == 0 for df in report.duplicates.values())
     paths = export_cleaned(report.cleaned, shared_path(spark, "exports"))
     back = read_csv_tables(spark, paths["sessions"], paths["pageviews"], paths["orders"])
-    for got, want in zip(back, report.cleaned):
+    for name in ("sessions", "pageviews", "orders"):
+        got, want = getattr(back, name), getattr(report.cleaned, name)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -91,8 +91,17 @@ ALL_TRAFFIC = Segment()
 
 
 class WebTables(NamedTuple):
-    """The three input relations of the analyses."""
+    """The three input relations of the analyses.
+
+    ``order_facts`` optionally holds the orders already folded per session
+    (``website_session_id, n_orders, sales, cost``), e.g. a stored table
+    bucketed like the sessions; reports then skip re-aggregating orders.
+    """
 
     sessions: DataFrame
     pageviews: DataFrame
     orders: DataFrame
+    order_facts: DataFrame | None = None
+
+
+TABLE_NAMES = ("sessions", "pageviews", "orders")

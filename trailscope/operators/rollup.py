@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailscope.functions.params import ALL_TRAFFIC, ReportWindow, Segment, sql_str
+from trailscope.functions.params import ALL_TRAFFIC, ReportWindow, Segment, WebTables, sql_str
 from trailscope.functions.timeparts import micros_between_sql
 
 SID = "website_session_id"
@@ -138,5 +138,10 @@ def order_rollup(orders: DataFrame) -> DataFrame:
     )
 
 
+def order_facts(tables: WebTables) -> DataFrame:
+    """Orders folded per session: the stored ``tables.order_facts`` if present, else :func:`order_rollup`."""
+    return tables.order_facts if tables.order_facts is not None else order_rollup(tables.orders)
+
+
 # Rows a session contributes to ``sessions LEFT JOIN orders``: max(orders, 1).
 FANOUT_WEIGHT = "greatest(coalesce(n_orders, 0), 1)"

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from trailscope.functions.params import WebTables
+from trailscope.functions.params import TABLE_NAMES, WebTables
 from trailscope.operators.quality import duplicate_rows, fill_nulls, null_profile, null_rows
 from trailscope.sources.csv_io import write_csv
 
@@ -42,10 +42,10 @@ def quality_report(raw: WebTables) -> QualityReport:
     """
     cleaned = clean_tables(raw)
     return QualityReport(
-        nulls={name: null_profile(df) for name, df in zip(WebTables._fields, raw)},
+        nulls={name: null_profile(getattr(raw, name)) for name in TABLE_NAMES},
         missing_source=null_rows(raw.sessions, "utm_source"),
         nulls_after_fill=null_profile(cleaned.sessions),
-        duplicates={name: duplicate_rows(df) for name, df in zip(WebTables._fields, cleaned)},
+        duplicates={name: duplicate_rows(getattr(cleaned, name)) for name in TABLE_NAMES},
         cleaned=cleaned,
     )
 
@@ -53,7 +53,7 @@ def quality_report(raw: WebTables) -> QualityReport:
 def export_cleaned(tables: WebTables, out_dir: str) -> dict[str, str]:
     """Write the cleaned tables as headered CSV directories (NULL as an empty cell)."""
     paths = {}
-    for name, df in zip(WebTables._fields, tables):
+    for name in TABLE_NAMES:
         paths[name] = f"{out_dir.rstrip('/')}/{EXPORT_NAMES[name]}"
-        write_csv(df, paths[name])
+        write_csv(getattr(tables, name), paths[name])
     return paths

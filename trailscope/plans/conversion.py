@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trailscope.functions.params import ALL_TRAFFIC, ReportWindow, Segment, WebTables, sql_str
 from trailscope.functions.ratios import money_sql, safe_ratio_sql
-from trailscope.operators.rollup import FANOUT_WEIGHT, SID, order_rollup, segment_facts
+from trailscope.operators.rollup import FANOUT_WEIGHT, SID, order_facts, segment_facts
 
 E = F.expr
 
@@ -31,7 +31,7 @@ def conversion_report(
     sorts descending).
     """
     s = tables.sessions.filter(f"{window.condition('created_at')} AND {segment.condition()}").select(SID, *dims)
-    joined = s.join(order_rollup(tables.orders), SID, "left")
+    joined = s.join(order_facts(tables), SID, "left")
     out = joined.groupBy(*dims).agg(
         E(f"CAST(coalesce(sum(CASE WHEN {SID} IS NOT NULL THEN {FANOUT_WEIGHT} END), 0) AS BIGINT) AS total_sessions"),
         E("CAST(coalesce(sum(n_orders), 0) AS BIGINT) AS total_orders"),
@@ -69,7 +69,7 @@ def landing_conversion(
     landed = facts.filter("landing_index >= 0").select(
         SID, E(f"element_at(array({names}), landing_index + 1) AS pageview_url")
     )
-    per_session = order_rollup(tables.orders).select(SID, "sales", E("1 AS __ordered"))
+    per_session = order_facts(tables).select(SID, "sales", E("1 AS __ordered"))
     joined = landed.join(per_session, SID, "left")
     out = joined.groupBy("pageview_url").agg(
         E(f"CAST(count({SID}) AS BIGINT) AS total_sessions"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from trailscope.functions.params import ReportWindow, WebTables
 from trailscope.functions.steps import DEFAULT_STEPS
 from trailscope.operators.expand import replicate_rows
-from trailscope.operators.rollup import FANOUT_WEIGHT, SID, order_rollup, session_rollup, window_pageviews, with_activity
+from trailscope.operators.rollup import FANOUT_WEIGHT, SID, order_facts, session_rollup, window_pageviews, with_activity
 from trailscope.plans.funnel import funnel_table
 
 E = F.expr
@@ -49,7 +49,7 @@ def master_table(tables: WebTables, window: ReportWindow) -> DataFrame:
     spreads a session with a huge number of orders over many tasks.
     """
     facts = with_activity(session_rollup(window_pageviews(tables.pageviews, window), landing_url=True))
-    orders = order_rollup(tables.orders).select(SID, "n_orders")
+    orders = order_facts(tables).select(SID, "n_orders")
     sessions = tables.sessions.filter(window.contains("created_at"))
     rows = sessions.join(facts, SID, "left").join(orders, SID, "left")
     shaped = rows.select(

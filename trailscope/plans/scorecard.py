@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trailscope.functions.params import ReportWindow, WebTables
 from trailscope.functions.ratios import money_sql, round_ratio_half_up_sql, safe_ratio_sql
-from trailscope.operators.rollup import FANOUT_WEIGHT, SID, order_rollup, session_rollup, window_pageviews, with_activity
+from trailscope.operators.rollup import FANOUT_WEIGHT, SID, order_facts, session_rollup, window_pageviews, with_activity
 
 E = F.expr
 
@@ -26,7 +26,7 @@ def scorecard(tables: WebTables, window: ReportWindow, strict_outliers: bool = F
     """
     facts = with_activity(session_rollup(window_pageviews(tables.pageviews, window)), strict_outliers)
     sessions = tables.sessions.filter(window.contains("created_at")).select(SID, "user_id", "is_repeat_session")
-    per_session = sessions.join(facts, SID, "left").join(order_rollup(tables.orders), SID, "left")
+    per_session = sessions.join(facts, SID, "left").join(order_facts(tables), SID, "left")
     w = f"CASE WHEN {SID} IS NOT NULL THEN {FANOUT_WEIGHT} END"
     bounce = "coalesce(is_bounce, FALSE)"
     per_user = per_session.groupBy("user_id").agg(

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trailscope.functions.params import WebTables
 from trailscope.operators.quality import fill_nulls
+from trailscope.operators.rollup import order_rollup
 from trailscope.session import shared_path
 from trailscope.sources.csv_io import read_csv
 from trailscope.sources.events import derive_web_tables
@@ -129,11 +130,16 @@ def stored_tables(spark: SparkSession, sf_dir: str, buckets: int | None = None)
         write_time_ranged(cleaned.pageviews, entry["pageviews"], n, tie="website_pageview_id")
         entry["orders"] = f"{root}/orders"
         write_plain(cleaned.orders, entry["orders"])
+        # Orders folded per session (window-independent: no report limits orders by date),
+        # unique per session id, so bucketed like the sessions.
+        entry["order_facts"] = f"trailscope_{tag}_order_facts"
+        write_bucketed(order_rollup(spark.read.parquet(entry["orders"])), entry["order_facts"], f"{root}/order_facts", n)
         _STORED[key] = entry
     frames = WebTables(
         spark.table(entry["sessions"]),
         spark.read.parquet(entry["pageviews"]),
         spark.read.parquet(entry["orders"]),
+        spark.table(entry["order_facts"]),
     )
     _FRAMES[key] = frames
     return frames
