@@ -95,6 +95,19 @@ def q_user_first_visit(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("user_id").agg(E("min(created_at) AS start_date"))
 
 
+def q_first_visit_join(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions flagged as their user's first visit: a left join on (user, timestamp).
+
+    The key pairs a user with a timestamp, so even a user with a third of all
+    sessions spreads over many join keys.
+    """
+    s = stored_tables(spark, d).sessions.filter(W.contains("created_at")).select(SID, "user_id", "created_at")
+    first = q_user_first_visit(spark, d).select("user_id", E("start_date AS created_at"), E("1 AS __first"))
+    return s.join(first, ["user_id", "created_at"], "left").select(
+        SID, "user_id", "created_at", E("CAST(coalesce(__first, 0) AS INT) AS is_first_visit")
+    )
+
+
 def q_semi_join_segment(spark: SparkSession, d: str) -> DataFrame:
     t = stored_tables(spark, d)
     return window_pageviews(t.pageviews, W, t.sessions, SEGMENT)
@@ -220,6 +233,7 @@ def queries() -> dict[str, Query]:
         "session_duration": q_session_duration,
         "pages_per_session": q_pages_per_session,
         "user_first_visit": q_user_first_visit,
+        "first_visit_join": q_first_visit_join,
         "semi_join_segment": q_semi_join_segment,
         "anti_join_active": q_anti_join_active,
         "anti_join_left_null": q_anti_join_left_null,
