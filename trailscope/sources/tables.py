@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +53,7 @@ def read_csv_tables(spark: SparkSession, sessions: str, pageviews: str, orders:
 # Materialized tables, one set per (application, data folder, data version).
 _STORED: dict[tuple, dict[str, str]] = {}
 _FRAMES: dict[tuple, WebTables] = {}
+_LOCK = threading.Lock()
 
 
 def _version(sf_dir: str) -> tuple:
@@ -110,15 +112,21 @@ def stored_tables(spark: SparkSession, sf_dir: str, buckets: int | None = None)
     (unique per session id) are bucketed by session id and time-sorted in each
     bucket; page views, where one session may hold a large share of the rows,
     are stored in time ranges (so report windows skip files) and are always
-    pre-aggregated per session before a join; orders are stored as they are.
-    Stored tables also cut the lineage: a lost executor costs a re-read, not a
-    re-derivation.
+    pre-aggregated per session before a join; orders are stored as they are
+    and once more folded per session (``order_facts``), bucketed like the
+    sessions so the two join without a shuffle. Stored tables also cut the
+    lineage: a lost executor costs a re-read, not a re-derivation.
     """
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = (spark.sparkContext.applicationId, id(spark), _version(sf_dir), n)
     frames = _FRAMES.get(key)
     if frames is not None:
         return frames
+    with _LOCK:  # one materialization per key, even when queries are built from several threads
+        return _FRAMES.get(key) or _materialize(spark, sf_dir, key, n)
+
+
+def _materialize(spark: SparkSession, sf_dir: str, key: tuple, n: int) -> WebTables:
     entry = _STORED.get(key)
     if entry is None or not spark.catalog.tableExists(entry["sessions"]):
         tag = hashlib.sha1(repr(key).encode()).hexdigest()[:10]
