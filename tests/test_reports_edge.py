@@ -182,3 +182,15 @@ def test_time_parts_ignore_session_zone(spark):
         assert rows(weekly_traffic(sessions, window)) == [(dt.date(2012, 10, 15), 1)]
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_case_reports_cover_the_script(edge):
+    from trailscope.plans.cases import case_reports
+
+    reports = case_reports(edge)
+    assert len(reports) == 19
+    assert rows(reports["weekly_traffic"]) == [(dt.date(2012, 3, 19), 2), (dt.date(2012, 3, 26), 1)]
+    assert rows(reports["bounce_rate"]) == [(4, 2, 0.5)]
+    assert rows(reports["ab_bounce"]) == [("/home", 1, 0, 0.0), ("/lander-1", 2, 1, 0.5)]
+    assert reports["master_table"].count() == 11 and reports["funnel_table"].count() == 20
+    assert rows(reports["weekly_traffic_update"]) == [(dt.date(2012, 4, 30), 2)]

@@ -6,6 +6,7 @@ score-card reports plus two dashboard tables, all as lazy DataFrame plans.
 """
 
 from trailscope.functions.params import ALL_TRAFFIC, ReportWindow, Segment, WebTables
+from trailscope.plans.cases import case_reports
 from trailscope.plans.cleaning import clean_tables, export_cleaned, quality_report
 from trailscope.plans.conversion import conversion_report, landing_conversion
 from trailscope.plans.funnel import funnel_report, funnel_table
@@ -23,6 +24,7 @@ __all__ = [
     "ab_bounce",
     "bounce_rate",
     "build_marts",
+    "case_reports",
     "clean_tables",
     "conversion_report",
     "export_cleaned",
