@@ -37,9 +37,10 @@ def funnel_chains(ranked: DataFrame, steps: Mapping[str, int] = DEFAULT_STEPS, r
         E(f"{step_sql('pageview_url', steps)} AS funnel_step"),
         E(f"CAST({rank_col} AS INT) AS user_page_step"),
     ).filter("funnel_step IS NOT NULL")
+    # One composite window key: a partitioning on the session alone cannot satisfy it.
     return (
         rows.withColumn("__d", E("user_page_step - funnel_step"))
-        .withColumn("__n", E(f"row_number() OVER (PARTITION BY {SID}, __d ORDER BY funnel_step)"))
+        .withColumn("__n", E(f"row_number() OVER (PARTITION BY named_struct('s', {SID}, 'd', __d) ORDER BY funnel_step)"))
         .filter("__n = funnel_step")
         .select(
             SID,

@@ -25,20 +25,25 @@ def rank_pages(pv: DataFrame, chunk_width: int = DEFAULT_CHUNK_WIDTH, rank_col:
     the (small) count table gives each chunk's offset, and the rank inside a
     chunk is a window over at most ``chunk_width`` ids. ``rank = offset +
     rank in chunk`` equals ``RANK()`` over the whole session, ties included.
-    A session holding a third of all page views is spread over its chunks.
+
+    The join and the inner window use one composite key ``struct(session,
+    chunk)``: a partitioning on the session alone cannot satisfy it, so
+    whatever join strategy Spark picks at run time, a session holding a third
+    of all page views is spread over its chunks.
     """
     keyed = pv.withColumn("__chunk", E(f"CAST(floor({PID} / {chunk_width}) AS BIGINT)"))
     counts = keyed.groupBy(SID, "__chunk").agg(E("count(1) AS __n"))
     offsets = counts.select(
-        SID,
-        "__chunk",
+        E(f"named_struct('s', {SID}, 'c', __chunk) AS __key"),
         E(
             f"coalesce(sum(__n) OVER (PARTITION BY {SID} ORDER BY __chunk "
             "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS __off"
         ),
     )
-    ranked = keyed.join(offsets, [SID, "__chunk"]).withColumn(
-        rank_col, E(f"CAST(__off + rank() OVER (PARTITION BY {SID}, __chunk ORDER BY {PID}) AS INT)")
+    ranked = (
+        keyed.withColumn("__key", E(f"named_struct('s', {SID}, 'c', __chunk)"))
+        .join(offsets, "__key")
+        .withColumn(rank_col, E(f"CAST(__off + rank() OVER (PARTITION BY __key ORDER BY {PID}) AS INT)"))
     )
     return ranked.select(*pv.columns, rank_col)
 
