@@ -89,3 +89,14 @@ def test_replicate_rows_small_and_hot(spark):
     df = spark.createDataFrame([("a", 0), ("b", 1), ("c", 3), ("hot", 23)], "k string, n int")
     out = replicate_rows(df, "n", chunk_rows=5).groupBy("k").count().collect()
     assert dict((r.k, r["count"]) for r in out) == {"b": 1, "c": 3, "hot": 23}
+
+
+def test_half_up_rounding_is_exact_near_a_tie(spark):
+    from trailscope.functions.ratios import round_ratio_half_up_sql
+
+    d = 600000000 * 10**6  # large denominators, like summed microseconds
+    cases = [((2674999999 * d) // 10**9, d, 2.67), ((2675 * d) // 1000, d, 2.68), (25, 8, 3.13), (0, 7, 0.0)]
+    for num, den, want in cases:
+        got = spark.sql(f"SELECT {round_ratio_half_up_sql(str(num), str(den))} AS v").collect()[0].v
+        assert got == want, (num, den, got)
+    assert spark.sql(f"SELECT {round_ratio_half_up_sql('5', '0')} AS v").collect()[0].v is None

@@ -26,6 +26,5 @@ def round_ratio_half_up_sql(num: str, den: str, places: int = 2) -> str:
     n = f"CAST({num} AS DECIMAL(38,0))"
     d = f"CAST({den} AS DECIMAL(38,0))"
     scale = 10**places
-    return (
-        f"CASE WHEN {d} > 0 THEN CAST(floor(({n} * {2 * scale} + {d}) / ({d} * 2)) AS DOUBLE) / {float(scale)} END"
-    )
+    # ``div`` is exact integral division (a decimal ``/`` would round the quotient first).
+    return f"CASE WHEN {d} > 0 THEN CAST(({n} * {2 * scale} + {d}) div ({d} * 2) AS DOUBLE) / {float(scale)} END"
