@@ -121,6 +121,9 @@ def main() -> int:
     spark.sparkContext.setLogLevel("ERROR")
     if os.environ.get("COMPARE_TZ"):  # results must not depend on the session time zone
         spark.conf.set("spark.sql.session.timeZone", os.environ["COMPARE_TZ"])
+    for item in filter(None, os.environ.get("COMPARE_CONF", "").split(",")):  # e.g. other session settings
+        key, value = item.split("=", 1)
+        spark.conf.set(key, value)
     if not spark.conf.get("spark.checkpoint.dir", None):
         import tempfile
 
