@@ -94,3 +94,12 @@ def test_half_open_window(spark):
     n_closed = edge.sessions.filter(closed.contains("created_at")).count()
     n_open = edge.sessions.filter(half_open.contains("created_at")).count()
     assert (n_closed, n_open) == (3, 4)  # session 3 at 23:59:59.5 falls only in the half-open window
+
+
+def test_build_marts_writes_both_tables(spark):
+    from trailscope import build_marts
+
+    edge = edge_tables(spark)
+    master, chains = shared_path(spark, "marts_test/master"), shared_path(spark, "marts_test/funnel")
+    build_marts(edge, MART, ReportWindow.of("2012-03-01 00:00:00", "2012-12-31 23:59:59"), master, chains)
+    assert read_mart(spark, master).count() == 11 and read_mart(spark, chains).count() == 20

@@ -71,8 +71,21 @@ def master_table(tables: WebTables, window: ReportWindow) -> DataFrame:
     return replicate_rows(shaped, "__copies").select(*MASTER_COLUMNS)
 
 
-def write_mart(df: DataFrame, target: str, partition_by: Sequence[str] = (), fmt: str = "parquet") -> None:
-    """Drop-and-recreate a mart: overwrite a path, or a table when ``target`` has no ``/``."""
+def write_mart(
+    df: DataFrame,
+    target: str,
+    partition_by: Sequence[str] = (),
+    fmt: str = "parquet",
+    sort_within: Sequence[str] = (),
+) -> None:
+    """Drop-and-recreate a mart: overwrite a path, or a table when ``target`` has no ``/``.
+
+    ``sort_within`` orders rows inside each written file (a local sort, no
+    shuffle), the stored form of the reference's ORDER BY in a view, which
+    otherwise has no guaranteed effect.
+    """
+    if sort_within:
+        df = df.sortWithinPartitions(*sort_within)
     writer = df.write.mode("overwrite").format(fmt)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -97,5 +110,5 @@ def build_marts(
     steps: Mapping[str, int] = DEFAULT_STEPS,
 ) -> None:
     """Rebuild both dashboard tables."""
-    write_mart(master_table(tables, master_window), master_target)
+    write_mart(master_table(tables, master_window), master_target, sort_within=("user_id", SID))
     write_mart(funnel_table(tables, funnel_window, steps), funnel_target)
