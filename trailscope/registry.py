@@ -1,9 +1,11 @@
 """Named queries over the driver data: every report and operator, with fixed parameters.
 
-Each entry takes ``(spark, sf_dir)``, derives the three web tables from the
-``events`` table in ``sf_dir`` and returns a lazy DataFrame. The parameters
-mirror the reference's report windows on the driver data's calendar
-(January 2024, Monday weeks).
+Each entry takes ``(spark, sf_dir)`` and returns a lazy DataFrame over the three
+web tables that Spark derives from the ``events`` table in ``sf_dir``: the
+reports read the cleaned tables stored once per session by
+:func:`~trailscope.sources.tables.stored_tables`; the data-quality entries read
+the raw derivation (before null fills). The parameters mirror the reference's
+report windows on the driver data's calendar (January 2024, Monday weeks).
 """
 
 from __future__ import annotations
