@@ -59,3 +59,18 @@ def test_every_query_plans(spark):
             continue
         assert fn(spark, SF).schema is not None, name
     assert load_tables(spark, SF).sessions.columns[0] == "website_session_id"
+
+
+def test_properties_on_driver_data(spark):
+    sf = "/root/testdata/sf0.01"
+    q = registry.queries()
+    s = q["scorecard"](spark, sf).collect()[0]
+    assert s.active_session + s.bounce_session == s.total_session
+    weekly = sum(r.total_traffic for r in q["weekly_traffic"](spark, sf).collect())
+    in_window = registry.stored_tables(spark, sf).sessions.filter(registry.W.contains("created_at")).count()
+    assert weekly == in_window  # the window is whole Monday weeks
+    funnel = q["funnel_report"](spark, sf).collect()[0]
+    steps = [funnel[c] for c in ("total_sessions", "product_sessions", "proddetail_sessions", "cart_sessions",
+                                 "shipping_sessions", "billing_sessions", "thanks_sessions")]
+    assert steps == sorted(steps, reverse=True)
+    assert q["master_table"](spark, sf).count() == s.total_session  # one row per session and order
