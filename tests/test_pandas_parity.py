@@ -103,3 +103,17 @@ def test_build_marts_writes_both_tables(spark):
     master, chains = shared_path(spark, "marts_test/master"), shared_path(spark, "marts_test/funnel")
     build_marts(edge, MART, ReportWindow.of("2012-03-01 00:00:00", "2012-12-31 23:59:59"), master, chains)
     assert read_mart(spark, master).count() == 11 and read_mart(spark, chains).count() == 20
+
+
+def test_command_line_runs_every_case(spark):
+    from trailscope.__main__ import main
+
+    paths = _write_exports(spark)
+    out = shared_path(spark, "cli_out")
+    written = main(
+        ["--sessions", paths["website_sessions"], "--pageviews", paths["website_pageviews"],
+         "--orders", paths["orders"], "--out", out]
+    )
+    assert len(written) == 19
+    assert spark.read.parquet(written["bounce_rate"]).collect()[0].total_sessions == 4
+    assert read_mart(spark, written["master_table"]).count() == 11
