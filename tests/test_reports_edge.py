@@ -194,3 +194,5 @@ def test_case_reports_cover_the_script(edge):
     assert rows(reports["ab_bounce"]) == [("/home", 1, 0, 0.0), ("/lander-1", 2, 1, 0.5)]
     assert reports["master_table"].count() == 11 and reports["funnel_table"].count() == 20
     assert rows(reports["weekly_traffic_update"]) == [(dt.date(2012, 4, 30), 2)]
+    assert reports["ab_conversion"].columns == ["pageview_url", "total_session", "total_order", "conversion_rate", "total_sales"]
+    assert reports["bounce_rate_update"].columns == ["total_session", "total_bounce", "bounce_rate"]

@@ -31,12 +31,20 @@ GSEARCH_NONBRAND = Segment("gsearch", "nonbrand")
 AB_PAGES = ("/home", "/lander-1")
 SOURCE = ("utm_source", "utm_campaign")
 DEVICE = ("device_type",)
+# Reports whose original columns are named in the singular.
+SINGULAR_COLUMNS = {
+    "bounce_rate_update": {"total_sessions": "total_session", "total_bounces": "total_bounce"},
+    "conversion_segment_update": {"total_sessions": "total_session", "total_orders": "total_order"},
+    "ab_bounce": {"total_sessions": "total_session", "total_bounces": "total_bounce"},
+    "ab_conversion": {"total_sessions": "total_session", "total_orders": "total_order"},
+}
 
 
 def case_reports(tables: WebTables, ordered: bool = True) -> dict[str, DataFrame]:
-    """Every analysis of the four cases by name, as lazy (by default sorted) DataFrames."""
+    """Every analysis of the four cases by name, as lazy (by default sorted) DataFrames,
+    with the column names of the original reports."""
     s, seg = tables.sessions, GSEARCH_NONBRAND
-    return {
+    reports = {
         # Case 1: the first month after launch.
         "weekly_traffic": weekly_traffic(s, LAUNCH_WEEKS, ordered=ordered),
         "weekly_traffic_by_source": weekly_traffic(s, LAUNCH_WEEKS, SOURCE, ordered=ordered),
@@ -61,3 +69,6 @@ def case_reports(tables: WebTables, ordered: bool = True) -> dict[str, DataFrame
         "master_table": master_table(tables, MASTER_TABLE),
         "funnel_table": funnel_table(tables, FUNNEL_TABLE),
     }
+    for name, renames in SINGULAR_COLUMNS.items():
+        reports[name] = reports[name].withColumnsRenamed(renames)
+    return reports
