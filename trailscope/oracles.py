@@ -106,16 +106,17 @@ GROUP BY {dims}"""
     )
 
 
-def _conversion(window, dims: str, segment: bool) -> str:
-    return _with(_conversion_body(window, dims, segment))
+def _conversion(window, dims: str, segment: bool, singular: bool = False) -> str:
+    return _with(_conversion_body(window, dims, segment, singular))
 
 
-def _conversion_body(window, dims: str, segment: bool) -> str:
+def _conversion_body(window, dims: str, segment: bool, singular: bool = False) -> str:
     seg = f" AND {SEG}" if segment else ""
+    sessions, orders = ("total_session", "total_order") if singular else ("total_sessions", "total_orders")
     return (
         f"""SELECT {dims},
-       CAST(COUNT(ws.website_session_id) AS BIGINT) AS total_sessions,
-       CAST(COUNT(o.website_session_id) AS BIGINT) AS total_orders,
+       CAST(COUNT(ws.website_session_id) AS BIGINT) AS {sessions},
+       CAST(COUNT(o.website_session_id) AS BIGINT) AS {orders},
        CAST(COUNT(o.website_session_id) AS DOUBLE) / NULLIF(COUNT(ws.website_session_id), 0) AS conversion_rate,
        CAST(SUM(o.items_purchased * o.price_usd) AS DECIMAL(18,2)) AS total_sales
 FROM website_sessions AS ws
@@ -141,7 +142,8 @@ def _page_rank(window, segment: bool = True) -> str:
 )"""
 
 
-def _bounce(window) -> str:
+def _bounce(window, singular: bool = False) -> str:
+    sessions, bounces = ("total_session", "total_bounce") if singular else ("total_sessions", "total_bounces")
     bs = f"""bounce_sessions AS (
   SELECT wp.website_session_id
   FROM website_pageviews AS wp
@@ -154,8 +156,8 @@ def _bounce(window) -> str:
 )"""
     landed = "CASE WHEN pr.rank_page = 1 AND pr.pageview_url = '/home' THEN pr.website_session_id END"
     return _with(
-        f"""SELECT CAST(COUNT({landed}) AS BIGINT) AS total_sessions,
-       CAST(COUNT(bs.website_session_id) AS BIGINT) AS total_bounces,
+        f"""SELECT CAST(COUNT({landed}) AS BIGINT) AS {sessions},
+       CAST(COUNT(bs.website_session_id) AS BIGINT) AS {bounces},
        CAST(COUNT(bs.website_session_id) AS DOUBLE) / NULLIF(COUNT({landed}), 0) AS bounce_rate
 FROM page_rank AS pr
 LEFT JOIN bounce_sessions AS bs ON pr.website_session_id = bs.website_session_id
@@ -170,8 +172,8 @@ assert tuple(AB_PAGES) == ("/home", "/lander-1")
 
 AB_BOUNCE = _with(
     f"""SELECT pr.pageview_url,
-       CAST(COUNT(CASE WHEN pr.rank_page = 1 AND {PAGE_IN} THEN pr.website_session_id END) AS BIGINT) AS total_sessions,
-       CAST(COUNT(bs.website_session_id) AS BIGINT) AS total_bounces,
+       CAST(COUNT(CASE WHEN pr.rank_page = 1 AND {PAGE_IN} THEN pr.website_session_id END) AS BIGINT) AS total_session,
+       CAST(COUNT(bs.website_session_id) AS BIGINT) AS total_bounce,
        CAST(COUNT(bs.website_session_id) AS DOUBLE)
          / NULLIF(COUNT(CASE WHEN pr.rank_page = 1 AND {PAGE_IN} THEN pr.website_session_id END), 0) AS bounce_rate
 FROM page_rank AS pr
@@ -192,8 +194,8 @@ GROUP BY 1""",
 
 AB_CONVERSION = _with(
     f"""SELECT pr.pageview_url,
-       CAST(COUNT(pr.website_session_id) AS BIGINT) AS total_sessions,
-       CAST(COUNT(o.website_session_id) AS BIGINT) AS total_orders,
+       CAST(COUNT(pr.website_session_id) AS BIGINT) AS total_session,
+       CAST(COUNT(o.website_session_id) AS BIGINT) AS total_order,
        CAST(COUNT(o.website_session_id) AS DOUBLE) / NULLIF(COUNT(pr.website_session_id), 0) AS conversion_rate,
        CAST(SUM(o.sales) AS DECIMAL(18,2)) AS total_sales
 FROM page_rank AS pr
@@ -456,10 +458,10 @@ WHERE {W.sql('wp.created_at')}
         "device_split": _top("ws.device_type", True),
         "conversion_by_source": _conversion(W, "ws.utm_source, ws.utm_campaign", False),
         "conversion_by_device": _conversion(W, "ws.device_type", True),
-        "conversion_segment_update": _conversion(W_UPDATE, "ws.utm_source, ws.utm_campaign", True),
+        "conversion_segment_update": _conversion(W_UPDATE, "ws.utm_source, ws.utm_campaign", True, singular=True),
         "landing_pages": LANDING_PAGES,
         "bounce_rate": _bounce(W),
-        "bounce_rate_update": _bounce(W_UPDATE),
+        "bounce_rate_update": _bounce(W_UPDATE, singular=True),
         "weekly_traffic_update": _weekly(W_UPDATE_WEEKS),
         "ab_bounce": AB_BOUNCE,
         "ab_conversion": AB_CONVERSION,

@@ -21,6 +21,7 @@ from trailscope.operators import quality
 from trailscope.operators.ranking import rank_pages
 from trailscope.operators.rollup import SID, session_rollup, window_pageviews, with_activity
 from trailscope.plans.conversion import conversion_report, landing_conversion
+from trailscope.plans.cases import SINGULAR_COLUMNS
 from trailscope.plans.funnel import funnel_report, funnel_table
 from trailscope.plans.landing import ab_bounce, bounce_rate, landing_pages
 from trailscope.plans.marts import master_table, read_mart, write_mart
@@ -56,6 +57,11 @@ def _bounce(window: ReportWindow) -> Query:
     return lambda spark, d: bounce_rate(stored_tables(spark, d), window, ("/home",), SEGMENT)
 
 
+def _original_names(name: str, query: Query) -> Query:
+    """The report under the column names of the original script."""
+    return lambda spark, d: query(spark, d).withColumnsRenamed(SINGULAR_COLUMNS[name])
+
+
 def _null_profile(table: str) -> Query:
     return lambda spark, d: quality.null_profile(getattr(load_raw_tables(spark, d), table))
 
@@ -203,13 +209,20 @@ def queries() -> dict[str, Query]:
         "device_split": lambda s, d: top_traffic(stored_tables(s, d).sessions, W, ("device_type",), SEGMENT, ordered=False),
         "conversion_by_source": _conversion(W, SOURCE_DIMS),
         "conversion_by_device": _conversion(W, ("device_type",), SEGMENT),
-        "conversion_segment_update": _conversion(W_UPDATE, SOURCE_DIMS, SEGMENT),
+        "conversion_segment_update": _original_names(
+            "conversion_segment_update", _conversion(W_UPDATE, SOURCE_DIMS, SEGMENT)
+        ),
         "landing_pages": lambda s, d: landing_pages(stored_tables(s, d), W, SEGMENT, ordered=False),
         "bounce_rate": _bounce(W),
-        "bounce_rate_update": _bounce(W_UPDATE),
+        "bounce_rate_update": _original_names("bounce_rate_update", _bounce(W_UPDATE)),
         "weekly_traffic_update": _weekly(W_UPDATE_WEEKS),
-        "ab_bounce": lambda s, d: ab_bounce(stored_tables(s, d), W_AB, AB_PAGES, SEGMENT, ordered=False),
-        "ab_conversion": lambda s, d: landing_conversion(stored_tables(s, d), W_AB, AB_PAGES, SEGMENT, ordered=False),
+        "ab_bounce": _original_names(
+            "ab_bounce", lambda s, d: ab_bounce(stored_tables(s, d), W_AB, AB_PAGES, SEGMENT, ordered=False)
+        ),
+        "ab_conversion": _original_names(
+            "ab_conversion",
+            lambda s, d: landing_conversion(stored_tables(s, d), W_AB, AB_PAGES, SEGMENT, ordered=False),
+        ),
         "funnel_report": lambda s, d: funnel_report(stored_tables(s, d), W),
         "peak_time": lambda s, d: peak_time(stored_tables(s, d).sessions, W, ordered=False),
         "scorecard": lambda s, d: scorecard(stored_tables(s, d), W),
