@@ -7,7 +7,7 @@ import random
 import pytest
 
 from trailscope.functions.steps import DEFAULT_STEPS, step_sql
-from trailscope.operators.chains import funnel_chains, funnel_depth
+from trailscope.operators.chains import funnel_chains, funnel_depth, successor_pairs
 from trailscope.operators.expand import replicate_rows
 from trailscope.operators.ranking import first_pages, rank_pages, rank_pages_plain
 
@@ -100,3 +100,20 @@ def test_half_up_rounding_is_exact_near_a_tie(spark):
         got = spark.sql(f"SELECT {round_ratio_half_up_sql(str(num), str(den))} AS v").collect()[0].v
         assert got == want, (num, den, got)
     assert spark.sql(f"SELECT {round_ratio_half_up_sql('5', '0')} AS v").collect()[0].v is None
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_successor_pairs_equal_self_join(spark, seed):
+    pv = random_pageviews(spark, seed)
+    ranked = rank_pages_plain(pv)
+    ranked.createOrReplaceTempView("ranked_pv")
+    step = step_sql("pageview_url")
+    self_join = spark.sql(
+        f"""WITH s AS (SELECT website_session_id, pageview_url, rank_page, {step} AS step FROM ranked_pv)
+            SELECT a.website_session_id, a.pageview_url, b.pageview_url, CAST(a.step AS INT), CAST(a.rank_page AS INT)
+            FROM s a JOIN s b ON a.website_session_id = b.website_session_id
+             AND b.rank_page = a.rank_page + 1 AND b.step = a.step + 1"""
+    )
+    got = sorted(map(tuple, successor_pairs(ranked).collect()))
+    assert got == sorted(map(tuple, self_join.collect()))
+    assert len(got) > 0

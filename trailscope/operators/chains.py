@@ -61,3 +61,32 @@ def funnel_depth(first: DataFrame, steps: Mapping[str, int] = DEFAULT_STEPS, ran
     st = step_sql("pageview_url", steps)
     bad = f"CASE WHEN ({st}) IS NULL OR ({st}) <> {rank_col} THEN {rank_col} END"
     return first.groupBy(SID).agg(E(f"CAST(coalesce(min({bad}), max({rank_col}) + 1) - 1 AS INT) AS depth"))
+
+
+def successor_pairs(ranked: DataFrame, steps: Mapping[str, int] = DEFAULT_STEPS, rank_col: str = "rank_page") -> DataFrame:
+    """Pairs of consecutive pages whose funnel step also rises by one (the recursion's join step):
+    ``website_session_id, from_url, to_url, from_step, from_rank``.
+
+    Position and step both rise by one, so a pair is two neighbours on one
+    (session, position - step) diagonal: a ``lead()`` over that diagonal finds
+    every pair without joining the page views to themselves.
+    """
+    stepped = ranked.select(
+        SID, "pageview_url", E(f"{rank_col} AS __rank"), E(f"{step_sql('pageview_url', steps)} AS __step")
+    ).filter("__step IS NOT NULL")
+    diagonal = f"PARTITION BY named_struct('s', {SID}, 'd', __rank - __step) ORDER BY __step"
+    return (
+        stepped.select(
+            "*",
+            E(f"lead(pageview_url) OVER ({diagonal}) AS to_url"),
+            E(f"lead(__step) OVER ({diagonal}) AS __next"),
+        )
+        .filter("__next = __step + 1")
+        .select(
+            SID,
+            E("pageview_url AS from_url"),
+            "to_url",
+            E("CAST(__step AS INT) AS from_step"),
+            E("CAST(__rank AS INT) AS from_rank"),
+        )
+    )

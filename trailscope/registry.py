@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from trailscope.functions.params import ReportWindow, Segment
 from trailscope.functions.steps import step_sql
 from trailscope.operators import quality
+from trailscope.operators.chains import successor_pairs
 from trailscope.operators.ranking import rank_pages
 from trailscope.operators.rollup import SID, session_rollup, window_pageviews, with_activity
 from trailscope.plans.conversion import conversion_report, landing_conversion
@@ -137,20 +138,7 @@ def q_anti_join_left_null(spark: SparkSession, d: str) -> DataFrame:
 
 def q_successor_join(spark: SparkSession, d: str) -> DataFrame:
     pv = stored_tables(spark, d).pageviews.filter(W.contains("created_at"))
-    ranked = rank_pages(pv.select(SID, "website_pageview_id", "pageview_url"))
-    stepped = ranked.select(SID, "pageview_url", "rank_page", E(f"{step_sql('pageview_url')} AS step")).filter(
-        "step IS NOT NULL"
-    )
-    a = stepped.alias("a")
-    b = stepped.alias("b")
-    cond = E(f"a.{SID} = b.{SID} AND b.rank_page = a.rank_page + 1 AND b.step = a.step + 1")
-    return a.join(b, cond).select(
-        E(f"a.{SID} AS {SID}"),
-        E("a.pageview_url AS from_url"),
-        E("b.pageview_url AS to_url"),
-        E("CAST(a.step AS INT) AS from_step"),
-        E("a.rank_page AS from_rank"),
-    )
+    return successor_pairs(rank_pages(pv.select(SID, "website_pageview_id", "pageview_url")))
 
 
 def q_distinct_users(spark: SparkSession, d: str) -> DataFrame:
