@@ -26,7 +26,6 @@ def spark():
     # Tests own their checkpoint folder only because none is configured here.
     if not session.conf.get("spark.checkpoint.dir", None):
         ckpt = tempfile.mkdtemp(prefix="trailscope-ckpt-", dir="/tmp")
-        session.conf.set("spark.checkpoint.dir", ckpt)
         session.sparkContext.setCheckpointDir(ckpt)
     yield session
     session.stop()
