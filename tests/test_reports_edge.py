@@ -196,3 +196,16 @@ def test_case_reports_cover_the_script(edge):
     assert rows(reports["weekly_traffic_update"]) == [(dt.date(2012, 4, 30), 2)]
     assert reports["ab_conversion"].columns == ["pageview_url", "total_session", "total_order", "conversion_rate", "total_sales"]
     assert reports["bounce_rate_update"].columns == ["total_session", "total_bounce", "bounce_rate"]
+
+
+def test_month_partitioned_pageviews_prune_and_agree(spark, edge):
+    from trailscope.session import shared_path
+    from trailscope.sources.tables import write_time_ranged
+
+    path = shared_path(spark, "edge_pageviews_by_month")
+    write_time_ranged(edge.pageviews, path, 4, tie="website_pageview_id")
+    stored = edge._replace(pageviews=spark.read.parquet(path))
+    assert rows(bounce_rate(stored, CASE1, ("/home",), GN)) == rows(bounce_rate(edge, CASE1, ("/home",), GN))
+    assert rows(funnel_report(stored, CASE4)) == rows(funnel_report(edge, CASE4))
+    plan = CASE3.restrict(stored.pageviews)._jdf.queryExecution().executedPlan().toString()
+    assert "created_month" in plan and "PartitionFilters: [isnotnull(created_month" in plan

@@ -21,6 +21,11 @@ def _ts(value: str | dt.datetime) -> dt.datetime:
     return dt.datetime.fromisoformat(value)
 
 
+# Month of ``created_at`` (first day, a DATE): the partition column of stored page views.
+PARTITION_COLUMN = "created_month"
+PARTITION_SQL = "trunc(CAST(created_at AS DATE), 'MM')"
+
+
 def sql_str(value: str) -> str:
     """A Spark SQL string literal."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -56,6 +61,16 @@ class ReportWindow:
     def contains(self, col: str = "created_at") -> Column:
         return F.expr(self.condition(col))
 
+    def restrict(self, df: DataFrame, col: str = "created_at") -> DataFrame:
+        """Rows of ``df`` inside the window. When ``df`` is stored partitioned by
+        month (:data:`PARTITION_COLUMN`), the matching month predicate is added so
+        Spark prunes whole partition directories before any file is opened."""
+        cond = self.condition(col)
+        if PARTITION_COLUMN in df.columns:
+            first, last = self.lo.date().replace(day=1), self.hi.date().replace(day=1)
+            cond = f"{cond} AND {PARTITION_COLUMN} BETWEEN DATE '{first}' AND DATE '{last}'"
+        return df.filter(cond)
+
     def sql(self, col: str) -> str:
         """The same predicate as DuckDB / ANSI SQL text (used by oracles)."""
         lo, hi = self._bounds("TIMESTAMP")

@@ -31,7 +31,7 @@ def window_pageviews(
     reports use :func:`segment_facts` instead, which joins after folding per
     session. The window predicate is pushed into the Parquet scan.
     """
-    pv = pageviews.filter(window.contains("created_at"))
+    pv = window.restrict(pageviews)
     if not segment.is_all:
         if sessions is None:
             raise ValueError("a segment needs the sessions table")
@@ -97,7 +97,7 @@ def segment_facts(
     A session's facts depend only on its own page views, so the order of the
     two steps does not change the result.
     """
-    facts = session_rollup(pageviews.filter(window.contains("created_at")), flag_pages, landing_url, landing_pages)
+    facts = session_rollup(window.restrict(pageviews), flag_pages, landing_url, landing_pages)
     if not segment.is_all:
         if sessions is None:
             raise ValueError("a segment needs the sessions table")

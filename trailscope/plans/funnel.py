@@ -41,7 +41,7 @@ def funnel_report(
     ``depth >= k``: no recursion, no distinct counts.
     """
     k_max = max_step(steps)
-    pv = tables.pageviews.filter(window.contains("created_at"))
+    pv = window.restrict(tables.pageviews)
     depth = funnel_depth(first_pages(pv, k_max), steps)
     if not segment.is_all:
         depth = depth.join(segment_sessions(tables.sessions, segment), SID, "left_semi")
@@ -64,5 +64,5 @@ def funnel_table(
     """Every funnel chain that starts at a step-1 page, valid or not:
     ``website_session_id, pageview_url, funnel_step, user_page_step, is_valid_step``
     (``is_valid_step`` = 1 for the chain from page 1, else NULL)."""
-    pv = tables.pageviews.filter(window.contains("created_at")).select(SID, "website_pageview_id", "pageview_url")
+    pv = window.restrict(tables.pageviews).select(SID, "website_pageview_id", "pageview_url")
     return funnel_chains(rank_pages(pv, chunk_width), steps)

@@ -32,7 +32,7 @@ def landing_pages(
     if first_time_only:
         cond += " AND is_repeat_session = 0"
     keep = tables.sessions.filter(cond).select(SID)
-    pv = tables.pageviews.filter(window.contains("created_at"))
+    pv = window.restrict(tables.pageviews)
     facts = session_rollup(pv, landing_url=True).join(keep, SID, "left_semi")
     out = facts.groupBy(E("landing_page AS pageview_url")).agg(E(f"CAST(count({SID}) AS BIGINT) AS total_landing_traffic"))
     if ordered:

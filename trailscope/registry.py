@@ -30,7 +30,9 @@ from trailscope.plans.scorecard import scorecard
 from trailscope.plans.traffic import peak_time, top_traffic, weekly_traffic
 from trailscope.session import shared_path
 from trailscope.sources.csv_io import read_csv, write_csv
-from trailscope.sources.schemas import SESSIONS
+from trailscope.sources.schemas import ORDERS, PAGEVIEWS, SESSIONS
+
+TABLE_SCHEMAS = {"sessions": SESSIONS, "pageviews": PAGEVIEWS, "orders": ORDERS}
 from trailscope.sources.tables import load_raw_tables, stored_tables
 
 # Report parameters on the driver data's calendar.
@@ -68,7 +70,8 @@ def _null_profile(table: str) -> Query:
 
 
 def _duplicates(table: str) -> Query:
-    return lambda spark, d: quality.duplicate_rows(getattr(stored_tables(spark, d), table))
+    cols = TABLE_SCHEMAS[table].fieldNames()
+    return lambda spark, d: quality.duplicate_rows(getattr(stored_tables(spark, d), table).select(*cols))
 
 
 def _active_facts(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +79,7 @@ def _active_facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_page_rank(spark: SparkSession, d: str) -> DataFrame:
-    pv = stored_tables(spark, d).pageviews.filter(W.contains("created_at"))
+    pv = W.restrict(stored_tables(spark, d).pageviews)
     return rank_pages(pv.select(SID, "website_pageview_id", "pageview_url"))
 
 
@@ -119,13 +122,13 @@ def q_first_visit_join(spark: SparkSession, d: str) -> DataFrame:
 
 def q_semi_join_segment(spark: SparkSession, d: str) -> DataFrame:
     t = stored_tables(spark, d)
-    return window_pageviews(t.pageviews, W, t.sessions, SEGMENT)
+    return window_pageviews(t.pageviews, W, t.sessions, SEGMENT).select(*PAGEVIEWS.fieldNames())
 
 
 def q_anti_join_active(spark: SparkSession, d: str) -> DataFrame:
     pv = window_pageviews(stored_tables(spark, d).pageviews, W)
     bounced = session_rollup(pv).filter("n_pages = 1").select(SID)
-    return pv.join(bounced, SID, "left_anti")
+    return pv.join(bounced, SID, "left_anti").select(*PAGEVIEWS.fieldNames())
 
 
 def q_anti_join_left_null(spark: SparkSession, d: str) -> DataFrame:
@@ -137,7 +140,7 @@ def q_anti_join_left_null(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_successor_join(spark: SparkSession, d: str) -> DataFrame:
-    pv = stored_tables(spark, d).pageviews.filter(W.contains("created_at"))
+    pv = W.restrict(stored_tables(spark, d).pageviews)
     return successor_pairs(rank_pages(pv.select(SID, "website_pageview_id", "pageview_url")))
 
 

@@ -7,8 +7,9 @@ import os
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trailscope.functions.params import WebTables
+from trailscope.functions.params import PARTITION_COLUMN, PARTITION_SQL, WebTables
 from trailscope.operators.quality import fill_nulls
 from trailscope.operators.rollup import order_rollup
 from trailscope.session import shared_path
@@ -94,14 +95,17 @@ def write_plain(df: DataFrame, path: str) -> None:
 
 
 def write_time_ranged(df: DataFrame, path: str, parts: int, ts: str = "created_at", tie: str | None = None) -> None:
-    """Store ``df`` in files that each cover one time range, sorted by time inside.
+    """Store ``df`` by month directory, in files that each cover one time range, sorted by time inside.
 
-    Report windows are time ranges, so the pushed-down window predicate skips
-    whole files and row groups by their min/max statistics. ``tie`` (a unique
-    column) splits equal timestamps, so one hot instant cannot fill one file.
+    Report windows are time ranges: the month predicate added by
+    :meth:`ReportWindow.restrict` prunes whole directories, and inside a month
+    the pushed-down window predicate skips files and row groups by their
+    min/max statistics. ``tie`` (a unique column) splits equal timestamps, so
+    one hot instant cannot fill one file.
     """
     keys = [ts] + ([tie] if tie else [])
-    df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+    ranged = df.withColumn(PARTITION_COLUMN, F.expr(PARTITION_SQL)).repartitionByRange(parts, *keys)
+    ranged.sortWithinPartitions(PARTITION_COLUMN, *keys).write.mode("overwrite").partitionBy(PARTITION_COLUMN).parquet(path)
 
 
 def stored_tables(spark: SparkSession, sf_dir: str, buckets: int | None = None) -> WebTables:
