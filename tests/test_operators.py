@@ -117,3 +117,30 @@ def test_successor_pairs_equal_self_join(spark, seed):
     got = sorted(map(tuple, successor_pairs(ranked).collect()))
     assert got == sorted(map(tuple, self_join.collect()))
     assert len(got) > 0
+
+
+def test_rank_and_replication_properties(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(
+        sizes=st.lists(st.integers(min_value=1, max_value=40), min_size=1, max_size=5),
+        gaps=st.integers(min_value=1, max_value=7),
+        width=st.integers(min_value=1, max_value=50),
+    )
+    def check(sizes, gaps, width):
+        rows, pid = [], 0
+        for sid, n in enumerate(sizes):
+            for _ in range(n):
+                pid += gaps
+                rows.append((pid, sid, "/home"))
+        pv = spark.createDataFrame(rows, "website_pageview_id long, website_session_id long, pageview_url string")
+        assert sorted(map(tuple, rank_pages(pv, chunk_width=width).collect())) == sorted(
+            map(tuple, rank_pages_plain(pv).collect())
+        )
+        counts = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "k long, n long")
+        out = replicate_rows(counts, "n", chunk_rows=max(1, width // 5))
+        assert {r.k: r["count"] for r in out.groupBy("k").count().collect()} == dict(enumerate(sizes))
+
+    check()

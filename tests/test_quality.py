@@ -97,3 +97,20 @@ def test_notebook_flow_report_and_export(spark):
     for name in ("sessions", "pageviews", "orders"):
         got, want = getattr(back, name), getattr(report.cleaned, name)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_csv_binds_columns_by_name_and_keeps_extras(spark):
+    import os
+
+    path = shared_path(spark, "csv_reordered")
+    local = path.replace("file:", "")
+    os.makedirs(local, exist_ok=True)
+    with open(os.path.join(local, "part.csv"), "w") as f:
+        f.write("device_type,extra,website_session_id,utm_source,created_at,user_id,is_repeat_session,"
+                "utm_campaign,utm_content,http_referer\n")
+        f.write("mobile,x1,7,gsearch,2012-03-19 00:00:00,3,0,nonbrand,,NA\n")
+    df = read_csv(spark, path, SESSIONS)
+    assert df.columns == SESSIONS.fieldNames() + ["extra"]
+    r = df.collect()[0]
+    assert (r.website_session_id, r.user_id, r.device_type, r.utm_content, r.http_referer, r.extra) == (
+        7, 3, "mobile", None, None, "x1")
