@@ -200,10 +200,10 @@ def test_case_reports_cover_the_script(edge):
 
 def test_month_partitioned_pageviews_prune_and_agree(spark, edge):
     from trailscope.session import shared_path
-    from trailscope.sources.tables import write_time_ranged
+    from trailscope.sources.tables import write_by_month
 
     path = shared_path(spark, "edge_pageviews_by_month")
-    write_time_ranged(edge.pageviews, path, 4, tie="website_pageview_id")
+    write_by_month(edge.pageviews, path, tie="website_pageview_id")
     stored = edge._replace(pageviews=spark.read.parquet(path))
     assert rows(bounce_rate(stored, CASE1, ("/home",), GN)) == rows(bounce_rate(edge, CASE1, ("/home",), GN))
     assert rows(funnel_report(stored, CASE4)) == rows(funnel_report(edge, CASE4))

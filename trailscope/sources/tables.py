@@ -94,18 +94,20 @@ def write_plain(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_time_ranged(df: DataFrame, path: str, parts: int, ts: str = "created_at", tie: str | None = None) -> None:
-    """Store ``df`` by month directory, in files that each cover one time range, sorted by time inside.
+def write_by_month(df: DataFrame, path: str, ts: str = "created_at", tie: str | None = None) -> None:
+    """Store ``df`` in month directories, rows sorted by time inside every file.
 
     Report windows are time ranges: the month predicate added by
     :meth:`ReportWindow.restrict` prunes whole directories, and inside a month
-    the pushed-down window predicate skips files and row groups by their
-    min/max statistics. ``tie`` (a unique column) splits equal timestamps, so
-    one hot instant cannot fill one file.
+    the pushed-down window predicate skips row groups by their min/max
+    statistics, which the in-file sort makes narrow. The sort is local to each
+    task, so the write adds no shuffle and no sampling pass (a range
+    repartition would re-run the whole upstream plan to sample it), and files
+    keep the upstream partitioning, which is not keyed by session.
     """
     keys = [ts] + ([tie] if tie else [])
-    ranged = df.withColumn(PARTITION_COLUMN, F.expr(PARTITION_SQL)).repartitionByRange(parts, *keys)
-    ranged.sortWithinPartitions(PARTITION_COLUMN, *keys).write.mode("overwrite").partitionBy(PARTITION_COLUMN).parquet(path)
+    by_month = df.withColumn(PARTITION_COLUMN, F.expr(PARTITION_SQL)).sortWithinPartitions(PARTITION_COLUMN, *keys)
+    by_month.write.mode("overwrite").partitionBy(PARTITION_COLUMN).parquet(path)
 
 
 def stored_tables(spark: SparkSession, sf_dir: str, buckets: int | None = None) -> WebTables:
@@ -115,7 +117,8 @@ def stored_tables(spark: SparkSession, sf_dir: str, buckets: int | None = None)
     :func:`trailscope.session.shared_root`; later calls only scan. Sessions
     (unique per session id) are bucketed by session id and time-sorted in each
     bucket; page views, where one session may hold a large share of the rows,
-    are stored in time ranges (so report windows skip files) and are always
+    are stored by month and time-sorted in each file (so report windows prune
+    directories and skip row groups) and are always
     pre-aggregated per session before a join; orders are stored as they are
     and once more folded per session (``order_facts``), bucketed like the
     sessions so the two join without a shuffle. Stored tables also cut the
@@ -139,7 +142,7 @@ def _materialize(spark: SparkSession, sf_dir: str, key: tuple, n: int) -> WebTab
         entry = {"sessions": f"trailscope_{tag}_sessions"}
         write_bucketed(cleaned.sessions, entry["sessions"], f"{root}/sessions", n, sort_by=("created_at",))
         entry["pageviews"] = f"{root}/pageviews"
-        write_time_ranged(cleaned.pageviews, entry["pageviews"], n, tie="website_pageview_id")
+        write_by_month(cleaned.pageviews, entry["pageviews"], tie="website_pageview_id")
         entry["orders"] = f"{root}/orders"
         write_plain(cleaned.orders, entry["orders"])
         # Orders folded per session (window-independent: no report limits orders by date),
