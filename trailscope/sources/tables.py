@@ -73,6 +73,7 @@ def write_bucketed(
     buckets: int,
     key: str = "website_session_id",
     sort_by: tuple[str, ...] = (),
+    shuffle: bool = True,
 ) -> None:
     """Store ``df`` as a table bucketed by ``key`` (one file per bucket).
 
@@ -81,9 +82,12 @@ def write_bucketed(
     bucketing, so every write task writes exactly one bucket file, and later
     joins on ``key`` against a shuffle with the same partition count leave
     this side in place. ``sort_by`` orders rows inside each bucket file (by
-    time, so window predicates skip row groups).
+    time, so window predicates skip row groups). ``shuffle=False`` skips the
+    repartition when ``df`` is already hash-partitioned by ``key`` (an
+    aggregate by ``key`` is: the same hash picks partitions and buckets).
     """
-    writer = df.repartition(buckets, key).write.mode("overwrite").format("parquet").bucketBy(buckets, key)
+    source = df.repartition(buckets, key) if shuffle else df
+    writer = source.write.mode("overwrite").format("parquet").bucketBy(buckets, key)
     if sort_by:
         writer = writer.sortBy(*sort_by)
     writer.option("path", path).saveAsTable(table)
@@ -148,7 +152,8 @@ def _materialize(spark: SparkSession, sf_dir: str, key: tuple, n: int) -> WebTab
         # Orders folded per session (window-independent: no report limits orders by date),
         # unique per session id, so bucketed like the sessions.
         entry["order_facts"] = f"trailscope_{tag}_order_facts"
-        write_bucketed(order_rollup(spark.read.parquet(entry["orders"])), entry["order_facts"], f"{root}/order_facts", n)
+        facts = order_rollup(spark.read.parquet(entry["orders"]))
+        write_bucketed(facts, entry["order_facts"], f"{root}/order_facts", n, shuffle=False)
         _STORED[key] = entry
     frames = WebTables(
         spark.table(entry["sessions"]),
