@@ -11,7 +11,7 @@ other.
 
 from __future__ import annotations
 
-from trailscope.functions.steps import step_sql
+from trailscope.functions.steps import DEFAULT_FUNNEL_COLUMNS, step_sql
 from trailscope.registry import AB_PAGES, SEGMENT, W, W_AB, W_UPDATE, W_UPDATE_WEEKS
 
 DERIVE = """
@@ -244,15 +244,7 @@ def _chains(window, name: str) -> str:
 
 
 def _funnel_report() -> str:
-    names = [
-        ("total_sessions", "lp_exit_rate"),
-        ("product_sessions", "prod_exit_rate"),
-        ("proddetail_sessions", "proddetail_exit_rate"),
-        ("cart_sessions", "cart_exit_rate"),
-        ("shipping_sessions", "shipping_exit_rate"),
-        ("billing_sessions", "billing_exit_rate"),
-        ("thanks_sessions", None),
-    ]
+    names = DEFAULT_FUNNEL_COLUMNS
 
     def reach(k: int) -> str:
         return f"COUNT(DISTINCT CASE WHEN f.funnel_step = {k} THEN wp.website_session_id END)"
