@@ -117,3 +117,17 @@ def test_command_line_runs_every_case(spark):
     assert len(written) == 19
     assert spark.read.parquet(written["bounce_rate"]).collect()[0].total_sessions == 4
     assert read_mart(spark, written["master_table"]).count() == 11
+
+
+def test_stored_layout_gives_the_same_reports(spark):
+    from trailscope.plans.cases import case_reports
+    from trailscope.sources.tables import store_tables
+
+    edge = edge_tables(spark)
+    stored = store_tables(spark, edge, shared_path(spark, "edge_store"), 4, "trailscope_edge_store")
+    assert stored.order_facts is not None and "created_month" in stored.pageviews.columns
+    got, want = case_reports(stored), case_reports(edge)
+    for name in want:
+        a = sorted(map(tuple, got[name].collect()), key=repr)
+        b = sorted(map(tuple, want[name].collect()), key=repr)
+        assert a == b, name

@@ -1,6 +1,6 @@
 """Run the whole analysis from the command line.
 
-    python -m trailscope --sessions S.csv --pageviews P.csv --orders O.csv --out DIR [--format parquet|csv]
+    python -m trailscope --sessions S.csv --pageviews P.csv --orders O.csv --out DIR [--format parquet|csv] [--store]
 
 Reads the three CSV exports (pandas null tokens read as NULL), fills the session
 nulls, writes every report of the four business cases to ``DIR/reports/<name>``
@@ -11,6 +11,7 @@ Spark session, or creates one with the cluster's defaults.
 from __future__ import annotations
 
 import argparse
+import hashlib
 
 from pyspark.sql import SparkSession
 
@@ -18,7 +19,7 @@ from trailscope.plans.cases import FUNNEL_TABLE, MASTER_TABLE, case_reports
 from trailscope.plans.cleaning import clean_tables
 from trailscope.plans.marts import build_marts
 from trailscope.sources.csv_io import write_csv
-from trailscope.sources.tables import read_csv_tables
+from trailscope.sources.tables import read_csv_tables, store_tables
 
 MARTS = ("master_table", "funnel_table")
 
@@ -30,11 +31,20 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
     parser.add_argument("--orders", required=True)
     parser.add_argument("--out", required=True)
     parser.add_argument("--format", choices=("parquet", "csv"), default="parquet")
+    parser.add_argument(
+        "--store",
+        action="store_true",
+        help="first store the cleaned tables under DIR/tables in the layout the reports are planned for",
+    )
     args = parser.parse_args(argv)
 
     spark = SparkSession.builder.appName("trailscope").getOrCreate()
     tables = clean_tables(read_csv_tables(spark, args.sessions, args.pageviews, args.orders))
     out = args.out.rstrip("/")
+    if args.store:
+        prefix = "trailscope_" + hashlib.sha1(out.encode()).hexdigest()[:10]
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        tables = store_tables(spark, tables, f"{out}/tables", buckets, prefix)
     written = {}
     for name, report in case_reports(tables, ordered=True).items():
         if name in MARTS:

@@ -51,8 +51,7 @@ def read_csv_tables(spark: SparkSession, sessions: str, pageviews: str, orders:
     )
 
 
-# Materialized tables, one set per (application, data folder, data version).
-_STORED: dict[tuple, dict[str, str]] = {}
+# Materialized tables, one set per (application, session, data folder, data version, bucket count).
 _FRAMES: dict[tuple, WebTables] = {}
 _LOCK = threading.Lock()
 
@@ -115,18 +114,11 @@ def write_by_month(df: DataFrame, path: str, ts: str = "created_at", tie: str |
 
 
 def stored_tables(spark: SparkSession, sf_dir: str, buckets: int | None = None) -> WebTables:
-    """The cleaned tables, derived once per session and stored in the shared folder.
+    """The cleaned tables derived from the driver data, stored once per session.
 
-    The first call derives, cleans and writes them under
-    :func:`trailscope.session.shared_root`; later calls only scan. Sessions
-    (unique per session id) are bucketed by session id and time-sorted in each
-    bucket; page views, where one session may hold a large share of the rows,
-    are stored by month and time-sorted in each file (so report windows prune
-    directories and skip row groups) and are always
-    pre-aggregated per session before a join; orders are stored as they are
-    and once more folded per session (``order_facts``), bucketed like the
-    sessions so the two join without a shuffle. Stored tables also cut the
-    lineage: a lost executor costs a re-read, not a re-derivation.
+    The first call derives and cleans them and writes them with
+    :func:`store_tables` under :func:`trailscope.session.shared_root`; later
+    calls return the same DataFrames.
     """
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = (spark.sparkContext.applicationId, id(spark), _version(sf_dir), n)
@@ -137,29 +129,36 @@ def stored_tables(spark: SparkSession, sf_dir: str, buckets: int | None = None)
         return _FRAMES.get(key) or _materialize(spark, sf_dir, key, n)
 
 
-def _materialize(spark: SparkSession, sf_dir: str, key: tuple, n: int) -> WebTables:
-    entry = _STORED.get(key)
-    if entry is None or not spark.catalog.tableExists(entry["sessions"]):
-        tag = hashlib.sha1(repr(key).encode()).hexdigest()[:10]
-        root = shared_path(spark, f"tables_{tag}")
-        cleaned = load_tables(spark, sf_dir)
-        entry = {"sessions": f"trailscope_{tag}_sessions"}
-        write_bucketed(cleaned.sessions, entry["sessions"], f"{root}/sessions", n, sort_by=("created_at",))
-        entry["pageviews"] = f"{root}/pageviews"
-        write_by_month(cleaned.pageviews, entry["pageviews"], tie="website_pageview_id")
-        entry["orders"] = f"{root}/orders"
-        write_plain(cleaned.orders, entry["orders"])
-        # Orders folded per session (window-independent: no report limits orders by date),
-        # unique per session id, so bucketed like the sessions.
-        entry["order_facts"] = f"trailscope_{tag}_order_facts"
-        facts = order_rollup(spark.read.parquet(entry["orders"]))
-        write_bucketed(facts, entry["order_facts"], f"{root}/order_facts", n, shuffle=False)
-        _STORED[key] = entry
-    frames = WebTables(
-        spark.table(entry["sessions"]),
-        spark.read.parquet(entry["pageviews"]),
-        spark.read.parquet(entry["orders"]),
-        spark.table(entry["order_facts"]),
+def store_tables(spark: SparkSession, tables: WebTables, root: str, buckets: int, name_prefix: str) -> WebTables:
+    """Write cleaned tables in the layout the reports are planned for, and return them read back.
+
+    Sessions, unique per session id, are bucketed by it and time-sorted in each
+    bucket; page views, where one session may hold a large share of the rows,
+    go to month directories, time-sorted in each file (windows prune
+    directories and skip row groups), and are always pre-aggregated per
+    session before a join; orders are stored as they are and once more folded
+    per session (``order_facts``), bucketed like the sessions so the two join
+    without a shuffle. The written tables also cut the lineage: a lost executor
+    costs a re-read, not a recomputation. Bucketed tables are registered as
+    ``<name_prefix>_sessions`` and ``<name_prefix>_order_facts``.
+    """
+    root = root.rstrip("/")
+    sessions_table, facts_table = f"{name_prefix}_sessions", f"{name_prefix}_order_facts"
+    write_bucketed(tables.sessions, sessions_table, f"{root}/sessions", buckets, sort_by=("created_at",))
+    write_by_month(tables.pageviews, f"{root}/pageviews", tie="website_pageview_id")
+    write_plain(tables.orders, f"{root}/orders")
+    facts = order_rollup(spark.read.parquet(f"{root}/orders"))
+    write_bucketed(facts, facts_table, f"{root}/order_facts", buckets, shuffle=False)
+    return WebTables(
+        spark.table(sessions_table),
+        spark.read.parquet(f"{root}/pageviews"),
+        spark.read.parquet(f"{root}/orders"),
+        spark.table(facts_table),
     )
+
+
+def _materialize(spark: SparkSession, sf_dir: str, key: tuple, n: int) -> WebTables:
+    tag = hashlib.sha1(repr(key).encode()).hexdigest()[:10]
+    frames = store_tables(spark, load_tables(spark, sf_dir), shared_path(spark, f"tables_{tag}"), n, f"trailscope_{tag}")
     _FRAMES[key] = frames
     return frames
