@@ -78,6 +78,17 @@ SEG = f"ws.utm_source = '{SEGMENT.source}' AND ws.utm_campaign = '{SEGMENT.campa
 STEP = step_sql("pageview_url")
 
 
+def over_tables(sql: str) -> str:
+    """The same oracle without the derivation: for views named ``website_sessions``,
+    ``raw_sessions``, ``website_pageviews`` and ``website_orders`` registered directly."""
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if sql.startswith(head + DERIVE + ","):
+            return head + sql[len(head + DERIVE + ",") :].lstrip("\n")
+        if sql.startswith(head + DERIVE + "\n"):
+            return sql[len(head + DERIVE + "\n") :]
+    raise ValueError("not an oracle over the derived tables")
+
+
 def _with(body: str, *ctes: str, recursive: bool = False) -> str:
     extra = "".join(f",\n{c}" for c in ctes)
     return f"WITH {'RECURSIVE ' if recursive else ''}{DERIVE}{extra}\n{body}"
