@@ -43,7 +43,8 @@ def random_tables(seed: int):
     for sid in range(1, 121):
         start = base + dt.timedelta(seconds=rng.randrange(0, 35 * 86400))
         src, camp = rng.choice(SOURCES)
-        sessions.append((sid, start, rng.randrange(1, 30), rng.choice([0, 1]), src, camp, "c",
+        user = rng.randrange(1, 30) if rng.random() < 0.95 else None  # a few sessions without a user
+        sessions.append((sid, start, user, rng.choice([0, 1]), src, camp, "c",
                          rng.choice(["desktop", "mobile"]), "r"))
         t = start
         walk = rng.random() < 0.5
