@@ -32,15 +32,29 @@ def shared_root(spark: SparkSession) -> str:
     (shared storage on a cluster) is used and registered as checkpoint dir.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    context = _context(spark)
+    if not root and context is not None:
+        root = context.getCheckpointDir()
     if not root:
         warehouse = spark.conf.get("spark.sql.warehouse.dir")
         root = f"{warehouse.rstrip('/')}/_trailscope_shared"
-        spark.sparkContext.setCheckpointDir(root)
+        if context is not None:
+            context.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session; None under Spark Connect, which has none."""
+    try:
+        return spark.sparkContext
+    except Exception:  # Spark Connect raises instead of returning a context
+        return None
+
+
+def application_id(spark: SparkSession) -> str:
+    return spark.conf.get("spark.app.id", None) or spark.conf.get("spark.app.name", "trailscope")
+
+
 def shared_path(spark: SparkSession, name: str, unique: bool = True) -> str:
     """A path under :func:`shared_root`; ``unique`` appends a fresh suffix."""
     suffix = f"-{uuid.uuid4().hex[:12]}" if unique else ""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from trailscope.functions.params import PARTITION_COLUMN, PARTITION_SQL, WebTables
 from trailscope.operators.quality import fill_nulls
 from trailscope.operators.rollup import order_rollup
-from trailscope.session import shared_path
+from trailscope.session import application_id, shared_path
 from trailscope.sources.csv_io import read_csv
 from trailscope.sources.events import derive_web_tables
 from trailscope.sources.schemas import ORDERS, PAGEVIEWS, SESSIONS, cast_by_name
@@ -121,7 +121,7 @@ def stored_tables(spark: SparkSession, sf_dir: str, buckets: int | None = None)
     calls return the same DataFrames.
     """
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = (spark.sparkContext.applicationId, id(spark), _version(sf_dir), n)
+    key = (application_id(spark), id(spark), _version(sf_dir), n)
     frames = _FRAMES.get(key)
     if frames is not None:
         return frames
