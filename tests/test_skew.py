@@ -106,3 +106,19 @@ def test_chain_window_reshuffles_input_partitioned_by_session(spark):
     from_chunked = funnel_chains(rank_pages(pv, chunk_width=256))
     assert sorted(map(tuple, from_plain.collect())) == sorted(map(tuple, from_chunked.collect()))
     assert partitions_of(from_plain) > 1
+
+
+def test_task_metrics_from_event_log():
+    """Largest task (shuffle records read) from Spark's event log, in a separate Spark process."""
+    import json
+    import os
+    import subprocess
+    import sys
+    import tempfile
+
+    scratch = tempfile.mkdtemp(prefix="trailscope-skew-", dir="/tmp")
+    script = os.path.join(os.path.dirname(os.path.abspath(__file__)), "skew_tasks.py")
+    out = subprocess.run([sys.executable, script, scratch], capture_output=True, text=True, timeout=600, check=True)
+    worst = json.loads(out.stdout.strip().splitlines()[-1])
+    assert worst["plain"] >= worst["hot_rows"]  # the plain window reads the whole hot session in one task
+    assert worst["chunked"] < worst["hot_rows"] / 2  # the chunked rank spreads it
