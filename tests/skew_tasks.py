@@ -1,8 +1,9 @@
 """Largest task of the plain and the chunked page rank, read from Spark's event log.
 
 Usage: ``python tests/skew_tasks.py <scratch dir>``; prints one JSON line
-``{"plain": max records, "chunked": max records, "hot_rows": n}`` where a
-value is the most shuffle records any single task of that job read.
+``{"plain": ..., "chunked": ..., "rollup": ..., "hot_rows": n}`` where a value
+is the most shuffle records any single task of that job read: the plain and
+the chunked page rank, and the per-session rollup (partial aggregates).
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ def run(scratch: str) -> dict[str, int]:
     from pyspark.sql import SparkSession
 
     from trailscope.operators.ranking import rank_pages, rank_pages_plain
+    from trailscope.operators.rollup import session_rollup
 
     logs = os.path.join(scratch, "events")
     os.makedirs(logs, exist_ok=True)
@@ -38,12 +40,18 @@ def run(scratch: str) -> dict[str, int]:
     spark.sparkContext.setLogLevel("ERROR")
     rows = [(i * 3, 999, "/home") for i in range(HOT_ROWS)] + [(i * 3 + 1, i % 60, "/cart") for i in range(600)]
     pv = spark.createDataFrame(rows, "website_pageview_id long, website_session_id long, pageview_url string")
-    for name, df in (("plain", rank_pages_plain(pv)), ("chunked", rank_pages(pv, chunk_width=512))):
+    pv = pv.selectExpr("*", "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, website_pageview_id) AS created_at")
+    jobs = (
+        ("plain", rank_pages_plain(pv)),
+        ("chunked", rank_pages(pv, chunk_width=512)),
+        ("rollup", session_rollup(pv, landing_pages=("/home",))),
+    )
+    for name, df in jobs:
         spark.sparkContext.setJobGroup(name, name)
         df.write.format("noop").mode("overwrite").save()
     spark.stop()
 
-    job_group, stage_group, worst = {}, {}, {"plain": 0, "chunked": 0}
+    job_group, stage_group, worst = {}, {}, {"plain": 0, "chunked": 0, "rollup": 0}
     for path in sorted(glob.glob(os.path.join(logs, "**", "events_*"), recursive=True)):  # rolling log files
         with open(path) as f:
             for line in f:

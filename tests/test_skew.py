@@ -122,3 +122,4 @@ def test_task_metrics_from_event_log():
     worst = json.loads(out.stdout.strip().splitlines()[-1])
     assert worst["plain"] >= worst["hot_rows"]  # the plain window reads the whole hot session in one task
     assert worst["chunked"] < worst["hot_rows"] / 2  # the chunked rank spreads it
+    assert worst["rollup"] < 100  # the rollup folds the hot session map-side: a few partial rows per task
