@@ -2,8 +2,9 @@
 
 Usage: ``python tests/skew_tasks.py <scratch dir>``; prints one JSON line
 ``{"plain": ..., "chunked": ..., "rollup": ..., "hot_rows": n}`` where a value
-is the most shuffle records any single task of that job read: the plain and
-the chunked page rank, and the per-session rollup (partial aggregates).
+is the most shuffle records any single task of that job read (the plain and
+the chunked page rank, the per-session rollup) or wrote to files (copies of a
+hot row: a plain explode and the salted replication).
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
 HOT_ROWS = 6000
+HOT_COPIES = 50_000
 
 
 def run(scratch: str) -> dict[str, int]:
     from pyspark.sql import SparkSession
 
     from trailscope.operators.ranking import rank_pages, rank_pages_plain
+    from trailscope.operators.expand import replicate_rows
     from trailscope.operators.rollup import session_rollup
 
     logs = os.path.join(scratch, "events")
@@ -49,9 +52,17 @@ def run(scratch: str) -> dict[str, int]:
     for name, df in jobs:
         spark.sparkContext.setJobGroup(name, name)
         df.write.format("noop").mode("overwrite").save()
+    # Copies of one hot row, written to files: records written per task.
+    counts = spark.createDataFrame([(999, HOT_COPIES)] + [(k, 2) for k in range(40)], "k long, n long")
+    for name, df in (
+        ("explode", counts.selectExpr("k", "explode(sequence(1L, n)) AS i").drop("i")),
+        ("replicate", replicate_rows(counts, "n", chunk_rows=1000)),
+    ):
+        spark.sparkContext.setJobGroup(name, name)
+        df.write.mode("overwrite").parquet(os.path.join(scratch, name))
     spark.stop()
 
-    job_group, stage_group, worst = {}, {}, {"plain": 0, "chunked": 0, "rollup": 0}
+    job_group, stage_group, worst = {}, {}, {"plain": 0, "chunked": 0, "rollup": 0, "explode": 0, "replicate": 0}
     for path in sorted(glob.glob(os.path.join(logs, "**", "events_*"), recursive=True)):  # rolling log files
         with open(path) as f:
             for line in f:
@@ -66,9 +77,10 @@ def run(scratch: str) -> dict[str, int]:
                     group = stage_group.get(event.get("Stage ID"))
                     metrics = event.get("Task Metrics") or {}
                     read = (metrics.get("Shuffle Read Metrics") or {}).get("Total Records Read", 0)
+                    written = (metrics.get("Output Metrics") or {}).get("Records Written", 0)
                     if group in worst:
-                        worst[group] = max(worst[group], read)
-    return {**worst, "hot_rows": HOT_ROWS}
+                        worst[group] = max(worst[group], written if group in ("explode", "replicate") else read)
+    return {**worst, "hot_rows": HOT_ROWS, "hot_copies": HOT_COPIES}
 
 
 if __name__ == "__main__":

@@ -123,3 +123,5 @@ def test_task_metrics_from_event_log():
     assert worst["plain"] >= worst["hot_rows"]  # the plain window reads the whole hot session in one task
     assert worst["chunked"] < worst["hot_rows"] / 2  # the chunked rank spreads it
     assert worst["rollup"] < 100  # the rollup folds the hot session map-side: a few partial rows per task
+    assert worst["explode"] >= worst["hot_copies"]  # a plain explode writes every copy from one task
+    assert worst["replicate"] <= worst["hot_copies"] / 2  # salted replication spreads them
