@@ -74,3 +74,17 @@ def test_properties_on_driver_data(spark):
                                  "shipping_sessions", "billing_sessions", "thanks_sessions")]
     assert steps == sorted(steps, reverse=True)
     assert q["master_table"](spark, sf).count() == s.total_session  # one row per session and order
+
+
+def test_stored_tables_fall_back_to_derivation(spark, monkeypatch):
+    from trailscope.sources import tables as tables_module
+
+    def refuse(*args, **kwargs):
+        raise RuntimeError("catalog refuses new tables")
+
+    monkeypatch.setattr(tables_module, "store_tables", refuse)
+    monkeypatch.setattr(tables_module, "_FRAMES", {})
+    with pytest.warns(UserWarning, match="deriving them inside each query"):
+        t = tables_module.stored_tables(spark, SF, buckets=3)
+    assert t.order_facts is None and t.sessions.count() == 397
+    assert registry.queries()["bounce_rate"](spark, SF).collect()[0].total_sessions == 35

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import threading
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -159,6 +160,10 @@ def store_tables(spark: SparkSession, tables: WebTables, root: str, buckets: int
 
 def _materialize(spark: SparkSession, sf_dir: str, key: tuple, n: int) -> WebTables:
     tag = hashlib.sha1(repr(key).encode()).hexdigest()[:10]
-    frames = store_tables(spark, load_tables(spark, sf_dir), shared_path(spark, f"tables_{tag}"), n, f"trailscope_{tag}")
+    try:
+        frames = store_tables(spark, load_tables(spark, sf_dir), shared_path(spark, f"tables_{tag}"), n, f"trailscope_{tag}")
+    except Exception as err:  # e.g. a catalog that refuses new tables: same results, derived in each query
+        warnings.warn(f"stored tables unavailable ({type(err).__name__}); deriving them inside each query")
+        frames = load_tables(spark, sf_dir)
     _FRAMES[key] = frames
     return frames
