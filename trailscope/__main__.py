@@ -26,11 +26,11 @@ MARTS = ("master_table", "funnel_table")
 
 def main(argv: list[str] | None = None) -> dict[str, str]:
     parser = argparse.ArgumentParser(prog="trailscope", description=__doc__.split("\n\n")[0])
-    parser.add_argument("--sessions", required=True)
-    parser.add_argument("--pageviews", required=True)
-    parser.add_argument("--orders", required=True)
-    parser.add_argument("--out", required=True)
-    parser.add_argument("--format", choices=("parquet", "csv"), default="parquet")
+    parser.add_argument("--sessions", required=True, help="website sessions CSV (file or folder, with header)")
+    parser.add_argument("--pageviews", required=True, help="website page views CSV")
+    parser.add_argument("--orders", required=True, help="orders CSV")
+    parser.add_argument("--out", required=True, help="output folder (shared storage on a cluster)")
+    parser.add_argument("--format", choices=("parquet", "csv"), default="parquet", help="format of the reports")
     parser.add_argument(
         "--store",
         action="store_true",
