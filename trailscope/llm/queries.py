@@ -98,7 +98,7 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 d AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS hex FROM p),
 g AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS holder FROM d)
 SELECT page_id, payload_bytes,
-       list_aggregate(list_transform(range(0, 32), k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+       list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
            CAST((CAST('0x' || substr(hex, CAST(k // 4 * 5 + 1 AS INT), 5) AS BIGINT) >> CAST(5 * (3 - k % 4) AS INT)) & 31 AS INT) + 1, 1)), 'string_agg', '') AS payload_digest,
        CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = holder THEN NULL ELSE holder END AS refers_to
