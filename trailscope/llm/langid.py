@@ -23,12 +23,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailscope.llm.common import text_udf
+from trailscope.llm.common import store, text_udf
 
 TRAIN_ROWS = 20_000
-MAX_GRAMS = 60_000
+MAX_GRAMS = 50_000
 MAX_N = 5
-MEMO_WORDS = 100_000
+MEMO_WORDS = 300_000
 UNKNOWN = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -47,40 +47,43 @@ class LanguageModel:
 
 
 class _Scorer(dict):
-    """Word -> row of a growing matrix; unseen words are backed off once and remembered (bounded)."""
+    """Word -> row of a matrix: first the known words, then unseen ones, backed off once and remembered up to ``MEMO_WORDS``."""
 
     def __init__(self, model: LanguageModel):
         super().__init__()
-        self.model, self.rows = model, model.rows
-        self.matrix = np.zeros((MEMO_WORDS, max(1, len(model.langs))), np.float64)
+        self.langs = max(1, len(model.langs))
+        self.grams = [(n, {g: tuple(model.table[r].tolist()) for g, r in model.rows[n].items()}) for n in range(MAX_N, 0, -1)]
+        self.known = {w: k for k, w in enumerate(model.rows[0])}
+        self.matrix = np.zeros((len(self.known) + MEMO_WORDS, self.langs))
+        self.matrix[: len(self.known)] = model.table[list(model.rows[0].values())].reshape(-1, self.langs) if self.known else 0
+        self.update(self.known)
 
     def __missing__(self, word: str) -> int:
         k = len(self)
-        if k >= MEMO_WORDS:
+        if k >= len(self.matrix):
             raise MemoryError
-        self.matrix[k] = self.vector(word)
+        self.matrix[k] = self.backoff(word)
         self[word] = k
         return k
 
-    def vector(self, word: str) -> np.ndarray:
-        known = self.rows[0].get(word)
-        if known is not None:
-            return self.model.table[known]
+    def backoff(self, word: str) -> tuple[float, ...]:
+        """Mean over the longest n-grams of the word that are known; zeros where none is."""
         padded = f" {word} "
-        for n in range(MAX_N, 0, -1):
-            found = [r for r in map(self.rows[n].get, (padded[i : i + n] for i in range(len(padded) - n + 1))) if r is not None]
+        for n, rows in self.grams:
+            found = [r for r in map(rows.get, [padded[i : i + n] for i in range(len(padded) - n + 1)]) if r]
             if found:
-                return self.model.table[found].mean(axis=0)
-        return np.zeros(self.matrix.shape[1])
+                return tuple(sum(c) / len(found) for c in zip(*found))
+        return (0.0,) * self.langs
 
     def score(self, words: list[str]) -> np.ndarray:
-        total = np.zeros(self.matrix.shape[1])
+        total = np.zeros(self.langs)
         for at in range(0, len(words), MEMO_WORDS // 2):
             part = words[at : at + MEMO_WORDS // 2]
             try:
                 ids = list(map(self.__getitem__, part))
             except MemoryError:
                 self.clear()
+                self.update(self.known)
                 ids = list(map(self.__getitem__, part))
             total += self.matrix[ids].sum(axis=0)
         return total
@@ -116,7 +119,7 @@ def fit_language_model(df: DataFrame, text_col: str = "text", lang_col: str = "l
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))] + [pa.array(list(out.values()), pa.int64())], ["lang", "n", "gram", "c"])
 
     counted = sample.mapInArrow(grams, "lang string, n int, gram string, c long").groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
-    per_gram = counted.groupBy("n", "gram").agg(F.sum("c").alias("c"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by_lang"))
+    per_gram = store(counted.groupBy("n", "gram").agg(F.sum("c").alias("c"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by_lang")), "language-grams")
     top = []
     for words in (F.col("n") == 0, F.col("n") > 0):
         top += per_gram.where(words).orderBy(F.desc("c"), "n", "gram").limit(max_grams).collect()  # bounded by max_grams
