@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailscope.llm.common import pick
+from trailscope.llm.common import pick, store
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 BUDGET, HISTORY, TURN_TOKENS = 1024, 512, 4
@@ -72,7 +72,7 @@ def format_conversations(turns: DataFrame, budget: int = BUDGET, history: int =
     A long turn is alone in its window, so the turns of a window start within half the budget of each other and
     the last one adds at most the other half.
     """
-    placed = _placed(turns, budget)
+    placed = store(_placed(turns, budget), "chat-turns")  # read by each of the joins below
     key = ["conv", "slot", "longs", "long_turn"]
     fresh = placed.groupBy(*key).agg(F.min("idx").alias("window"), F.min("start").alias("w_start"), F.collect_list(F.struct(F.lit(2).alias("kind"), "idx", "role", "text")).alias("turns"))
     windows = fresh.select(F.col("conv").alias("w_conv"), "window", "w_start")

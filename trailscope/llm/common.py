@@ -81,7 +81,8 @@ def text_udf(schema: str, make: Callable[[], Callable[[list], list[list]]]):
     """An Arrow UDF from a text column to a struct column.
 
     ``make`` runs once per task and returns a function from a list of texts (None
-    for null) to one list per field of ``schema``.
+    for null) to one list per field of ``schema``. The optimizer takes the UDF as
+    nondeterministic, so a filter or a generator on its result does not compute it twice.
     """
     kind = StructType.fromDDL(schema)
     from pyspark.sql.pandas.types import to_arrow_type
@@ -97,7 +98,7 @@ def text_udf(schema: str, make: Callable[[], Callable[[list], list[list]]]):
             yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], fields=list(arrow))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return arrow_udf(run, kind)
+    return arrow_udf(run, kind).asNondeterministic()
 
 
 def in_fold(doc_id: Column, parts: int, fold: int) -> Column:
