@@ -50,7 +50,17 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = step_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.step_path = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete the files of steps that no unfinished result reads any more; large operators bound their disk by it."""
+    for df in stored:
+        context = df.sparkSession.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(df.step_path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def release(spark: SparkSession) -> None:

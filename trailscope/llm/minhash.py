@@ -8,8 +8,9 @@ with a probability below ``1e-6``.
 Equal sets collapse to their smallest id before banding, so groups of exact copies cost one row. In each bucket every member is
 compared with the most connected one (the member with the largest buckets), not with all others: candidates grow with
 the members. Links are confirmed on the full sets. Buckets whose members are then still in several components are searched once more, across
-components only: small ones pair by pair, large ones after a split by a second band (and there again with the most
-connected member where more than ``SMALL`` remain). Components come from alternating large-star and small-star steps on stored edges.
+components only: pair by pair where that is at most ``CROSS`` pairs for each member (so always up to twice as many members, and with a few
+stragglers beside a large component), otherwise after a split by a second band, and there again pair by pair or with the most
+connected member. Components come from alternating large-star and small-star steps on stored edges.
 
 Results: null, empty and blank texts have an empty set and are linked with nothing. Fewer than five words make one shingle. Rows with
 the same id count as one document. A null id is its own component (null) and kept. An empty table gives an
@@ -32,8 +33,8 @@ SHINGLE = 5
 PERMUTATIONS = 60
 ROWS = 5
 BANDS = 2 * PERMUTATIONS // ROWS
-SMALL = 64
-SECOND_BANDS = 6
+CROSS = 6
+SECOND_BANDS = 8
 PERCENT = 85
 _CHUNK = 4096
 
@@ -143,7 +144,7 @@ def star_pairs(members: DataFrame, percent: int) -> DataFrame:
 
 
 def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of members of small buckets in different components; members are (key, id, n, label)."""
+    """(a, b) of members of a bucket in different components; members are (key, id, n, label)."""
     other = members.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
     pairs = members.join(other, "key").where("id < id2 AND label <> label2").where(_similar_sizes("n", "n2", percent))
     return pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
@@ -171,12 +172,12 @@ def components(edges: DataFrame, name: str = "near") -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
 
 
-def _labelled(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """Members with their component's label, of buckets that still span several components."""
-    labels = components(edges)
-    known = store(members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "near-labelled")
-    span = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-    return known.join(store(span.select("key", "size"), "near-open"), "key")
+def _open_buckets(members: DataFrame, name: str) -> DataFrame:
+    """Members (with label) of buckets that span several components, with ``few``: cross pairs are at most ``CROSS`` for each member."""
+    parts = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    span = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("same")).where("parts > 1")
+    few = F.col("size") * F.col("size") - F.col("same") <= 2 * CROSS * F.col("size")
+    return store(members.join(store(span.select("key", few.alias("few")), f"{name}-open"), "key"), f"{name}-left")
 
 
 def near_links(docs: DataFrame, distinct: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -188,23 +189,21 @@ def near_links(docs: DataFrame, distinct: DataFrame, percent: int = PERCENT) ->
     members = store(shared.drop("size").join(degree, "id"), "near-members")
     first = store(star_pairs(members, percent), "near-pairs")
     wanted = members.select("id").distinct()
-    sets = store(full_sets(docs.join(wanted, "id", "left_semi")).dropDuplicates(["id"]), "near-sets")
+    # The ids grow with the corpus, so this is a merge join at every size.
+    sets = store(full_sets(docs.join(wanted.hint("merge"), "id", "left_semi")).dropDuplicates(["id"]), "near-sets")
     links = store(confirm(first, sets, percent), "near-links")
 
-    left = store(_labelled(members, links), "near-left")
+    labelled = members.join(components(links), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    left = _open_buckets(store(labelled, "near-labelled"), "near")
     if left.isEmpty():
         return links
-    small = cross_pairs(left.where(f"size <= {SMALL}"), percent)
-    # Members of a large bucket must also agree on another band: the next few bands split it.
-    large = left.where(f"size > {SMALL}").drop("size")
+    # Members of the other buckets must also agree on a second band: some of the next bands split them.
     near = distinct.select(F.col("id").alias("id2"), "bands")
-    split = large.join(near, F.col("id") == F.col("id2")).select("id", "n", "degree", "label", "band", "key", "bands")
+    split = left.where("NOT few").join(near, F.col("id") == F.col("id2")).select("id", "n", "degree", "label", "band", "key", "bands")
     others = F.transform(F.sequence(F.lit(1), F.lit(SECOND_BANDS)), lambda s: F.element_at("bands", (F.col("band") + s) % BANDS + 1))
     split = split.withColumn("second", F.explode(others)).select(F.xxhash64("key", "second").alias("key"), "id", "n", "degree", "label")
-    split = store(split, "near-split")
-    span = split.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-    split = store(split.join(store(span.select("key", "size"), "near-split-open"), "key"), "near-split-left")
-    pairs = small.unionByName(cross_pairs(split.where(f"size <= {SMALL}"), percent)).unionByName(star_pairs(split.where(f"size > {SMALL}"), percent))
+    split = _open_buckets(store(split, "near-split"), "near-split")
+    pairs = cross_pairs(left.where("few"), percent).unionByName(cross_pairs(split.where("few"), percent)).unionByName(star_pairs(split.where("NOT few"), percent))
     pairs = store(pairs.distinct().join(first, ["a", "b"], "left_anti"), "near-more-pairs")
     return links.unionByName(store(confirm(pairs, sets, percent), "near-more-links"))
 

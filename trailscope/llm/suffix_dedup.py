@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from trailscope.llm.common import spare_name, store
+from trailscope.llm.common import discard, spare_name, store
 
 LENGTH = 200
 GRAM = 16
@@ -225,7 +225,8 @@ def repeat_starts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = df.select(F.xxhash64(df[id_col], df[text_col]).alias("rid"), F.encode(df[text_col], "utf-8").alias("data")).where(F.octet_length("data") >= LENGTH)
     phrases = store(texts.mapInArrow(_parse_batches, "rid long, at long, k long"), "repeat-parse")
     dictionary = store(phrases.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k"), "repeat-dictionary")
-    marked = phrases.join(dictionary, "k").groupBy("rid").agg(F.collect_list("at").alias("ats"))
+    marked = store(phrases.join(dictionary, "k").groupBy("rid").agg(F.collect_list("at").alias("ats")), "repeat-marked")
+    discard(phrases, dictionary)
     stretches = store(texts.join(marked, "rid").mapInArrow(_stretch_batches, "rid long, start long, data binary"), "repeat-stretches")
 
     found = stretches.mapInArrow(_unit_batches, "rid long, span long, k1 long, k2 int, near long")
@@ -240,10 +241,13 @@ def repeat_starts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     packed = F.shiftleft(F.shiftright("span", 32), 32).bitwiseOR(F.shiftleft(F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)), 1)).bitwiseOR(single)
     listed = classes.join(contested, "near").groupBy("rid").agg(F.collect_list(packed).alias("listed"))
     positions = store(stretches.join(listed, "rid").mapInArrow(_position_batches, "rid long, at long, k1 long, k2 int, single boolean"), "repeat-positions")
+    discard(stretches, classes, contested)
     twice = store(positions.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k1", "k2"), "repeat-strings")
     at = F.shiftleft("at", 32).bitwiseOR(F.col("at"))
     fine = positions.where("single").join(twice, ["k1", "k2"]).groupBy("rid").agg(F.collect_list(at).alias("spans"))
-    return whole.unionByName(fine).groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = store(whole.unionByName(fine).groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans")), "repeat-spans")
+    discard(marked, whole, positions, twice)
+    return spans
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "dedup") -> DataFrame:
