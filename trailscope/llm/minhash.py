@@ -34,7 +34,7 @@ PERMUTATIONS = 60
 ROWS = 5
 BANDS = 2 * PERMUTATIONS // ROWS
 CROSS = 6
-SECOND_BANDS = 8
+SECOND_BANDS = 4
 PERCENT = 85
 _CHUNK = 4096
 
