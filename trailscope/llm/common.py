@@ -16,6 +16,9 @@ from trailscope.session import shared_path
 #: A word: a run of characters other than the six ASCII blanks (fixed by the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch that are turned into Python objects at once: bounds a worker's memory with long texts.
+SLICE_ROWS = 128
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -104,13 +107,23 @@ def text_udf(schema: str, make: Callable[[], Callable[[list], list[list]]]):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         work = make()
         for texts in batches:
-            columns = work(texts.to_pylist())
+            columns = [[] for _ in arrow]
+            for at in range(0, len(texts), SLICE_ROWS):  # Python strings of a few rows at a time
+                for column, part in zip(columns, work(texts.slice(at, SLICE_ROWS).to_pylist())):
+                    column.extend(part)
             yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], fields=list(arrow))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return arrow_udf(run, kind).asNondeterministic()
 
 
+def slices(batches):
+    """The rows of Arrow batches, a few at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def in_fold(doc_id: Column, parts: int, fold: int) -> Column:
     """True where crc32 of the id as text, modulo ``parts``, is ``fold`` (null id: false)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == fold, F.lit(False))

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailscope.llm.common import store, text_udf
+from trailscope.llm.common import slices, store, text_udf
 
 TRAIN_ROWS = 20_000
 MAX_GRAMS = 50_000
@@ -105,8 +105,9 @@ def fit_language_model(df: DataFrame, text_col: str = "text", lang_col: str = "l
 
         for batch in batches:
             by_lang: dict[str, Counter] = defaultdict(Counter)
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by_lang[lang].update(_WORDS.findall(text.lower()))
+            for part in slices([batch]):
+                for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    by_lang[lang].update(_WORDS.findall(text.lower()))
             out: dict[tuple[str, int, str], int] = defaultdict(int)
             for lang, words in by_lang.items():
                 for w, c in words.items():

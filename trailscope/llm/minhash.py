@@ -25,9 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
-from trailscope.llm.common import spare_name, store
+from trailscope.llm.common import slices, spare_name, store
 
 SHINGLE = 5
 PERMUTATIONS = 60
@@ -88,7 +87,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         memo = _Words()
-        for batch in batches:
+        for batch in slices(batches):
             n, keys, bands = [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, memo)
@@ -101,34 +100,23 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """(id, shingles) with the sorted hashes as bytes; docs are (id, text)."""
+    """(id, shingles) with the sorted hashes of the whole set; docs are (id, text)."""
 
     def run(batches):
         memo = _Words()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sets = [shingle_set(t, memo).tobytes() for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
+        for part in slices(batches):
+            sets = [shingle_set(t, memo).view(np.int64) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
-    return docs.select(F.col("id").cast("long"), "text").mapInArrow(run, "id long, shingles binary")
+    return docs.select(F.col("id").cast("long"), "text").mapInArrow(run, "id long, shingles array<long>")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-
-    @arrow_udf("boolean")
-    def linked(x: pa.Array, y: pa.Array) -> pa.Array:
-        out = []
-        for p, q in zip(x, y):
-            a, b = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-            both = len(a) + len(b) - len(np.union1d(a, b))
-            out.append(100 * both >= percent * (len(a) + len(b) - both))
-        return pa.array(out, pa.bool_())
-
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").where(linked("sa", "sb")).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("both"), (F.size("sa") + F.size("sb")).alias("total"))
+    return both.where(F.col("both") * 100 >= (F.col("total") - F.col("both")) * percent).select("a", "b")
 
 
 def _similar_sizes(x: str, y: str, percent: int) -> str:

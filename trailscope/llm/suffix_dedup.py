@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from trailscope.llm.common import discard, spare_name, store
+from trailscope.llm.common import discard, slices, spare_name, store
 
 LENGTH = 200
 GRAM = 16
@@ -173,7 +173,7 @@ def _lists(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _by_text(batches, *names: str):
-    for batch in batches:
+    for batch in slices(batches):
         yield from zip(*(_lists(batch.column(c)) if pa.types.is_list(batch.schema.field(c).type) else batch.column(c).to_pylist() for c in names))
 
 

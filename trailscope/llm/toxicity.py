@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailscope.llm.common import sha_order, spare_name, text_udf
+from trailscope.llm.common import sha_order, slices, spare_name, text_udf
 
 BITS = 20
 TRAIN_ROWS = 12_000
@@ -105,16 +105,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         import pyarrow as pa
 
         hashes = _Hashes()
-        for batch in batches:
-            for i, text, label in zip(*(c.to_pylist() for c in batch.columns)):
-                raw = np.unique(features(text, hashes)).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([label], pa.int32()), pa.array([raw], pa.binary())], ["id", "label", "raw"])
+        for part in slices(batches):
+            found = [np.unique(features(t, hashes)).tobytes() for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), pa.array(found, pa.binary())], ["id", "label", "raw"])
 
     def train_task(batches):
         import pyarrow as pa
 
         rows: dict[int, tuple[np.ndarray, int]] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for i, label, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 rows.setdefault((i, raw), (np.frombuffer(raw, np.int32), label))
         ordered = [rows[k] for k in sorted(rows, key=lambda k: (zlib.crc32(str(k[0]).encode()), k))]

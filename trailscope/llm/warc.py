@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailscope.llm.common import step_path, store
+from trailscope.llm.common import slices, step_path, store
 
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 26
@@ -186,7 +186,7 @@ def write_bundles(pages: DataFrame, folder: str, min_bytes: int = 0, level: int
 
         task = TaskContext.get()
         out = _BundleWriter(folder, task.partitionId(), task.taskAttemptId(), level)
-        for batch in batches:
+        for batch in slices(batches):
             for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
                 out.add(page_id, record_bytes(page_id, url, (html or "").encode("utf-8", "surrogatepass"), refers_to))
             yield out.batch()
