@@ -137,7 +137,7 @@ class _BundleWriter:
             self.files, self.folder_path = file_system(self.folder)
             self.files.create_dir(self.folder_path, recursive=True)
             self.temporary = f"{self.folder_path}/.{self.name}-{self.attempt}"
-            self.file, self.frames, self.written = self.files.open_output_stream(self.temporary), [], 0
+            self.file, self.frames, self.written = self.files.open_output_stream(self.temporary, compression=None), [], 0
         self.rows.append((page_id, f"{self.folder}/{self.name}", len(self.frames), len(self.buffer), len(raw)))
         self.buffer += raw
         if len(self.buffer) >= FRAME_BYTES:
