@@ -125,7 +125,7 @@ def test_stored_layout_gives_the_same_reports(spark):
 
     edge = edge_tables(spark)
     stored = store_tables(spark, edge, shared_path(spark, "edge_store"), 4, "trailscope_edge_store")
-    assert stored.order_facts is not None and "created_month" in stored.pageviews.columns
+    assert stored.order_facts is not None and "trailscope_created_month__" in stored.pageviews.columns
     got, want = case_reports(stored), case_reports(edge)
     for name in want:
         a = sorted(map(tuple, got[name].collect()), key=repr)

@@ -208,4 +208,4 @@ def test_month_partitioned_pageviews_prune_and_agree(spark, edge):
     assert rows(bounce_rate(stored, CASE1, ("/home",), GN)) == rows(bounce_rate(edge, CASE1, ("/home",), GN))
     assert rows(funnel_report(stored, CASE4)) == rows(funnel_report(edge, CASE4))
     plan = CASE3.restrict(stored.pageviews)._jdf.queryExecution().executedPlan().toString()
-    assert "created_month" in plan and "PartitionFilters: [isnotnull(created_month" in plan
+    assert "PartitionFilters: [isnotnull(trailscope_created_month__" in plan

@@ -22,7 +22,8 @@ def _ts(value: str | dt.datetime) -> dt.datetime:
 
 
 # Month of ``created_at`` (first day, a DATE): the partition column of stored page views.
-PARTITION_COLUMN = "created_month"
+# The name is reserved: only the storage layout writes it, so no column of a user's input is taken for it.
+PARTITION_COLUMN = "trailscope_created_month__"
 PARTITION_SQL = "trunc(CAST(created_at AS DATE), 'MM')"
 
 
@@ -66,7 +67,7 @@ class ReportWindow:
         month (:data:`PARTITION_COLUMN`), the matching month predicate is added so
         Spark prunes whole partition directories before any file is opened."""
         cond = self.condition(col)
-        if PARTITION_COLUMN in df.columns:
+        if col == "created_at" and PARTITION_COLUMN in df.columns:
             first, last = self.lo.date().replace(day=1), self.hi.date().replace(day=1)
             cond = f"{cond} AND {PARTITION_COLUMN} BETWEEN DATE '{first}' AND DATE '{last}'"
         return df.filter(cond)

@@ -5,12 +5,13 @@ step-1 page and extends to the next page only when both the page position and
 the funnel step rise by one. Along a chain ``position - step`` is therefore
 constant, so every chain lies on one diagonal ``d = position - step`` of its
 session and starts at position ``d + 1``. On a diagonal the chain is the run of
-rows whose steps are 1, 2, 3, ... with no gap: ``row_number() over (session, d
-order by step) = step``. A chain is valid (walked from the first page) iff
+rows whose steps are 1, 2, 3, ... with no gap: ``dense_rank() over (session, d
+order by step) = step``. Page views with equal ids share a position and a step, and the position after
+them is skipped, so such a tie ends its chain, and all its rows belong to it. A chain is valid (walked from the first page) iff
 ``d = 0``.
 
-Each (session, diagonal) partition holds at most one row per step, so the
-window is bounded however long a session is.
+Each (session, diagonal) partition holds at most one row per step and tie, so
+the window stays small however long a session is.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def funnel_chains(ranked: DataFrame, steps: Mapping[str, int] = DEFAULT_STEPS, r
     # One composite window key: a partitioning on the session alone cannot satisfy it.
     return (
         rows.withColumn("__d", E("user_page_step - funnel_step"))
-        .withColumn("__n", E(f"row_number() OVER (PARTITION BY named_struct('s', {SID}, 'd', __d) ORDER BY funnel_step)"))
+        .withColumn("__n", E(f"dense_rank() OVER (PARTITION BY named_struct('s', {SID}, 'd', __d) ORDER BY funnel_step)"))
         .filter("__n = funnel_step")
         .select(
             SID,
@@ -59,8 +60,10 @@ def funnel_depth(first: DataFrame, steps: Mapping[str, int] = DEFAULT_STEPS, ran
     the valid chain covers positions 1..depth with steps 1..depth.
     """
     st = step_sql("pageview_url", steps)
-    bad = f"CASE WHEN ({st}) IS NULL OR ({st}) <> {rank_col} THEN {rank_col} END"
-    return first.groupBy(SID).agg(E(f"CAST(coalesce(min({bad}), max({rank_col}) + 1) - 1 AS INT) AS depth"))
+    # One bit per position whose step fits; the depth is the run of ones from the first bit. A tie skips a bit.
+    mask = f"bit_or(CASE WHEN ({st}) = {rank_col} THEN shiftleft(1L, CAST({rank_col} AS INT) - 1) ELSE 0L END)"
+    run = "aggregate(sequence(0, 62), 0, (n, k) -> IF(n = k AND (shiftright(__mask, k) & 1L) = 1L, n + 1, n))"
+    return first.groupBy(SID).agg(E(f"{mask} AS __mask")).select(SID, E(f"CAST({run} AS INT) AS depth"))
 
 
 def successor_pairs(ranked: DataFrame, steps: Mapping[str, int] = DEFAULT_STEPS, rank_col: str = "rank_page") -> DataFrame:
@@ -68,25 +71,21 @@ def successor_pairs(ranked: DataFrame, steps: Mapping[str, int] = DEFAULT_STEPS,
     ``website_session_id, from_url, to_url, from_step, from_rank``.
 
     Position and step both rise by one, so a pair is two neighbours on one
-    (session, position - step) diagonal: a ``lead()`` over that diagonal finds
-    every pair without joining the page views to themselves.
+    (session, position - step) diagonal, and the earlier one is alone on its step (after a tie the
+    next position is skipped): each row looks back by one step on its diagonal, without joining the page views to themselves.
     """
     stepped = ranked.select(
-        SID, "pageview_url", E(f"{rank_col} AS __rank"), E(f"{step_sql('pageview_url', steps)} AS __step")
+        SID, "pageview_url", E(f"CAST({rank_col} AS INT) AS __rank"), E(f"CAST({step_sql('pageview_url', steps)} AS INT) AS __step")
     ).filter("__step IS NOT NULL")
-    diagonal = f"PARTITION BY named_struct('s', {SID}, 'd', __rank - __step) ORDER BY __step"
+    back = f"OVER (PARTITION BY named_struct('s', {SID}, 'd', __rank - __step) ORDER BY __step RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)"
     return (
-        stepped.select(
-            "*",
-            E(f"lead(pageview_url) OVER ({diagonal}) AS to_url"),
-            E(f"lead(__step) OVER ({diagonal}) AS __next"),
-        )
-        .filter("__next = __step + 1")
+        stepped.select("*", E(f"first_value(pageview_url) {back} AS from_url"), E(f"count(1) {back} AS __before"))
+        .filter("__before > 0")
         .select(
             SID,
-            E("pageview_url AS from_url"),
-            "to_url",
-            E("CAST(__step AS INT) AS from_step"),
-            E("CAST(__rank AS INT) AS from_rank"),
+            "from_url",
+            E("pageview_url AS to_url"),
+            E("__step - 1 AS from_step"),
+            E("__rank - 1 AS from_rank"),
         )
     )

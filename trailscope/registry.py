@@ -49,11 +49,11 @@ E = F.expr
 
 
 def _weekly(window: ReportWindow, dims=(), segment=Segment()) -> Query:
-    return lambda spark, d: weekly_traffic(stored_tables(spark, d).sessions, window, dims, segment, ordered=False)
+    return lambda spark, d: weekly_traffic(stored_tables(spark, d).sessions, window, dims, segment)
 
 
 def _conversion(window: ReportWindow, dims, segment=Segment()) -> Query:
-    return lambda spark, d: conversion_report(stored_tables(spark, d), window, dims, segment, ordered=False)
+    return lambda spark, d: conversion_report(stored_tables(spark, d), window, dims, segment)
 
 
 def _bounce(window: ReportWindow) -> Query:
@@ -127,8 +127,10 @@ def q_semi_join_segment(spark: SparkSession, d: str) -> DataFrame:
 
 def q_anti_join_active(spark: SparkSession, d: str) -> DataFrame:
     pv = window_pageviews(stored_tables(spark, d).pageviews, W)
-    bounced = session_rollup(pv).filter("n_pages = 1").select(SID)
-    return pv.join(bounced, SID, "left_anti").select(*PAGEVIEWS.fieldNames())
+    # A bounced session has one page view, so its id joins the key: a session with many page views spreads over tasks.
+    bounced = pv.groupBy(SID).agg(E("count(1) AS __n"), E("min(website_pageview_id) AS __pv")).filter("__n = 1")
+    bounced = bounced.select(E(f"{SID} AS __sid"), "__pv")
+    return pv.join(bounced, E(f"{SID} <=> __sid AND website_pageview_id <=> __pv"), "left_anti").select(*PAGEVIEWS.fieldNames())
 
 
 def q_anti_join_left_null(spark: SparkSession, d: str) -> DataFrame:
@@ -196,26 +198,26 @@ def queries() -> dict[str, Query]:
         "weekly_traffic": _weekly(W),
         "weekly_traffic_by_source": _weekly(W, SOURCE_DIMS),
         "weekly_traffic_by_device": _weekly(W, ("device_type",), SEGMENT),
-        "top_sources": lambda s, d: top_traffic(stored_tables(s, d).sessions, W, SOURCE_DIMS, ordered=False),
-        "device_split": lambda s, d: top_traffic(stored_tables(s, d).sessions, W, ("device_type",), SEGMENT, ordered=False),
+        "top_sources": lambda s, d: top_traffic(stored_tables(s, d).sessions, W, SOURCE_DIMS),
+        "device_split": lambda s, d: top_traffic(stored_tables(s, d).sessions, W, ("device_type",), SEGMENT),
         "conversion_by_source": _conversion(W, SOURCE_DIMS),
         "conversion_by_device": _conversion(W, ("device_type",), SEGMENT),
         "conversion_segment_update": _original_names(
             "conversion_segment_update", _conversion(W_UPDATE, SOURCE_DIMS, SEGMENT)
         ),
-        "landing_pages": lambda s, d: landing_pages(stored_tables(s, d), W, SEGMENT, ordered=False),
+        "landing_pages": lambda s, d: landing_pages(stored_tables(s, d), W, SEGMENT),
         "bounce_rate": _bounce(W),
         "bounce_rate_update": _original_names("bounce_rate_update", _bounce(W_UPDATE)),
         "weekly_traffic_update": _weekly(W_UPDATE_WEEKS),
         "ab_bounce": _original_names(
-            "ab_bounce", lambda s, d: ab_bounce(stored_tables(s, d), W_AB, AB_PAGES, SEGMENT, ordered=False)
+            "ab_bounce", lambda s, d: ab_bounce(stored_tables(s, d), W_AB, AB_PAGES, SEGMENT)
         ),
         "ab_conversion": _original_names(
             "ab_conversion",
-            lambda s, d: landing_conversion(stored_tables(s, d), W_AB, AB_PAGES, SEGMENT, ordered=False),
+            lambda s, d: landing_conversion(stored_tables(s, d), W_AB, AB_PAGES, SEGMENT),
         ),
         "funnel_report": lambda s, d: funnel_report(stored_tables(s, d), W),
-        "peak_time": lambda s, d: peak_time(stored_tables(s, d).sessions, W, ordered=False),
+        "peak_time": lambda s, d: peak_time(stored_tables(s, d).sessions, W),
         "scorecard": lambda s, d: scorecard(stored_tables(s, d), W),
         "scorecard_strict_outliers": lambda s, d: scorecard(stored_tables(s, d), W, strict_outliers=True),
         "master_table": lambda s, d: master_table(stored_tables(s, d), W),

@@ -51,16 +51,20 @@ def read_csv(
     path: str,
     schema: T.StructType | None = None,
     na_tokens: list[str] = PANDAS_NA_TOKENS,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Read a headered CSV file or directory as text, null the NA tokens, cast by name.
 
+    ``multi_line`` accepts line feeds inside quoted cells, which :func:`write_csv` can
+    write; such files are not split, so each is read by one task.
+
     No ``inferSchema`` pass: the scan is a single read and the types come from
     ``schema``. Quotes are doubled inside quoted cells, as pandas writes them.
     """
     raw = (
         spark.read.option("header", True)
         .option("escape", '"')
-        .option("multiLine", False)
+        .option("multiLine", multi_line)
         .option("mode", "FAILFAST")
         .csv(path)
     )
@@ -75,6 +79,8 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
         .option("header", True)
         .option("escape", '"')
         .option("nullValue", "")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
         .csv(path)
     )

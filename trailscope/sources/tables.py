@@ -7,6 +7,7 @@ import os
 import threading
 import warnings
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,7 +163,7 @@ def _materialize(spark: SparkSession, sf_dir: str, key: tuple, n: int) -> WebTab
     tag = hashlib.sha1(repr(key).encode()).hexdigest()[:10]
     try:
         frames = store_tables(spark, load_tables(spark, sf_dir), shared_path(spark, f"tables_{tag}"), n, f"trailscope_{tag}")
-    except Exception as err:  # e.g. a catalog that refuses new tables: same results, derived in each query
+    except AnalysisException as err:  # a catalog that refuses new tables: same results, derived in each query; all else is raised
         warnings.warn(f"stored tables unavailable ({type(err).__name__}); deriving them inside each query")
         frames = load_tables(spark, sf_dir)
     _FRAMES[key] = frames
