@@ -47,7 +47,7 @@ def run(scratch: str) -> dict[str, int]:
     jobs = (
         ("plain", rank_pages_plain(pv)),
         ("chunked", rank_pages(pv, chunk_width=512)),
-        ("rollup", session_rollup(pv, landing_pages=("/home",))),
+        ("rollup", session_rollup(pv, flag_pages=("/home",))),
     )
     for name, df in jobs:
         spark.sparkContext.setJobGroup(name, name)

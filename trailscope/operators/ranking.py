@@ -17,6 +17,29 @@ def first_pages(pv: DataFrame, k: int, rank_col: str = "rank_page") -> DataFrame
     return pv.withColumn(rank_col, E(f"rank() OVER (PARTITION BY {SID} ORDER BY {PID})")).filter(f"{rank_col} <= {k}")
 
 
+def entry_pages(pv: DataFrame, k: int = 1, page: str = "pageview_url") -> DataFrame:
+    """The first page views of every session: ``website_session_id, page, rank_page, n_views, n_ids``.
+
+    Equal views (same id and ``page``, a SQL text over the page view) of one map
+    task are one row with their number; ``n_ids`` counts those with an id. All
+    views of the smallest id have ``rank_page`` 1; with ``k > 1`` at least ``k``
+    views of each longer session are represented. Views without an id come last.
+
+    Ranks are limited per (session, map task) first, before the shuffle, and
+    equal views folded there, so neither a session nor a page view that holds
+    a third of all rows ends up in one task.
+    """
+    local = pv.select(SID, PID, E(f"{page} AS page"), E(f"named_struct('s', {SID}, 't', spark_partition_id()) AS __key"))
+    local = local.withColumn("__r", E(f"rank() OVER (PARTITION BY __key ORDER BY {PID} NULLS LAST)")).filter(f"__r <= {k}")
+    folded = local.groupBy("__key", PID, "page").agg(E("count(1) AS n_views"), E(f"count({PID}) AS n_ids"))
+    return (
+        folded.select(E(f"__key.s AS {SID}"), PID, "page", "n_views", "n_ids")
+        .withColumn("rank_page", E(f"rank() OVER (PARTITION BY {SID} ORDER BY {PID} NULLS LAST)"))
+        .filter(f"rank_page <= {k}")
+        .select(SID, "page", "rank_page", "n_views", "n_ids")
+    )
+
+
 def rank_pages(pv: DataFrame, chunk_width: int = DEFAULT_CHUNK_WIDTH, rank_col: str = "rank_page") -> DataFrame:
     """Full page rank per session without sorting a whole session in one task.
 

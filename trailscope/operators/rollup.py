@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trailscope.functions.params import ALL_TRAFFIC, ReportWindow, Segment, WebTables, sql_str
 from trailscope.functions.timeparts import micros_between_sql
+from trailscope.operators.ranking import entry_pages
 
 SID = "website_session_id"
 E = F.expr
@@ -28,7 +29,7 @@ def window_pageviews(
     """Page views inside ``window``; with a segment, only those of its sessions.
 
     The segment test is a left-semi join (``EXISTS``) on raw page views; the
-    reports use :func:`segment_facts` instead, which joins after folding per
+    reports use :func:`in_segment` instead, which joins after folding per
     session. The window predicate is pushed into the Parquet scan.
     """
     pv = window.restrict(pageviews)
@@ -45,64 +46,57 @@ def page_index_sql(url: str, pages: Sequence[str]) -> str:
     return f"CASE {arms} ELSE -1 END" if arms else "-1"
 
 
-def session_rollup(
-    pv: DataFrame,
-    flag_pages: Sequence[str] = (),
-    landing_url: bool = False,
-    landing_pages: Sequence[str] = (),
-) -> DataFrame:
-    """One row per session: ``n_pages``, ``first_ts``, ``last_ts`` and landing-page facts.
-
-    ``n_pages`` counts non-null page-view ids (bounce = exactly one). The
-    landing page is the page with the smallest page-view id (rank 1):
-
-    * ``landing_pages``: ``landing_index`` = its position in that list, -1 if
-      it is another page. A fixed-width buffer, so Spark keeps a hash
-      aggregate with map-side partial results.
-    * ``landing_url=True``: ``landing_page`` = the url itself. A string in the
-      aggregation buffer makes Spark sort each map task's rows by session, so
-      it is asked for only where the url is part of the output.
+def session_rollup(pv: DataFrame, flag_pages: Sequence[str] = ()) -> DataFrame:
+    """One row per session: ``n_pages`` (non-null page-view ids; a bounce has exactly one), ``first_ts``, ``last_ts``.
 
     For each url in ``flag_pages`` a 0/1 column ``seen_<i>`` tells whether the
-    session viewed it. All aggregates combine map-side: a session with a third
-    of all page views is folded before the shuffle.
+    session viewed it. All buffers have a fixed width, so Spark keeps a hash
+    aggregate with map-side partial results: a session with a third of all page
+    views is folded before the shuffle.
     """
     aggs = [
         "count(website_pageview_id) AS n_pages",
         "min(created_at) AS first_ts",
         "max(created_at) AS last_ts",
     ]
-    if landing_url:
-        aggs.append("min_by(pageview_url, website_pageview_id) AS landing_page")
-    if landing_pages:
-        aggs.append(f"min_by({page_index_sql('pageview_url', landing_pages)}, website_pageview_id) AS landing_index")
     aggs += [f"max(CAST(pageview_url = {sql_str(p)} AS INT)) AS seen_{i}" for i, p in enumerate(flag_pages)]
     return pv.groupBy(SID).agg(*[E(a) for a in aggs])
 
 
-def segment_facts(
+def in_segment(facts: DataFrame, sessions: DataFrame | None, segment: Segment) -> DataFrame:
+    """The per-session ``facts`` of the segment's sessions.
+
+    Page views are folded per session first and joined second, so the join sees
+    few rows per session and a session with a huge number of page views never
+    lands in one join task. A session's facts depend only on its own page
+    views, so the order of the two steps does not change the result.
+    """
+    if segment.is_all:
+        return facts
+    if sessions is None:
+        raise ValueError("a segment needs the sessions table")
+    return facts.join(segment_sessions(sessions, segment), SID, "left_semi")
+
+
+def entry_facts(
     pageviews: DataFrame,
     window: ReportWindow,
+    pages: Sequence[str],
     sessions: DataFrame | None = None,
     segment: Segment = ALL_TRAFFIC,
-    flag_pages: Sequence[str] = (),
-    landing_url: bool = False,
-    landing_pages: Sequence[str] = (),
 ) -> DataFrame:
-    """:func:`session_rollup` of the in-window page views, kept for the segment's sessions.
+    """One row per session: ``landed_<i>``, its landing views (rank 1) on ``pages[i]``, and ``is_bounce``.
 
-    The rollup runs first and the segment semi-join second: page views are
-    folded per session map-side, so the join sees one row per session and a
-    session with a huge number of page views never lands in one join task.
-    A session's facts depend only on its own page views, so the order of the
-    two steps does not change the result.
+    More than one landing view means a repeated page view. Two entry pages tell
+    a bounce (one page-view id in the window) from any longer visit.
     """
-    facts = session_rollup(window.restrict(pageviews), flag_pages, landing_url, landing_pages)
-    if not segment.is_all:
-        if sessions is None:
-            raise ValueError("a segment needs the sessions table")
-        facts = facts.join(segment_sessions(sessions, segment), SID, "left_semi")
-    return facts
+    entries = entry_pages(window.restrict(pageviews), 2, page_index_sql("pageview_url", pages))
+    landed = [
+        E(f"CAST(sum(CASE WHEN rank_page = 1 AND page = {i} THEN n_views ELSE 0 END) AS BIGINT) AS landed_{i}")
+        for i in range(len(pages))
+    ]
+    facts = entries.groupBy(SID).agg(*landed, E("sum(n_ids) = 1 AS is_bounce"))
+    return in_segment(facts, sessions, segment)
 
 
 def with_activity(rollup: DataFrame, strict_outliers: bool = False) -> DataFrame:

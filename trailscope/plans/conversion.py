@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trailscope.functions.params import ALL_TRAFFIC, ReportWindow, Segment, WebTables, sql_str
 from trailscope.functions.ratios import money_sql, safe_ratio_sql
-from trailscope.operators.rollup import FANOUT_WEIGHT, SID, order_facts, segment_facts
+from trailscope.operators.rollup import FANOUT_WEIGHT, SID, entry_facts, order_facts
 
 E = F.expr
 
@@ -60,21 +60,21 @@ def landing_conversion(
     ``pageview_url, total_sessions, total_orders, conversion_rate, total_sales``.
 
     ``total_orders`` counts *converting sessions* (sales are summed per session
-    first). Landing pages come from the page views inside ``window``; orders are
+    first; a repeated landing view counts once per copy, its session's sales once per pair
+    of copies, as the original joins do). Landing pages come from the page views inside ``window``; orders are
     not limited to the window.
     """
     variants = list(dict.fromkeys(pages))
-    facts = segment_facts(tables.pageviews, window, tables.sessions, segment, landing_pages=variants)
-    names = ", ".join(sql_str(p) for p in variants)
-    landed = facts.filter("landing_index >= 0").select(
-        SID, E(f"element_at(array({names}), landing_index + 1) AS pageview_url")
-    )
+    facts = entry_facts(tables.pageviews, window, variants, tables.sessions, segment)
+    rows = ", ".join(f"named_struct('pageview_url', {sql_str(p)}, 'views', landed_{i})" for i, p in enumerate(variants))
+    every = " + ".join(f"landed_{i}" for i in range(len(variants)))
+    landed = facts.select(SID, E(f"{every} AS all_views"), E(f"inline(array({rows}))")).filter("views > 0")
     per_session = order_facts(tables).select(SID, "sales", E("1 AS __ordered"))
     joined = landed.join(per_session, SID, "left")
     out = joined.groupBy("pageview_url").agg(
-        E(f"CAST(count({SID}) AS BIGINT) AS total_sessions"),
-        E("CAST(count(__ordered) AS BIGINT) AS total_orders"),
-        E(f"{money_sql('sum(sales)')} AS total_sales"),
+        E("CAST(sum(views) AS BIGINT) AS total_sessions"),
+        E("CAST(coalesce(sum(views * __ordered), 0) AS BIGINT) AS total_orders"),
+        E(f"{money_sql('sum(sales * CAST(views * all_views AS DECIMAL(10,0)))')} AS total_sales"),
     )
     out = out.select(
         "pageview_url",

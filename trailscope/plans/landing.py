@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from trailscope.functions.params import ALL_TRAFFIC, ReportWindow, Segment, WebTables, sql_str
 from trailscope.functions.ratios import safe_ratio_sql
-from trailscope.operators.rollup import SID, segment_facts, session_rollup
+from trailscope.operators.ranking import entry_pages
+from trailscope.operators.rollup import SID, entry_facts, in_segment, session_rollup
 
 E = F.expr
 
@@ -24,17 +25,17 @@ def landing_pages(
     """Sessions per landing page: ``pageview_url, total_landing_traffic``.
 
     The landing page is the first page view inside the window; the session must
-    itself start inside the window and, by default, be a first-time visit.
-    The page rollup runs first (folded per session map-side) and one semi-join
-    then keeps the sessions that pass the segment, window and first-visit tests.
+    itself start inside the window and, by default, be a first-time visit. A
+    repeated first page view counts once per copy, as does a repeated session.
+    Landing views are folded per session first; one join then brings the number
+    of session rows that pass the window and first-visit tests.
     """
     cond = f"{window.condition('created_at')} AND {segment.condition()}"
     if first_time_only:
         cond += " AND is_repeat_session = 0"
-    keep = tables.sessions.filter(cond).select(SID)
-    pv = window.restrict(tables.pageviews)
-    facts = session_rollup(pv, landing_url=True).join(keep, SID, "left_semi")
-    out = facts.groupBy(E("landing_page AS pageview_url")).agg(E(f"CAST(count({SID}) AS BIGINT) AS total_landing_traffic"))
+    keep = tables.sessions.filter(cond).groupBy(SID).agg(E("count(1) AS __rows"))
+    landed = entry_pages(window.restrict(tables.pageviews)).join(keep, SID)
+    out = landed.groupBy(E("page AS pageview_url")).agg(E("CAST(sum(n_views * __rows) AS BIGINT) AS total_landing_traffic"))
     if ordered:
         out = out.orderBy(F.col("total_landing_traffic").desc_nulls_first(), F.col("pageview_url").asc_nulls_last())
     return out
@@ -48,10 +49,12 @@ def bounce_rate(
 ) -> DataFrame:
     """One row: ``total_sessions`` landing on ``pages``, ``total_bounces`` (one page
     view in the window) and ``bounce_rate``."""
-    facts = segment_facts(tables.pageviews, window, tables.sessions, segment, landing_pages=list(pages))
+    pages = list(dict.fromkeys(pages))
+    facts = entry_facts(tables.pageviews, window, pages, tables.sessions, segment)
+    landed = " + ".join(f"landed_{i}" for i in range(len(pages))) or "0"
     out = facts.agg(
-        E("CAST(count_if(landing_index >= 0) AS BIGINT) AS total_sessions"),
-        E("CAST(count_if(landing_index >= 0 AND n_pages = 1) AS BIGINT) AS total_bounces"),
+        E(f"CAST(coalesce(sum({landed}), 0) AS BIGINT) AS total_sessions"),
+        E(f"CAST(count_if(is_bounce AND {landed} > 0) AS BIGINT) AS total_bounces"),
     )
     return out.select("*", E(f"{safe_ratio_sql('total_bounces', 'total_sessions')} AS bounce_rate"))
 
@@ -66,17 +69,19 @@ def ab_bounce(
     """Bounce rate per page variant: ``pageview_url, total_sessions, total_bounces, bounce_rate``.
 
     A variant is listed when any page view in the window shows it, even if no
-    session landed there (then its rate is NULL). One pass: the session rollup
-    carries a seen-flag per variant, and one global aggregate folds it.
+    session landed there (then its rate is NULL). Landing views and a seen-flag
+    per variant are folded per session, and one global aggregate folds both.
     """
     variants = list(dict.fromkeys(pages))
-    facts = segment_facts(tables.pageviews, window, tables.sessions, segment, flag_pages=variants, landing_pages=variants)
+    landed = entry_facts(tables.pageviews, window, variants, tables.sessions, segment)
+    seen = session_rollup(window.restrict(tables.pageviews), flag_pages=variants)
+    facts = landed.unionByName(in_segment(seen, tables.sessions, segment), allowMissingColumns=True)
     aggs = []
     for i in range(len(variants)):
         aggs += [
             f"max(seen_{i}) AS s{i}",
-            f"count_if(landing_index = {i}) AS t{i}",
-            f"count_if(landing_index = {i} AND n_pages = 1) AS b{i}",
+            f"coalesce(sum(landed_{i}), 0) AS t{i}",
+            f"count_if(is_bounce AND landed_{i} > 0) AS b{i}",
         ]
     wide = facts.agg(*[E(a) for a in aggs])
     rows = ", ".join(

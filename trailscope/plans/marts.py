@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from trailscope.functions.params import ReportWindow, WebTables
 from trailscope.functions.steps import DEFAULT_STEPS
 from trailscope.operators.expand import replicate_rows
+from trailscope.operators.ranking import entry_pages
 from trailscope.operators.rollup import FANOUT_WEIGHT, SID, order_facts, session_rollup, window_pageviews, with_activity
 from trailscope.plans.funnel import funnel_table
 
@@ -44,14 +45,17 @@ def master_table(tables: WebTables, window: ReportWindow) -> DataFrame:
     and ``session_total_page`` are set for active sessions only. A session
     without page views in the window is ``active_session`` with no landing page.
 
-    Built from one row per session (page rollup and order counts joined one to
-    one), then expanded by the order count with :func:`replicate_rows`, which
+    A repeated first page view multiplies its session's rows. Built from one row
+    per session and landing page (page rollup, landing views and order counts
+    joined), then expanded by copies times orders with :func:`replicate_rows`, which
     spreads a session with a huge number of orders over many tasks.
     """
-    facts = with_activity(session_rollup(window_pageviews(tables.pageviews, window), landing_url=True))
+    pv = window_pageviews(tables.pageviews, window)
+    facts = with_activity(session_rollup(pv))
+    landing = entry_pages(pv).select(SID, E("page AS landing_page"), "n_views")
     orders = order_facts(tables).select(SID, "n_orders")
     sessions = tables.sessions.filter(window.contains("created_at"))
-    rows = sessions.join(facts, SID, "left").join(orders, SID, "left")
+    rows = sessions.join(facts, SID, "left").join(landing, SID, "left").join(orders, SID, "left")
     shaped = rows.select(
         "user_id",
         SID,
@@ -66,7 +70,7 @@ def master_table(tables: WebTables, window: ReportWindow) -> DataFrame:
         # Hundredths of a minute, rounded half up with integer arithmetic (exact).
         E("CAST((active_micros + 300000) div 600000 AS DOUBLE) / 100.0D AS session_duration"),
         E("CAST(active_pages AS BIGINT) AS session_total_page"),
-        E(f"{FANOUT_WEIGHT} AS __copies"),
+        E(f"{FANOUT_WEIGHT} * coalesce(n_views, 1) AS __copies"),
     )
     return replicate_rows(shaped, "__copies").select(*MASTER_COLUMNS)
 

@@ -15,11 +15,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailscope.functions.params import ReportWindow, Segment
+from trailscope.functions.params import ReportWindow, Segment, WebTables
 from trailscope.functions.steps import step_sql
 from trailscope.operators import quality
 from trailscope.operators.chains import successor_pairs
-from trailscope.operators.ranking import rank_pages
+from trailscope.operators.expand import replicate_rows
+from trailscope.operators.ranking import entry_pages, rank_pages
 from trailscope.operators.rollup import SID, session_rollup, window_pageviews, with_activity
 from trailscope.plans.conversion import conversion_report, landing_conversion
 from trailscope.plans.cases import SINGULAR_COLUMNS
@@ -32,9 +33,10 @@ from trailscope.session import shared_path
 from trailscope.sources.csv_io import read_csv, write_csv
 from trailscope.sources.schemas import ORDERS, PAGEVIEWS, SESSIONS
 
-TABLE_SCHEMAS = {"sessions": SESSIONS, "pageviews": PAGEVIEWS, "orders": ORDERS}
 from trailscope.sources.tables import load_raw_tables, stored_tables
 
+TABLE_SCHEMAS = {"sessions": SESSIONS, "pageviews": PAGEVIEWS, "orders": ORDERS}
+
 # Report parameters on the driver data's calendar.
 W = ReportWindow.of("2024-01-01 00:00:00", "2024-01-28 23:59:59")  # four whole Monday weeks
 W_UPDATE_WEEKS = ReportWindow.of("2024-01-15 00:00:00", "2024-01-28 23:59:59")  # re-check, whole weeks
@@ -69,9 +71,44 @@ def _null_profile(table: str) -> Query:
     return lambda spark, d: quality.null_profile(getattr(load_raw_tables(spark, d), table))
 
 
-def _duplicates(table: str) -> Query:
+def _duplicates(table: str, load=stored_tables) -> Query:
     cols = TABLE_SCHEMAS[table].fieldNames()
-    return lambda spark, d: quality.duplicate_rows(getattr(stored_tables(spark, d), table).select(*cols))
+    return lambda spark, d: quality.duplicate_rows(getattr(load(spark, d), table).select(*cols))
+
+
+def repeated_tables(spark: SparkSession, d: str) -> WebTables:
+    """The web tables with every fourth page view, fifth session and third order row a second time:
+    the original flow reports repeated rows and leaves them in, so the reports must count them."""
+    t = stored_tables(spark, d)
+
+    def twice(df: DataFrame, rows: str) -> DataFrame:
+        return df.unionByName(df.filter(rows))
+
+    return WebTables(
+        twice(t.sessions, f"{SID} % 5 = 0"), twice(t.pageviews, "website_pageview_id % 4 = 0"), twice(t.orders, f"{SID} % 3 = 0")
+    )
+
+
+#: Queries that are registered a second time, as ``<name>_repeated``, over :func:`repeated_tables`.
+REPEATED_QUERIES: dict[str, Query] = {
+    "conversion_by_source": lambda s, d: conversion_report(repeated_tables(s, d), W, SOURCE_DIMS),
+    "landing_pages": lambda s, d: landing_pages(repeated_tables(s, d), W, SEGMENT),
+    "bounce_rate": lambda s, d: bounce_rate(repeated_tables(s, d), W, ("/home",), SEGMENT),
+    "ab_bounce": lambda s, d: ab_bounce(repeated_tables(s, d), W_AB, AB_PAGES, SEGMENT).withColumnsRenamed(SINGULAR_COLUMNS["ab_bounce"]),
+    "ab_conversion": lambda s, d: landing_conversion(repeated_tables(s, d), W_AB, AB_PAGES, SEGMENT).withColumnsRenamed(
+        SINGULAR_COLUMNS["ab_conversion"]
+    ),
+    "funnel_report": lambda s, d: funnel_report(repeated_tables(s, d), W),
+    "funnel_table": lambda s, d: funnel_table(repeated_tables(s, d), W),
+    "scorecard": lambda s, d: scorecard(repeated_tables(s, d), W),
+    "master_table": lambda s, d: master_table(repeated_tables(s, d), W),
+    "successor_join": lambda s, d: successor_pairs(
+        rank_pages(W.restrict(repeated_tables(s, d).pageviews).select(SID, "website_pageview_id", "pageview_url"))
+    ),
+    "duplicate_rows_sessions": _duplicates("sessions", repeated_tables),
+    "duplicate_rows_pageviews": _duplicates("pageviews", repeated_tables),
+    "duplicate_rows_orders": _duplicates("orders", repeated_tables),
+}
 
 
 def _active_facts(spark: SparkSession, d: str) -> DataFrame:
@@ -84,8 +121,8 @@ def q_page_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_session_landing_page(spark: SparkSession, d: str) -> DataFrame:
-    facts = session_rollup(window_pageviews(stored_tables(spark, d).pageviews, W), landing_url=True)
-    return facts.select(SID, "landing_page")
+    landed = entry_pages(W.restrict(stored_tables(spark, d).pageviews))
+    return landed.select(SID, E("page AS landing_page"), "n_views").transform(lambda df: replicate_rows(df, "n_views")).drop("n_views")
 
 
 def q_bounce_sessions(spark: SparkSession, d: str) -> DataFrame:
@@ -251,4 +288,4 @@ def queries() -> dict[str, Query]:
         "union_all": q_union_all,
         "desc_nulls_first_sort": q_desc_nulls_first_sort,
         "mart_roundtrip": q_mart_roundtrip,
-    }
+    } | {f"{name}_repeated": query for name, query in REPEATED_QUERIES.items()}
