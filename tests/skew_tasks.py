@@ -46,7 +46,7 @@ def run(scratch: str) -> dict[str, int]:
     pv = pv.selectExpr("*", "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, website_pageview_id) AS created_at")
     jobs = (
         ("plain", rank_pages_plain(pv)),
-        ("chunked", rank_pages(pv, chunk_width=512)),
+        ("chunked", rank_pages(pv, chunk_rows=512)),
         ("rollup", session_rollup(pv, flag_pages=("/home",))),
     )
     for name, df in jobs:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
+
 from trailscope.functions.params import ReportWindow
 from trailscope.operators.chains import funnel_chains, funnel_depth, successor_pairs
 from trailscope.sources.csv_io import read_csv, write_csv
@@ -34,3 +36,16 @@ def test_csv_keeps_blanks_and_line_feeds(spark, tmp_path):
     df = spark.createDataFrame([(c,) for c in cells], "c string")
     write_csv(df, f"file://{tmp_path}/c")
     assert sorted(r.c for r in read_csv(spark, f"file://{tmp_path}/c", multi_line=True).collect()) == sorted(cells)
+
+
+def test_integers_written_as_decimals(spark):
+    """pandas writes an integer column with missing values as 1.0; a true fraction is refused."""
+    text = spark.createDataFrame([("1.0", "2.5"), ("12", "3.0"), (None, "4")], "a string, b string")
+    from pyspark.sql import types as T
+
+    from trailscope.sources.schemas import cast_by_name
+
+    ints = cast_by_name(text, T.StructType([T.StructField("a", T.LongType())]))
+    assert [r.a for r in ints.collect()] == [1, 12, None]
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        cast_by_name(text, T.StructType([T.StructField("b", T.IntegerType())])).collect()

@@ -32,7 +32,7 @@ def random_pageviews(spark, seed: int, sessions: int = 40):
 @pytest.mark.parametrize("width", [1, 3, 16])
 def test_chunked_rank_equals_rank(spark, width):
     pv = random_pageviews(spark, 7)
-    a = sorted(map(tuple, rank_pages(pv, chunk_width=width).collect()))
+    a = sorted(map(tuple, rank_pages(pv, chunk_rows=width).collect()))
     b = sorted(map(tuple, rank_pages_plain(pv).collect()))
     assert a == b
 
@@ -42,7 +42,7 @@ def test_chunked_rank_keeps_ties(spark):
         [(5, 1, "/a"), (5, 1, "/b"), (9, 1, "/c"), (2, 1, "/d")],
         "website_pageview_id long, website_session_id long, pageview_url string",
     )
-    got = sorted((r.pageview_url, r.rank_page) for r in rank_pages(pv, chunk_width=4).collect())
+    got = sorted((r.pageview_url, r.rank_page) for r in rank_pages(pv, chunk_rows=4).collect())
     assert got == [("/a", 2), ("/b", 2), ("/c", 4), ("/d", 1)]
 
 
@@ -66,7 +66,7 @@ def test_diagonal_chains_equal_a_walk(spark, seed):
             ends += [(k + 1, q) for q in at.get((k + 1, p.step + 1), [])]
     key = lambda t: tuple((x is None, x if x is not None else 0) for x in t)
     want = sorted(walked, key=key)
-    got = sorted((tuple(r) for r in funnel_chains(rank_pages(pv, chunk_width=4)).collect()), key=key)
+    got = sorted((tuple(r) for r in funnel_chains(rank_pages(pv, chunk_rows=4)).collect()), key=key)
     assert got == want
     # Depth from the first seven pages equals the longest valid chain.
     depth = {r.website_session_id: r.depth for r in funnel_depth(first_pages(pv, 7)).collect()}
@@ -135,7 +135,7 @@ def test_rank_and_replication_properties(spark):
                 pid += gaps
                 rows.append((pid, sid, "/home"))
         pv = spark.createDataFrame(rows, "website_pageview_id long, website_session_id long, pageview_url string")
-        assert sorted(map(tuple, rank_pages(pv, chunk_width=width).collect())) == sorted(
+        assert sorted(map(tuple, rank_pages(pv, chunk_rows=width).collect())) == sorted(
             map(tuple, rank_pages_plain(pv).collect())
         )
         counts = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "k long, n long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
@@ -11,7 +12,8 @@ from trailscope.functions.params import ReportWindow, WebTables
 from trailscope.functions.steps import DEFAULT_STEPS
 from trailscope.operators.chains import funnel_chains
 from trailscope.operators.expand import replicate_rows
-from trailscope.operators.ranking import rank_pages, rank_pages_plain
+from trailscope import registry
+from trailscope.operators.ranking import entry_pages, rank_pages, rank_pages_plain
 from trailscope.plans.conversion import conversion_report
 from trailscope.plans.marts import master_table
 from trailscope.sources.schemas import ORDERS, PAGEVIEWS, SESSIONS
@@ -53,14 +55,14 @@ def partitions_of(df, sid: int = HOT) -> int:
 
 def test_chunked_rank_spreads_a_hot_session(spark):
     pv = hot_pageviews(spark)
-    ranked = rank_pages(pv, chunk_width=256)
+    ranked = rank_pages(pv, chunk_rows=256)
     assert sorted(map(tuple, ranked.collect())) == sorted(map(tuple, rank_pages_plain(pv).collect()))
     assert partitions_of(ranked) > 1  # the plain window puts the whole session in one task
     assert partitions_of(rank_pages_plain(pv)) == 1
 
 
 def test_chain_window_spreads_a_hot_session(spark):
-    chains = funnel_chains(rank_pages(hot_pageviews(spark), chunk_width=256))
+    chains = funnel_chains(rank_pages(hot_pageviews(spark), chunk_rows=256))
     assert chains.filter(f"website_session_id = {HOT}").count() > 100
     assert partitions_of(chains) > 1
 
@@ -90,20 +92,58 @@ def test_reports_exact_with_a_hot_ordering_session(spark):
     assert rep == {"gsearch": (4000, 4000, "4000.00"), "bsearch": (1, 1, "10.00")}
     from trailscope.operators import expand
 
-    # The master table has one row per order of the hot session, built in chunks.
+    # The master table has one row per order of the hot session, built in chunks of at most 500 copies.
     original = expand.DEFAULT_CHUNK_ROWS
+    expand.DEFAULT_CHUNK_ROWS = 500
     try:
         mart = master_table(tables, window)
         assert mart.filter(f"website_session_id = {HOT}").count() == 4000
+        assert partitions_of(mart) > 1
     finally:
         expand.DEFAULT_CHUNK_ROWS = original
 
 
+def test_rank_of_sparse_ids(spark):
+    """Ids far apart give no more parts than dense ones, and the same ranks."""
+    dense = hot_pageviews(spark)
+    sparse = dense.withColumn("website_pageview_id", F.expr("website_pageview_id * 4194304L * 65536L"))
+    ranked = rank_pages(sparse, chunk_rows=256)
+    assert sorted(map(tuple, ranked.collect())) == sorted(map(tuple, rank_pages_plain(sparse).collect()))
+    assert 1 < partitions_of(ranked)
+
+
+def test_entry_pages_fold_repeated_views(spark):
+    """A first page view that holds most rows is one row per map task before the sessions are brought together."""
+    rows = [(1, HOT, "/home")] * 5000 + [(2, HOT, "/products"), (3, 1, "/home"), (4, 1, "/cart"), (None, 2, "/cart")]
+    pv = spark.createDataFrame(rows, "website_pageview_id long, website_session_id long, pageview_url string").repartition(4)
+    found = {}
+    for r in entry_pages(pv, 2).collect():
+        key = (r.website_session_id, r.rank_page if r.page == "/home" else 0, r.page)
+        found[key] = found.get(key, 0) + r.n_views
+    assert found[(HOT, 1, "/home")] == 5000 and found[(1, 1, "/home")] == 1 and found[(2, 0, "/cart")] == 1
+    assert entry_pages(pv).filter(f"website_session_id = {HOT}").count() <= 4
+
+
+def test_segment_semi_join_shuffles_bucketed_sessions(spark):
+    """Both sides of the join of raw page views must be shuffled, else adaptive execution can't split a hot session."""
+    sf = "/root/testdata/sf0.001"
+    if not os.path.exists(sf):
+        pytest.skip("driver data not present")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = registry.q_semi_join_segment(spark, sf)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ENSURE_REQUIREMENTS") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_chain_window_reshuffles_input_partitioned_by_session(spark):
     # Input partitioned by session alone must not satisfy the (session, diagonal) window.
     pv = hot_pageviews(spark)
     from_plain = funnel_chains(rank_pages_plain(pv))
-    from_chunked = funnel_chains(rank_pages(pv, chunk_width=256))
+    from_chunked = funnel_chains(rank_pages(pv, chunk_rows=256))
     assert sorted(map(tuple, from_plain.collect())) == sorted(map(tuple, from_chunked.collect()))
     assert partitions_of(from_plain) > 1
 

@@ -13,16 +13,17 @@ def _num_tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def replicate_rows(df: DataFrame, count: str, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+def replicate_rows(df: DataFrame, count: str, chunk_rows: int | None = None) -> DataFrame:
     """Emit every row ``count`` times (``count`` is SQL text; rows with ``count <= 0`` vanish).
 
-    Rows needing at most ``chunk_rows`` copies are expanded where they are, with
+    Rows needing at most ``chunk_rows`` (:data:`DEFAULT_CHUNK_ROWS`) copies are expanded where they are, with
     no shuffle. A hot row (one session with a third of all orders, one group of
     identical rows) is first cut into chunk descriptors, which are hash-spread
     over the shuffle partitions by an explicit-count repartition (AQE does not
     coalesce it back into one task), and only then expanded. When no row is
     hot, Spark prunes that branch as an empty relation.
     """
+    chunk_rows = chunk_rows or DEFAULT_CHUNK_ROWS
     cols = df.columns
     tagged = df.withColumn("__n", E(f"CAST({count} AS BIGINT)"))
     small = (

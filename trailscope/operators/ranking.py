@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 SID = "website_session_id"
 PID = "website_pageview_id"
-DEFAULT_CHUNK_WIDTH = 1 << 20
+DEFAULT_CHUNK_ROWS = 1 << 20
 E = F.expr
 
 
@@ -40,37 +40,37 @@ def entry_pages(pv: DataFrame, k: int = 1, page: str = "pageview_url") -> DataFr
     )
 
 
-def rank_pages(pv: DataFrame, chunk_width: int = DEFAULT_CHUNK_WIDTH, rank_col: str = "rank_page") -> DataFrame:
+def rank_pages(pv: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS, rank_col: str = "rank_page") -> DataFrame:
     """Full page rank per session without sorting a whole session in one task.
 
-    Page-view ids are cut into id ranges of ``chunk_width``. The rows per
-    (session, chunk) are counted with a partial aggregate, a running sum over
-    the (small) count table gives each chunk's offset, and the rank inside a
-    chunk is a window over at most ``chunk_width`` ids. ``rank = offset +
-    rank in chunk`` equals ``RANK()`` over the whole session, ties included.
+    Page-view ids are cut into equal id ranges that hold ``chunk_rows`` page
+    views on average, measured over all ids (a scalar subquery over that one
+    column), so sparse ids give no more ranges than dense ones. The rows per
+    (session, range) are counted with a partial aggregate, a running sum over
+    the (small) count table gives the offset of each range, and the rank inside
+    a range is a window. ``rank = offset + rank in range`` equals ``RANK()``
+    over the whole session, ties included. Ranges that start a session need no
+    offset and are left out of the join.
 
     The join and the inner window use one composite key ``struct(session,
-    chunk)``: a partitioning on the session alone cannot satisfy it, so
+    range)``: a partitioning on the session alone cannot satisfy it, so
     whatever join strategy Spark picks at run time, a session holding a third
-    of all page views is spread over its chunks.
+    of all page views is spread over its ranges.
     """
-    keyed = pv.withColumn("__chunk", E(f"CAST(floor({PID} / {chunk_width}) AS BIGINT)"))
-    counts = keyed.groupBy(SID, "__chunk").agg(E("count(1) AS __n"))
-    offsets = counts.select(
-        E(f"named_struct('s', {SID}, 'c', __chunk) AS __key"),
-        E(
-            f"coalesce(sum(__n) OVER (PARTITION BY {SID} ORDER BY __chunk "
-            "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS __off"
-        ),
-    )
-    ranked = (
-        keyed.withColumn("__key", E(f"named_struct('s', {SID}, 'c', __chunk)"))
-        .join(offsets, "__key")
-        .withColumn(rank_col, E(f"CAST(__off + rank() OVER (PARTITION BY __key ORDER BY {PID}) AS INT)"))
+    span = f"(max(CAST({PID} AS DOUBLE)) - min(CAST({PID} AS DOUBLE)) + 1) / count({PID})"
+    width = pv.agg(E(f"greatest(1.0D, {span}) * {chunk_rows} AS width")).scalar()
+    # Casts and divisions of doubles are monotone, so the ranges keep the order of the ids; rows without an id come first.
+    chunk = F.coalesce(F.floor(F.col(PID).cast("double") / width).cast("bigint"), F.lit(-(1 << 62)))
+    keyed = pv.withColumn("__key", F.struct(F.col(SID).alias("s"), chunk.alias("c")))
+    counts = keyed.groupBy("__key").agg(E("count(1) AS __n"))
+    before = "OVER (PARTITION BY __key.s ORDER BY __key.c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    offsets = counts.select("__key", E(f"sum(__n) {before} AS __off")).filter("__off > 0")
+    ranked = keyed.join(offsets, "__key", "left").withColumn(
+        rank_col, E(f"CAST(coalesce(__off, 0) + rank() OVER (PARTITION BY __key ORDER BY {PID}) AS INT)")
     )
     return ranked.select(*pv.columns, rank_col)
 
 
 def rank_pages_plain(pv: DataFrame, rank_col: str = "rank_page") -> DataFrame:
-    """The textbook window form (one sort per session); kept as a test oracle."""
+    """The textbook window form (one sort per session)."""
     return pv.withColumn(rank_col, E(f"rank() OVER (PARTITION BY {SID} ORDER BY {PID})"))

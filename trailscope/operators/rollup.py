@@ -36,7 +36,8 @@ def window_pageviews(
     if not segment.is_all:
         if sessions is None:
             raise ValueError("a segment needs the sessions table")
-        pv = pv.join(segment_sessions(sessions, segment), SID, "left_semi")
+        # A computed key: bucketed sessions are shuffled as well, so adaptive execution can split a hot session.
+        pv = pv.join(segment_sessions(sessions, segment).select(E(f"{SID} ^ 0 AS {SID}")), SID, "left_semi")
     return pv
 
 

@@ -11,7 +11,7 @@ from trailscope.functions.params import ALL_TRAFFIC, ReportWindow, Segment, WebT
 from trailscope.functions.ratios import safe_ratio_sql
 from trailscope.functions.steps import DEFAULT_FUNNEL_COLUMNS, DEFAULT_STEPS, max_step
 from trailscope.operators.chains import funnel_chains, funnel_depth
-from trailscope.operators.ranking import DEFAULT_CHUNK_WIDTH, first_pages, rank_pages
+from trailscope.operators.ranking import DEFAULT_CHUNK_ROWS, first_pages, rank_pages
 from trailscope.operators.rollup import SID, segment_sessions
 
 E = F.expr
@@ -59,10 +59,10 @@ def funnel_table(
     tables: WebTables,
     window: ReportWindow,
     steps: Mapping[str, int] = DEFAULT_STEPS,
-    chunk_width: int = DEFAULT_CHUNK_WIDTH,
+    chunk_rows: int = DEFAULT_CHUNK_ROWS,
 ) -> DataFrame:
     """Every funnel chain that starts at a step-1 page, valid or not:
     ``website_session_id, pageview_url, funnel_step, user_page_step, is_valid_step``
     (``is_valid_step`` = 1 for the chain from page 1, else NULL)."""
     pv = window.restrict(tables.pageviews).select(SID, "website_pageview_id", "pageview_url")
-    return funnel_chains(rank_pages(pv, chunk_width), steps)
+    return funnel_chains(rank_pages(pv, chunk_rows), steps)

@@ -37,6 +37,8 @@ def shared_root(spark: SparkSession) -> str:
         root = context.getCheckpointDir()
     if not root:
         warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if context is not None and not context.master.startswith("local") and warehouse.startswith(("file:", "/")):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a shared folder: the warehouse {warehouse} may be local to one machine")
         root = f"{warehouse.rstrip('/')}/_trailscope_shared"
         if context is not None:
             context.setCheckpointDir(root)

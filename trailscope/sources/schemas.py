@@ -55,7 +55,15 @@ def cast_by_name(df: DataFrame, schema: T.StructType, keep_extra: bool = True) -
     def q(name: str) -> str:
         return "`" + name.replace("`", "``") + "`"
 
-    cols = [F.expr(f"CAST({q(f.name)} AS {f.dataType.simpleString()}) AS {q(f.name)}") for f in schema.fields]
+    def cast(f: T.StructField) -> str:
+        name, target = q(f.name), f.dataType.simpleString()
+        if isinstance(f.dataType, T.IntegralType) and isinstance(df.schema[f.name].dataType, T.StringType):
+            # pandas writes an integer column with missing values as 1.0; a true fraction still fails.
+            whole = f"regexp_replace({name}, '[.]0*[ ]*$', '')"
+            return f"CAST({whole} AS {target}) AS {name}"
+        return f"CAST({name} AS {target}) AS {name}"
+
+    cols = [F.expr(cast(f)) for f in schema.fields]
     if keep_extra:
         cols += [F.expr(q(c)) for c in df.columns if c not in wanted]
     return df.select(*cols)
