@@ -1,4 +1,4 @@
-"""Write PLANS.md: the executed physical plan shape of every registered query.
+"""Write PLANS.md: the executed physical plan shape of every registered report query.
 
 Usage: ``python tests/plan_report.py [sf_dir] [out.md]``. Each query runs twice:
 as planned at this scale (AQE may broadcast small sides), and with broadcast
@@ -35,7 +35,7 @@ def shape(plan: str) -> dict[str, int]:
 
 
 def run(spark, sf_dir: str) -> dict[str, dict[str, int]]:
-    from __spark_entry__ import queries
+    from trailscope.registry import queries
 
     out = {}
     for name, fn in queries().items():
@@ -60,7 +60,7 @@ def main() -> None:
     lines = [
         "# PLANS",
         "",
-        f"Executed physical plans of every registered query on `{sf_dir}` (`local[8]`, 8 shuffle partitions, AQE on),",
+        f"Executed physical plans of every registered report query on `{sf_dir}` (`local[8]`, 8 shuffle partitions, AQE on),",
         "counted by operator. Generated by `tests/plan_report.py`; the plans of single queries come from",
         "`df.explain(\"formatted\")`.",
         "",
@@ -69,7 +69,6 @@ def main() -> None:
         "  large. Sessions are bucketed by session id, so their side of a sort-merge join has no exchange; the",
         "  session rollups are hash-partitioned by the same key and need no second shuffle either.",
         "",
-        "`SortAgg` appears only where the landing-page url itself is output (a string aggregation buffer);",
         "`Expand` (from multiple distinct counts) appears nowhere; `GroupLimit` is the partial + final pair that",
         "limits rows per session before the shuffle.",
         "",
