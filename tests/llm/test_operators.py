@@ -202,6 +202,23 @@ def test_near_duplicates_match_brute_force(spark, docs, texts):
     assert minhash.near_duplicates(_empty(spark)).count() == 0
 
 
+def test_links_within_a_family_that_shares_a_template(spark):
+    rng = random.Random(12)
+    template = _prose(rng, 844)
+    rows, tails = [], []
+    for k in range(60):  # pairwise 0.84; 11 more shared shingles (0.86) make a link
+        own = [f"w{k}x{j}" for j in range(80)]
+        if k >= 40:
+            own[:11] = tails[k - 40][:11]
+        tails.append(own)
+        rows.append((k, f"{template} {' '.join(own)}"))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split(" ")]}
+    linked = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert linked == {(k, k + 40) for k in range(20)}
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k - 40 if k >= 40 else k for k in range(60)}
+
+
 def test_components_on_chains(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, 60), (60, 80)]
     got = {r.id: r.label for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -9,8 +9,8 @@ Equal sets collapse to their smallest id before banding, so groups of exact copi
 compared with the most connected one (the member with the largest buckets), not with all others: candidates grow with
 the members. Links are confirmed on the full sets. Buckets whose members are then still in several components are searched once more, across
 components only: pair by pair where that is at most ``CROSS`` pairs for each member (so always up to twice as many members, and with a few
-stragglers beside a large component), otherwise after a split by a second band, and there again pair by pair or with the most
-connected member. Components come from alternating large-star and small-star steps on stored edges.
+stragglers beside a large component), otherwise by an exact prefix-filter join (``prefix_pairs``) over the members of all such buckets. So
+each pair that shares a bucket is linked, excluded or in one component. Components come from alternating large-star and small-star steps on stored edges.
 
 Results: null, empty and blank texts have an empty set and are linked with nothing. Fewer than five words make one shingle. Rows with
 the same id count as one document. A null id is its own component (null) and kept. An empty table gives an
@@ -33,8 +33,8 @@ PERMUTATIONS = 60
 ROWS = 5
 BANDS = 2 * PERMUTATIONS // ROWS
 CROSS = 6
-SECOND_BANDS = 4
 PERCENT = 85
+_COUNT_BITS = 18
 _CHUNK = 4096
 
 _rng = np.random.default_rng(85)
@@ -138,6 +138,54 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
 
 
+def prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(token, id, n, label, pos, short) of the first shingles of each member's set, the rarest first; members are (id, n, label).
+
+    Sets that are similar share a shingle among the first ``n - percent * n + 1`` of the larger and, with ``short``, the first
+    ``n - 2 * percent / (100 + percent) * n + 1`` of the smaller one. This holds in any order common to all sets; shingles are
+    counted by their first ``_COUNT_BITS`` bits, which bounds what the tasks receive.
+    """
+    rows = store(sets.join(members, "id"), "near-open-sets")
+    counted = rows.select(F.explode("shingles").alias("s")).groupBy(F.shiftrightunsigned("s", 64 - _COUNT_BITS).alias("k")).agg(F.count(F.lit(1)).alias("c")).toArrow()
+    counts = np.zeros(1 << _COUNT_BITS, np.int64)
+    counts[counted["k"].to_numpy()] = counted["c"].to_numpy()
+
+    def run(batches):
+        for part in slices(batches):
+            columns = [[], [], [], [], [], []]
+            for i, n, label, shingles in zip(*(part.column(c).to_pylist() for c in ("id", "n", "label")), part.column("shingles")):
+                s = shingles.values.to_numpy().view(np.uint64)
+                order = np.lexsort((s, counts[s >> np.uint64(64 - _COUNT_BITS)]))
+                size = n - (percent * n + 99) // 100 + 1
+                pos = np.arange(size)
+                short = pos <= n - -(-2 * percent * n // (100 + percent))
+                for c, v in zip(columns, (s[order[:size]].view(np.int64), np.full(size, i), np.full(size, n), np.full(size, label), pos, short)):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["token", "id", "n", "label", "pos", "short"])
+
+    return rows.select("id", "n", "label", "shingles").mapInArrow(run, "token long, id long, n long, label long, pos long, short boolean")
+
+
+def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of all members in different components that can be similar, by an exact prefix-filter join; members are (id, n, label).
+
+    Under each shingle only members outside its largest component meet all others, so that component isn't paired with itself.
+    """
+    rows = store(prefixes(members, sets, percent), "near-prefixes")
+    parts = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"), F.max("short").alias("short"))
+    tokens = parts.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.max("short").alias("any"), F.max(F.struct("c", "label"))["label"].alias("main")).where("parts > 1 AND any")
+    rows = store(rows.join(store(tokens.select("token", "main"), "near-tokens"), "token").withColumn("rest", F.col("label") != F.col("main")).drop("main"), "near-token-rows")
+    other = rows.select("token", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "label", "pos", "rest")])
+
+    def met(small: DataFrame, large: DataFrame) -> DataFrame:
+        # All that two sets share comes at or after the first shared shingle.
+        pairs = small.join(large, "token").where("label <> label2 AND n <= n2").where(_similar_sizes("n", "n2", percent))
+        pairs = pairs.where(f"least(n - pos, n2 - pos2) * {100 + percent} >= {percent} * (n + n2)")
+        return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+    return met(rows.where("short AND rest"), other).unionByName(met(rows.where("short AND NOT rest"), other.where("rest2"))).distinct()
+
+
 def components(edges: DataFrame, name: str = "near") -> DataFrame:
     """(id, label): smallest reachable id of every id in ``edges`` (a, b).
 
@@ -185,13 +233,10 @@ def near_links(docs: DataFrame, distinct: DataFrame, percent: int = PERCENT) ->
     left = _open_buckets(store(labelled, "near-labelled"), "near")
     if left.isEmpty():
         return links
-    # Members of the other buckets must also agree on a second band: some of the next bands split them.
-    near = distinct.select(F.col("id").alias("id2"), "bands")
-    split = left.where("NOT few").join(near, F.col("id") == F.col("id2")).select("id", "n", "degree", "label", "band", "key", "bands")
-    others = F.transform(F.sequence(F.lit(1), F.lit(SECOND_BANDS)), lambda s: F.element_at("bands", (F.col("band") + s) % BANDS + 1))
-    split = split.withColumn("second", F.explode(others)).select(F.xxhash64("key", "second").alias("key"), "id", "n", "degree", "label")
-    split = _open_buckets(store(split, "near-split"), "near-split")
-    pairs = cross_pairs(left.where("few"), percent).unionByName(cross_pairs(split.where("few"), percent)).unionByName(star_pairs(split.where("NOT few"), percent))
+    pairs = cross_pairs(left.where("few"), percent)
+    large = store(left.where("NOT few").select("id", "n", "label").distinct(), "near-large")
+    if not large.isEmpty():
+        pairs = pairs.unionByName(prefix_pairs(large, sets, percent))
     pairs = store(pairs.distinct().join(first, ["a", "b"], "left_anti"), "near-more-pairs")
     return links.unionByName(store(confirm(pairs, sets, percent), "near-more-links"))
 
