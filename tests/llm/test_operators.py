@@ -202,6 +202,13 @@ def test_near_duplicates_match_brute_force(spark, docs, texts):
     assert minhash.near_duplicates(_empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("percent", [50, 70, 80, 85, 95])
+def test_bands_follow_the_threshold(percent):
+    rows = minhash.band_rows(percent)
+    bands = len(minhash.band_keys(np.arange(9, dtype=np.uint64), rows))
+    assert bands * rows == 2 * minhash.PERMUTATIONS and (1 - (percent / 100) ** rows) ** bands < 1e-6
+
+
 def test_links_within_a_family_that_shares_a_template(spark):
     rng = random.Random(12)
     template = _prose(rng, 844)

@@ -1,9 +1,9 @@
 """Near-duplicate detection by min-max hashing.
 
 A document's set holds the hashes of its distinct 5-word shingles. Under each of ``PERMUTATIONS`` hash functions both the minimum and the
-maximum are kept, which gives two unbiased signature values for one pass of hashing. ``BANDS`` bands of ``ROWS`` values (a minimum and a
-maximum of the same function are never in one band) put documents into buckets: at a similarity of 0.85 a pair shares none
-with a probability below ``1e-6``.
+maximum are kept, which gives two unbiased signature values for one pass of hashing. Bands of ``band_rows(percent)`` values (a minimum and a
+maximum of the same function are never in one band) put documents into buckets: a pair at the threshold shares none
+with a probability below ``MISS`` (24 bands of 5 at 0.85, 30 of 4 at 0.80).
 
 Equal sets collapse to their smallest id before banding, so groups of exact copies cost one row. In each bucket every member is
 compared with the most connected one (the member with the largest buckets), not with all others: candidates grow with
@@ -30,8 +30,7 @@ from trailscope.llm.common import slices, spare_name, store
 
 SHINGLE = 5
 PERMUTATIONS = 60
-ROWS = 5
-BANDS = 2 * PERMUTATIONS // ROWS
+MISS = 1e-6
 CROSS = 6
 PERCENT = 85
 _COUNT_BITS = 18
@@ -40,7 +39,7 @@ _CHUNK = 4096
 _rng = np.random.default_rng(85)
 _MUL = _rng.integers(1 << 62, size=PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(1 << 63, size=PERMUTATIONS, dtype=np.uint64)
-_FOLD = _rng.integers(1 << 62, size=ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FOLD = _rng.integers(1 << 62, size=PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _rng.integers(1 << 62, size=SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MEMO_WORDS = 200_000
 
@@ -72,18 +71,27 @@ def shingle_set(text: str | None, memo: _Words) -> np.ndarray:
     return np.unique(_mix(sum(h[k : k + m] * _PLACE[k] for k in range(SHINGLE))))
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
+def band_rows(percent: int) -> int:
+    """The most values a band may have so that a pair at the threshold shares no band with a probability below ``MISS``."""
+    for rows in range(PERMUTATIONS, 0, -1):
+        if PERMUTATIONS % rows == 0 and (1 - (percent / 100) ** rows) ** (2 * PERMUTATIONS // rows) < MISS:
+            return rows
+    raise ValueError(f"{2 * PERMUTATIONS} signature values are too few for {percent} percent")
+
+
+def band_keys(shingles: np.ndarray, rows: int) -> np.ndarray:
     """One 64-bit key per band from the minima and maxima under all hash functions."""
     low, high = np.full(PERMUTATIONS, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(PERMUTATIONS, np.uint64)
     for at in range(0, len(shingles), _CHUNK):
         values = _MUL[:, None] * shingles[None, at : at + _CHUNK] + _ADD[:, None]
         low, high = np.minimum(low, values.min(axis=1)), np.maximum(high, values.max(axis=1))
-    rows = np.concatenate([low, high]).reshape(BANDS, ROWS)
-    return _mix((_mix(rows) * _FOLD).sum(axis=1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+    bands = np.concatenate([low, high]).reshape(-1, rows)
+    return _mix((_mix(bands) * _FOLD[:rows]).sum(axis=1) + np.arange(len(bands), dtype=np.uint64)).view(np.int64)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, set_key, bands) of docs (id, text); set_key identifies equal sets, null bands for empty ones."""
+    rows = band_rows(percent)
 
     def run(batches):
         memo = _Words()
@@ -93,7 +101,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 s = shingle_set(text, memo)
                 n.append(len(s))
                 keys.append(blake2b(s.tobytes(), digest_size=16).digest())
-                bands.append(band_keys(s) if len(s) else None)
+                bands.append(band_keys(s, rows) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "n_shingles", "set_key", "bands"])
 
     return docs.select(F.col("id").cast("long"), "text").mapInArrow(run, "id long, n_shingles long, set_key binary, bands array<long>")
@@ -244,7 +252,7 @@ def near_links(docs: DataFrame, distinct: DataFrame, percent: int = PERCENT) ->
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per input row: doc_id, n_shingles, component_id, kept (is the component's smallest id)."""
     docs = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
-    signed = store(signatures(docs), "near-signatures")
+    signed = store(signatures(docs, percent), "near-signatures")
     linkable = signed.where("n_shingles > 0 AND id IS NOT NULL")
     distinct = store(linkable.groupBy("set_key").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "near-distinct")
     # An id may stand for several texts; then it has several sets and links through each of them.
