@@ -157,6 +157,21 @@ def test_contamination_matches_brute_force(spark, docs):
     assert decontam.find_contamination(table, bench.limit(0)).count() == 0
 
 
+def test_parts_of_long_items_and_short_items_are_found():
+    rng = random.Random(21)
+    words = [f"{_prose(rng, 1)}{k}" for k in range(300)]
+    index = decontam.BenchmarkIndex([(1, " ".join(words)), (2, "Blue whale"), (3, "日本"), (None, "..."), (None, "odd one")])
+    part = index.find(f"lead {' '.join(words[:270])} tail")
+    assert {r["item"] for r in part} == {1} and all(r["edits"] == 0 for r in part)
+    assert {r["item"] for r in index.find(" ".join(words[113:188]))} == {1}  # 75 words hold a window wherever they start
+    assert index.find(" ".join(words[100:140])) == []
+    whole = index.find(f"x {' '.join(words)}")
+    assert whole == [{"item": 1, "start": 2, "length": len(" ".join(words)), "edits": 0}]
+    assert index.find("A BLUE, whale!") == [{"item": 2, "start": 2, "length": 11, "edits": 0}]
+    assert index.find("blue whales") == [] and [r["item"] for r in index.find("私は日本人")] == [3]
+    assert [r["item"] for r in index.find("odd one, blue whale")] == [2, None]
+
+
 def test_banded_alignment_matches_full_table():
     rng = random.Random(4)
     for _ in range(60):

@@ -6,11 +6,14 @@ document with up to ``e = min(RATE * m, (m - Q) // Q)`` edits. An occurrence wit
 apart from its first. So shared q-grams are counted in overlapping diagonal bands of width ``2 * (e + 1)``, only bands that reach the bound stay,
 and each of them is verified by banded alignment of the whole item; the filter itself loses nothing.
 
+An item of more than ``WINDOW`` words is also searched by its windows of ``WINDOW`` words, ``STEP`` words apart and each with its own ``e``, so a quoted
+part is found when it holds a whole window (always from ``WINDOW + STEP`` words on). A window counts where it overlaps no better occurrence of its item.
+Items with fewer than ``MIN_CHARS`` characters are matched exactly, between word ends; scripts that don't separate words have one at each character.
+
 The benchmark is taken in blocks of about ``BLOCK_CHARS`` characters by a hash of its rows, so what tasks receive is bounded at any
 benchmark size; each block is searched in all documents, whole texts.
 
-Results: null and empty texts have no hit. Items with fewer than ``MIN_CHARS`` characters are too short to tell and are left out, null
-items too. Repeated documents and repeated items each get their own rows. Empty tables give an empty result; extra columns are ignored.
+Results: null and empty texts have no hit. Null items and items without a letter or digit are left out. Repeated documents and repeated items each get their own rows. Empty tables give an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,9 +31,13 @@ from trailscope.llm.common import spare_name, text_udf
 Q = 12
 RATE = 0.06
 MIN_CHARS = 24
+WINDOW = 50
+STEP = 25
 BLOCK_CHARS = 2_000_000
 _TABLE_BITS = 22
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Scripts written without blanks: Thai, Lao and Tibetan, Myanmar, Khmer, East Asian.
+_UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xABFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 _BLANK = np.array([not chr(c).isalnum() for c in range(1 << 16)])
 
 HITS = "array<struct<item: bigint, start: int, length: int, edits: int>>"
@@ -58,6 +65,23 @@ def gram_hashes(points: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def word_breaks(points: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each place from 0 to the length of the folded text, whether a word may start or end there."""
+    out = np.ones(len(points) + 1, bool)
+    unspaced = np.zeros(len(points), bool)
+    for low, high in _UNSPACED:
+        unspaced |= (points >= low) & (points <= high)
+    out[1:-1] = (np.diff(at) > 1) | unspaced[1:] | unspaced[:-1]
+    return out
+
+
+def item_windows(points: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Folded windows of ``WINDOW`` words of an item with more words, the last one at its end."""
+    ends = np.flatnonzero(word_breaks(points, at))
+    last = len(ends) - 1 - WINDOW
+    return [points[ends[k] : ends[k + WINDOW]] for k in sorted({*range(0, last, STEP), last})] if last > 0 else []
+
+
 def edit_budget(m: int) -> int:
     return max(0, min(math.floor(RATE * m), (m - Q) // Q))
 
@@ -100,12 +124,17 @@ class BenchmarkIndex:
     """Folded items of one block with the postings of their q-grams."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.items = [], []
-        for i, text in items:
-            points, _ = fold(text)
+        self.ids, self.items, self.source, self.short = [], [], [], {}
+        for source, (i, text) in enumerate(items):
+            points, at = fold(text)
             if len(points) >= MIN_CHARS:
-                self.ids.append(i)
-                self.items.append(points)
+                for part in [points, *(w for w in item_windows(points, at) if len(w) >= MIN_CHARS)]:
+                    self.ids.append(i)
+                    self.items.append(part)
+                    self.source.append(source)
+            elif len(points):
+                self.short.setdefault(len(points), {}).setdefault(points.tobytes(), []).append(i)
+        self.whole = np.append(True, np.diff(self.source) > 0)
         grams = [gram_hashes(p) for p in self.items]
         every = np.concatenate([np.zeros(0, np.uint64), *grams])
         owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -120,9 +149,33 @@ class BenchmarkIndex:
 
     def find(self, text: str | None) -> list[dict]:
         """Occurrences (item, start, length, edits) in one whole text; of overlapping ones of an item the best, then the first."""
-        if not text or not self.items:
+        if not text or not (self.items or self.short):
             return []
         points, origin = fold(text)
+        out = self.find_long(points, origin) + self.find_short(points, origin)
+        return sorted(out, key=lambda r: (r["item"] is None, r["item"] or 0, r["start"]))
+
+    def find_short(self, points: np.ndarray, origin: np.ndarray) -> list[dict]:
+        """Exact occurrences of the items under ``MIN_CHARS``, between word ends; of overlapping ones of an item the first."""
+        out = []
+        if not self.short or not len(points):
+            return out
+        breaks = word_breaks(points, origin)
+        raw = points.tobytes()
+        for size, items in self.short.items():
+            starts = np.flatnonzero(breaks[: max(0, len(breaks) - size)] & breaks[size:])
+            ends: dict[bytes, int] = {}
+            for s in starts.tolist():
+                same = items.get(key := raw[4 * s : 4 * (s + size)])
+                if same and s >= ends.get(key, 0):
+                    ends[key] = s + size
+                    start = int(origin[s])
+                    out += [{"item": i, "start": start, "length": int(origin[s + size - 1]) + 1 - start, "edits": 0} for i in same]
+        return out
+
+    def find_long(self, points: np.ndarray, origin: np.ndarray) -> list[dict]:
+        if not self.items:
+            return []
         h = gram_hashes(points)
         at = np.flatnonzero(self.table[h >> np.uint64(64 - _TABLE_BITS)])
         if not len(at):
@@ -137,7 +190,7 @@ class BenchmarkIndex:
         band = diagonal // half
         span = len(points) + (1 << 24)
         keys, counts = np.unique(np.concatenate([owner * span + band, owner * span + band - 1]) + (1 << 23), return_counts=True)
-        found: dict[int, list[tuple[int, int, int]]] = {}
+        found: dict[int, list[tuple[bool, int, int, int, int]]] = {}
         for key, c in zip(keys.tolist(), counts.tolist()):
             item, b = key // span, key % span - (1 << 23)
             if c < self.bound[item]:
@@ -145,16 +198,16 @@ class BenchmarkIndex:
             e = int(self.budget[item])
             hit = banded_alignment(self.items[item], points, b * (e + 1) - e, (b + 2) * (e + 1) - 1 + e, e)
             if hit:
-                found.setdefault(item, []).append(hit)
+                found.setdefault(self.source[item], []).append((not self.whole[item], *hit, item))
         out = []
-        for item, hits in found.items():
+        for hits in found.values():
             taken: list[tuple[int, int]] = []
-            for edits, s, e in sorted(hits):
+            for _, edits, s, e, item in sorted(hits):  # whole items before windows
                 if all(e <= a or s >= b for a, b in taken):
                     taken.append((s, e))
                     start = int(origin[s])
                     out.append({"item": self.ids[item], "start": start, "length": int(origin[e - 1]) + 1 - start, "edits": edits})
-        return sorted(out, key=lambda r: (r["item"], r["start"]))
+        return out
 
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> Iterator[BenchmarkIndex]:
