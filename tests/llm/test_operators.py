@@ -241,6 +241,24 @@ def test_links_within_a_family_that_shares_a_template(spark):
     assert got == {k: k - 40 if k >= 40 else k for k in range(60)}
 
 
+def test_links_do_not_depend_on_the_search_bound(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CROSS", 0)  # every open bucket goes to the prefix-filter join
+    rng = random.Random(14)
+    template, rows = _prose(rng, 210), []
+    for k in range(12):
+        own = [f"w{k % 8}x{j}" for j in range(4)] + [f"v{k}x{j}" for j in range(14 + k % 3)]
+        rows.append((k, f"{template} {' '.join(own)}"))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split(" ")]}
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 87 * len(sets[a] | sets[b])]
+    label = {i: i for i in sets}
+    for _ in sets:
+        for a, b in linked:
+            label[a] = label[b] = min(label[a], label[b])
+    assert 1 < len(set(label.values())) < 12
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=87).collect()}
+    assert got == label
+
+
 def test_components_on_chains(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, 60), (60, 80)]
     got = {r.id: r.label for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
