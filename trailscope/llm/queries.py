@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailscope.llm import chat, decontam, langid, minhash, mixing, quality, sharding, suffix_dedup, toxicity, warc
-from trailscope.llm.common import in_fold, store
+from trailscope.llm import chat, decontam, langid, line_dedup, minhash, mixing, periodic, quality, sharding, suffix_dedup, toxicity, warc, whitening
+from trailscope.llm.common import WORD, in_fold, store
 
 #: Fixed by the contract: the text that both turns of the added conversation say.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
@@ -88,8 +88,50 @@ def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *numbers, "base_failed", F.col("name").isNull().alias("kept"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", whitening.lattice(F.col("embedding")).alias("x")).where("x IS NOT NULL")
+    rows = store(vectors, "whiten-rows")
+    model = whitening.fit_whitening(rows)
+    found = whitening.whiten(rows, model).select("vec_id", "whitened.deviation", F.posexplode("whitened.whitened").alias("at", "whitened"))
+    explained = F.array(*[F.lit(float(e)) for e in (model.explained if model else [])]).cast("array<double>")
+    return found.select(
+        "vec_id", (F.col("at") + 1).cast("int").alias("component"),
+        F.lit(model.n if model else 0).cast("long").alias("n"), "deviation", "whitened",
+        F.get(explained, F.col("at")).alias("explained"),
+        F.lit(model.identity_error if model else None).cast("double").alias("identity_error"),
+    )
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """The contract's texts (doc_id, text): from word ``a`` on, a tenth of the documents repeat ``p`` words."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.withColumns({"g": F.floor(h / 10), "words": F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)))})
+    placed = chosen.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    placed = placed.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    taken = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    return placed.select("doc_id", F.when(F.col("n") > 0, F.array_join(taken, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_planted_periods(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic.find_runs(docs).select("doc_id", "repeats.*")
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.dedup_lines(docs).select("doc_id", "lines.*")
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_suffix_dedup, op2_warc, op3_sharding, op4_source_mix, op5_language_id, op6_decontamination, op7_toxicity, op8_minhash, op9_chat_format, op10_quality_cascade)
+    found = (op1_suffix_dedup, op2_warc, op3_sharding, op4_source_mix, op5_language_id, op6_decontamination, op7_toxicity, op8_minhash, op9_chat_format, op10_quality_cascade, op11_whitening, op12_periodic_runs, op13_line_dedup)
     return {f.__name__: f for f in found}
 
 
