@@ -347,6 +347,24 @@ def _duplicates(table: str, cols: list[str]) -> str:
     )
 
 
+RANGE_JOIN_STEPS = _sql(
+    f"""SELECT c.website_session_id, CAST(c.step AS INTEGER) AS funnel_step, v.website_pageview_id
+FROM chain_stops AS c JOIN website_pageviews AS v
+     ON v.website_session_id = c.website_session_id AND {W.sql('v.created_at')}
+WHERE c.place = c.step""",
+    _visits(W),
+    STOPS,
+    CHAIN_STOPS,
+)
+
+RANGE_JOIN_FIRST_HOUR = _sql(
+    f"""SELECT s.website_session_id, s.created_at AS started_at, v.website_pageview_id, v.created_at, v.pageview_url
+FROM website_sessions AS s JOIN website_pageviews AS v
+     ON v.website_session_id = s.website_session_id AND v.created_at BETWEEN s.created_at AND s.created_at + INTERVAL 1 HOUR
+WHERE {W_AB.sql('s.created_at')} AND {SEG}"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
     pv = ", ".join(PAGEVIEW_COLS)
     first_seen = "min(created_at) FILTER (is_repeat_session = 0)"
@@ -417,6 +435,8 @@ FROM website_sessions ANTI JOIN (FROM website_pageviews WHERE {W_AB.sql('created
 WHERE {W.sql('created_at')}"""
         ),
         "successor_join": SUCCESSORS,
+        "range_join_steps": RANGE_JOIN_STEPS,
+        "range_join_first_hour": RANGE_JOIN_FIRST_HOUR,
         "distinct_users": _sql(
             f"""SELECT count(*) AS total_user, CAST(count_if(repeats) AS BIGINT) AS repeat_user
 FROM (SELECT user_id, bool_or(is_repeat_session = 1) AS repeats

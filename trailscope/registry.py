@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from trailscope.functions.params import ReportWindow, Segment, WebTables
 from trailscope.functions.steps import step_sql
 from trailscope.operators import quality
-from trailscope.operators.chains import successor_pairs
+from trailscope.operators.chains import funnel_chains, successor_pairs
 from trailscope.operators.expand import replicate_rows
+from trailscope.operators.range_join import join_in_range
 from trailscope.operators.ranking import entry_pages, rank_pages
 from trailscope.operators.rollup import SID, session_rollup, window_pageviews, with_activity
 from trailscope.plans.conversion import conversion_report, landing_conversion
@@ -105,6 +106,8 @@ REPEATED_QUERIES: dict[str, Query] = {
     "successor_join": lambda s, d: successor_pairs(
         rank_pages(W.restrict(repeated_tables(s, d).pageviews).select(SID, "website_pageview_id", "pageview_url"))
     ),
+    "range_join_steps": lambda s, d: _range_join_steps(repeated_tables(s, d)),
+    "range_join_first_hour": lambda s, d: _range_join_first_hour(repeated_tables(s, d)),
     "duplicate_rows_sessions": _duplicates("sessions", repeated_tables),
     "duplicate_rows_pageviews": _duplicates("pageviews", repeated_tables),
     "duplicate_rows_orders": _duplicates("orders", repeated_tables),
@@ -183,6 +186,19 @@ def q_successor_join(spark: SparkSession, d: str) -> DataFrame:
     return successor_pairs(rank_pages(pv.select(SID, "website_pageview_id", "pageview_url")))
 
 
+def _range_join_steps(tables: WebTables) -> DataFrame:
+    """Every step of a session's valid chain with each page view of the session in the window (the original funnel's last join)."""
+    pv = W.restrict(tables.pageviews).select(SID, "website_pageview_id", "pageview_url")
+    steps = funnel_chains(rank_pages(pv)).filter("is_valid_step = 1").select(SID, "funnel_step")
+    return join_in_range(steps, tables.pageviews, W, ("website_pageview_id",))
+
+
+def _range_join_first_hour(tables: WebTables) -> DataFrame:
+    """The page views of the segment's sessions in the hour after each session's start."""
+    started = tables.sessions.filter(f"{W_AB.condition('created_at')} AND {SEGMENT.condition()}").select(SID, E("created_at AS started_at"))
+    return join_in_range(started, tables.pageviews, ("started_at", "started_at + INTERVAL '1' HOUR"))
+
+
 def q_distinct_users(spark: SparkSession, d: str) -> DataFrame:
     s = stored_tables(spark, d).sessions.filter(W.contains("created_at"))
     per_user = s.groupBy("user_id").agg(E("max(is_repeat_session = 1) AS repeat"))
@@ -283,6 +299,8 @@ def queries() -> dict[str, Query]:
         "anti_join_active": q_anti_join_active,
         "anti_join_left_null": q_anti_join_left_null,
         "successor_join": q_successor_join,
+        "range_join_steps": lambda s, d: _range_join_steps(stored_tables(s, d)),
+        "range_join_first_hour": lambda s, d: _range_join_first_hour(stored_tables(s, d)),
         "distinct_users": q_distinct_users,
         "conditional_distinct": q_conditional_distinct,
         "union_all": q_union_all,
