@@ -401,6 +401,15 @@ def oracle_sql() -> dict[str, str]:
         "duplicate_rows_pageviews": _duplicates("website_pageviews", PAGEVIEW_COLS),
         "duplicate_rows_orders": _duplicates("website_orders", ORDER_COLS),
         "csv_roundtrip": _sql("SELECT * FROM website_sessions"),
+        "csv_inferred": _sql(
+            """SELECT website_session_id, CAST(items_purchased AS BIGINT) AS items_purchased, CAST(price_usd AS DOUBLE) AS price_usd,
+       CAST(cogs_usd AS DOUBLE) AS cogs_usd,
+       CASE WHEN website_session_id % 100 = 7 THEN 'gift' ELSE CAST(items_purchased AS VARCHAR) END AS note,
+       CASE WHEN website_session_id % 3 <> 0 THEN CAST(items_purchased AS DOUBLE) END AS discount,
+       website_session_id % 2 = 0 AS is_gift, CASE WHEN website_session_id % 2 = 0 THEN 15.0::DOUBLE ELSE 7.0::DOUBLE END AS weight,
+       CAST(NULL AS DOUBLE) AS coupon
+FROM website_orders"""
+        ),
         "page_rank": _sql(
             """SELECT website_session_id, pid AS website_pageview_id, url AS pageview_url, CAST(place AS INTEGER) AS rank_page
 FROM stops""",

@@ -239,6 +239,21 @@ def q_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return read_csv(spark, path, SESSIONS)
 
 
+def q_csv_inferred(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with columns of mixed cells, written as text and read back without a schema."""
+    mixed = stored_tables(spark, d).orders.select(
+        *ORDERS.fieldNames(),
+        E(f"CASE WHEN {SID} % 100 = 7 THEN 'gift' ELSE CAST(items_purchased AS STRING) END AS note"),
+        E(f"CASE WHEN {SID} % 3 = 0 THEN 'NA' ELSE CAST(items_purchased AS STRING) END AS discount"),
+        E(f"CASE WHEN {SID} % 2 = 0 THEN 'True' ELSE 'false' END AS is_gift"),
+        E(f"CASE WHEN {SID} % 2 = 0 THEN '1.50e1' ELSE ' 7' END AS weight"),
+        E("'n/a' AS coupon"),
+    )
+    path = shared_path(spark, "csv_inferred/orders")
+    write_csv(mixed, path)
+    return read_csv(spark, path, infer=True)
+
+
 def q_mart_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     path = shared_path(spark, "marts/master_table")
     write_mart(master_table(stored_tables(spark, d), W), path)
@@ -287,6 +302,7 @@ def queries() -> dict[str, Query]:
         "duplicate_rows_pageviews": _duplicates("pageviews"),
         "duplicate_rows_orders": _duplicates("orders"),
         "csv_roundtrip": q_csv_roundtrip,
+        "csv_inferred": q_csv_inferred,
         # Building blocks and single operators
         "page_rank": q_page_rank,
         "session_landing_page": q_session_landing_page,

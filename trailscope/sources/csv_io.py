@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailscope.functions.params import sql_str
+from trailscope.sources.inference import infer_types
 from trailscope.sources.schemas import cast_by_name
 
 # The text cells pandas ``read_csv`` reads as missing by default.
@@ -52,14 +53,17 @@ def read_csv(
     schema: T.StructType | None = None,
     na_tokens: list[str] = PANDAS_NA_TOKENS,
     multi_line: bool = False,
+    infer: bool = False,
 ) -> DataFrame:
     """Read a headered CSV file or directory as text, null the NA tokens, cast by name.
 
+    The columns of ``schema`` get its types; with ``infer``, the other columns get the types
+    that all their cells allow (:mod:`trailscope.sources.inference`, one pass over the file), else they stay text.
+
     ``multi_line`` accepts line feeds inside quoted cells, which :func:`write_csv` can
     write; such files are not split, so each is read by one task.
 
-    No ``inferSchema`` pass: the scan is a single read and the types come from
-    ``schema``. Quotes are doubled inside quoted cells, as pandas writes them.
+    Quotes are doubled inside quoted cells, as pandas writes them.
     """
     raw = (
         spark.read.option("header", True)
@@ -69,18 +73,25 @@ def read_csv(
         .csv(path)
     )
     df = normalize_na(raw, na_tokens)
+    if infer:
+        known = schema.fieldNames() if schema is not None else []
+        df = infer_types(df, [c for c in df.columns if c not in known])
     return cast_by_name(df, schema) if schema is not None else df
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write a headered CSV directory; NULL as an empty cell, no index column."""
+    """Write a headered CSV directory; NULL as an empty cell, no index column.
+
+    Zone-free timestamps are written as the input has them, ``2012-03-19 08:04:16``, with a fraction only where there is one.
+    """
+    times = {f.name: F.col("`" + f.name.replace("`", "``") + "`").cast("string") for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)}
     (
-        df.write.mode(mode)
+        df.withColumns(times)
+        .write.mode(mode)
         .option("header", True)
         .option("escape", '"')
         .option("nullValue", "")
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
-        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
         .csv(path)
     )

@@ -44,12 +44,12 @@ def read_parquet_tables(spark: SparkSession, sessions: str, pageviews: str, orde
     )
 
 
-def read_csv_tables(spark: SparkSession, sessions: str, pageviews: str, orders: str) -> WebTables:
-    """The raw CSV exports of the site, with pandas NA tokens read as NULL."""
+def read_csv_tables(spark: SparkSession, sessions: str, pageviews: str, orders: str, infer: bool = False) -> WebTables:
+    """The raw CSV exports of the site, with pandas NA tokens read as NULL; ``infer`` also types the columns outside the schemas."""
     return WebTables(
-        read_csv(spark, sessions, SESSIONS),
-        read_csv(spark, pageviews, PAGEVIEWS),
-        read_csv(spark, orders, ORDERS),
+        read_csv(spark, sessions, SESSIONS, infer=infer),
+        read_csv(spark, pageviews, PAGEVIEWS, infer=infer),
+        read_csv(spark, orders, ORDERS, infer=infer),
     )
 
 
