@@ -296,7 +296,9 @@ def drop_common_lines(df: DataFrame, index: LineIndex, text_col: str = "text", o
         return pa.StructArray.from_arrays([pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["n_lines", "n_dropped", "kept"])
 
     keyed = df.withColumn(rid, F.xxhash64(df[text_col]))
-    joined = keyed.join(dropped.select(F.col("rid").alias(key), F.col("gone").alias(gone)), F.col(rid) == F.col(key), "left")
+    # The texts with lines to drop grow with the corpus, so this is a merge join at every size.
+    lost = dropped.select(F.col("rid").alias(key), F.col("gone").alias(gone)).hint("merge")
+    joined = keyed.join(lost, F.col(rid) == F.col(key), "left")
     return joined.withColumn(out, cut(F.col(text_col), F.col(gone))).select(*[c for c in df.columns if c != out], out)
 
 
