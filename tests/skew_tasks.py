@@ -3,7 +3,7 @@
 Usage: ``python tests/skew_tasks.py <scratch dir>``; prints one JSON line
 ``{"plain": ..., "chunked": ..., "rollup": ..., "hot_rows": n}`` where a value
 is the most shuffle records any single task of that job read (the plain and
-the chunked page rank, the per-session rollup) or wrote to files (copies of a
+the chunked page rank, rank and chains over a page view that is repeated and over crowded ids, the per-session rollup) or wrote to files (copies of a
 hot row: a plain explode and the salted replication).
 """
 
@@ -24,7 +24,10 @@ HOT_COPIES = 50_000
 def run(scratch: str) -> dict[str, int]:
     from pyspark.sql import SparkSession
 
-    from trailscope.operators.ranking import rank_pages, rank_pages_plain
+    from trailscope.functions.params import ReportWindow, WebTables
+    from trailscope.operators.chains import successor_pairs
+    from trailscope.operators.ranking import over_ranks, rank_pages, rank_pages_plain
+    from trailscope.plans.funnel import funnel_report, funnel_table
     from trailscope.operators.expand import replicate_rows
     from trailscope.operators.rollup import session_rollup
 
@@ -44,7 +47,18 @@ def run(scratch: str) -> dict[str, int]:
     rows = [(i * 3, 999, "/home") for i in range(HOT_ROWS)] + [(i * 3 + 1, i % 60, "/cart") for i in range(600)]
     pv = spark.createDataFrame(rows, "website_pageview_id long, website_session_id long, pageview_url string")
     pv = pv.selectExpr("*", "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, website_pageview_id) AS created_at")
+    # One page view that is repeated, and a hot session whose ids crowd into one range beside a far one.
+    view = "TIMESTAMP_NTZ '2024-01-02 00:00:00' AS created_at"
+    copies = spark.createDataFrame([(7, 999, "/home")] * HOT_ROWS + rows[HOT_ROWS:], pv.drop("created_at").schema).repartition(8).selectExpr("*", view)
+    crowded = spark.createDataFrame([(k, s, u) for k, s, u in rows] + [(1 << 60, 999, "/cart")], pv.drop("created_at").schema)
+    window = ReportWindow.of("2024-01-01", "2024-01-31")
+    tables = WebTables(copies, copies, copies)
     jobs = (
+        ("copies_rank", rank_pages(copies, chunk_rows=512)),
+        ("copies_chains", funnel_table(tables, window, chunk_rows=512)),
+        ("copies_pairs", over_ranks(copies, successor_pairs, chunk_rows=512)),
+        ("copies_funnel", funnel_report(tables, window)),
+        ("crowded", rank_pages(crowded, chunk_rows=512)),
         ("plain", rank_pages_plain(pv)),
         ("chunked", rank_pages(pv, chunk_rows=512)),
         ("rollup", session_rollup(pv, flag_pages=("/home",))),
@@ -62,7 +76,7 @@ def run(scratch: str) -> dict[str, int]:
         df.write.mode("overwrite").parquet(os.path.join(scratch, name))
     spark.stop()
 
-    job_group, stage_group, worst = {}, {}, {"plain": 0, "chunked": 0, "rollup": 0, "explode": 0, "replicate": 0}
+    job_group, stage_group, worst = {}, {}, dict.fromkeys([name for name, _ in jobs] + ["explode", "replicate"], 0)
     for path in sorted(glob.glob(os.path.join(logs, "**", "events_*"), recursive=True)):  # rolling log files
         with open(path) as f:
             for line in f:

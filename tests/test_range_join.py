@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailscope.functions.params import ReportWindow
-from trailscope.operators.range_join import hot_sessions, join_in_range
+from trailscope.operators.range_join import join_in_range
+from trailscope.operators.ranking import hot_sessions
 from trailscope.sources.schemas import PAGEVIEWS
 from trailscope.sources.tables import write_by_month
 
@@ -99,7 +100,7 @@ def test_hot_session_is_split(spark, views):
     spark.conf.set(key, "false")
     spark.conf.set(threshold, "-1")
     try:
-        assert [tuple(r) for r in hot_sessions(views, 256).collect()] == [(HOT, 10)]
+        assert [tuple(r) for r in hot_sessions(views, 256).collect()] == [(HOT, 2501)]
         joined = join_in_range(_left(spark), views, ("since", "since + INTERVAL '30' DAY"), chunk_rows=256)
         tagged = joined.select("*", F.spark_partition_id().alias("__p")).filter(f"website_session_id = {HOT}")
         per_task = tagged.groupBy("__p").agg(F.count("*").alias("n"), *[F.max(c) for c in joined.columns]).collect()

@@ -13,7 +13,7 @@ from trailscope.functions.steps import DEFAULT_STEPS
 from trailscope.operators.chains import funnel_chains
 from trailscope.operators.expand import replicate_rows
 from trailscope import registry
-from trailscope.operators.ranking import entry_pages, rank_pages, rank_pages_plain
+from trailscope.operators.ranking import PID, entry_pages, first_pages, leading_pages, rank_pages, rank_pages_plain
 from trailscope.plans.conversion import conversion_report
 from trailscope.plans.marts import master_table
 from trailscope.sources.schemas import ORDERS, PAGEVIEWS, SESSIONS
@@ -112,6 +112,21 @@ def test_rank_of_sparse_ids(spark):
     assert 1 < partitions_of(ranked)
 
 
+def test_rank_of_crowded_and_repeated_ids(spark):
+    """All but a few ids of the hot session in one narrow range, with ties, a repeated view and views without an id."""
+    rng = random.Random(9)
+    rows = [(rng.randrange(2000), HOT, rng.choice(FUNNEL)) for _ in range(3000)] + [(1 << 60, HOT, "/cart"), (-(1 << 60), HOT, "/home")]
+    rows += [rows[5]] * 700 + [(None, HOT, "/home")] * 3 + [(k, k % 40, "/home") for k in range(300)] + [(1, None, "/home")]
+    pv = spark.createDataFrame(rows, "website_pageview_id long, website_session_id long, pageview_url string").repartition(5)
+    ranked = rank_pages(pv, chunk_rows=128)
+    assert sorted(map(str, map(tuple, ranked.collect()))) == sorted(map(str, map(tuple, rank_pages_plain(pv).collect())))
+    assert partitions_of(ranked) > 3
+    few = leading_pages(pv.filter(f"{PID} IS NOT NULL"), 7, rank_col="r")
+    want = first_pages(pv.filter(f"{PID} IS NOT NULL"), 7, "r").groupBy("website_session_id", F.col("pageview_url").alias("page"), "r").count()
+    got = few.groupBy("website_session_id", "page", "r").agg(F.sum("n_views"))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+
+
 def test_entry_pages_fold_repeated_views(spark):
     """A first page view that holds most rows is one row per map task before the sessions are brought together."""
     rows = [(1, HOT, "/home")] * 5000 + [(2, HOT, "/products"), (3, 1, "/home"), (4, 1, "/cart"), (None, 2, "/cart")]
@@ -162,6 +177,11 @@ def test_task_metrics_from_event_log():
     worst = json.loads(out.stdout.strip().splitlines()[-1])
     assert worst["plain"] >= worst["hot_rows"]  # the plain window reads the whole hot session in one task
     assert worst["chunked"] < worst["hot_rows"] / 2  # the chunked rank spreads it
+    # A page view repeated over most rows: folded by each map task, never together in one. Its copies are expanded in the last, shuffle-free step.
+    assert worst["copies_rank"] < worst["hot_rows"] / 4 and worst["copies_chains"] < worst["hot_rows"] / 4
+    assert worst["copies_pairs"] < worst["hot_rows"] / 4
+    assert worst["copies_funnel"] < worst["hot_rows"] / 2  # one share for each of 8 map tasks; some share one of the 8 partitions
+    assert worst["crowded"] < worst["hot_rows"] / 2  # equal id ranges would put all but one of the session's rows into one range
     assert worst["rollup"] < 100  # the rollup folds the hot session map-side: a few partial rows per task
     assert worst["explode"] >= worst["hot_copies"]  # a plain explode writes every copy from one task
     assert worst["replicate"] <= worst["hot_copies"] / 2  # salted replication spreads them

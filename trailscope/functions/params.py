@@ -27,6 +27,15 @@ PARTITION_COLUMN = "trailscope_created_month__"
 PARTITION_SQL = "trunc(CAST(created_at AS DATE), 'MM')"
 
 
+# Number of equal rows that a stored or folded row stands for. Reserved like the name above; tables without it have one row per row.
+COPIES = "trailscope_copies__"
+
+
+def copies_sql(df: DataFrame) -> str:
+    """SQL text of the number of rows each row of ``df`` stands for."""
+    return COPIES if COPIES in df.columns else "1L"
+
+
 def sql_str(value: str) -> str:
     """A Spark SQL string literal."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

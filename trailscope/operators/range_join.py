@@ -11,13 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailscope.functions.params import PARTITION_COLUMN, ReportWindow
-from trailscope.operators.ranking import DEFAULT_CHUNK_ROWS, SID
+from trailscope.operators.ranking import DEFAULT_CHUNK_ROWS, SID, hot_sessions
 
 E = F.expr
 
-#: A session counts as hot with more than one part in this many of all rows, so there are fewer hot sessions than this: a bounded list.
-MAX_HOT_SESSIONS = 100_000
-
 
 def prune_by_bounds(views: DataFrame, left: DataFrame, lo: str, hi: str) -> DataFrame:
     """Page views between the smallest ``lo`` and the largest ``hi`` of ``left``.
@@ -33,13 +30,6 @@ def prune_by_bounds(views: DataFrame, left: DataFrame, lo: str, hi: str) -> Data
     return views.filter(within)
 
 
-def hot_sessions(views: DataFrame, chunk_rows: int) -> DataFrame:
-    """``(session, parts)`` of the sessions with more than ``chunk_rows`` page views (and more than one in :data:`MAX_HOT_SESSIONS` of all)."""
-    total = views.agg(E("count(1)")).scalar()
-    counts = views.groupBy(SID).agg(E("count(1) AS __n")).withColumn("__limit", F.greatest(F.lit(chunk_rows), total / MAX_HOT_SESSIONS))
-    return counts.filter("__n > __limit").select(E(f"{SID} AS __hot"), E("CAST(ceil(__n / __limit) AS INT) AS __parts"))
-
-
 def join_in_range(
     left: DataFrame,
     pageviews: DataFrame,
@@ -53,7 +43,7 @@ def join_in_range(
     named like one of ``columns`` must be renamed before. Rows without a session, time or bound match nothing, as in SQL.
 
     The page views of a hot session are dealt over ``parts`` by their place in the input, and its left rows are repeated once per part, so equal page views are
-    split as well. The list of hot sessions is bounded by :data:`MAX_HOT_SESSIONS` and therefore broadcast.
+    split as well. The list of hot sessions is bounded (``ranking.MAX_HOT_SESSIONS``) and therefore broadcast.
     """
     taken = [c for c in columns if c in left.columns]
     if taken:
@@ -66,7 +56,7 @@ def join_in_range(
         views = prune_by_bounds(pageviews, left, lo, hi)
         bounded, test = left.select("*", E(f"{lo} AS __lo"), E(f"{hi} AS __hi")), "created_at BETWEEN __lo AND __hi"
     views = views.select(SID, *dict.fromkeys([*columns, "created_at"]))
-    hot = F.broadcast(hot_sessions(views, chunk_rows))
+    hot = F.broadcast(hot_sessions(views, chunk_rows).select("__hot", E(f"CAST(ceil(__n / {float(chunk_rows)}) AS INT) AS __parts")))
     spread = views.withColumn("__at", F.monotonically_increasing_id()).join(hot, E(f"{SID} = __hot"), "left")
     right = spread.select(E(f"named_struct('s', {SID}, 'part', coalesce(CAST(pmod(__at, __parts) AS INT), 0)) AS __on"), *[c for c in views.columns if c != SID])
     parts = bounded.join(hot, E(f"{SID} = __hot"), "left").withColumn("__part", E("explode(sequence(0, coalesce(__parts, 1) - 1))"))

@@ -11,7 +11,7 @@ from trailscope.functions.params import ALL_TRAFFIC, ReportWindow, Segment, WebT
 from trailscope.functions.ratios import safe_ratio_sql
 from trailscope.functions.steps import DEFAULT_FUNNEL_COLUMNS, DEFAULT_STEPS, max_step
 from trailscope.operators.chains import funnel_chains, funnel_depth
-from trailscope.operators.ranking import DEFAULT_CHUNK_ROWS, first_pages, rank_pages
+from trailscope.operators.ranking import DEFAULT_CHUNK_ROWS, leading_pages, over_ranks
 from trailscope.operators.rollup import SID, segment_sessions
 
 E = F.expr
@@ -37,12 +37,12 @@ def funnel_report(
 
     Only the first ``max_step`` pages of a session can be on its valid chain, so
     the ranking is limited to them (a partial ``WindowGroupLimit`` before the
-    shuffle); each session yields its chain depth and one aggregate counts
+    shuffle, where equal page views are folded); each session yields its chain depth and one aggregate counts
     ``depth >= k``: no recursion, no distinct counts.
     """
     k_max = max_step(steps)
     pv = window.restrict(tables.pageviews)
-    depth = funnel_depth(first_pages(pv, k_max), steps)
+    depth = funnel_depth(leading_pages(pv, k_max), steps, page="page")
     if not segment.is_all:
         depth = depth.join(segment_sessions(tables.sessions, segment), SID, "left_semi")
     cols = _columns(k_max, columns)
@@ -65,4 +65,4 @@ def funnel_table(
     ``website_session_id, pageview_url, funnel_step, user_page_step, is_valid_step``
     (``is_valid_step`` = 1 for the chain from page 1, else NULL)."""
     pv = window.restrict(tables.pageviews).select(SID, "website_pageview_id", "pageview_url")
-    return funnel_chains(rank_pages(pv, chunk_rows), steps)
+    return over_ranks(pv, lambda ranked: funnel_chains(ranked, steps), chunk_rows)

@@ -21,7 +21,7 @@ from trailscope.operators import quality
 from trailscope.operators.chains import funnel_chains, successor_pairs
 from trailscope.operators.expand import replicate_rows
 from trailscope.operators.range_join import join_in_range
-from trailscope.operators.ranking import entry_pages, rank_pages
+from trailscope.operators.ranking import entry_pages, over_ranks, rank_pages
 from trailscope.operators.rollup import SID, session_rollup, window_pageviews, with_activity
 from trailscope.plans.conversion import conversion_report, landing_conversion
 from trailscope.plans.cases import SINGULAR_COLUMNS
@@ -103,9 +103,8 @@ REPEATED_QUERIES: dict[str, Query] = {
     "funnel_table": lambda s, d: funnel_table(repeated_tables(s, d), W),
     "scorecard": lambda s, d: scorecard(repeated_tables(s, d), W),
     "master_table": lambda s, d: master_table(repeated_tables(s, d), W),
-    "successor_join": lambda s, d: successor_pairs(
-        rank_pages(W.restrict(repeated_tables(s, d).pageviews).select(SID, "website_pageview_id", "pageview_url"))
-    ),
+    "page_rank": lambda s, d: _page_rank(repeated_tables(s, d)),
+    "successor_join": lambda s, d: _successors(repeated_tables(s, d)),
     "range_join_steps": lambda s, d: _range_join_steps(repeated_tables(s, d)),
     "range_join_first_hour": lambda s, d: _range_join_first_hour(repeated_tables(s, d)),
     "duplicate_rows_sessions": _duplicates("sessions", repeated_tables),
@@ -118,9 +117,13 @@ def _active_facts(spark: SparkSession, d: str) -> DataFrame:
     return with_activity(session_rollup(window_pageviews(stored_tables(spark, d).pageviews, W)))
 
 
-def q_page_rank(spark: SparkSession, d: str) -> DataFrame:
-    pv = W.restrict(stored_tables(spark, d).pageviews)
-    return rank_pages(pv.select(SID, "website_pageview_id", "pageview_url"))
+def _page_rank(tables: WebTables) -> DataFrame:
+    return rank_pages(W.restrict(tables.pageviews).select(SID, "website_pageview_id", "pageview_url"))
+
+
+def _successors(tables: WebTables) -> DataFrame:
+    pv = W.restrict(tables.pageviews).select(SID, "website_pageview_id", "pageview_url")
+    return over_ranks(pv, successor_pairs)
 
 
 def q_session_landing_page(spark: SparkSession, d: str) -> DataFrame:
@@ -181,15 +184,10 @@ def q_anti_join_left_null(spark: SparkSession, d: str) -> DataFrame:
     return s.join(seen, SID, "left_anti")
 
 
-def q_successor_join(spark: SparkSession, d: str) -> DataFrame:
-    pv = W.restrict(stored_tables(spark, d).pageviews)
-    return successor_pairs(rank_pages(pv.select(SID, "website_pageview_id", "pageview_url")))
-
-
 def _range_join_steps(tables: WebTables) -> DataFrame:
     """Every step of a session's valid chain with each page view of the session in the window (the original funnel's last join)."""
     pv = W.restrict(tables.pageviews).select(SID, "website_pageview_id", "pageview_url")
-    steps = funnel_chains(rank_pages(pv)).filter("is_valid_step = 1").select(SID, "funnel_step")
+    steps = over_ranks(pv, funnel_chains).filter("is_valid_step = 1").select(SID, "funnel_step")
     return join_in_range(steps, tables.pageviews, W, ("website_pageview_id",))
 
 
@@ -304,7 +302,7 @@ def queries() -> dict[str, Query]:
         "csv_roundtrip": q_csv_roundtrip,
         "csv_inferred": q_csv_inferred,
         # Building blocks and single operators
-        "page_rank": q_page_rank,
+        "page_rank": lambda s, d: _page_rank(stored_tables(s, d)),
         "session_landing_page": q_session_landing_page,
         "bounce_sessions": q_bounce_sessions,
         "session_duration": q_session_duration,
@@ -314,7 +312,7 @@ def queries() -> dict[str, Query]:
         "semi_join_segment": q_semi_join_segment,
         "anti_join_active": q_anti_join_active,
         "anti_join_left_null": q_anti_join_left_null,
-        "successor_join": q_successor_join,
+        "successor_join": lambda s, d: _successors(stored_tables(s, d)),
         "range_join_steps": lambda s, d: _range_join_steps(stored_tables(s, d)),
         "range_join_first_hour": lambda s, d: _range_join_first_hour(stored_tables(s, d)),
         "distinct_users": q_distinct_users,
