@@ -36,6 +36,21 @@ def copies_sql(df: DataFrame) -> str:
     return COPIES if COPIES in df.columns else "1L"
 
 
+def count_sql(df: DataFrame, column: str | None = None) -> str:
+    """SQL text of ``count(column)`` (``count(*)`` without one) over the rows that ``df`` stands for."""
+    if COPIES not in df.columns:
+        return f"count({column or 1})"
+    each = f"CASE WHEN {column} IS NOT NULL THEN {COPIES} END" if column else COPIES
+    return f"coalesce(sum({each}), 0L)"
+
+
+def times_copies_sql(df: DataFrame, value: str, decimal: bool = False) -> str:
+    """SQL text of ``value`` times the number of rows each row of ``df`` stands for."""
+    if COPIES not in df.columns:
+        return value
+    return f"{value} * CAST({COPIES} AS DECIMAL(10,0))" if decimal else f"{value} * {COPIES}"
+
+
 def sql_str(value: str) -> str:
     """A Spark SQL string literal."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -118,7 +133,8 @@ ALL_TRAFFIC = Segment()
 class WebTables(NamedTuple):
     """The three input relations of the analyses.
 
-    ``order_facts`` optionally holds the orders already folded per session
+    ``sessions`` may be a counted table, whose rows stand for :data:`COPIES` equal ones (as stored by
+    ``store_tables``); every report weights them. ``order_facts`` optionally holds the orders already folded per session
     (``website_session_id, n_orders, sales, cost``), e.g. a stored table
     bucketed like the sessions; reports then skip re-aggregating orders.
     """

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailscope.functions.params import sql_str
+from trailscope.functions.params import COPIES, count_sql, sql_str
 from trailscope.operators.expand import replicate_rows
 
 E = F.expr
@@ -29,12 +29,14 @@ DEFAULT_FILLS = {
 def null_profile(df: DataFrame) -> DataFrame:
     """Nulls per column in long form ``(column_index, column_name, null_count)``.
 
-    One scan with one partial aggregate, then a one-row unpivot.
+    One scan with one partial aggregate, then a one-row unpivot. The rows of a counted table (``COPIES``) count as often as they stand for.
     """
-    wide = df.agg(*[E(f"count_if({_q(c)} IS NULL) AS c{i}") for i, c in enumerate(df.columns)])
+    columns = [c for c in df.columns if c != COPIES]
+    null = (lambda c: f"count_if({c} IS NULL)") if COPIES not in df.columns else (lambda c: f"coalesce(sum(IF({c} IS NULL, {COPIES}, 0L)), 0L)")
+    wide = df.agg(*[E(f"{null(_q(c))} AS c{i}") for i, c in enumerate(columns)])
     rows = ", ".join(
         f"named_struct('column_index', {i}, 'column_name', {sql_str(c)}, 'null_count', c{i})"
-        for i, c in enumerate(df.columns)
+        for i, c in enumerate(columns)
     )
     return wide.select(E(f"inline(array({rows}))")).select(
         E("CAST(column_index AS INT) AS column_index"), "column_name", E("CAST(null_count AS BIGINT) AS null_count")
@@ -71,7 +73,22 @@ def duplicate_groups(df: DataFrame) -> DataFrame:
     partial counts: a group of copies holding a third of the table is folded to
     one row per map task before the shuffle.
     """
-    return df.groupBy(*df.columns).agg(E("count(1) AS __dup_n")).filter("__dup_n > 1")
+    return _counted(df, "__dup_n").filter("__dup_n > 1")
+
+
+def _counted(df: DataFrame, name: str) -> DataFrame:
+    """Every distinct row with the number of rows it stands for."""
+    return df.groupBy(*[_q(c) for c in df.columns if c != COPIES]).agg(E(f"{count_sql(df)} AS {name}"))
+
+
+def count_copies(df: DataFrame) -> DataFrame:
+    """``df`` as a counted table: its distinct rows with their number (``COPIES``). NULLs compare equal."""
+    return _counted(df, COPIES)
+
+
+def expand_copies(df: DataFrame) -> DataFrame:
+    """The rows that a counted table stands for; other tables as they are."""
+    return replicate_rows(df, COPIES).drop(COPIES) if COPIES in df.columns else df
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -82,7 +99,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 def duplicate_summary(df: DataFrame) -> DataFrame:
     """One row: ``total_rows``, ``distinct_rows``, ``duplicate_rows`` (= total - distinct)."""
-    per = df.groupBy(*df.columns).agg(E("count(1) AS n"))
+    per = _counted(df, "n")
     return per.agg(
         E("CAST(sum(n) AS BIGINT) AS total_rows"),
         E("CAST(count(1) AS BIGINT) AS distinct_rows"),

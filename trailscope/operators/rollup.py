@@ -133,6 +133,18 @@ def order_rollup(orders: DataFrame) -> DataFrame:
     )
 
 
+def distinct_counts(df: DataFrame, group: str, key: str = SID, out: str = "sessions") -> DataFrame:
+    """``COUNT(DISTINCT key)`` per ``group``, exact, for keys that are serial numbers.
+
+    A bitmap of the keys per group and bucket of 32,768 numbers is built by each map task, so one bit per key, not a row, is
+    shuffled, once for all groups; a key that holds most rows is one bit as well.
+    """
+    bits = df.filter(f"{key} IS NOT NULL").groupBy(group, E(f"bitmap_bucket_number({key}) AS __bucket")).agg(
+        E(f"bitmap_construct_agg(bitmap_bit_position({key})) AS __bits")
+    )
+    return bits.groupBy(group).agg(E(f"CAST(sum(bitmap_count(__bits)) AS BIGINT) AS {out}"))
+
+
 def order_facts(tables: WebTables) -> DataFrame:
     """Orders folded per session: the stored ``tables.order_facts`` if present, else :func:`order_rollup`."""
     return tables.order_facts if tables.order_facts is not None else order_rollup(tables.orders)

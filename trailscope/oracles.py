@@ -468,5 +468,12 @@ FROM rates""",
             f"rates AS ({_conversion(W, source, False)})",
         ),
         "mart_roundtrip": MASTER_TABLE,
+        "master_mart": MASTER_TABLE,
+        "funnel_mart": FUNNEL_TABLE,
+        "numbered_sessions": _sql(
+            """SELECT utm_source, created_at, website_session_id,
+       row_number() OVER (ORDER BY utm_source DESC NULLS FIRST, created_at ASC NULLS LAST, website_session_id ASC NULLS LAST) AS row_number
+FROM website_sessions"""
+        ),
     }
     return found | {f"{name}_repeated": over_repeated(found[name]) for name in REPEATED_QUERIES}

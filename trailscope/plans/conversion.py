@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailscope.functions.params import ALL_TRAFFIC, ReportWindow, Segment, WebTables, sql_str
+from trailscope.functions.params import ALL_TRAFFIC, COPIES, ReportWindow, Segment, WebTables, sql_str, times_copies_sql
 from trailscope.functions.ratios import money_sql, safe_ratio_sql
 from trailscope.operators.rollup import FANOUT_WEIGHT, SID, entry_facts, order_facts
 
@@ -30,12 +30,14 @@ def conversion_report(
     Sorted by sales, largest first, NULL sales first (as the reference's engine
     sorts descending).
     """
-    s = tables.sessions.filter(f"{window.condition('created_at')} AND {segment.condition()}").select(SID, *dims)
+    counted = [COPIES] if COPIES in tables.sessions.columns else []
+    s = tables.sessions.filter(f"{window.condition('created_at')} AND {segment.condition()}").select(SID, *dims, *counted)
     joined = s.join(order_facts(tables), SID, "left")
+    rows, orders = times_copies_sql(s, FANOUT_WEIGHT), times_copies_sql(s, "n_orders")
     out = joined.groupBy(*dims).agg(
-        E(f"CAST(coalesce(sum(CASE WHEN {SID} IS NOT NULL THEN {FANOUT_WEIGHT} END), 0) AS BIGINT) AS total_sessions"),
-        E("CAST(coalesce(sum(n_orders), 0) AS BIGINT) AS total_orders"),
-        E(f"{money_sql('sum(sales)')} AS total_sales"),
+        E(f"CAST(coalesce(sum(CASE WHEN {SID} IS NOT NULL THEN {rows} END), 0) AS BIGINT) AS total_sessions"),
+        E(f"CAST(coalesce(sum({orders}), 0) AS BIGINT) AS total_orders"),
+        E(f"{money_sql('sum(' + times_copies_sql(s, 'sales', decimal=True) + ')')} AS total_sales"),
     )
     out = out.select(
         *dims,

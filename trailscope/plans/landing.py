@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailscope.functions.params import ALL_TRAFFIC, ReportWindow, Segment, WebTables, sql_str
+from trailscope.functions.params import ALL_TRAFFIC, ReportWindow, Segment, WebTables, count_sql, sql_str
 from trailscope.functions.ratios import safe_ratio_sql
 from trailscope.operators.ranking import entry_pages
 from trailscope.operators.rollup import SID, entry_facts, in_segment, session_rollup
@@ -33,7 +33,7 @@ def landing_pages(
     cond = f"{window.condition('created_at')} AND {segment.condition()}"
     if first_time_only:
         cond += " AND is_repeat_session = 0"
-    keep = tables.sessions.filter(cond).groupBy(SID).agg(E("count(1) AS __rows"))
+    keep = tables.sessions.filter(cond).groupBy(SID).agg(E(f"{count_sql(tables.sessions)} AS __rows"))
     landed = entry_pages(window.restrict(tables.pageviews)).join(keep, SID)
     out = landed.groupBy(E("page AS pageview_url")).agg(E("CAST(sum(n_views * __rows) AS BIGINT) AS total_landing_traffic"))
     if ordered:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailscope.functions.params import ReportWindow, WebTables
+from trailscope.functions.params import COPIES, ReportWindow, WebTables, times_copies_sql
 from trailscope.functions.ratios import money_sql, round_ratio_half_up_sql, safe_ratio_sql
 from trailscope.operators.rollup import FANOUT_WEIGHT, SID, order_facts, session_rollup, window_pageviews, with_activity
 
@@ -25,9 +25,10 @@ def scorecard(tables: WebTables, window: ReportWindow, strict_outliers: bool = F
     ``conversion_rate`` is a percentage.
     """
     facts = with_activity(session_rollup(window_pageviews(tables.pageviews, window)), strict_outliers)
-    sessions = tables.sessions.filter(window.contains("created_at")).select(SID, "user_id", "is_repeat_session")
+    sessions = tables.sessions.filter(window.contains("created_at"))
+    sessions = sessions.select(SID, "user_id", "is_repeat_session", *[c for c in (COPIES,) if c in sessions.columns])
     per_session = sessions.join(facts, SID, "left").join(order_facts(tables), SID, "left")
-    w = f"CASE WHEN {SID} IS NOT NULL THEN {FANOUT_WEIGHT} END"
+    w = f"CASE WHEN {SID} IS NOT NULL THEN {times_copies_sql(sessions, FANOUT_WEIGHT)} END"
     bounce = "coalesce(is_bounce, FALSE)"
     per_user = per_session.groupBy("user_id").agg(
         *[
@@ -41,9 +42,9 @@ def scorecard(tables: WebTables, window: ReportWindow, strict_outliers: bool = F
                 f"sum(CASE WHEN active_micros IS NOT NULL THEN {w} END) AS n_micros",
                 f"sum({w} * active_pages) AS pages",
                 f"sum(CASE WHEN active_pages IS NOT NULL THEN {w} END) AS n_pages",
-                "sum(n_orders) AS orders",
-                "sum(sales) AS sales",
-                "sum(cost) AS cost",
+                f"sum({times_copies_sql(sessions, 'n_orders')}) AS orders",
+                f"sum({times_copies_sql(sessions, 'sales', decimal=True)}) AS sales",
+                f"sum({times_copies_sql(sessions, 'cost', decimal=True)}) AS cost",
             )
         ]
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailscope.functions.params import ALL_TRAFFIC, ReportWindow, Segment
+from trailscope.functions.params import ALL_TRAFFIC, ReportWindow, Segment, count_sql
 from trailscope.functions.timeparts import day_name_sql, hour_1_24_sql, week_start_sql
 
 SID = "website_session_id"
@@ -30,7 +30,7 @@ def weekly_traffic(
     Sorted by the dimensions, then the week.
     """
     out = _in_scope(sessions, window, segment).groupBy(E(f"{week_start_sql('created_at')} AS weekly_date"), *dims).agg(
-        E(f"count({SID}) AS total_traffic")
+        E(f"{count_sql(sessions, SID)} AS total_traffic")
     )
     if ordered:
         out = out.orderBy(*[F.col(d).asc_nulls_last() for d in (*dims, "weekly_date")])
@@ -45,7 +45,7 @@ def top_traffic(
     ordered: bool = True,
 ) -> DataFrame:
     """Sessions (``COUNT(*)``) per dimension values, largest first: ``*dims, total_traffic``."""
-    out = _in_scope(sessions, window, segment).groupBy(*dims).agg(E("count(1) AS total_traffic"))
+    out = _in_scope(sessions, window, segment).groupBy(*dims).agg(E(f"{count_sql(sessions)} AS total_traffic"))
     if ordered:
         out = out.orderBy(F.col("total_traffic").desc_nulls_first(), *[F.col(d).asc_nulls_last() for d in dims])
     return out
@@ -59,7 +59,7 @@ def peak_time(sessions: DataFrame, window: ReportWindow, ordered: bool = True) -
     out = (
         sessions.filter(window.contains("created_at"))
         .groupBy(E(f"{day_name_sql('created_at')} AS day"), E(f"{hour_1_24_sql('created_at')} AS hour"))
-        .agg(E(f"count({SID}) AS total_traffic"))
+        .agg(E(f"{count_sql(sessions, SID)} AS total_traffic"))
     )
     if ordered:
         out = out.orderBy("day", "hour")

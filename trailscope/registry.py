@@ -15,22 +15,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailscope.functions.params import ReportWindow, Segment, WebTables
+from trailscope.functions.params import COPIES, ReportWindow, Segment, WebTables
 from trailscope.functions.steps import step_sql
 from trailscope.operators import quality
 from trailscope.operators.chains import funnel_chains, successor_pairs
 from trailscope.operators.expand import replicate_rows
 from trailscope.operators.range_join import join_in_range
 from trailscope.operators.ranking import entry_pages, over_ranks, rank_pages
-from trailscope.operators.rollup import SID, session_rollup, window_pageviews, with_activity
+from trailscope.operators.numbering import number_rows
+from trailscope.operators.rollup import SID, distinct_counts, session_rollup, window_pageviews, with_activity
 from trailscope.plans.conversion import conversion_report, landing_conversion
 from trailscope.plans.cases import SINGULAR_COLUMNS
 from trailscope.plans.funnel import funnel_report, funnel_table
 from trailscope.plans.landing import ab_bounce, bounce_rate, landing_pages
-from trailscope.plans.marts import master_table, read_mart, write_mart
+from trailscope.plans.marts import master_table, publish_mart, read_mart, write_mart
 from trailscope.plans.scorecard import scorecard
 from trailscope.plans.traffic import peak_time, top_traffic, weekly_traffic
-from trailscope.session import shared_path
+from trailscope.session import remove_at_exit, shared_path
 from trailscope.sources.csv_io import read_csv, write_csv
 from trailscope.sources.schemas import ORDERS, PAGEVIEWS, SESSIONS
 
@@ -74,13 +75,16 @@ def _null_profile(table: str) -> Query:
 
 def _duplicates(table: str, load=stored_tables) -> Query:
     cols = TABLE_SCHEMAS[table].fieldNames()
-    return lambda spark, d: quality.duplicate_rows(getattr(load(spark, d), table).select(*cols))
 
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        df = getattr(load(spark, d), table)
+        return quality.duplicate_rows(df.select(*cols, *[c for c in df.columns if c == COPIES]))
 
-def repeated_tables(spark: SparkSession, d: str) -> WebTables:
-    """The web tables with every fourth page view, fifth session and third order row a second time:
-    the original flow reports repeated rows and leaves them in, so the reports must count them."""
-    t = stored_tables(spark, d)
+    return query
+
+
+def _with_repeats(t: WebTables) -> WebTables:
+    """Every fourth page view, fifth session and third order row a second time."""
 
     def twice(df: DataFrame, rows: str) -> DataFrame:
         return df.unionByName(df.filter(rows))
@@ -90,6 +94,17 @@ def repeated_tables(spark: SparkSession, d: str) -> WebTables:
     )
 
 
+def repeated_tables(spark: SparkSession, d: str) -> WebTables:
+    """The web tables with repeated rows, stored like the others:
+    the original flow reports repeated rows and leaves them in, so the reports must count them."""
+    return stored_tables(spark, d, variant=_with_repeats)
+
+
+def _session_rows(tables: WebTables) -> DataFrame:
+    """The sessions, one row per row (they are stored counted)."""
+    return quality.expand_copies(tables.sessions)
+
+
 #: Queries that are registered a second time, as ``<name>_repeated``, over :func:`repeated_tables`.
 REPEATED_QUERIES: dict[str, Query] = {
     "conversion_by_source": lambda s, d: conversion_report(repeated_tables(s, d), W, SOURCE_DIMS),
@@ -107,6 +122,13 @@ REPEATED_QUERIES: dict[str, Query] = {
     "successor_join": lambda s, d: _successors(repeated_tables(s, d)),
     "range_join_steps": lambda s, d: _range_join_steps(repeated_tables(s, d)),
     "range_join_first_hour": lambda s, d: _range_join_first_hour(repeated_tables(s, d)),
+    "numbered_sessions": lambda s, d: q_numbered_sessions(s, d, repeated_tables),
+    "conditional_distinct": lambda s, d: _step_sessions(repeated_tables(s, d)),
+    "weekly_traffic": lambda s, d: weekly_traffic(repeated_tables(s, d).sessions, W),
+    "top_sources": lambda s, d: top_traffic(repeated_tables(s, d).sessions, W, SOURCE_DIMS),
+    "peak_time": lambda s, d: peak_time(repeated_tables(s, d).sessions, W),
+    "null_recheck": lambda s, d: quality.null_profile(repeated_tables(s, d).sessions),
+    "fill_nulls": lambda s, d: _session_rows(repeated_tables(s, d)),
     "duplicate_rows_sessions": _duplicates("sessions", repeated_tables),
     "duplicate_rows_pageviews": _duplicates("pageviews", repeated_tables),
     "duplicate_rows_orders": _duplicates("orders", repeated_tables),
@@ -156,7 +178,7 @@ def q_first_visit_join(spark: SparkSession, d: str) -> DataFrame:
     The key pairs a user with a timestamp, so even a user with a third of all
     sessions spreads over many join keys.
     """
-    s = stored_tables(spark, d).sessions.filter(W.contains("created_at")).select(SID, "user_id", "created_at")
+    s = _session_rows(stored_tables(spark, d)).filter(W.contains("created_at")).select(SID, "user_id", "created_at")
     first = q_user_first_visit(spark, d).select("user_id", E("start_date AS created_at"), E("1 AS __first"))
     return s.join(first, ["user_id", "created_at"], "left").select(
         SID, "user_id", "created_at", E("CAST(coalesce(__first, 0) AS INT) AS is_first_visit")
@@ -178,7 +200,7 @@ def q_anti_join_active(spark: SparkSession, d: str) -> DataFrame:
 
 def q_anti_join_left_null(spark: SparkSession, d: str) -> DataFrame:
     t = stored_tables(spark, d)
-    s = t.sessions.filter(W.contains("created_at")).select(SID, "user_id", "created_at")
+    s = _session_rows(t).filter(W.contains("created_at")).select(SID, "user_id", "created_at")
     # Distinct session ids first (map-side), so a session with many page views is one row.
     seen = window_pageviews(t.pageviews, W_AB).select(SID).distinct()
     return s.join(seen, SID, "left_anti")
@@ -193,7 +215,7 @@ def _range_join_steps(tables: WebTables) -> DataFrame:
 
 def _range_join_first_hour(tables: WebTables) -> DataFrame:
     """The page views of the segment's sessions in the hour after each session's start."""
-    started = tables.sessions.filter(f"{W_AB.condition('created_at')} AND {SEGMENT.condition()}").select(SID, E("created_at AS started_at"))
+    started = _session_rows(tables).filter(f"{W_AB.condition('created_at')} AND {SEGMENT.condition()}").select(SID, E("created_at AS started_at"))
     return join_in_range(started, tables.pageviews, ("started_at", "started_at + INTERVAL '1' HOUR"))
 
 
@@ -206,10 +228,10 @@ def q_distinct_users(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def q_conditional_distinct(spark: SparkSession, d: str) -> DataFrame:
-    pv = window_pageviews(stored_tables(spark, d).pageviews, W)
+def _step_sessions(tables: WebTables) -> DataFrame:
+    pv = window_pageviews(tables.pageviews, W)
     pairs = pv.select(E(f"{step_sql('pageview_url')} AS funnel_step"), SID).filter("funnel_step IS NOT NULL")
-    return pairs.groupBy("funnel_step").agg(E(f"CAST(count(DISTINCT {SID}) AS BIGINT) AS sessions"))
+    return distinct_counts(pairs, "funnel_step")
 
 
 def q_union_all(spark: SparkSession, d: str) -> DataFrame:
@@ -221,9 +243,14 @@ def q_union_all(spark: SparkSession, d: str) -> DataFrame:
 
 def q_desc_nulls_first_sort(spark: SparkSession, d: str) -> DataFrame:
     rep = conversion_report(stored_tables(spark, d), W, SOURCE_DIMS, ordered=False)
-    # The report has one row per source/campaign pair: a bounded, small input.
-    order = "total_sales DESC NULLS FIRST, utm_source ASC NULLS LAST, utm_campaign ASC NULLS LAST"
-    return rep.withColumn("sort_rank", E(f"CAST(row_number() OVER (ORDER BY {order}) AS INT)"))
+    order = [F.col("total_sales").desc_nulls_first(), F.col("utm_source").asc_nulls_last(), F.col("utm_campaign").asc_nulls_last()]
+    return number_rows(rep, order, "sort_rank").withColumn("sort_rank", E("CAST(sort_rank AS INT)"))
+
+
+def q_numbered_sessions(spark: SparkSession, d: str, load=stored_tables) -> DataFrame:
+    """All sessions numbered by traffic source (descending, missing first) and time; equal rows get consecutive numbers."""
+    rows = _session_rows(load(spark, d)).select("utm_source", "created_at", SID)
+    return number_rows(rows, [F.col("utm_source").desc_nulls_first(), F.col("created_at").asc_nulls_last(), F.col(SID).asc_nulls_last()])
 
 
 def q_null_rows_head(spark: SparkSession, d: str) -> DataFrame:
@@ -233,7 +260,7 @@ def q_null_rows_head(spark: SparkSession, d: str) -> DataFrame:
 
 def q_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     path = shared_path(spark, "csv_roundtrip/website_sessions")
-    write_csv(stored_tables(spark, d).sessions, path)
+    write_csv(_session_rows(stored_tables(spark, d)), path)
     return read_csv(spark, path, SESSIONS)
 
 
@@ -258,6 +285,19 @@ def q_mart_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return read_mart(spark, path)
 
 
+def _published(build: Callable[[WebTables, ReportWindow], DataFrame], name: str) -> Query:
+    """The mart published under a name, replaced by a second version, and read back by that name."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        tables, root = stored_tables(spark, d), remove_at_exit(spark, shared_path(spark, f"marts/{name}"))
+        mart = f"trailscope_{name}_{root.rsplit('-', 1)[1]}"
+        publish_mart(build(tables, W_UPDATE), mart, root=root)
+        publish_mart(build(tables, W), mart, root=root)
+        return read_mart(spark, mart)
+
+    return query
+
+
 def queries() -> dict[str, Query]:
     return {
         # Analyses
@@ -294,7 +334,7 @@ def queries() -> dict[str, Query]:
         "null_profile_orders": _null_profile("orders"),
         "null_rows": lambda s, d: quality.null_rows(load_raw_tables(s, d).sessions, "utm_source"),
         "null_rows_head": q_null_rows_head,
-        "fill_nulls": lambda s, d: stored_tables(s, d).sessions,
+        "fill_nulls": lambda s, d: _session_rows(stored_tables(s, d)),
         "null_recheck": lambda s, d: quality.null_profile(stored_tables(s, d).sessions),
         "duplicate_rows_sessions": _duplicates("sessions"),
         "duplicate_rows_pageviews": _duplicates("pageviews"),
@@ -316,8 +356,11 @@ def queries() -> dict[str, Query]:
         "range_join_steps": lambda s, d: _range_join_steps(stored_tables(s, d)),
         "range_join_first_hour": lambda s, d: _range_join_first_hour(stored_tables(s, d)),
         "distinct_users": q_distinct_users,
-        "conditional_distinct": q_conditional_distinct,
+        "conditional_distinct": lambda s, d: _step_sessions(stored_tables(s, d)),
         "union_all": q_union_all,
         "desc_nulls_first_sort": q_desc_nulls_first_sort,
         "mart_roundtrip": q_mart_roundtrip,
+        "master_mart": _published(master_table, "master_table"),
+        "funnel_mart": _published(funnel_table, "funnel_table"),
+        "numbered_sessions": q_numbered_sessions,
     } | {f"{name}_repeated": query for name, query in REPEATED_QUERIES.items()}

@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import hashlib
-import os
 import threading
 import warnings
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailscope.functions.params import PARTITION_COLUMN, PARTITION_SQL, WebTables
-from trailscope.operators.quality import fill_nulls
+from trailscope.operators.quality import count_copies, fill_nulls
 from trailscope.operators.rollup import order_rollup
-from trailscope.session import application_id, shared_path
+from trailscope.session import application_id, file_version, remove_at_exit, remove_path, shared_path
 from trailscope.sources.csv_io import read_csv
 from trailscope.sources.events import derive_web_tables
 from trailscope.sources.schemas import ORDERS, PAGEVIEWS, SESSIONS, cast_by_name
@@ -53,20 +53,11 @@ def read_csv_tables(spark: SparkSession, sessions: str, pageviews: str, orders:
     )
 
 
-# Materialized tables, one set per (application, session, data folder, data version, bucket count).
+# Materialized tables, one set per (application, session, data folder, data version, bucket count, variant).
 _FRAMES: dict[tuple, WebTables] = {}
 _LOCK = threading.Lock()
 
 
-def _version(sf_dir: str) -> tuple:
-    path = f"{sf_dir.rstrip('/')}/events.parquet"
-    try:
-        st = os.stat(path)
-        return (os.path.realpath(path), st.st_size, st.st_mtime_ns)
-    except OSError:  # a remote path: key on the text only
-        return (path,)
-
-
 def write_bucketed(
     df: DataFrame,
     table: str,
@@ -78,7 +69,7 @@ def write_bucketed(
 ) -> None:
     """Store ``df`` as a table bucketed by ``key`` (one file per bucket).
 
-    Only for tables where ``key`` is unique (sessions): a bucket then never
+    Only for tables where ``key`` is unique but for a few rows (counted sessions, facts per session): a bucket then never
     holds more than its share of rows. The repartition uses the same hash as
     bucketing, so every write task writes exactly one bucket file, and later
     joins on ``key`` against a shuffle with the same partition count leave
@@ -115,26 +106,30 @@ def write_by_month(df: DataFrame, path: str, ts: str = "created_at", tie: str |
     by_month.write.mode("overwrite").partitionBy(PARTITION_COLUMN).parquet(path)
 
 
-def stored_tables(spark: SparkSession, sf_dir: str, buckets: int | None = None) -> WebTables:
+def stored_tables(
+    spark: SparkSession, sf_dir: str, buckets: int | None = None, variant: Callable[[WebTables], WebTables] | None = None
+) -> WebTables:
     """The cleaned tables derived from the driver data, stored once per session.
 
-    The first call derives and cleans them and writes them with
+    The first call derives and cleans them, applies ``variant`` (a named function) and writes them with
     :func:`store_tables` under :func:`trailscope.session.shared_root`; later
-    calls return the same DataFrames.
+    calls return the same DataFrames. Files and catalog tables go when the interpreter ends.
     """
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = (application_id(spark), id(spark), _version(sf_dir), n)
+    version = file_version(spark, f"{sf_dir.rstrip('/')}/events.parquet")
+    key = (application_id(spark), id(spark), version, n, variant.__qualname__ if variant else "")
     frames = _FRAMES.get(key)
     if frames is not None:
         return frames
     with _LOCK:  # one materialization per key, even when queries are built from several threads
-        return _FRAMES.get(key) or _materialize(spark, sf_dir, key, n)
+        return _FRAMES.get(key) or _materialize(spark, sf_dir, key, n, variant)
 
 
 def store_tables(spark: SparkSession, tables: WebTables, root: str, buckets: int, name_prefix: str) -> WebTables:
     """Write cleaned tables in the layout the reports are planned for, and return them read back.
 
-    Sessions, unique per session id, are bucketed by it and time-sorted in each
+    Sessions are counted (equal rows are one row with their number, folded before any shuffle, so a row that is repeated over a
+    third of the table is one stored row), bucketed by session id and time-sorted in each
     bucket; page views, where one session may hold a large share of the rows,
     go to month directories, time-sorted in each file (windows prune
     directories and skip row groups), and are always pre-aggregated per
@@ -146,7 +141,7 @@ def store_tables(spark: SparkSession, tables: WebTables, root: str, buckets: int
     """
     root = root.rstrip("/")
     sessions_table, facts_table = f"{name_prefix}_sessions", f"{name_prefix}_order_facts"
-    write_bucketed(tables.sessions, sessions_table, f"{root}/sessions", buckets, sort_by=("created_at",))
+    write_bucketed(count_copies(tables.sessions), sessions_table, f"{root}/sessions", buckets, sort_by=("created_at",))
     write_by_month(tables.pageviews, f"{root}/pageviews", tie="website_pageview_id")
     write_plain(tables.orders, f"{root}/orders")
     facts = order_rollup(spark.read.parquet(f"{root}/orders"))
@@ -159,12 +154,17 @@ def store_tables(spark: SparkSession, tables: WebTables, root: str, buckets: int
     )
 
 
-def _materialize(spark: SparkSession, sf_dir: str, key: tuple, n: int) -> WebTables:
+def _materialize(spark: SparkSession, sf_dir: str, key: tuple, n: int, variant: Callable[[WebTables], WebTables] | None) -> WebTables:
     tag = hashlib.sha1(repr(key).encode()).hexdigest()[:10]
+    tables = load_tables(spark, sf_dir)
+    tables = variant(tables) if variant else tables
+    path, prefix = shared_path(spark, f"tables_{tag}"), f"trailscope_{tag}"
     try:
-        frames = store_tables(spark, load_tables(spark, sf_dir), shared_path(spark, f"tables_{tag}"), n, f"trailscope_{tag}")
+        frames = store_tables(spark, tables, path, n, prefix)
+        remove_at_exit(spark, path, (f"{prefix}_sessions", f"{prefix}_order_facts"))
     except AnalysisException as err:  # a catalog that refuses new tables: same results, derived in each query; all else is raised
         warnings.warn(f"stored tables unavailable ({type(err).__name__}); deriving them inside each query")
-        frames = load_tables(spark, sf_dir)
+        remove_path(spark, path)
+        frames = tables
     _FRAMES[key] = frames
     return frames
