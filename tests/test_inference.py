@@ -84,4 +84,4 @@ def test_timestamps_are_written_as_read(spark, tmp_path):
     write_csv(df, f"{tmp_path}/out")
     part = next(p for p in sorted(os.listdir(f"{tmp_path}/out")) if p.endswith(".csv"))
     with open(f"{tmp_path}/out/{part}") as f:
-        assert f.read().split("\n") == ["id,created_at", "0,2012-03-19 08:04:16", "1,2012-03-19 00:00:00", "2,2012-03-19 08:04:16.5", "3,", ""]
+        assert f.read().split("\n") == ["id,created_at", "0,2012-03-19 08:04:16", "1,2012-03-19 00:00:00", "2,2012-03-19 08:04:16.500000", "3,", ""]

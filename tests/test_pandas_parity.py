@@ -131,3 +131,28 @@ def test_stored_layout_gives_the_same_reports(spark):
         a = sorted(map(tuple, got[name].collect()), key=repr)
         b = sorted(map(tuple, want[name].collect()), key=repr)
         assert a == b, name
+
+
+def test_command_line_writes_the_checks_and_the_cleaned_tables(spark):
+    import pandas as pd
+
+    from trailscope.__main__ import main
+    from trailscope.sources.csv_io import read_csv
+
+    paths = _write_exports(spark)
+    out = shared_path(spark, "cli_quality")
+    main(["--sessions", paths["website_sessions"], "--pageviews", paths["website_pageviews"], "--orders", paths["orders"], "--out", out, "--format", "csv"])
+    raw = {k: read_csv(spark, p).toPandas() for k, p in paths.items()}
+    summary = {r.table_name: r for r in read_csv(spark, f"{out}/quality/summary", infer=True).collect()}
+    for table, name in (("sessions", "website_sessions"), ("pageviews", "website_pageviews"), ("orders", "orders")):
+        frame = raw[name]
+        assert summary[table].total_rows == len(frame) and summary[table].nulls_before == int(frame.isnull().sum().sum())
+        nulls = {r.column_name: r.null_count for r in read_csv(spark, f"{out}/quality/{table}_nulls", infer=True).collect()}
+        assert nulls == frame.isnull().sum().to_dict()
+    fills = {"utm_source": "direct", "utm_campaign": "noncampaign", "utm_content": "noncontent", "http_referer": "nonreferer"}
+    filled = raw["website_sessions"].fillna(fills).sort_values("website_session_id").astype(object)
+    cleaned = read_csv(spark, f"{out}/cleaned/cleaned_website_sessions").toPandas().sort_values("website_session_id").astype(object)
+    # The exported cells equal the input text, times included.
+    assert cleaned[sorted(filled.columns)].where(pd.notna, None).values.tolist() == filled[sorted(filled.columns)].where(pd.notna, None).values.tolist()
+    assert summary["sessions"].nulls_after == int(filled.isnull().sum().sum())
+    assert spark.read.option("header", True).csv(f"{out}/reports/bounce_rate").first().total_sessions == "4"

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from trailscope.functions.params import sql_str
 
 # The site's purchase funnel, url -> step (1 = landing page).
@@ -52,9 +49,5 @@ def step_sql(col: str, steps: Mapping[str, int] = DEFAULT_STEPS) -> str:
     return f"CASE {arms} ELSE NULL END" if arms else "CAST(NULL AS INT)"
 
 
-def step_of(url: str, steps: Mapping[str, int] = DEFAULT_STEPS) -> Column:
-    return F.expr(step_sql(url, steps))
-
-
 def max_step(steps: Mapping[str, int] = DEFAULT_STEPS) -> int:
     return max(int(s) for s in steps.values())

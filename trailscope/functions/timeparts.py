@@ -3,15 +3,11 @@
 ``date_trunc`` and ``date_format`` route NTZ values through the session time
 zone, so these helpers use only ``CAST(... AS DATE)``, ``weekday``,
 ``dayofweek``, ``hour`` and NTZ subtraction, which never consult a zone.
-Each helper has a ``*_sql`` form (expression text, for composing) and a
-Column form.
+Each helper gives expression text, for composing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Lower-case English day names indexed by dayofweek() (1 = Sunday).
 DAY_NAMES = ["sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday"]
 
@@ -35,28 +31,3 @@ def hour_1_24_sql(ts: str) -> str:
 def micros_between_sql(lo: str, hi: str) -> str:
     """Exact microseconds from ``lo`` to ``hi`` (both NTZ) as BIGINT."""
     return f"CAST(CAST(CAST({hi} - {lo} AS INTERVAL SECOND) AS DECIMAL(20,6)) * 1000000 AS BIGINT)"
-
-
-def minutes_between_sql(lo: str, hi: str) -> str:
-    """``EXTRACT(EPOCH FROM hi - lo) / 60`` as DOUBLE, fractions kept."""
-    return f"CAST({micros_between_sql(lo, hi)} AS DOUBLE) / 60000000.0"
-
-
-def week_start(ts: str) -> Column:
-    return F.expr(week_start_sql(ts))
-
-
-def day_name(ts: str) -> Column:
-    return F.expr(day_name_sql(ts))
-
-
-def hour_1_24(ts: str) -> Column:
-    return F.expr(hour_1_24_sql(ts))
-
-
-def micros_between(lo: str, hi: str) -> Column:
-    return F.expr(micros_between_sql(lo, hi))
-
-
-def minutes_between(lo: str, hi: str) -> Column:
-    return F.expr(minutes_between_sql(lo, hi))

@@ -60,12 +60,6 @@ def fill_nulls(df: DataFrame, values: dict[str, object] | None = None) -> DataFr
     return df.na.fill(fills) if fills else df
 
 
-def rows_with_nulls(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Rows with a NULL in any of ``columns`` (all columns by default)."""
-    cols = columns or df.columns
-    return df.filter(" OR ".join(f"{_q(c)} IS NULL" for c in cols) or "FALSE")
-
-
 def duplicate_groups(df: DataFrame) -> DataFrame:
     """Every distinct full row that occurs more than once, with its count ``n``.
 

@@ -365,6 +365,26 @@ WHERE {W_AB.sql('s.created_at')} AND {SEG}"""
 )
 
 
+def _quality_summary() -> str:
+    def row(name: str, table: str, cols: list[str], raw: str) -> str:
+        c = ", ".join(cols)
+        nulls = "CAST((SELECT " + " + ".join(f"count(*) - count({x})" for x in cols) + " FROM {}) AS BIGINT)"
+        return f"""SELECT '{name}' AS table_name, (SELECT count(*) FROM {table}) AS total_rows, n AS distinct_rows,
+       (SELECT count(*) FROM {table}) - n AS duplicate_rows, {nulls.format(raw)} AS nulls_before, {nulls.format(table)} AS nulls_after
+FROM (SELECT count(*) AS n FROM (SELECT DISTINCT {c} FROM {table}))"""
+
+    parts = (
+        row("sessions", "website_sessions", SESSION_COLS, "unfilled_sessions"),
+        row("pageviews", "website_pageviews", PAGEVIEW_COLS, "website_pageviews"),
+        row("orders", "website_orders", ORDER_COLS, "website_orders"),
+    )
+    # The sessions before the fill, repeated like the filled ones.
+    unfilled = f"""unfilled_sessions AS (
+  SELECT r.{', r.'.join(SESSION_COLS)} FROM raw_sessions AS r JOIN website_sessions AS s USING (website_session_id)
+)"""
+    return _sql("\nUNION ALL\n".join(parts), unfilled)
+
+
 def oracle_sql() -> dict[str, str]:
     pv = ", ".join(PAGEVIEW_COLS)
     first_seen = "min(created_at) FILTER (is_repeat_session = 0)"
@@ -397,6 +417,7 @@ def oracle_sql() -> dict[str, str]:
         "null_rows_head": _sql("SELECT * FROM raw_sessions WHERE utm_source IS NULL ORDER BY website_session_id LIMIT 5"),
         "fill_nulls": _sql("SELECT * FROM website_sessions"),
         "null_recheck": _null_profile("website_sessions", SESSION_COLS),
+        "quality_summary": _quality_summary(),
         "duplicate_rows_sessions": _duplicates("website_sessions", SESSION_COLS),
         "duplicate_rows_pageviews": _duplicates("website_pageviews", PAGEVIEW_COLS),
         "duplicate_rows_orders": _duplicates("website_orders", ORDER_COLS),

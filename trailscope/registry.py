@@ -24,6 +24,7 @@ from trailscope.operators.range_join import join_in_range
 from trailscope.operators.ranking import entry_pages, over_ranks, rank_pages
 from trailscope.operators.numbering import number_rows
 from trailscope.operators.rollup import SID, distinct_counts, session_rollup, window_pageviews, with_activity
+from trailscope.plans.cleaning import quality_summary
 from trailscope.plans.conversion import conversion_report, landing_conversion
 from trailscope.plans.cases import SINGULAR_COLUMNS
 from trailscope.plans.funnel import funnel_report, funnel_table
@@ -127,6 +128,7 @@ REPEATED_QUERIES: dict[str, Query] = {
     "weekly_traffic": lambda s, d: weekly_traffic(repeated_tables(s, d).sessions, W),
     "top_sources": lambda s, d: top_traffic(repeated_tables(s, d).sessions, W, SOURCE_DIMS),
     "peak_time": lambda s, d: peak_time(repeated_tables(s, d).sessions, W),
+    "quality_summary": lambda s, d: quality_summary(_with_repeats(load_raw_tables(s, d))),
     "null_recheck": lambda s, d: quality.null_profile(repeated_tables(s, d).sessions),
     "fill_nulls": lambda s, d: _session_rows(repeated_tables(s, d)),
     "duplicate_rows_sessions": _duplicates("sessions", repeated_tables),
@@ -336,6 +338,7 @@ def queries() -> dict[str, Query]:
         "null_rows_head": q_null_rows_head,
         "fill_nulls": lambda s, d: _session_rows(stored_tables(s, d)),
         "null_recheck": lambda s, d: quality.null_profile(stored_tables(s, d).sessions),
+        "quality_summary": lambda s, d: quality_summary(load_raw_tables(s, d)),
         "duplicate_rows_sessions": _duplicates("sessions"),
         "duplicate_rows_pageviews": _duplicates("pageviews"),
         "duplicate_rows_orders": _duplicates("orders"),

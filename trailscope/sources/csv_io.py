@@ -82,9 +82,14 @@ def read_csv(
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write a headered CSV directory; NULL as an empty cell, no index column.
 
-    Zone-free timestamps are written as the input has them, ``2012-03-19 08:04:16``, with a fraction only where there is one.
+    Zone-free timestamps are written as the input has them, ``2012-03-19 08:04:16``, with a fraction (of six digits, as pandas writes it) only where there is one.
     """
-    times = {f.name: F.col("`" + f.name.replace("`", "``") + "`").cast("string") for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)}
+
+    def time_text(name: str):
+        text = "CAST(`" + name.replace("`", "``") + "` AS STRING)"
+        return F.expr(f"IF({text} LIKE '%.%', concat(substring_index({text}, '.', 1), '.', rpad(substring_index({text}, '.', -1), 6, '0')), {text})")
+
+    times = {f.name: time_text(f.name) for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)}
     (
         df.withColumns(times)
         .write.mode(mode)
