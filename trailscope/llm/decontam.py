@@ -36,9 +36,11 @@ STEP = 25
 BLOCK_CHARS = 2_000_000
 _TABLE_BITS = 22
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = {k: np.uint64(pow(int(_BASE), k, 1 << 64)) for k in (2, 4)}
 #: Scripts written without blanks: Thai, Lao and Tibetan, Myanmar, Khmer, East Asian.
 _UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xABFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 _BLANK = np.array([not chr(c).isalnum() for c in range(1 << 16)])
+_PLAIN = ~_BLANK[:256]
 
 HITS = "array<struct<item: bigint, start: int, length: int, edits: int>>"
 
@@ -48,19 +50,25 @@ def fold(text: str) -> tuple[np.ndarray, np.ndarray]:
     low = text.lower()
     if len(low) != len(text):  # a few letters grow when folded: fold those that don't
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
-    keep = ~_BLANK[np.minimum(points, 0xFFFF)] | (points > 0xFFFF)
-    at = np.flatnonzero(keep)
-    return points[at], at
+    try:  # one byte a character where that holds the text
+        points = np.frombuffer(low.encode("latin-1"), np.uint8)
+        at = np.flatnonzero(_PLAIN[points])
+    except UnicodeEncodeError:
+        points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.flatnonzero(~_BLANK[np.minimum(points, 0xFFFF)] | (points > 0xFFFF))
+    return points[at].astype(np.uint32), at
 
 
 def gram_hashes(points: np.ndarray) -> np.ndarray:
     m = len(points) - Q + 1
     if m < 1:
         return np.zeros(0, np.uint64)
-    wide, h = points.astype(np.uint64), np.zeros(m, np.uint64)
-    for k in range(Q):
-        h = h * _BASE + wide[k : k + m]
+    # The polynomial over Q = 12 characters from those over 2, 4 and 8.
+    h1 = points.astype(np.uint64)
+    h2 = h1[:-1] * _BASE + h1[1:]
+    h4 = h2[:-2] * _POWERS[2] + h2[2:]
+    h8 = h4[:-4] * _POWERS[4] + h4[4:]
+    h = h8[:m] * _POWERS[4] + h4[8 : 8 + m]
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(32))
 
@@ -164,6 +172,10 @@ class BenchmarkIndex:
         raw = points.tobytes()
         for size, items in self.short.items():
             starts = np.flatnonzero(breaks[: max(0, len(breaks) - size)] & breaks[size:])
+            # Only places whose first, middle and last character some item has.
+            ends_of = np.array([np.frombuffer(k, np.uint32)[[0, size // 2, size - 1]] for k in items], np.int64)
+            marks = (points[starts].astype(np.int64) << 42) | (points[starts + size // 2].astype(np.int64) << 21) | points[starts + size - 1]
+            starts = starts[np.isin(marks, (ends_of[:, 0] << 42) | (ends_of[:, 1] << 21) | ends_of[:, 2])]
             ends: dict[bytes, int] = {}
             for s in starts.tolist():
                 same = items.get(key := raw[4 * s : 4 * (s + size)])
@@ -190,23 +202,46 @@ class BenchmarkIndex:
         band = diagonal // half
         span = len(points) + (1 << 24)
         keys, counts = np.unique(np.concatenate([owner * span + band, owner * span + band - 1]) + (1 << 23), return_counts=True)
-        found: dict[int, list[tuple[bool, int, int, int, int]]] = {}
-        for key, c in zip(keys.tolist(), counts.tolist()):
-            item, b = key // span, key % span - (1 << 23)
-            if c < self.bound[item]:
-                continue
-            e = int(self.budget[item])
-            hit = banded_alignment(self.items[item], points, b * (e + 1) - e, (b + 2) * (e + 1) - 1 + e, e)
-            if hit:
-                found.setdefault(self.source[item], []).append((not self.whole[item], *hit, item))
-        out = []
-        for hits in found.values():
-            taken: list[tuple[int, int]] = []
-            for _, edits, s, e, item in sorted(hits):  # whole items before windows
-                if all(e <= a or s >= b for a, b in taken):
-                    taken.append((s, e))
+        enough = counts >= self.bound[keys // span]
+        bands = [(key // span, key % span - (1 << 23)) for key in keys[enough].tolist()]
+
+        def hit(item: int, b: int) -> tuple[int, int, int] | None:
+            e, part = int(self.budget[item]), self.items[item]
+            low, high = b * (e + 1), (b + 2) * (e + 1) - 1
+            # A diagonal with all grams of the item is a verbatim occurrence: no alignment is better.
+            mine = diagonal[(owner == item) & (diagonal >= low) & (diagonal <= high)]
+            on, grams = np.unique(mine, return_counts=True)
+            for d in on[grams == len(part) - Q + 1].tolist():
+                if np.array_equal(points[d : d + len(part)], part):
+                    return 0, d, d + len(part)
+            return banded_alignment(part, points, low - e, high + e, e)
+
+        out: list[dict] = []
+        taken: dict[int, list[tuple[int, int]]] = {}
+
+        def take(found: list[tuple[int, int, int, int]]) -> None:
+            """Of overlapping occurrences of a benchmark item the best, then the first."""
+            for edits, s, e, item in sorted(found):
+                places = taken.setdefault(self.source[item], [])
+                if all(e <= a or s >= b for a, b in places):
+                    places.append((s, e))
                     start = int(origin[s])
                     out.append({"item": self.ids[item], "start": start, "length": int(origin[e - 1]) + 1 - start, "edits": edits})
+
+        whole = [(*place, item) for item, b in bands if self.whole[item] and (place := hit(item, b))]
+        take(whole)
+        parts = []
+        for item, b in bands:
+            if self.whole[item]:
+                continue
+            e = int(self.budget[item])
+            first, last = (b + 2) * (e + 1) - 1 + e, b * (e + 1) - e + len(self.items[item]) - e
+            # Wherever in the band the window stands, it overlaps an occurrence of its whole item: it can't count.
+            if any(first < stop and last > start for start, stop in taken.get(self.source[item], ())):
+                continue
+            if place := hit(item, b):
+                parts.append((*place, item))
+        take(parts)
         return out
 
 
