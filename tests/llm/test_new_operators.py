@@ -276,3 +276,23 @@ def test_cuckoo_filter():
     assert full.contains(keys[:40]).all() and full.stash
     full.delete(keys[:40])
     assert not full.table.any() and not full.stash
+
+
+# ---- near duplicates of rows that share an id
+
+
+def test_near_duplicates_of_an_id_with_several_texts(spark):
+    from trailscope.llm import minhash
+
+    rng = random.Random(12)
+    prose = [" ".join(f"w{rng.randrange(900)}" for _ in range(200)) for _ in range(4)]
+    near = prose[1].split(" ")
+    near[50] = "other"
+    rows = [(1, prose[0]), (1, prose[1]), (2, " ".join(near)), (3, prose[2]), (3, prose[2]), (4, prose[2].upper()), (5, ""), (5, ""), (None, prose[2]), (6, prose[3]), (6, None)]
+    rng.shuffle(rows)
+    df = _frame(spark, [(*r, 0) for r in rows], "doc_id long, text string, near_id int")
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 3, True), (4, 3, False), (5, 5, True), (6, 6, True), (None, None, True)}
+    kept = Counter((r.doc_id, r.text) for r in minhash.drop_near_duplicates(df).collect())
+    # Texts decide: both unrelated texts of id 1 stay, one row of each group of copies, all blank ones.
+    assert kept == Counter([(1, prose[0]), (1, prose[1]), (3, prose[2]), (5, ""), (5, ""), (None, prose[2]), (6, prose[3]), (6, None)])

@@ -5,7 +5,8 @@ maximum are kept, which gives two unbiased signature values for one pass of hash
 maximum of the same function are never in one band) put documents into buckets: a pair at the threshold shares none
 with a probability below ``MISS`` (24 bands of 5 at 0.85, 30 of 4 at 0.80).
 
-Equal sets collapse to their smallest id before banding, so groups of exact copies cost one row. In each bucket every member is
+Equal sets collapse to one node (64 bits of the set's digest) before banding, so groups of exact copies cost one row and get their component by a join; ids
+play no part in the search. In each bucket every member is
 compared with the most connected one (the member with the largest buckets), not with all others: candidates grow with
 the members. Links are confirmed on the full sets. Buckets whose members are then still in several components are searched once more, across
 components only: pair by pair where that is at most ``CROSS`` pairs for each member (so always up to twice as many members, and with a few
@@ -13,7 +14,8 @@ stragglers beside a large component), otherwise by an exact prefix-filter join (
 each pair that shares a bucket is linked, excluded or in one component. Components come from alternating large-star and small-star steps on stored edges.
 
 Results: null, empty and blank texts have an empty set and are linked with nothing. Fewer than five words make one shingle. Rows with
-the same id count as one document. A null id is its own component (null) and kept. An empty table gives an
+the same id count as one document in ``near_duplicates``: all their texts are in one component. ``drop_near_duplicates`` goes by texts alone: a row goes only if another kept row has an equal or linked
+set. A null id is its own component (null) and kept. An empty table gives an
 empty result. Texts are read whole; extra columns are ignored.
 """
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailscope.llm.common import slices, spare_name, store
+from trailscope.llm.common import WORD, slices, spare_name, store
 
 SHINGLE = 5
 PERMUTATIONS = 60
@@ -90,7 +92,7 @@ def band_keys(shingles: np.ndarray, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, set_key, bands) of docs (id, text); set_key identifies equal sets, null bands for empty ones."""
+    """(id, row, n_shingles, set_key, bands) of docs (id, row, text); set_key identifies equal sets, null bands for empty ones."""
     rows = band_rows(percent)
 
     def run(batches):
@@ -102,21 +104,22 @@ def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 n.append(len(s))
                 keys.append(blake2b(s.tobytes(), digest_size=16).digest())
                 bands.append(band_keys(s, rows) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "n_shingles", "set_key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "row", "n_shingles", "set_key", "bands"])
 
-    return docs.select(F.col("id").cast("long"), "text").mapInArrow(run, "id long, n_shingles long, set_key binary, bands array<long>")
+    return docs.select(F.col("id").cast("long"), "row", "text").mapInArrow(run, "id long, row long, n_shingles long, set_key binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """(id, shingles) with the sorted hashes of the whole set; docs are (id, text)."""
+    """(id, shingles) with the sorted hashes of the whole set and its node; docs are (text)."""
 
     def run(batches):
         memo = _Words()
         for part in slices(batches):
-            sets = [shingle_set(t, memo).view(np.int64) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+            sets = [shingle_set(t, memo) for t in part.column("text").to_pylist()]
+            keys = [blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["set_key", "shingles"])
 
-    return docs.select(F.col("id").cast("long"), "text").mapInArrow(run, "id long, shingles array<long>")
+    return docs.select("text").mapInArrow(run, "set_key binary, shingles array<long>").select(F.xxhash64("set_key").alias("id"), "shingles")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -204,10 +207,11 @@ def components(edges: DataFrame, name: str = "near") -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Stored, so that both sides of the join are plain exchanges and the edges of a hub can be split.
+        low = store(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = store(large.where("u <> v").distinct(), f"{name}-large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = store(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = store(small.where("u <> v").distinct(), f"{name}-small")
         before, state = state, tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u, 1))")).first())
@@ -225,15 +229,18 @@ def _open_buckets(members: DataFrame, name: str) -> DataFrame:
 
 
 def near_links(docs: DataFrame, distinct: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Confirmed links (a, b) between representatives; ``distinct`` has a row (id, n, bands) per distinct set, docs are (id, text)."""
+    """Confirmed links (a, b) between nodes; ``distinct`` has a row (id, n, bands, rep) per distinct set, docs are (id, text).
+
+    ``rep`` is the id of some document with the set; the sets to confirm are computed again from the texts of these ids.
+    """
     rows = distinct.select("id", "n", F.posexplode("bands").alias("band", "key"))
     sizes = store(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-sizes")
     shared = store(rows.join(sizes, "key").select("key", "id", "n", "band", "size"), "near-shared")
     degree = shared.groupBy("id").agg(F.sum("size").alias("degree"))
     members = store(shared.drop("size").join(degree, "id"), "near-members")
     first = store(star_pairs(members, percent), "near-pairs")
-    wanted = members.select("id").distinct()
-    # The ids grow with the corpus, so this is a merge join at every size.
+    # The ids grow with the corpus, so these are merge joins at every size. An id that stands for several texts brings sets that nobody asks for.
+    wanted = store(distinct.select("id", "rep").join(members.select("id").distinct().hint("merge"), "id", "left_semi").select(F.col("rep").alias("id")).distinct(), "near-wanted")
     sets = store(full_sets(docs.join(wanted.hint("merge"), "id", "left_semi")).dropDuplicates(["id"]), "near-sets")
     links = store(confirm(first, sets, percent), "near-links")
 
@@ -249,23 +256,51 @@ def near_links(docs: DataFrame, distinct: DataFrame, percent: int = PERCENT) ->
     return links.unionByName(store(confirm(pairs, sets, percent), "near-more-links"))
 
 
+def _linked_sets(docs: DataFrame, signed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, rep) of the distinct sets in ``signed`` and the links between them; docs are (id, text)."""
+    linkable = signed.where("node IS NOT NULL")
+    distinct = store(linkable.groupBy("node").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).withColumnRenamed("node", "id"), "near-distinct")
+    return distinct.select("id", "rep"), near_links(docs.where("id IS NOT NULL"), distinct, percent)
+
+
+def _signed(docs: DataFrame, percent: int) -> DataFrame:
+    """Stored signatures with the node of each set: null for empty sets and null ids, which are linked with nothing."""
+    node = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.xxhash64("set_key"))
+    return store(signatures(docs, percent).withColumn("node", node), "near-signatures")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per input row: doc_id, n_shingles, component_id, kept (is the component's smallest id)."""
-    docs = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
-    signed = store(signatures(docs, percent), "near-signatures")
-    linkable = signed.where("n_shingles > 0 AND id IS NOT NULL")
-    distinct = store(linkable.groupBy("set_key").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "near-distinct")
-    # An id may stand for several texts; then it has several sets and links through each of them.
-    same = linkable.join(distinct.select("set_key", F.col("id").alias("b")), "set_key").where("id <> b").select(F.col("id").alias("a"), "b")
-    links = near_links(docs.where("id IS NOT NULL"), distinct.select("id", "n", "bands"), percent)
-    labels = components(links.unionByName(same), "near-all")
-    out = signed.join(labels, "id", "left").withColumn("component_id", F.coalesce("label", "id"))
+    docs = df.select(df[id_col].cast("long").alias("id"), F.lit(0).cast("long").alias("row"), df[text_col].alias("text"))
+    signed = _signed(docs, percent)
+    nodes, links = _linked_sets(docs, signed, percent)
+    # An id may stand for several texts: they belong together.
+    several = store(signed.where("node IS NOT NULL").groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top").select("id", "b"), "near-several")
+    twins = signed.where("node IS NOT NULL").select("id", F.col("node").alias("a")).join(several, "id").where("a <> b").select("a", "b")
+    labels = components(links.unionByName(twins), "near-all")
+    placed = store(nodes.join(labels, "id", "left").select("id", "rep", F.coalesce("label", "id").alias("label")), "near-placed")
+    smallest = store(placed.groupBy("label").agg(F.min("rep").alias("component_id")), "near-smallest")
+    found = store(placed.join(smallest, "label").select(F.col("id").alias("node"), "component_id"), "near-found")
+    out = signed.join(found, "node", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One document of each component (the smallest id), with the input's columns."""
-    found = near_duplicates(df, id_col, text_col, percent).where("NOT kept").select("doc_id").distinct()
+    """One row of each component of equal or linked sets, with the input's columns: the one with the smallest id, then the smallest hash of its columns.
+
+    Rows with an empty set or a null id are all kept.
+    """
     key = spare_name(df.columns, "near_id")
-    rest = df.withColumn(key, df[id_col].cast("long")).join(found.withColumnRenamed("doc_id", key), key, "left_anti")
-    return rest.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(rest.where(F.col(key).isNull())).select(*df.columns)
+    row = spare_name([*df.columns, key], "near_row")
+    keyed = df.withColumns({key: df[id_col].cast("long"), row: F.xxhash64(*[df[c] for c in df.columns])})
+    docs = keyed.select(F.col(key).alias("id"), F.col(row).alias("row"), F.col(text_col).alias("text"))
+    signed = _signed(docs, percent)
+    nodes, links = _linked_sets(docs, signed, percent)
+    labels = store(nodes.join(components(links, "near-all"), "id", "left").select(F.col("id").alias("node"), F.coalesce("label", "id").alias("label")), "near-placed")
+    rows = store(signed.where("node IS NOT NULL").select("id", "row", "node").join(labels, "node").select("id", "row", "label"), "near-rows")
+    best = store(rows.groupBy("label").agg(F.min(F.struct("id", "row")).alias("best")), "near-best")
+    gone = rows.join(best, "label").where(F.struct("id", "row") != F.col("best")).select(F.col("id").alias(key), F.col("row").alias(row)).distinct()
+    # Rows with a set meet those to drop; equal ones are folded before the shuffle, which the join then shares.
+    linkable = F.coalesce(F.col(key).isNotNull() & F.col(text_col).rlike(WORD), F.lit(False))
+    once = keyed.where(linkable).dropDuplicates([key, row]).join(store(gone, "near-gone").hint("merge"), [key, row], "left_anti")
+    return once.select(*df.columns).unionByName(keyed.where(~linkable).select(*df.columns))
