@@ -16,8 +16,9 @@ from trailscope.session import shared_path
 #: A word: a run of characters other than the six ASCII blanks (fixed by the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows of an Arrow batch that are turned into Python objects at once: bounds a worker's memory with long texts.
+#: Rows and bytes of an Arrow batch that are turned into Python objects at once: bounds a worker's memory with long texts.
 SLICE_ROWS = 128
+SLICE_BYTES = 4 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -108,8 +109,8 @@ def text_udf(schema: str, make: Callable[[], Callable[[list], list[list]]]):
         work = make()
         for texts in batches:
             columns = [[] for _ in arrow]
-            for at in range(0, len(texts), SLICE_ROWS):  # Python strings of a few rows at a time
-                for column, part in zip(columns, work(texts.slice(at, SLICE_ROWS).to_pylist())):
+            for few in _parts(texts, len(texts)):  # Python strings of a few rows at a time
+                for column, part in zip(columns, work(few.to_pylist())):
                     column.extend(part)
             yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], fields=list(arrow))
 
@@ -117,11 +118,22 @@ def text_udf(schema: str, make: Callable[[], Callable[[list], list[list]]]):
     return arrow_udf(run, kind).asNondeterministic()
 
 
+def _parts(data, rows: int):
+    """Slices of an Arrow array or batch, of ``SLICE_ROWS`` rows and ``SLICE_BYTES`` bytes at most, or of one row."""
+    at = 0
+    while at < rows:
+        n = min(SLICE_ROWS, rows - at)
+        while n > 1 and data.slice(at, n).nbytes > SLICE_BYTES:
+            n //= 2
+        yield data.slice(at, n)
+        at += n
+
+
 def slices(batches):
-    """The rows of Arrow batches, a few at a time."""
+    """The rows of Arrow batches, a few at a time; what earlier batches took is given back to the system."""
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            yield batch.slice(at, SLICE_ROWS)
+        yield from _parts(batch, batch.num_rows)
+        pa.default_memory_pool().release_unused()
 
 
 def in_fold(doc_id: Column, parts: int, fold: int) -> Column:
