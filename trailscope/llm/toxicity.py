@@ -121,6 +121,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         yield pa.RecordBatch.from_arrays([pa.array([m.bias]), pa.array([m.buckets.astype(np.int32).tobytes()], pa.binary()), pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.trained])], ["bias", "buckets", "weights", "trained"])
 
     extracted = train.select(F.col("id").cast("long"), "text", F.col("label").cast("int")).mapInArrow(extract, "id long, label int, raw binary")
+    # Rows that repeat an id and its features are one example: folded map-side before they meet in one task.
+    extracted = extracted.groupBy("id", "raw").agg(F.max("label").alias("label")).select("id", "label", "raw")
     row = extracted.repartition(1).mapInArrow(train_task, "bias double, buckets binary, weights binary, trained boolean").first()  # one task: bounded by train_rows
     if row is None:
         return ToxicityModel(0.0, np.zeros(0, np.int32), np.zeros(0, np.float32), False)
