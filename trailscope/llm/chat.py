@@ -77,7 +77,8 @@ def format_conversations(turns: DataFrame, budget: int = BUDGET, history: int =
     fresh = placed.groupBy(*key).agg(F.min("idx").alias("window"), F.min("start").alias("w_start"), F.collect_list(F.struct(F.lit(2).alias("kind"), "idx", "role", "text")).alias("turns"))
     windows = fresh.select(F.col("conv").alias("w_conv"), "window", "w_start")
     system = placed.where("role = 'system'").groupBy("conv").agg(F.min_by(F.struct("idx", "role", "text"), "idx").alias("sys"))
-    system = system.select(F.col("conv").alias("s_conv"), "sys")
+    # Stored, so that the joins below start from plain exchanges and a hot conversation can be split.
+    system = store(system.select(F.col("conv").alias("s_conv"), "sys"), "chat-system")
     # Earlier turns that end at the window's start and together take at most `history` tokens.
     buckets = F.array_distinct(F.array(F.floor((F.col("w_start") - 1) / history), F.floor(F.col("w_start") / history) - 1))
     wanted = windows.where("w_start > 0").withColumn("bucket", F.explode(buckets))
