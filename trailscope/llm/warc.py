@@ -133,7 +133,8 @@ class _BundleWriter:
     def add(self, page_id: int | None, raw: bytes) -> None:
         if self.file is None:
             self.number += 1
-            self.name = f"part-{self.part:06d}-{self.number:04d}.warc.zst"
+            # Named by attempt: a late or repeated attempt never replaces a bundle that the other attempt's index rows point into.
+            self.name = f"part-{self.part:06d}-{self.attempt:08d}-{self.number:04d}.warc.zst"
             self.files, self.folder_path = file_system(self.folder)
             self.files.create_dir(self.folder_path, recursive=True)
             self.temporary = f"{self.folder_path}/.{self.name}-{self.attempt}"
