@@ -9,7 +9,7 @@ document sums its words and a prior by documents per language.
 
 Results: a null text, and one without a letter, is ``und`` with score 0, as is every text
 when no labelled row exists. Ties go to the first language by code point. Repeated
-rows get equal results, very long texts are scored whole, and an empty table gives an empty result.
+rows get equal results, very long texts are scored whole, and an empty table gives an empty result. An input column named like the output is replaced.
 """
 
 from __future__ import annotations
@@ -20,13 +20,13 @@ from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailscope.llm.common import slices, store, text_udf
 
 TRAIN_ROWS = 20_000
-MAX_GRAMS = 50_000
+MAX_GRAMS = 60_000
 MAX_N = 5
 MEMO_WORDS = 300_000
 UNKNOWN = "und"
@@ -121,9 +121,12 @@ def fit_language_model(df: DataFrame, text_col: str = "text", lang_col: str = "l
 
     counted = sample.mapInArrow(grams, "lang string, n int, gram string, c long").groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
     per_gram = store(counted.groupBy("n", "gram").agg(F.sum("c").alias("c"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by_lang")), "language-grams")
-    top = []
-    for words in (F.col("n") == 0, F.col("n") > 0):
-        top += per_gram.where(words).orderBy(F.desc("c"), "n", "gram").limit(max_grams).collect()  # bounded by max_grams
+    # The most frequent words and n-grams of each language, so that a language with most of the text does not take the places of the others.
+    place = Window.partitionBy("lang", "word").orderBy(F.desc("c"), "n", "gram")
+    ranked = per_gram.select("n", "gram", F.explode("by_lang").alias("lang", "c")).withColumn("word", F.col("n") == 0).withColumn("place", F.row_number().over(place))
+    chosen = ranked.where(F.col("place") <= max(1, max_grams // len(langs))).select("n", "gram").distinct()
+    # at most max_grams words and as many n-grams
+    top = sorted(per_gram.join(chosen, ["n", "gram"]).collect(), key=lambda r: (-r.c, r.n, r.gram))
     totals = np.zeros((MAX_N + 1, len(langs)))
     kinds = Counter(r.n for r in top)
     for r in top:
