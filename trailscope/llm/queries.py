@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailscope.llm import chat, decontam, langid, line_dedup, minhash, mixing, periodic, quality, sharding, suffix_dedup, toxicity, warc, whitening
-from trailscope.llm.common import WORD, in_fold, store
+from trailscope.llm.common import WORD, in_fold, step_path, store
 
 #: Fixed by the contract: the text that both turns of the added conversation say.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
@@ -36,10 +36,16 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole records are written to shards; everything returned is read back from these."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    sharded, path = sharding.shard_documents(docs), step_path(spark, "shards")
+    sharding.write_shards(sharded, path)
+    records = spark.read.schema(sharded.schema).parquet(path)
     digest = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    sharded = sharding.shard_documents(docs.withColumns({"size": sharding.record_size(F.col("text")), "text_crc32": digest}))
-    return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return records.select(
+        "doc_id", sharding.record_size(F.col("text")).alias("size"), digest.alias("text_crc32"),
+        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

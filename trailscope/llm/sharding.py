@@ -8,7 +8,8 @@ subdivided. The pieces (a bounded table) are dealt to shards, largest first, eac
 from piece offsets. A large group of equal texts splits over ranges by the id; a record larger than a range is a piece of its own.
 
 Results: size is the UTF-8 bytes of the text (null: none) plus ``overhead``. Repeated rows are separate
-records; ties in the order are between interchangeable records. An empty table gives an empty result.
+records; ties in the order are between interchangeable records. An empty table gives an empty result. Input columns named
+like the outputs are replaced.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from trailscope.llm.common import sha_order, spare_name, store
 SHARDS = 40
 OVERHEAD = 16
 RANGES_PER_SHARD = 25
+#: A range holds about so many bytes at most: with more data there are more ranges, not larger ones.
+RANGE_BYTES = 256 << 20
 SAMPLES_PER_RANGE = 8
 
 
@@ -80,11 +83,12 @@ def pack(pieces: list[tuple[int, int, int, int, int]], shards: int) -> list[tupl
 def shard_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, ranges_per_shard: int = RANGES_PER_SHARD, overhead: int = OVERHEAD, shard_col: str = "shard", slot_col: str = "slot") -> DataFrame:
     """Every input row with its columns, its shard (0 to ``shards`` - 1) and its slot (gapless from 0 in each shard)."""
     spark = df.sparkSession
+    df = df.drop(shard_col, slot_col)
     a, b, z, r, rank, run, piece, shift = (spare_name([*df.columns, shard_col, slot_col], f"shard_{x}") for x in "a b size range rank run piece shift".split())
     keyed = df.withColumns({a: F.xxhash64(df[text_col]), b: sha_order(df[id_col]), z: record_size(df[text_col], overhead)})
     keys = store(keyed.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(z).alias("size")), "shard-keys")
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    ranges = shards * ranges_per_shard
+    ranges = max(shards * ranges_per_shard, math.ceil(total / RANGE_BYTES))
     limit = max(1, math.ceil(total / ranges))
     find = range_of(choose_splitters(keys, ranges))
 
