@@ -21,7 +21,7 @@ Keys of strings have 96 bits. All grouping is by key with partial sums, a hot ke
 (adaptive execution splits them), and each step is stored, so lost executors cost one step.
 
 Results: a null text is empty; texts shorter than ``LENGTH`` keep all bytes; a repeated row (also with an equal id) is a
-copy like any other; texts are cut at bytes, so ``kept`` is binary. An empty table gives an empty result. Other columns of the input stay.
+copy like any other; texts are cut at bytes, so ``kept`` is binary. An empty table gives an empty result. An input column named like the output is replaced, other columns stay.
 """
 
 from __future__ import annotations
@@ -220,14 +220,18 @@ def _position_batches(batches):
     yield from _emit(rows(), ["rid", "at", "k1", "k2", "single"])
 
 
-def repeat_starts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, spans): packed ranges of starts whose strings cover all repeated bytes; rid is xxhash64(id, text)."""
-    texts = df.select(F.xxhash64(df[id_col], df[text_col]).alias("rid"), F.encode(df[text_col], "utf-8").alias("data")).where(F.octet_length("data") >= LENGTH)
+def repeat_starts(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """(rid, spans): packed ranges of starts whose strings cover all repeated bytes; rid is xxhash64(text), one row per distinct text."""
+    texts = df.select(F.xxhash64(df[text_col]).alias("rid"), F.encode(df[text_col], "utf-8").alias("data")).where(F.octet_length("data") >= LENGTH)
+    # A text that several rows have is repeated as a whole.
+    copies = texts.groupBy("rid").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("data")).alias("size")).where("n > 1")
+    copies = store(copies.select("rid", F.array((F.col("size") - LENGTH).cast("long")).alias("spans")), "repeat-copies")
     phrases = store(texts.mapInArrow(_parse_batches, "rid long, at long, k long"), "repeat-parse")
     dictionary = store(phrases.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k"), "repeat-dictionary")
-    marked = store(phrases.join(dictionary, "k").groupBy("rid").agg(F.collect_list("at").alias("ats")), "repeat-marked")
+    marked = store(phrases.join(dictionary, "k").groupBy("rid").agg(F.collect_set("at").alias("ats")), "repeat-marked")
     discard(phrases, dictionary)
-    stretches = store(texts.join(marked, "rid").mapInArrow(_stretch_batches, "rid long, start long, data binary"), "repeat-stretches")
+    # One row of each text goes on, folded before the shuffle that the join shares: its copies are done, and other texts need to meet it once only.
+    stretches = store(texts.dropDuplicates(["rid"]).join(marked, "rid").mapInArrow(_stretch_batches, "rid long, start long, data binary"), "repeat-stretches")
 
     found = stretches.mapInArrow(_unit_batches, "rid long, span long, k1 long, k2 int, near long")
     # `first` of several columns comes from one row: none of them is null
@@ -239,21 +243,22 @@ def repeat_starts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     contested = store(classes.groupBy("near").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).where("n > 1 AND least = 1").select("near"), "repeat-near")
     single = (F.col("c") == 1).cast("long")
     packed = F.shiftleft(F.shiftright("span", 32), 32).bitwiseOR(F.shiftleft(F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)), 1)).bitwiseOR(single)
-    listed = classes.join(contested, "near").groupBy("rid").agg(F.collect_list(packed).alias("listed"))
+    listed = store(classes.join(contested, "near").groupBy("rid").agg(F.collect_list(packed).alias("listed")), "repeat-listed")
     positions = store(stretches.join(listed, "rid").mapInArrow(_position_batches, "rid long, at long, k1 long, k2 int, single boolean"), "repeat-positions")
     discard(stretches, classes, contested)
     twice = store(positions.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k1", "k2"), "repeat-strings")
     at = F.shiftleft("at", 32).bitwiseOR(F.col("at"))
     fine = positions.where("single").join(twice, ["k1", "k2"]).groupBy("rid").agg(F.collect_list(at).alias("spans"))
-    spans = store(whole.unionByName(fine).groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans")), "repeat-spans")
+    spans = store(whole.unionByName(fine).unionByName(copies).groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans")), "repeat-spans")
     discard(marked, whole, positions, twice)
     return spans
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "dedup") -> DataFrame:
+def remove_repeats(df: DataFrame, text_col: str = "text", out: str = "dedup") -> DataFrame:
     """Add ``out``: a struct of n_bytes, spans (start, length of each removed run, in bytes) and kept (the other bytes)."""
     rid, spans, key = (spare_name([*df.columns, out], x) for x in ("rid", "spans", "rid_found"))
-    found = repeat_starts(df, id_col, text_col).select(F.col("rid").alias(key), F.col("spans").alias(spans))
+    df = df.drop(out)
+    found = repeat_starts(df, text_col).select(F.col("rid").alias(key), F.col("spans").alias(spans))
 
     @arrow_udf("struct<n_bytes: bigint, spans: array<struct<start: int, length: int>>, kept: binary>")
     def cut(data: pa.Array, starts: pa.Array) -> pa.Array:
@@ -270,6 +275,6 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         span = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
         return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["n_bytes", "spans", "kept"])
 
-    keyed = df.withColumn(rid, F.xxhash64(df[id_col], df[text_col]))
+    keyed = df.withColumn(rid, F.xxhash64(df[text_col]))
     joined = keyed.join(found, F.col(rid) == F.col(key), "left")
     return joined.withColumn(out, cut(F.encode(F.col(text_col), "utf-8"), F.col(spans))).select(*df.columns, out)
