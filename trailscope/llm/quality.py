@@ -8,7 +8,7 @@ Documents then run the rules in that order and stop at the first rejection.
 The order changes the cost only, never the verdict.
 
 Results: a null text has no words and fails the base rules like an empty one. Repeated rows get
-equal verdicts, an empty table an empty result; texts are read whole.
+equal verdicts, an empty table an empty result; texts are read whole. An input column named like the output is replaced.
 Other columns of the input pass through untouched.
 """
 
