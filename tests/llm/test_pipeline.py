@@ -1,0 +1,133 @@
+"""Each pipeline stage against brute force, with nulls, empty and blank texts, repeated rows, rows that share an id, and an empty table."""
+
+from __future__ import annotations
+
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from trailscope.llm import decontam, minhash, mixing, toxicity
+
+DDL = "doc_id long, text string, lang string, source string, n_chars long"
+RUDE = ["filth", "scum", "vermin", "idiot"]
+STAGES = dict(corpus_pipeline.STAGES)
+
+
+def _prose(rng: random.Random, n: int) -> str:
+    return " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows() -> list[tuple]:
+    rng = random.Random(21)
+    texts = [_prose(rng, rng.randint(20, 160)) for _ in range(150)]
+    for k in range(0, 60, 2):
+        words = texts[k].split(" ")
+        texts[k] = " ".join(w if rng.random() < 0.5 else rng.choice(RUDE) for w in words)
+    near = texts[101].split(" ")
+    near[3] = "changed"
+    texts += [texts[61], texts[63], texts[63], " ".join(near), f"{_prose(rng, 30)} {ITEM} {_prose(rng, 20)}", ITEM.upper()]
+    texts += [None, "", " \n\t ", "w1", "é " * 3000]
+    out = [(i, t, None if i % 5 == 0 else "en", None if i % 9 == 0 else f"s{i % 4}", 0 if t is None else len(t)) for i, t in enumerate(texts)]
+    return [*out, out[70], out[70], (None, texts[75], None, None, None), (None, None, None, None, None), (80, _prose(rng, 50), "en", "s1", 0)]
+
+
+ITEM = "which of these seven old lighthouses still stands on the rocks beyond the harbour of the northern town after the great storm"
+
+
+@pytest.fixture(scope="module")
+def sf(spark, rows, tmp_path_factory) -> str:
+    path = str(tmp_path_factory.mktemp("pipeline"))
+    labels = [(i, 1, int(i < 60 and i % 2 == 0)) for i in range(150)] + [(None, 1, 1), (7, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, ITEM), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return path
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DDL).repartition(4)
+
+
+def _after(spark, name, docs, sf):
+    out = STAGES[name](spark, docs, sf)
+    assert out.columns[:5] == docs.columns
+    return Counter(tuple(r)[:5] for r in out.collect())
+
+
+def test_toxicity(spark, docs, rows, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where(corpus_pipeline.in_fold(corpus_pipeline.F.col("doc_id"), 4, 2) == False)  # noqa: E712
+    model = toxicity.fit_toxicity(docs, labels)
+    dense = model.dense()
+
+    def score(text):
+        return 1 / (1 + np.exp(-(model.bias + dense[np.unique(toxicity.features(text, toxicity._Hashes()))].sum())))
+
+    want = Counter(r for r in rows if score(r[1]) < toxicity.THRESHOLD)
+    got = _after(spark, "toxicity", docs, sf)
+    assert got == want
+    gone = {r[0] for r in rows if r not in got}
+    assert len(gone & set(range(0, 60, 2))) >= 27 and gone <= set(range(0, 60, 2))
+
+
+def _set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_duplicates(spark, docs, rows, sf):
+    sets = [_set(t) if i is not None else set() for i, t, *_ in rows]
+    group = list(range(len(rows)))
+
+    def root(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= corpus_pipeline.NEAR_PERCENT * len(sets[a] | sets[b]):
+                group[root(a)] = root(b)
+    want = Counter()
+    for k in set(map(root, range(len(rows)))):
+        mine = [rows[j] for j in range(len(rows)) if root(j) == k]
+        want[min(r[0] for r in mine) if len(mine) > 1 else mine[0][0]] += 1
+    got = _after(spark, "near_duplicates", docs, sf)
+    assert Counter(i for (i, *_), n in got.items() for _ in range(n)) == want and set(got) <= set(rows)
+    assert minhash.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_decontamination(spark, docs, rows, sf):
+    index = decontam.BenchmarkIndex([(1, ITEM)])
+    want = Counter(r for r in rows if not index.find(r[1]))
+    assert sum(want.values()) == len(rows) - 2
+    assert _after(spark, "decontamination", docs, sf) == want
+
+
+def test_source_mix_and_shards(spark, docs, rows, sf):
+    copies = Counter()
+    for r in mixing.mix_sources(docs).collect():
+        copies[r.doc_id, r.source, r.size] += r.copies
+    got = _after(spark, "source_mix", docs, sf)
+    words = lambda t: len((t or "").split())
+    found = Counter()
+    for r, n in got.items():
+        found[r[0], r[3], words(r[1])] += n
+    assert set(got) <= set(rows) and found == +copies
+
+    out = STAGES["sharding"](spark, docs, sf).collect()
+    assert Counter(tuple(r)[:5] for r in out) == Counter(rows)
+    for shard in {r.shard for r in out}:
+        mine = sorted(r.slot for r in out if r.shard == shard)
+        assert 0 <= shard < 40 and mine == list(range(len(mine)))
+    clash = STAGES["sharding"](spark, docs.withColumnsRenamed({"lang": "shard", "n_chars": "slot"}), sf)
+    assert clash.columns == ["doc_id", "text", "source", "shard", "slot"] and clash.count() == len(rows)
+
+
+@pytest.mark.parametrize("name", list(STAGES))
+def test_empty_table(spark, sf, name):
+    out = STAGES[name](spark, spark.createDataFrame([], DDL), sf)
+    assert out.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] and out.count() == 0
