@@ -13,7 +13,9 @@ def _num_tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def replicate_rows(df: DataFrame, count: str, chunk_rows: int | None = None, index: str | None = None) -> DataFrame:
+def replicate_rows(
+    df: DataFrame, count: str, chunk_rows: int | None = None, index: str | None = None, spread_all: bool = False
+) -> DataFrame:
     """Emit every row ``count`` times (``count`` is SQL text; rows with ``count <= 0`` vanish).
     With ``index``, a column of that name numbers the copies of each row from 1.
 
@@ -22,7 +24,7 @@ def replicate_rows(df: DataFrame, count: str, chunk_rows: int | None = None, ind
     identical rows) is first cut into chunk descriptors, which are hash-spread
     over the shuffle partitions by an explicit-count repartition (AQE does not
     coalesce it back into one task), and only then expanded. When no row is
-    hot, Spark prunes that branch as an empty relation.
+    hot, Spark prunes that branch as an empty relation. With ``spread_all`` every row goes that way: one branch, for inputs that are costly to plan twice.
     """
     chunk_rows = chunk_rows or DEFAULT_CHUNK_ROWS
     cols = df.columns
@@ -33,7 +35,7 @@ def replicate_rows(df: DataFrame, count: str, chunk_rows: int | None = None, ind
         .withColumn("__i", E("explode(sequence(CAST(1 AS BIGINT), __n))"))
         .select(*cols, *small_at)
     )
-    chunks = tagged.filter(f"__n > {chunk_rows}").withColumn(
+    chunks = tagged.filter("__n >= 1" if spread_all else f"__n > {chunk_rows}").withColumn(
         "__c", E(f"explode(sequence(CAST(0 AS BIGINT), CAST(floor((__n - 1) / {chunk_rows}) AS BIGINT)))")
     )
     row_hash = "xxhash64(" + ", ".join(f"`{c}`" for c in cols) + ")"
@@ -41,4 +43,4 @@ def replicate_rows(df: DataFrame, count: str, chunk_rows: int | None = None, ind
     big = spread.withColumn(
         "__i", E(f"explode(sequence(CAST(1 AS BIGINT), least(CAST({chunk_rows} AS BIGINT), __n - __c * {chunk_rows})))")
     ).select(*cols, *big_at)
-    return small.unionByName(big)
+    return big if spread_all else small.unionByName(big)

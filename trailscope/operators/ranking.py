@@ -132,7 +132,7 @@ def over_ranks(
     hot = F.broadcast(hot_sessions(pv, chunk_rows).select("__hot"))  # fewer than MAX_HOT_SESSIONS ids
     plain = rank_pages_plain(pv.join(hot, E(f"{SID} = __hot"), "left_anti"), rank_col)
     folded = _ranked_hot(pv.join(hot, E(f"{SID} = __hot"), "left_semi"), chunk_rows, pv.columns, rank_col)
-    return then(plain).unionByName(replicate_rows(then(folded), COPIES).drop(COPIES))
+    return then(plain).unionByName(replicate_rows(then(folded), COPIES, spread_all=True).drop(COPIES))
 
 
 def rank_pages(pv: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS, rank_col: str = "rank_page") -> DataFrame:
