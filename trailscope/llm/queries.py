@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailscope.llm import chat, decontam, langid, line_dedup, minhash, mixing, periodic, quality, sharding, suffix_dedup, toxicity, warc, whitening
+from trailscope.llm import chat, decontam, langid, line_dedup, minhash, mixing, periodic, quality, sharding, sql, suffix_dedup, toxicity, warc, whitening
 from trailscope.llm.common import WORD, in_fold, step_path, store
 
 #: Fixed by the contract: the text that both turns of the added conversation say.
@@ -141,19 +141,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
-_OP2_SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
-d AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS hex FROM p),
-g AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS holder FROM d)
-SELECT page_id, payload_bytes,
-       list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-           CAST((CAST('0x' || substr(hex, CAST(k // 4 * 5 + 1 AS INT), 5) AS BIGINT) >> CAST(5 * (3 - k % 4) AS INT)) & 31 AS INT) + 1, 1)), 'string_agg', '') AS payload_digest,
-       CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id = holder THEN NULL ELSE holder END AS refers_to
-FROM g
-"""
-
-
 def oracle_sql() -> dict[str, str]:
     """Only where SQL states the whole result; the others are tested against brute force, a round trip or held-out accuracy."""
-    return {"op2_warc": _OP2_SQL}
+    return {
+        "op1_suffix_dedup": sql.OP1, "op2_warc": sql.OP2, "op8_minhash": sql.OP8,
+        "op9_chat_format": sql.OP9, "op10_quality_cascade": sql.OP10, "op13_line_dedup": sql.OP13,
+    }
