@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailscope.llm import chat, decontam, langid, minhash, mixing, quality, sharding, suffix_dedup, toxicity, warc
+from trailscope.llm.common import small_table
 
 DOCS = "doc_id long, text string, lang string, source string, rid int, key string, hits int"
 
@@ -96,6 +97,23 @@ def test_shards_are_even_and_gapless(spark, docs, texts):
     assert sharding.shard_documents(_empty(spark)).count() == 0
 
 
+def test_shards_and_mix_take_few_python_workers(spark, docs):
+    # Each Python step of a task holds a worker of its own, which stays for a while: ranges are found once, small tables need none.
+    plan = sharding.shard_documents(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "find(" in plan
+    table = plan[plan.index("Join") :]
+    assert "LocalRelation" in table
+    rows = spark.createDataFrame([("a", 5, 1, 1), (None, 0, 2, 2)], "source string, size long, id_hash long, k long")
+    assert "LocalRelation" in mixing.plan_mix(rows)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_small_table(spark):
+    schema = "a string, b long, c double, d int"
+    rows = [("é", 1 << 60, 0.5, None), (None, None, None, -1)]
+    assert small_table(spark, rows, schema).collect() == spark.createDataFrame(rows, schema).collect()
+    assert small_table(spark, [], schema).dtypes == spark.createDataFrame([], schema).dtypes and small_table(spark, [], schema).count() == 0
+
+
 def test_mix_reaches_targets(spark, docs, texts):
     rows = mixing.mix_sources(docs).collect()
     assert Counter(r.doc_id for r in rows) == Counter(i for i, *_ in texts)

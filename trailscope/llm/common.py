@@ -91,6 +91,15 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*[df[old].alias(new) for new, old in names.items()])
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows that the driver holds, as a local relation: given as Arrow, they need no Python worker on the executors."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    columns = zip(*rows) if rows else [()] * len(arrow)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow), schema)
+
+
 def text_udf(schema: str, make: Callable[[], Callable[[list], list[list]]]):
     """An Arrow UDF from a text column to a struct column.
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailscope.llm.common import WORD, sha_order, spare_name, store
+from trailscope.llm.common import WORD, sha_order, small_table, spare_name, store
 
 #: Fixed by the contract: weights by source order, repeating, and the largest repeat.
 WEIGHTS = (5, 2, 1)
@@ -160,7 +160,7 @@ def plan_mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: in
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size")).collect()  # a row per source
     targets = share_targets([(r.source, r.source_size) for r in totals], weights, max_repeat)
     table = [(r.source, r.source_size, targets[r.source], *_ratio(targets[r.source], r.source_size, max_repeat)) for r in totals]
-    sources = spark.createDataFrame(table, "source string, source_size long, target double, whole int, part double")
+    sources = small_table(spark, table, "source string, source_size long, target double, whole int, part double")
     units = (
         rows.groupBy("source", "id_hash", "k").agg(F.sum("size").alias("words"))
         .join(sources.withColumnRenamed("source", "s"), F.expr("source <=> s")).drop("s")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailscope.llm.common import sha_order, spare_name, store
+from trailscope.llm.common import sha_order, small_table, spare_name, store
 
 #: Fixed by the contract.
 SHARDS = 40
@@ -53,14 +53,18 @@ def _joined(a: int, b: int) -> int:
 
 
 def range_of(splitters: list[int]):
-    """An Arrow UDF (a, b) -> number of splitters at or below the key."""
+    """An Arrow UDF (a, b) -> number of splitters at or below the key.
+
+    Taken as nondeterministic, so that a filter the optimizer infers on its result (not null, from the join) doesn't run it
+    a second time in the same task: that took a second Python worker for each core.
+    """
     from pyspark.sql.functions import arrow_udf
 
     @arrow_udf("int")
     def find(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([bisect.bisect_right(splitters, _joined(x, y)) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int32())
 
-    return find
+    return find.asNondeterministic()
 
 
 def pack(pieces: list[tuple[int, int, int, int, int]], shards: int) -> list[tuple[int, int, int, int]]:
@@ -99,7 +103,7 @@ def shard_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return ranked.withColumn(piece, F.floor((F.col(run) - F.col(z)) / F.lit(limit)))
 
     counted = placed(keys, "a", "b", "size", "r", "rank", "run", "piece").groupBy("r", "piece").agg(F.sum("size"), F.count(F.lit(1)), F.min("rank")).collect()  # at most two pieces per range on average
-    table = spark.createDataFrame(pack([tuple(x) for x in counted], shards) or [(0, 0, 0, 0)], f"`{r}` int, `{piece}` long, `{shard_col}` int, `{shift}` long")
+    table = small_table(spark, pack([tuple(x) for x in counted], shards) or [(0, 0, 0, 0)], f"`{r}` int, `{piece}` long, `{shard_col}` int, `{shift}` long")
     rows = placed(keyed, a, b, z, r, rank, run, piece).join(F.broadcast(table), [r, piece])
     return rows.withColumn(slot_col, (F.col(rank) + F.col(shift)).cast("long")).select(*df.columns, shard_col, slot_col)
 
